@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import mixing, near_dup, packing, substring, warc
+from wardline.llm import mixing, near_dup, packing, quality, substring, warc
 from wardline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(table(spark, sf_dir, "documents"))
 
@@ -28,7 +32,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op7_warc": op7_warc, "op9_mix": op9_mix}
+QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op7_warc": op7_warc, "op9_mix": op9_mix}
 #: WARC round trip: base32 takes five bits at a time of the SHA-1 in hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
