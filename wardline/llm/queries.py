@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import mixing, near_dup, packing, quality, substring, warc
+from wardline.llm import mixing, near_dup, packing, quality, substring, vectors, warc
 from wardline.llm.common import table
 
 
@@ -28,11 +29,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
 
 
+def op8_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op7_warc": op7_warc, "op9_mix": op9_mix}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(vectors.valid("embedding") & F.col("vec_id").isNotNull())
+    rows = rows.select(F.col("vec_id").alias("id"), vectors.whole_numbers("embedding").alias("vec"))
+    return vectors.exact_top_k(rows, rows.where("id % 20 = 0"), 20)
+
+
+QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k}
 #: WARC round trip: base32 takes five bits at a time of the SHA-1 in hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -44,4 +55,4 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM f
 """
 
-ORACLE_SQL = {"op7_warc": WARC_SQL, "op9_mix": mixing.SQL}
+ORACLE_SQL = {"op7_warc": WARC_SQL, "op9_mix": mixing.SQL, "op10_top_k": vectors.TOP_K_SQL}
