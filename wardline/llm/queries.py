@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import mixing, near_dup, packing, quality, substring, vectors, warc
+from wardline.llm import lm, mixing, near_dup, packing, quality, substring, vectors, warc
 from wardline.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), n=4)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
 
@@ -43,7 +47,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(rows, rows.where("id % 20 = 0"), 20)
 
 
-QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k}
+QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k}
 #: WARC round trip: base32 takes five bits at a time of the SHA-1 in hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
