@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import lm, mixing, near_dup, packing, quality, substring, vectors, warc
+from wardline.llm import html_text, lm, mixing, near_dup, packing, quality, substring, vectors, warc
 from wardline.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(rows, rows.where("id % 20 = 0"), 20)
 
 
-QUERIES = {"op1_pack": op1_pack, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k}
+QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k}
 #: WARC round trip: base32 takes five bits at a time of the SHA-1 in hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
