@@ -1,8 +1,60 @@
-"""Corpus pipeline; filled in as its operators are built."""
+"""Corpus pipeline: rejects poor documents, drops near copies and repeated passages, mixes the
+sources to their targets and packs the mix into sequences.
 
-STAGES: list = []
+Each stage works on all that its predecessor kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardline.llm import mixing, near_dup, packing, quality, substring
+from wardline.llm.common import save, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that with the smallest id.  Rows that share an id
+    are one document; rows without an id stay."""
+    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that an earlier document has."""
+    return substring.dedup_text(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    mixed = mixing.weighted_mix(docs)
+    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("near-duplicate removal", near_dedup),
+    ("substring removal", substring_dedup),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: The classifier's fit is not SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
