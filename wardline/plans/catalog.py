@@ -1,6 +1,6 @@
 """All registered queries of the districting engine."""
 
-from wardline.plans import measures
+from wardline.plans import measures, programs
 
-QUERIES = dict(measures.QUERIES)
-ORACLE_SQL = dict(measures.ORACLE_SQL)
+QUERIES = measures.QUERIES | programs.QUERIES
+ORACLE_SQL = measures.ORACLE_SQL | programs.ORACLE_SQL
