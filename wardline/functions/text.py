@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"([0-9.eE+-]+)"
+NUMBER = r"([0-9.]+)"
 
 
 def number(text: Column, pattern: str) -> Column:
@@ -29,24 +29,28 @@ def analyzer_text(text: Column) -> dict[str, Column]:
 def log_line(line: Column) -> dict[str, Column]:
     """Fields of one line of a run log; null where the line has none."""
     return {
-        "generation": number(line, r"^generation (\d+)").cast("int"),
-        "kmpp": number(line, rf"{NUMBER} [Kk]m/p"),
+        "generation": number(line, r"gen(?:eration)? (\d+)").cast("int"),
+        "kmpp": number(line, rf"{NUMBER} Km/person"),
         "std": number(line, rf"std={NUMBER}"),
-        "max_pop": number(line, r"max=(\d+)"),
-        "min_pop": number(line, r"min=(\d+)"),
-        "nod_pop": number(line, r"(\d+) people"),
+        "max_pop": number(line, rf"max={NUMBER}"),
+        "min_pop": number(line, rf"min={NUMBER}"),
+        "nod_pop": number(line, rf"in no district .pop={NUMBER}"),
     }
 
 
+def start_stats(text: Column) -> dict[str, Column]:
+    """Statistics printed at a run's start."""
+    top, least = number(text, rf"max={NUMBER}"), number(text, rf"min={NUMBER}")
+    return {"kmpp": number(text, rf"{NUMBER}\s+Km/p"), "average": number(text, rf"avg={NUMBER}"), "std": number(text, rf"std={NUMBER}"), "spread": top - least}
+
+
 def variability_line(line: Column, per: int = 5000) -> dict[str, Column]:
-    """Best kmpp variability and spread variability of the lines about ``per`` generations."""
-    own = F.regexp_extract(line, r"per (\d+)", 1) == str(per)
-    pick = lambda p: F.when(own, number(line, p))
-    return {"kmpp_var": pick(rf"kmpp var={NUMBER}"), "spread_var": pick(rf"spread var={NUMBER}")}
+    """Variability of kmpp and spread over ``per`` generations."""
+    return {k: number(line, rf"{name} var per {per}={NUMBER}") for k, name in {"kmpp_var": "kmpp", "spread_var": "spread"}.items()}
 
 
-def run_seconds(line: Column) -> Column:
-    return number(line, rf"{NUMBER} sec(?:onds)? user time")
+def run_seconds(text: Column) -> Column:
+    return number(text, rf"(?i)district calculation:\s*{NUMBER}\s*sec")
 
 
 def size_bytes(text: Column) -> Column:

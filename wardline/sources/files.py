@@ -168,7 +168,7 @@ def best_log(spark: SparkSession, path: str, columns: str) -> DataFrame:
 def json_submissions(spark: SparkSession, folder: str, most: int = 1_000_000) -> DataFrame:
     """Submission files: JSON objects of at most ``most`` bytes with n, ok and a solution or a summary."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
-    files = files.where((F.col("length") <= most) & ~F.col("path").contains("/Attic/")).select("path", "modificationTime", F.decode("content", F.lit("UTF-8")).alias("body"))
+    files = files.where((F.col("length") <= most) & ~F.col("path").contains("/Attic/")).select("path", "modificationTime", F.decode("content", "UTF-8").alias("body"))
     parsed = files.where(F.ltrim("body").startswith("{")).select("path", "modificationTime", F.sha2("body", 256).alias("sha"), F.from_json("body", schema.RESULT).alias("r"))
     return parsed.where("r.n IS NOT NULL AND r.ok AND (r.`bestKmpp.dsz` IS NOT NULL OR r.statsum IS NOT NULL)").select("path", "modificationTime", "sha", "r.*")
 
