@@ -106,7 +106,8 @@ def weighted_mix(
         .groupBy(F.col("__src").alias("__s2"))
         .agg(F.max(F.struct("__key", "__id")).alias("__last"))
     )
-    plan = plan.join(last, F.col("__s").eqNullSafe(F.col("__s2")), "left").drop("__s2", "base", "rest")
+    # saved, so that Spark knows its size and broadcasts it only where that is small
+    plan = save(plan.join(last, F.col("__s").eqNullSafe(F.col("__s2")), "left").drop("__s2", "base", "rest"))
     inside = (F.col("__bucket") < F.col("__end")) | F.col("__end").isNull() | (
         (F.col("__bucket") == F.col("__end")) & F.coalesce(F.struct("__key", "__id") <= F.col("__last"), F.lit(False))
     )

@@ -4,11 +4,14 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 ``PERMUTATIONS`` evaluations make twice as many values; bands of ``ROWS`` values are bucket keys.
 With 28 bands of 4, a pair at similarity 0.8 misses every bucket with probability 4e-7.
 
-Documents with equal shingle sets are one class and go on as its smallest doc_id.  In a bucket all
-members are compared with the smallest one, never with each other.  Components of these links
-settle most buckets; in those that still hold several components, members of all but the largest
-component are compared with the members of other components, so no link between different texts is
-lost, and a bucket of many copies costs one comparison a copy.
+Documents with equal shingle sets are one class and go on as its smallest doc_id.  In a bucket
+all members are compared with one centre, the member that shares most buckets with most others.
+Members that are like the centre are one component.  Others may still be linked, to each other or
+to members, but then by shingles that the centre lacks: if s and m are similar enough, s has fewer
+shingles in common with the centre c than similarity to m asks for, or m has, so s and m share a
+shingle outside c.  Only where c has more shingles than m and both overlap c widely is that not certain.  So the
+second comparison takes pairs from different components that share (centre, shingle outside it),
+and those wide overlaps; edits at random share none, and no bucket is ever paired up.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone; texts of fewer than
 ``SHINGLE`` words are one shingle; rows with a null id stay alone; repeated rows share a class;
@@ -98,27 +101,49 @@ def features(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(rows, kinds).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc_id, s): packed sorted shingles of the documents in ``wanted``."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "s": [shingles(x, n).tobytes() for x in batch["text"]]})
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [shingles(x, n).tobytes() for x in part["text"]]})
 
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    one = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    return one.mapInPandas(sets, "doc_id long, s binary")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
+    """(u, v, common) and, on demand, the shingles of u outside v."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
+            common, rest = [], []
             for a, b in zip(batch["s"], batch["t"], strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.loc[keep, ["u", "v"]]
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                hit = b[at] == a
+                common.append(int(hit.sum()))
+                rest.append(a[~hit].tobytes() if outside else None)
+            yield pd.DataFrame({"u": batch["u"], "v": batch["v"], "common": common, "rest": rest})
+
+    both = pairs.select("u", "v").join(sets.withColumnRenamed("doc_id", "u"), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("t")), "v")
+    return both.select("u", "v", "s", "t").mapInPandas(compare, "u long, v long, common long, rest binary")
 
-    one = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    have = save(one.mapInPandas(sets, "doc_id long, s binary"))
-    both = pairs.join(have.withColumnRenamed("doc_id", "u"), "u").join(have.select(F.col("doc_id").alias("v"), F.col("s").alias("t")), "v")
-    return both.select("u", "v", "s", "t").mapInPandas(similar, "u long, v long")
+
+def outside_rows(stars: DataFrame) -> DataFrame:
+    """(v, x, u): one row for each shingle x of u outside its centre v."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                x = [np.frombuffer(r, np.int64) for r in part["rest"]]
+                sizes = [len(r) for r in x]
+                yield pd.DataFrame({"v": np.repeat(part["v"].to_numpy(), sizes), "x": np.concatenate(x) if x else [], "u": np.repeat(part["u"].to_numpy(), sizes)})
+
+    return stars.select("v", "u", "rest").mapInPandas(rows, "v long, x long, u long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -130,25 +155,45 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     )
     members = classes.select("rep", "n", F.explode("bands").alias("key"))
-    centres = members.groupBy("key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("cn"), F.count(F.lit(1)).alias("many"))
-    shared = save(members.join(centres.where("many > 1").drop("many"), "key"))
-
-    near = lambda a, b: (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
-    stars = save(shared.where((F.col("rep") != F.col("centre")) & near("n", "cn")).select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct())
-    links = save(confirm(docs, stars, n, percent))
+    # what joins back to a hot key is saved first: Spark then splits the key's rows in the join
+    many = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    shared = save(members.join(many, "key"))
+    mass = shared.groupBy("rep").agg(F.sum("many").alias("mass"))
+    placed = save(shared.drop("many").join(mass, "rep"))
+    central = F.struct(-F.col("mass"), F.col("rep"))
+    centres = save(placed.groupBy("key").agg(F.min_by("rep", central).alias("centre"), F.min_by("n", central).alias("cn")))
+    stars = placed.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"), F.col("n").alias("un"), F.col("cn").alias("vn")).distinct()
+    stars = save(stars)
+
+    sets = save(shingle_sets(docs, shared.select(F.col("rep").alias("doc_id")).distinct(), n))
+    alike = 100 * F.col("common") >= percent * (F.col("un") + F.col("vn") - F.col("common"))
+    stars = save(stars.join(overlaps(stars, sets, outside=True), ["u", "v"]).withColumn("linked", alike))
+    links = stars.where("linked").select("u", "v")
     label = save(components(links))
 
-    # buckets whose members have not come together yet
-    placed = shared.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = save(placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = save(placed.join(mixed.drop("parts"), "key"))
-    stray = rest.where("comp <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), (F.col("comp") == F.col("main")).alias("in_main"))
-    cross = stray.join(other, "key").where((F.col("ac") != F.col("bc")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near("an", "bn"))
-    cross = cross.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = save(confirm(docs, save(cross), n, percent))
+    # centres that some of their members have not come to
+    comp = label.select(F.col("node").alias("u"), F.col("component").alias("uc"))
+    stars = stars.join(comp, "u", "left").join(comp.withColumnsRenamed({"u": "v", "uc": "vc"}), "v", "left")
+    stars = stars.withColumns({"uc": F.coalesce("uc", "u"), "vc": F.coalesce("vc", "v")})
+    open_ = save(stars.where("uc <> vc").select("v").distinct())
+    stars = save(stars.join(open_, "v", "left_semi"))
+    other = stars.select("u", "uc", "un").distinct()
+    beyond = outside_rows(stars).join(other.drop("un"), "u")
+    mixed = save(beyond.groupBy("v", "x").agg(F.min("uc").alias("a"), F.max("uc").alias("b")).where("a <> b").select("v", "x"))
+    beyond = save(beyond.join(mixed, ["v", "x"]))
+    left, right = beyond.select("v", "x", F.col("u").alias("a"), F.col("uc").alias("ac")), beyond.select("v", "x", F.col("u").alias("b"), F.col("uc").alias("bc"))
+    cross = left.join(right, ["v", "x"]).where("ac <> bc AND a < b").select("a", "b").distinct()
+
+    # wide overlaps with a larger centre, where a pair may agree on the centre's shingles alone
+    asked = lambda a, b: percent * (F.col(a) + F.col(b))  # noqa: E731  (100 + percent) * common must reach it
+    wide = stars.where(~F.col("linked") & (100 * F.col("common") >= percent * F.col("un"))).select("v", F.col("u").alias("a"), F.col("un").alias("an"), F.col("uc").alias("ac"), F.col("common").alias("acommon"))
+    small = stars.where("un < vn").select("v", F.col("u").alias("b"), F.col("un").alias("bn"), F.col("uc").alias("bc"), F.col("common").alias("bcommon"))
+    both = wide.join(small, "v").where((F.col("ac") != F.col("bc")) & ((100 + percent) * F.least("acommon", "bcommon") >= asked("an", "bn")))
+    cross = cross.unionByName(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+    size = other.select("u", "un").distinct()
+    cross = save(cross.join(size.withColumnsRenamed({"u": "a", "un": "an"}), "a").join(size.withColumnsRenamed({"u": "b", "un": "bn"}), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("an").alias("un"), F.col("bn").alias("vn")))
+    more = save(cross.join(overlaps(cross, sets, outside=False), ["u", "v"]).where(alike).select("u", "v"))
     label = save(components(links.unionByName(more)))
 
     reps = classes.select("set_a", "set_b", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")

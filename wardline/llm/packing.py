@@ -18,10 +18,12 @@ once each; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,35 +31,82 @@ from pyspark.sql import functions as F
 from wardline.llm.common import save
 
 CAPACITY = 2048
-CACHED = 300_000  # encoded words kept by a worker; a full cache starts anew
+CACHED = 350_000  # entries of a worker's caches, each of two generations
+TOGETHER = 50  # texts encoded at once
 
 
-@functools.lru_cache(1)
-def encoder(path: str):
-    """Text -> its ids as little-endian bytes.
+#: Byte-level vocabularies spell bytes that are no visible Latin-1 character as U+0100 and on, in order.
+SPELLED = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)), range(256, 512), strict=False))
+
 
-    The tokenizer of the file never joins text across white space, so words between ASCII white
-    space are encoded once each and remembered.
+class Encoder:
+    """Texts -> their ids as little-endian bytes.
+
+    The tokenizer of the file splits text at white space, and between letters and other signs but
+    for contractions, before it merges; so words between ASCII white space are encoded once each and
+    remembered, and plain words fall into runs of letters and of signs that are remembered too.  A run of
+    letters is one piece, which goes to the merge model at once, its bytes spelled as the file does.
+    Words with apostrophes, opening angles or characters beyond Latin letters are encoded whole.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+    PLAIN = re.compile(f"[!-&(-;=-~{LETTER}]+")
+    RUNS = re.compile(f"[{LETTER}]+|[^{LETTER}]+")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: list[dict] = [{}, {}]  # in use, and the generation before
+        self.runs: list[dict] = [{}, {}]
+
+    def fresh(self, cache: list[dict], keys: set) -> list:
+        """The keys that the cache doesn't hold; those of the generation before move over."""
+        if len(cache[0]) > CACHED:
+            cache[:] = [{}, cache[0]]
+        now, before = cache
+        missing = []
+        for key in keys.difference(now):
+            found = before.get(key)
+            if found is None:
+                missing.append(key)
+            else:
+                now[key] = found
+        return missing
+
+    def whole(self, words: list[str]) -> Iterator[bytes]:
+        for coded in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(coded.ids, "<u4").tobytes()
+
+    def learn_runs(self, keys: set) -> None:
+        missing, now = self.fresh(self.runs, keys), self.runs[0]
+        letters, signs = [k for k in missing if k[0].isalpha()], [k for k in missing if not k[0].isalpha()]
+        model = self.tokenizer.model
+        for key in letters:
+            now[key] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(key.encode().decode("latin-1").translate(SPELLED))])
+        now.update(zip(signs, self.whole(signs), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [text.encode("utf-8", "replace").split() for text in texts]
+        missing = self.fresh(self.words, set().union(*split))
+        plain, other = [], []
+        for word in missing:
+            text = word.decode()
+            if self.PLAIN.fullmatch(text):
+                plain.append((word, self.RUNS.findall(text.lower())))
+            else:
+                other.append(text)
+        self.learn_runs({run for _, runs in plain for run in runs})
+        known, run = self.words[0], self.runs[0]
+        for word, runs in plain:
+            known[word] = b"".join([run[r] for r in runs])
+        known.update(zip([w.encode() for w in other], self.whole(other), strict=True))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
-    def encode(text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHED:
-                known.clear()
-            new = list(set(words).difference(known))
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for word, coded in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    known[word] = b"".join(x.to_bytes(4, "little") for x in coded.ids)
-            return b"".join(map(known.__getitem__, words))
 
-    return encode
+@functools.lru_cache(1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -65,11 +114,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text or "") + end
+            rows, texts = [], [t or "" for t in batch["text"]]
+            coded = (ids for at in range(0, len(texts), TOGETHER) for ids in coder.encode(texts[at : at + TOGETHER]))
+            for doc_id, ids in zip(batch["doc_id"], coded, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import html_text, lm, mixing, near_dup, packing, quality, substring, vectors, warc
-from wardline.llm.common import table
+from wardline.llm.common import save, table
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ def op8_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weighted_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("words"), mixing.symbol_weight().alias("weight"))
+    mix = mixing.weighted_mix(save(docs), size=F.col("words"), weight=F.col("weight"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,17 +121,18 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     """(doc_id, key, runs): the windows lo..hi of each document that an earlier document has."""
     docs = _keyed(docs)
     runs = save(find_runs(docs, length, k))
-    known = runs.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
+    # what joins back to a hot seed is saved first: Spark then splits the seed's rows in the join
+    known = save(runs.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"))
     runs = save(runs.join(known, "seed"))
     first = save(runs.groupBy("seed", "run").agg(F.min("doc_id").alias("first")))
-    several = first.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed")
+    several = save(first.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed"))
     runs = runs.join(first, ["seed", "run"])
     whole = save(runs.where("doc_id > first").select("doc_id", "key", "lo", "hi"))
-    partly = runs.where("doc_id = first").join(several, "seed").groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    partly = save(runs.where("doc_id = first").join(several, "seed").select("doc_id", "key", "lo", "hi")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     texts = docs.select("doc_id", F.col("__key").alias("key"), "text").dropDuplicates(["doc_id", "key"]).join(partly, ["doc_id", "key"])
     windows = save(hash_windows(texts.select("doc_id", "key", "text", "runs"), length))
-    earliest = windows.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b")
-    more = windows.join(earliest, ["win_a", "win_b"]).where("doc_id > a").select("doc_id", "key", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    earliest = save(windows.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"))
+    more = save(windows.join(earliest, ["win_a", "win_b"]).where("doc_id > a").select("doc_id", "key", F.col("at").alias("lo"), F.col("at").alias("hi")))
     return whole.unionByName(more).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
