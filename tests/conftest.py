@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -37,7 +38,7 @@ def duck(sf_dir):
 def comparable(frame):
     """Rows as sorted tuples of text, columns by name, doubles to 12 digits."""
     columns = sorted(frame.columns)
-    text = lambda v: "NULL" if v is None or v != v else ("%.12g" % v if isinstance(v, float) else str(v))
+    text = lambda v: "NULL" if v is None or v is pd.NA or v != v else ("%.12g" % v if isinstance(v, float) else str(v))
     rows = frame[columns].astype(object).itertuples(index=False, name=None)
     return columns, sorted(tuple(text(v) for v in r) for r in rows)
 
