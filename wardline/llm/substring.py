@@ -145,9 +145,10 @@ def cut(words: list[bytes], runs, length: int) -> list[bytes]:
 
 
 def _with_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
-    runs = covered_runs(docs, length, k).select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), F.col("runs").alias("__runs"))
-    keyed = _keyed(docs)
-    return keyed.join(runs, (keyed["doc_id"] == runs["__id"]) & (keyed["__key"] == runs["__of"]), "left").drop("__id", "__of", "__key")
+    """(row, runs): each whole row of docs, in a struct so that no column name can clash."""
+    runs = covered_runs(docs, length, k).withColumnsRenamed({"doc_id": "of_id", "key": "of_key"})
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(runs, (F.col("row.doc_id") == F.col("of_id")) & (F.xxhash64("row.text") == F.col("of_key")), "left").select("row", "runs")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -156,13 +157,13 @@ def digest(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text, runs in zip(batch["doc_id"], batch["text"], batch["__runs"], strict=True):
+            for doc_id, text, runs in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
                 words = (text or "").encode("utf-8", "replace").split()
                 kept = words if runs is None else cut(words, runs, length)
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    slim = _with_runs(docs.select("doc_id", "text"), length, k).withColumn("doc_id", F.col("doc_id").cast("string"))
+    slim = _with_runs(docs.select("doc_id", "text"), length, k).select(F.col("row.doc_id").cast("string").alias("doc_id"), "row.text", "runs")
     return slim.mapInPandas(rows, "doc_id string, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -174,5 +175,4 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if r is None else b" ".join(cut(t.encode("utf-8", "replace").split(), r, length)).decode() for t, r in zip(text, runs, strict=True)], dtype=object)
 
-    columns = docs.columns
-    return _with_runs(docs, length, k).withColumn("text", kept("text", "__runs")).select(*columns)
+    return _with_runs(docs, length, k).select(F.col("row").withField("text", kept("row.text", "runs")).alias("row")).select("row.*")
