@@ -371,7 +371,7 @@ def test_seating_follows_the_process():
     want = np.zeros(c + 1)
     want[1] = 1.0
     for n in range(1, c):
-        open_ = a / (n - d * np.arange(c + 1) + a)
+        open_ = a / (n - d * np.minimum(np.arange(c + 1), n) + a)  # no more tables than customers
         want = want * (1 - open_) + np.concatenate([[0], (want * open_)[:-1]])
     assert mean == pytest.approx((want * np.arange(c + 1)).sum(), rel=0.02)
 
