@@ -56,18 +56,23 @@ def edge_blocks(edges: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ubid, component): smallest ubid reachable, by hooking to the least neighbour and jumping pointers."""
+    """(ubid, component): smallest ubid reachable.  In a round each component hooks to the least label
+    that its members see, and pointers are jumped to the roots, so long chains take few rounds."""
     label = saved(nodes.select("ubid", F.col("ubid").alias("component")))
     wires = saved(both_ways(edges))
     while True:
         near = wires.join(label.withColumnsRenamed({"ubid": "b"}), "b").groupBy(F.col("a").alias("ubid")).agg(F.min("component").alias("near"))
-        step = label.join(near, "ubid", "left").select("ubid", "component", F.least("component", F.coalesce("near", "component")).alias("to"))
-        # a component whose members saw a smaller label moves there as a whole
-        moved = step.groupBy("component").agg(F.min("to").alias("to"))
-        new = saved(step.select("ubid", "component").join(moved, "component").select("ubid", F.col("to").alias("component"), (F.col("to") < F.col("component")).alias("changed")))
-        if new.where("changed").isEmpty():
-            return new.select("ubid", "component")
-        label = new.select("ubid", "component")
+        seen = label.join(near, "ubid", "left").select("component", F.least("component", F.coalesce("near", "component")).alias("to"))
+        moved = saved(seen.groupBy("component").agg(F.min("to").alias("to")))
+        if moved.where("to < component").isEmpty():
+            return label
+        while True:
+            up = moved.select(F.col("component").alias("to"), F.col("to").alias("next"))
+            jumped = saved(moved.join(up, "to").select("component", "next", (F.col("next") < F.col("to")).alias("changed")))
+            moved = jumped.select("component", F.col("next").alias("to"))
+            if jumped.where("changed").isEmpty():
+                break
+        label = saved(label.join(moved, "component").select("ubid", F.col("to").alias("component")))
 
 
 def district_groups(edges: DataFrame, blocks: DataFrame) -> DataFrame:
