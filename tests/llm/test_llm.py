@@ -358,6 +358,31 @@ def test_lm_probabilities_sum_to_one():
         assert p.sum() + unseen == pytest.approx(1.0)
 
 
+def test_lm_gives_every_previous_word_its_own_restaurant(spark, monkeypatch):
+    """Each of 400 words, all equally frequent, settles the next one: no context may be pooled with another."""
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 2000)
+    rng = random.Random(5)
+    after = {i: f"b{i * 7 % 400}" for i in range(400)}
+    texts = {i: " ".join(f"a{k} {after[k]}" for k in rng.sample(range(400), 40)) for i in range(150)}
+    texts |= {1000: "a1", 1001: "a1 " + after[1], 1002: "a399", 1003: "a399 " + after[399], 1004: "a399 " + after[1]}
+    got = {r.doc_id: r for r in lm.score(make(spark, texts)).collect()}
+    rooms = [(got[i].score - got[i].base_score) / got[i].n_tokens for i in range(150) if got[i].held_out]
+    assert len(rooms) > 5 and min(rooms) > 0.9  # half of the words are near certain, the other half are as rare as their base
+    assert got[1003].score > got[1004].score + 1.5
+
+
+@pytest.mark.parametrize("cuts", [[(0, 6)], [(1, 3), (4, 2)], [(2, 4)]])
+def test_lm_tokens_equal_split(cuts):
+    import pyarrow as pa
+
+    texts = pa.array([" A\u00c0 b\tc  ", None, "", "\u00a0x\u2003y \x1cZ", " \n", "Long " * 50])
+    cut = pa.chunked_array([texts.slice(*c) for c in cuts])
+    words, number, size = lm.tokens(cut)
+    got = [words[i] for i in number]
+    assert got == [w for t in cut.to_pylist() for w in [*(t or "").encode().lower().split(), b""]]
+    assert size.tolist() == [len((t or "").encode().split()) + 1 for t in cut.to_pylist()]
+
+
 def test_lm_odd_tables(spark):
     assert lm.score(make(spark, {})).count() == 0
     got = lm.score(make(spark, [(1, "a b"), (1, "a b"), (None, None), (2, "a c")])).collect()

@@ -1,18 +1,23 @@
 """Language-model scores from a hierarchical Pitman-Yor model, seated by Gibbs sweeps.
 
-Each context, the word before, is a restaurant: the most frequent training words have one each, all
-other words share one, and so do text starts.  The tables of all of them are the customers of the
-unigram restaurant, whose parent gives half its mass to unseen words and half to the vocabulary in
-equal parts.  A sweep reseats every dish of every restaurant by the Chinese restaurant process,
-given its parent's current predictive and the restaurants' table totals of the sweep before; the
-scores average the predictive probabilities of the sweeps after burn-in.
-
-Dishes are dealt to buckets by word, whose number follows the token count.  A bucket holds all
-cells (context, word, count) of its words and the occurrences it has to score, in packed arrays, and
-a sweep needs only the table totals, one number for each restaurant.  The ``HOT`` most frequent words
-hold most tokens: their counts are added up before the shuffle, and texts look their probabilities
-up in a table of HOT x restaurants numbers, the only model that is broadcast.  All other words go
-to their bucket one by one, packed.
+Each context, the word before, is a restaurant of its own, whatever its frequency; text starts share
+one.  The tables of all of them are the customers of the unigram restaurant, whose parent gives half
+its mass to unseen words and half to the vocabulary in equal parts.  A sweep reseats every dish of
+every restaurant by the Chinese restaurant process, given its parent's current predictive and the
+restaurants' table totals of the sweep before; the scores average the predictive probabilities of
+the sweeps after burn-in.
+
+Texts are cut into chunks, whose distinct cells (word, word before) are dealt to buckets by word; the
+number of buckets follows the text's length.  A bucket adds up the cells of its words over all chunks and
+numbers the restaurants it has guests of.  What restaurants need of each other, their customers and,
+after each sweep, their tables, is added up by the context's hash in as many parts as there are
+buckets and goes back to the buckets that asked; a restaurant whose customers are all in one bucket
+needs no exchange.  At the end each bucket answers each chunk's cells, and the chunk adds up its texts.
+Nothing but a few sums goes to the driver, and no table is broadcast.
+
+Words and contexts are told apart by 64-bit hashes.  What is approximate: the ``SWEEPS - BURN_IN``
+sweeps averaged are few; a sweep seats each dish anew, from the totals of the sweep before, and
+large dishes in parties (``seat``).
 
 Defined cases: null and empty texts are their end token; rows with a null id are dealt to a fold as
 the text 'null'; repeated rows all count and get equal scores; without training rows every word is
@@ -22,157 +27,126 @@ unseen and the vocabulary empty; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import crc_mod, save
 
-HOT, CONTEXTS, FOLDS = 8192, 255, 10
-START, OTHER, ROOMS = 0, CONTEXTS + 1, CONTEXTS + 2  # restaurants: text start, one a context, all others
-BUCKET_TOKENS, FLUSH, RARE = 6_000_000, 2_000_000, 100_000
+HOT, FOLDS = 8192, 10  # words whose hashes a task remembers
+ROOMS = 257  # restaurants of a bucket that names none
+BUCKET_TOKENS, CHUNK_BYTES, WORD_BYTES = 1_000_000, 6_000_000, 6  # they bound a task's memory only
 SWEEPS, BURN_IN = 3, 1
 DISCOUNT, STRENGTH = (0.75, 0.75), (5.0, 50.0)  # of contexts, of the unigram restaurant
 UNSEEN = 0.5
-END = b""  # no word is empty, so the empty string stands for the end token
-
-
-def words_of(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    words.append(END)
-    return words
+END = b""  # no word is empty, so the empty string stands for the end token, and before the first word for the start
 
 
 # ---------------------------------------------------------------- counting
 
 
-def frequent_words(docs: DataFrame) -> tuple[list[bytes], int]:
-    """The HOT most frequent training words and the number of training tokens.
-
-    A task keeps words down to one in RARE of its tokens, so none that is as frequent as that in
-    the whole corpus can be missed.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, total, pruned = Counter(), 0, 0
+def tokens(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each token's word, tokens of each text), each text with its end token."""
+    texts = pc.take(texts.combine_chunks(), np.arange(len(texts)))  # a copy: kernels misread the offsets of slices
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words, number = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    if END in words:  # white space at the ends of a text
+        end = words.index(END)
+        text, number = text[number != end], number[number != end]
+    else:
+        end = len(words)
+        words.append(END)
+    found = np.full(len(number) + len(texts), end, np.int64)
+    found[np.arange(len(number)) + text] = number
+    return words, found, np.bincount(text, minlength=len(texts)) + 1
+
+
+DEALT = "bucket int, chunk long, word binary, before binary, n binary, id binary, null binary, held binary, size binary, at binary"
+
+
+def deal(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed rows: for each chunk and bucket the chunk's distinct cells (word, word before, training
+    count); for each chunk, with a null bucket, its texts and the cell at which each token stands."""
+    names = [c.split()[0] for c in DEALT.split(", ")]
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in names[2:])])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = functools.lru_cache(HOT)(xxhash.xxh3_64_intdigest)
+        number = (TaskContext.get().partitionId() << 32) - 1
+
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            words, word, size = tokens(t["text"])
+            held = t["held"].to_numpy().astype(bool)
+            key = np.fromiter(map(hashed, words), np.uint64, len(words))
+            of = (key % np.uint64(buckets)).astype(np.int64)
+            before = np.concatenate([word[-1:], word[:-1]])  # each text ends with the end token
+            at, cell = pd.factorize(word * len(words) + before)
+            w, b = cell // len(words), cell % len(words)
+            order = np.argsort(of[w] * len(words) + w)
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            n = np.bincount(at, np.repeat(~held, size), len(cell)).astype(np.int32)[order]
+            w, b = w[order], b[order]
+            edges = np.searchsorted(of[w], np.arange(buckets + 1))
+            out = [
+                (k, number, key[w[i:j]].tobytes(), key[b[i:j]].tobytes(), n[i:j].tobytes(), *[None] * 5)
+                for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True))
+                if j > i
+            ]
+            ids = t["doc_id"]
+            out.append((None, number, None, None, None, pc.fill_null(ids, 0).to_numpy().tobytes(), ids.is_null().to_numpy().tobytes(), held.tobytes(), size.astype(np.int32).tobytes(), rank[at].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        parts, pending = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                words = words_of(text)
-                seen.update(words)
-                total += len(words)
-            if len(seen) > 400_000:
-                pruned = total // RARE
-                seen = Counter({w: c for w, c in seen.items() if c > pruned})
-        least = max(total // RARE, 1 if total < RARE else 2)
-        kept = [(w.decode(), c) for w, c in seen.items() if c >= least]
-        yield pd.DataFrame([*kept, (None, total)], columns=["word", "n"])
-
-    train = docs.where(~F.col("held")).select("text")
-    counts = save(train.mapInPandas(count, "word string, n long"))
-    total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    top = counts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(HOT)
-    return [r.word.encode() for r in top.collect()], total
-
-
-class Lexicon(dict):
-    """Word -> hot number, or -1."""
-
-    def __missing__(self, word):
-        return -1
-
-
-@functools.lru_cache(2)
-def lexicon(words: tuple[bytes, ...]) -> Lexicon:
-    return Lexicon(zip(words, range(len(words)), strict=True))
-
-
-def tokens(text: str | None, lex: Lexicon) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(words, hot numbers, restaurants) of a text."""
-    words = words_of(text)
-    hot = np.fromiter(map(lex.__getitem__, words), np.int64, len(words))
-    room = np.empty(len(words), np.int64)
-    room[0] = START
-    room[1:] = np.where((hot[:-1] >= 0) & (hot[:-1] < CONTEXTS), hot[:-1] + 1, OTHER)
-    return words, hot, room
-
-
-def deal(docs: DataFrame, hot_words, buckets: int) -> DataFrame:
-    """Packed rows for each bucket: hot cells (code, n) of training texts; rare occurrences (word hash,
-    restaurant) in runs, one a text (uid, run length, training or not)."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = lexicon(hot_words.value)
-        cells, rare, runs, held_now = [], [], [], 0
-
-        def flush() -> pd.DataFrame:
-            code, n = np.unique(np.concatenate(cells or [np.empty(0, np.int64)]), return_counts=True)
-            by = (code // ROOMS) % buckets
-            h = np.concatenate([r[0] for r in rare] or [np.empty(0, np.uint64)])
-            room = np.concatenate([r[1] for r in rare] or [np.empty(0, np.int64)])
-            run = np.repeat(np.arange(len(runs)), [r[2] for r in runs])
-            of = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            edges = np.searchsorted(of[order], np.arange(buckets + 1))
-            uid, train = np.array([r[0] for r in runs], np.int64), np.array([r[1] for r in runs], bool)
-            out = []
-            for b in range(buckets):
-                own = order[edges[b] : edges[b + 1]]
-                texts, sizes = np.unique(run[own], return_counts=True)
-                mine = by == b
-                out.append((b, code[mine].tobytes(), n[mine].tobytes(), h[own].tobytes(), room[own].astype(np.uint16).tobytes(), uid[texts].tobytes(), sizes.tobytes(), train[texts].tobytes()))
-            return pd.DataFrame(out, columns=["bucket", "code", "n", "word", "room", "uid", "size", "train"])
-
-        for batch in batches:
-            for uid, held, text in zip(batch["uid"].to_numpy(), batch["held"].to_numpy(), batch["text"], strict=True):
-                words, hot, room = tokens(text, lex)
-                if not held:
-                    known = hot >= 0
-                    cells.append(hot[known] * ROOMS + room[known])
-                few = np.flatnonzero(hot < 0)
-                if len(few):
-                    rare.append((np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in few.tolist()), np.uint64, len(few)), room[few]))
-                    runs.append((uid, not held, len(few)))
-                held_now += len(words)
-                if held_now >= FLUSH:
-                    yield flush()
-                    cells, rare, runs, held_now = [], [], [], 0
-        if held_now:
-            yield flush()
-
-    return docs.select("uid", "held", "text").mapInPandas(rows, "bucket int, code binary, n binary, word binary, room binary, uid binary, size binary, train binary")
+            reach = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                done = reach[start - 1] if start else 0
+                stop = min(int(np.searchsorted(reach, done + CHUNK_BYTES - pending)) + 1, batch.num_rows)
+                parts.append(batch.slice(start, stop - start))
+                pending, start = pending + reach[stop - 1] - done, stop
+                if pending >= CHUNK_BYTES:
+                    number += 1
+                    yield flush(parts)
+                    parts, pending = [], 0
+        if parts:
+            number += 1
+            yield flush(parts)
+
+    return docs.select(F.col("doc_id").cast("string").cast("long").alias("doc_id"), "held", F.col("text").cast("string").alias("text")).mapInArrow(rows, DEALT)
 
 
 def build_bucket(part: pd.DataFrame) -> pd.DataFrame:
-    """One row: the cells of the bucket's words and the occurrences it scores.
-
-    word: number of each cell's word; words below n_hot are hot and listed in hot.
-    """
+    """One row: the cells of the bucket's words, the hashes of the contexts (names) by number, and the cells each chunk asks for."""
+    part = part.sort_values("chunk")
     join = lambda c, kind: np.frombuffer(b"".join(part[c]), kind)
-    code, n = join("code", np.int64), join("n", np.int64)
-    cell, at = np.unique(code, return_inverse=True)
-    count = np.bincount(at, n, len(cell)).astype(np.int64)
-    hot, word = np.unique(cell // ROOMS, return_inverse=True)
-    names, name = np.unique(join("word", np.uint64), return_inverse=True)
-    room, sizes = join("room", np.uint16).astype(np.int64), join("size", np.int64)
-    train = np.repeat(join("train", bool), sizes)
-    name = name + len(hot)
-    rare, many = np.unique(name[train] * ROOMS + room[train], return_counts=True)
+    word, words = pd.factorize(join("word", np.uint64))
+    room, names = pd.factorize(join("before", np.uint64))
+    at, cell = pd.factorize(word * len(names) + room)
+    order = np.argsort(cell)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    n = np.bincount(at, join("n", np.int32), len(cell)).astype(np.int64)[order]
+    cell = cell[order]
     return pd.DataFrame({
-        "bucket": part["bucket"].iloc[:1], "n_words": [len(hot) + len(names)], "hot": [hot.tobytes()],
-        "word": [np.concatenate([word, rare // ROOMS]).astype(np.int32).tobytes()],
-        "room": [np.concatenate([cell % ROOMS, rare % ROOMS]).astype(np.int16).tobytes()],
-        "n": [np.concatenate([count, many]).astype(np.int64).tobytes()],
-        "occ_word": [name.astype(np.int32).tobytes()], "occ_room": [room.astype(np.int16).tobytes()],
-        "uid": [b"".join(part["uid"])], "size": [sizes.tobytes()],
+        "bucket": part["bucket"].iloc[:1].to_numpy(), "n_words": [len(words)], "names": [names.tobytes()], "word": [(cell // len(names)).astype(np.int32).tobytes()],
+        "room": [(cell % len(names)).astype(np.int16 if len(names) < 1 << 15 else np.int32).tobytes()], "n": [n.tobytes()],
+        "chunk": [part["chunk"].to_numpy().astype(np.int64).tobytes()], "size": [(part["n"].map(len).to_numpy() // 4).astype(np.int64).tobytes()], "at": [rank[at].tobytes()],
     })
 
 
-CELLS = "bucket int, n_words long, hot binary, word binary, room binary, n binary, occ_word binary, occ_room binary, uid binary, size binary"
+CELLS = "bucket int, n_words long, names binary, word binary, room binary, n binary, chunk binary, size binary, at binary"
 
 
 # ---------------------------------------------------------------- seating
@@ -198,8 +172,9 @@ def seat(rng: np.random.Generator, customers: np.ndarray, weight: np.ndarray, di
 class Bucket:
     """The restaurants' dishes of one bucket, reseated sweep by sweep."""
 
-    def __init__(self, row, total: int, vocabulary: int):
-        self.word, self.room = np.frombuffer(row.word, np.int32).astype(np.int64), np.frombuffer(row.room, np.int16).astype(np.int64)
+    def __init__(self, row, total: int, vocabulary: int, rooms: int = ROOMS):
+        wide = 4 * len(row.room) // max(len(row.word), 1) or 4  # bytes of a restaurant's number
+        self.word, self.room, self.rooms = np.frombuffer(row.word, np.int32).astype(np.int64), np.frombuffer(row.room, f"i{wide}").astype(np.int64), rooms
         self.n, self.n_words, self.number = np.frombuffer(row.n, np.int64), int(row.n_words), int(row.bucket)
         self.count = np.bincount(self.word, self.n, self.n_words).astype(np.int64)
         self.base = (1 - UNSEEN) / max(vocabulary, 1)
@@ -219,7 +194,7 @@ class Bucket:
         self.parent = np.where(self.count > 0, p, unseen_parent(totals))
 
     def totals(self) -> np.ndarray:
-        return np.concatenate([np.bincount(self.room, self.tables, ROOMS), [self.up_tables.sum(), self.guests.sum()]])
+        return np.concatenate([np.bincount(self.room, self.tables, self.rooms), [self.up_tables.sum(), self.guests.sum()]])
 
 
 def unseen_parent(totals: dict) -> float:
@@ -227,148 +202,154 @@ def unseen_parent(totals: dict) -> float:
     return (s + d * totals["up_tables"]) / (s + totals["guests"]) * UNSEEN
 
 
-def run_sweeps(bucket: Bucket, history: list[dict]) -> Iterator[tuple[Bucket, dict]]:
-    """Sweeps whose totals are known, each with its predictive state; seeds make reruns agree."""
-    for k, after in enumerate(history[1:]):
-        bucket.sweep(k, history[k])
-        bucket.set_parent(after)
-        yield bucket, after
-
-
 def context_probability(n, tables, parent, room, totals: dict, customers: np.ndarray) -> np.ndarray:
     d, s = DISCOUNT[0], STRENGTH[0]
     return (n - d * tables + (s + d * totals["tables"][room]) * parent) / (s + customers[room])
 
 
-def train(cells: DataFrame, total: int) -> tuple[list[dict], np.ndarray, int, int]:
-    """(totals of each sweep, customers of each restaurant, training tokens, vocabulary)."""
-    zero = {"tables": np.zeros(ROOMS), "up_tables": 0.0, "guests": 0.0}
+class Exchange:
+    """What a bucket sends to the parts that add up its contexts' numbers, and what comes back."""
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                b = Bucket(row, 1, 1)
-                yield pd.DataFrame({"v": [np.append(np.bincount(b.room, b.n, ROOMS), (b.count > 0).sum())]})
+    def __init__(self, names: np.ndarray, parts: int):
+        part = (names % np.uint64(parts)).astype(np.int64)
+        self.order = np.argsort(part, kind="stable")
+        self.names, self.part, self.parts = names[self.order], part[self.order], parts
+
+    def send(self, bucket: int, own: np.ndarray) -> list[tuple]:
+        edges, own = np.searchsorted(self.part, np.arange(self.parts + 1)), own[self.order].astype(np.int32)
+        return [(p, bucket, self.names[i:j].tobytes(), own[i:j].tobytes()) for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+
+    def back(self, reply: bytes) -> np.ndarray:
+        out = np.empty(len(self.order))
+        out[self.order] = np.frombuffer(reply, np.int64)
+        return out
 
-    def added(made: DataFrame) -> np.ndarray:  # one short row a bucket is added up on the executors
-        pairs = made.select(F.posexplode("v").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-        return np.array([x for _, x in sorted(tuple(r) for r in pairs)]) if pairs else np.zeros(ROOMS + 2)
 
-    words = cells.select("bucket", "n_words", "word", "room", "n")
-    start = added(words.mapInPandas(first, "v array<double>"))
-    customers, vocabulary = start[:ROOMS], int(start[ROOMS])
-    total = int(round(customers.sum()))
+SENT, REPLY = "part int, bucket int, names binary, v binary", "bucket int, part int, v binary"
+TOTALS = -1  # the part that adds up the numbers of the unigram restaurant
+
+
+def add_up(part: pd.DataFrame) -> pd.DataFrame:
+    """Each sender's contexts with the sums over all senders."""
+    part = part.sort_values("bucket")
+    if (number := part["part"].iloc[0]) == TOTALS:
+        return pd.DataFrame({"bucket": [TOTALS], "part": [number], "v": [sum(np.frombuffer(v, np.int64) for v in part["v"]).tobytes()]})
+    at, names = pd.factorize(np.frombuffer(b"".join(part["names"]), np.uint64))
+    total = np.bincount(at, np.frombuffer(b"".join(part["v"]), np.int32), len(names)).astype(np.int64)[at]
+    edges = np.cumsum([0, *(len(v) // 4 for v in part["v"])])
+    return pd.DataFrame({"bucket": part["bucket"].to_numpy(), "part": number, "v": [total[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]})
+
+
+def replay(row, replies: pd.DataFrame, sums: list[np.ndarray], parts: int) -> Iterator[tuple]:
+    """(bucket, its exchange, customers, totals after the sweep or None) for each sweep whose totals are
+    known and the one after it; seeds make reruns agree."""
+    names = np.frombuffer(row.names, np.uint64)
+    reply = {k: b"".join(own.sort_values("part")["v"]) for k, own in replies.groupby("k")}
+    total, vocabulary = (int(x) for x in sums[0])
+    b = Bucket(row, total, vocabulary, len(names))
+    own = np.bincount(b.room, b.n, b.rooms)
+    customers = Exchange(names, parts).back(reply[0])
+    shared = np.flatnonzero(customers > own)
+    exchange = Exchange(names[shared], parts)
     # the first sweep takes one table a word and restaurant in proportion to the vocabulary
-    history = [zero | {"tables": np.minimum(customers, vocabulary), "up_tables": float(vocabulary)}]
+    before = {"tables": np.minimum(customers, vocabulary), "up_tables": float(vocabulary)}
     for k in range(SWEEPS):
+        b.sweep(k, before)
+        if k + 1 >= len(sums):
+            yield b, exchange, shared, customers, None
+            return
+        tables = np.bincount(b.room, b.tables, b.rooms)
+        tables[shared] = exchange.back(reply.get(k + 1, b""))
+        before = {"tables": tables, "up_tables": float(sums[k + 1][0]), "guests": float(sums[k + 1][1])}
+        b.set_parent(before)
+        yield b, exchange, shared, customers, before
 
-        def more(batches: Iterator[pd.DataFrame], k=k, history=tuple(history)) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples():
-                    b = Bucket(row, total, vocabulary)
-                    for _ in run_sweeps(b, list(history)):
-                        pass
-                    b.sweep(k, history[k])
-                    yield pd.DataFrame({"v": [b.totals().astype(float)]})
 
-        t = added(words.mapInPandas(more, "v array<double>"))
-        history.append({"tables": t[:ROOMS], "up_tables": t[ROOMS], "guests": t[ROOMS + 1]})
-    return history, customers, total, vocabulary
+def train(cells: DataFrame, buckets: int) -> tuple[DataFrame | None, list[np.ndarray]]:
+    """(replies to each bucket by exchange k, sums of each exchange): k = 0 are the customers, with the
+    training tokens and the vocabulary, the others each sweep's tables, with the unigram restaurant's tables and guests."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                names = np.frombuffer(row.names, np.uint64)
+                b = Bucket(row, 1, 1, len(names))
+                made = Exchange(names, buckets).send(b.number, np.bincount(b.room, b.n, b.rooms))
+                yield pd.DataFrame([*made, (TOTALS, b.number, b"", np.array([b.n.sum(), (b.count > 0).sum()], np.int64).tobytes())], columns=["part", "bucket", "names", "v"])
+
+    def seated(sums: list[np.ndarray]):
+        def more(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+            made = []
+            for row in part.itertuples():
+                *_, (b, exchange, shared, _, _) = replay(row, replies, sums, buckets)
+                made += exchange.send(b.number, np.bincount(b.room, b.tables, b.rooms)[shared])
+                made.append((TOTALS, b.number, b"", np.array([b.up_tables.sum(), b.guests.sum()], np.int64).tobytes()))
+            return pd.DataFrame(made, columns=["part", "bucket", "names", "v"])
+
+        return more
+
+    words = cells.select("bucket", "n_words", "names", "word", "room", "n")
+    made, replies, sums = words.mapInPandas(first, SENT), None, []
+    for k in range(SWEEPS + 1):
+        got = save(made.groupBy("part").applyInPandas(add_up, REPLY))
+        cells.sparkSession.sparkContext._jvm.java.lang.System.gc()  # lets Spark delete the shuffle files of exchanges that are over
+        sums.append(np.frombuffer(r.v, np.int64) if (r := got.where(F.col("bucket") == TOTALS).first()) else np.zeros(2, np.int64))
+        got = got.where(F.col("bucket") != TOTALS).withColumn("k", F.lit(k))
+        replies = got if replies is None else replies.unionByName(got)
+        made = words.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(seated(list(sums)), SENT)
+    return replies, sums
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def score_buckets(cells: DataFrame, model, parts: int) -> DataFrame:
-    """Hot rows (part -1: hot numbers, counts, probabilities) and packed sums of rare words by text."""
+def score_buckets(cells: DataFrame, replies: DataFrame, sums: list[np.ndarray], buckets: int) -> DataFrame:
+    """For each chunk and bucket the logarithms of the probabilities and of the base of the chunk's cells, in its order."""
+
+    def rows(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        total, vocabulary = (int(x) for x in sums[0])
+        made = []
+        for row in part.itertuples():
+            p = 0.0
+            for k, (b, _, _, customers, after) in enumerate(replay(row, replies, sums, buckets)):
+                if k >= BURN_IN:
+                    p = p + context_probability(b.n, b.tables, b.parent[b.word], b.room, after, customers)
+            logs = np.log10(p / (SWEEPS - BURN_IN)).astype(np.float32)
+            base = np.log10((b.count + 0.1) / (total + 0.1 * (vocabulary + 1))).astype(np.float32)[b.word]
+            at, edges = np.frombuffer(row.at, np.int32), np.cumsum([0, *np.frombuffer(row.size, np.int64)])
+            for chunk, i, j in zip(np.frombuffer(row.chunk, np.int64).tolist(), edges[:-1], edges[1:], strict=True):
+                made.append((chunk, b.number, logs[at[i:j]].tobytes(), base[at[i:j]].tobytes()))
+        return pd.DataFrame(made, columns=["chunk", "bucket", "score", "base"])
+
+    return cells.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(rows, "chunk long, bucket int, score binary, base binary")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        history, customers, total, vocabulary = model.value
-        for batch in batches:
-            for row in batch.itertuples():
-                b = Bucket(row, total, vocabulary)
-                hot = np.frombuffer(row.hot, np.int64)
-                word, room = np.frombuffer(row.occ_word, np.int32).astype(np.int64), np.frombuffer(row.occ_room, np.int16).astype(np.int64)
-                code, own = b.word * ROOMS + b.room, word * ROOMS + room
-                order = np.argsort(code)
-                at = np.searchsorted(code, own, sorter=order)
-                at = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(own), np.int64)
-                there = code[at] == own if len(order) else np.zeros(len(own), bool)
-                p, dense, used = np.zeros(len(word)), np.zeros((len(hot), ROOMS)), 0
-                mine = b.word < len(hot)
-                for k, (_, after) in enumerate(run_sweeps(b, history)):
-                    if k < BURN_IN:
-                        continue
-                    used += 1
-                    n, t = (np.where(there, x[at], 0) if len(order) else 0 for x in (b.n, b.tables))
-                    p += context_probability(n, t, b.parent[word], room, after, customers)
-                    table = context_probability(0, 0, b.parent[: len(hot), None], np.arange(ROOMS)[None], after, customers)
-                    table[b.word[mine], b.room[mine]] = context_probability(b.n[mine], b.tables[mine], b.parent[b.word[mine]], b.room[mine], after, customers)
-                    dense += table
-                yield pd.DataFrame({"part": [-1], "a": [hot.tobytes()], "b": [b.count[: len(hot)].tobytes()], "c": [np.log10(dense / used).astype(np.float32).tobytes()], "d": [b""]})
-                uid, sizes = np.frombuffer(row.uid, np.int64), np.frombuffer(row.size, np.int64)
-                if not len(uid):
-                    continue
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                c = b.count[word]
-                sums = [np.add.reduceat(x, starts) for x in (np.log10(p / used), np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1))), (c > 0).astype(float))]
-                to = (uid.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                made = [(q, *(x[to == q].tobytes() for x in (uid, *sums))) for q in np.unique(to).tolist()]
-                yield pd.DataFrame(made, columns=["part", "a", "b", "c", "d"])
-
-    return cells.mapInPandas(rows, "part int, a binary, b binary, c binary, d binary")
-
-
-def add_texts(part: pd.DataFrame) -> pd.DataFrame:
-    uid, at = np.unique(np.frombuffer(b"".join(part["a"]), np.int64), return_inverse=True)
-    sums = [np.bincount(at, np.frombuffer(b"".join(part[c]), float), len(uid)) for c in "bcd"]
-    return pd.DataFrame({"uid": uid, "rare_score": sums[0], "rare_base": sums[1], "rare_known": sums[2]})
-
-
-def score_hot(docs: DataFrame, hot_words, table) -> DataFrame:
-    """The part of each text's sums that falls to hot words, and its token count."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex, (logs, base) = lexicon(hot_words.value), table.value
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words, hot, room = tokens(text, lex)
-                known = hot >= 0
-                hot, room = hot[known], room[known]
-                out.append((len(words), len(hot), base[hot].sum(), logs[hot, room].sum(dtype=float)))
-            got = pd.DataFrame(out, columns=["n_tokens", "hot_known", "hot_base", "hot_score"])
-            yield pd.concat([batch[["uid", "doc_id", "held"]].reset_index(drop=True), got], axis=1)
 
-    slim = docs.select("uid", F.col("doc_id").cast("string").alias("doc_id"), "held", "text")
-    return slim.mapInPandas(rows, "uid long, doc_id string, held boolean, n_tokens long, hot_known long, hot_base double, hot_score double")
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), "text", (crc_mod(id_col, FOLDS) == 0).alias("held"), F.xxhash64(id_col, "text").alias("uid"))
-    found, total = frequent_words(docs)
-    hot_words = spark.sparkContext.broadcast(tuple(found))  # HOT words at most
-    buckets = max(1, -(-total // BUCKET_TOKENS))
-    cells = save(deal(docs, hot_words, buckets).groupBy("bucket").applyInPandas(build_bucket, CELLS))
-    history, customers, total, vocabulary = train(cells, total)
-    model = spark.sparkContext.broadcast((history, customers, total, vocabulary))
-    sums = save(score_buckets(cells, model, buckets))
-
-    logs, count = np.zeros((len(found), ROOMS), np.float32), np.zeros(len(found))
-    for r in sums.where("part = -1").collect():  # HOT x ROOMS numbers in all
-        hot = np.frombuffer(r.a, np.int64)
-        logs[hot], count[hot] = np.frombuffer(r.c, np.float32).reshape(-1, ROOMS), np.frombuffer(r.b, np.int64)
-    base = np.log10((count + 0.1) / (total + 0.1 * (vocabulary + 1)))
-    table = spark.sparkContext.broadcast((logs, base))
-    texts = score_hot(docs, hot_words, table)
-    rare = sums.where("part >= 0").groupBy("part").applyInPandas(add_texts, "uid long, rare_score double, rare_base double, rare_known double")
-    same = docs.groupBy("uid").agg(F.count(F.lit(1)).alias("same"))  # equal rows have added up in one uid
-    out = texts.join(rare, "uid", "left").join(same.where("same > 1"), "uid", "left")
-    share = lambda c: F.coalesce(F.col(c) / F.coalesce("same", F.lit(1)), F.lit(0.0))
-    return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens",
-        (F.col("hot_known") + F.round(share("rare_known"))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + share("rare_base")).alias("base_score"), (F.col("hot_score") + share("rare_score")).alias("score"),
-    )
+    docs = docs.select(F.col(id_col).alias("doc_id"), "text", (crc_mod(id_col, FOLDS) == 0).alias("held"))
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-length // (WORD_BYTES * BUCKET_TOKENS)))
+    dealt = save(deal(docs, buckets))
+    cells = save(dealt.where("bucket IS NOT NULL").select("bucket", "chunk", "word", "before", "n").groupBy("bucket").applyInPandas(build_bucket, CELLS))
+    replies, sums = train(cells, buckets)
+    total, vocabulary = (int(x) for x in sums[0])
+    least = np.log10(0.6 / (total + 0.1 * (vocabulary + 1)))  # between no occurrence and one
+
+    def texts(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        answers = answers.sort_values("bucket")
+        logs, base = (np.frombuffer(b"".join(answers[c]), np.float32).astype(float) for c in ("score", "base"))
+        out = []
+        for row in part.itertuples():
+            at, size = np.frombuffer(row.at, np.int32), np.frombuffer(row.size, np.int32).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            ids = pd.array(np.frombuffer(row.id, np.int64), dtype="Int64")
+            ids[np.frombuffer(row.null, bool)] = pd.NA
+            add = lambda x: np.add.reduceat(x[at], starts)  # noqa: B023, E731
+            out.append(pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(row.held, bool), "n_tokens": size, "n_known": add((base > least).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(logs)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
+
+    chunks = dealt.where("bucket IS NULL").select("chunk", "id", "null", "held", "size", "at")
+    return chunks.groupBy("chunk").cogroup(score_buckets(cells, replies, sums, buckets).groupBy("chunk")).applyInPandas(texts, SCORED)
