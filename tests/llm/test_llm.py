@@ -149,6 +149,15 @@ def test_template_text_goes_without_marked_elements(spark):
     assert got == {i: f"story {i} told at length {i}" for i in range(8)}
 
 
+def test_names_drop_no_main_text():
+    body = "<p>The first long paragraph of the story.</p><section id=related-work><h2 class=search>Head</h2><p>Others.</p></section><div class='comments-area'>hi</div>"
+    want = "The first long paragraph of the story. Head Others."
+    for tag, name in [("div", "content has-sidebar"), ("article", "post no-comments"), ("article", "notice"), ("div", "legal")]:
+        assert html_text.extract(page(f"<{tag} class='{name}'>{body}</{tag}><div class='site-footer'>f</div>"), None) == want
+    for name in ("legal-status", "social-history", "search-algorithms", "recommendations"):
+        assert html_text.extract(page(f"<main><p>Long text of the page.</p><section id={name}><p>a</p></section></main>"), None) == "Long text of the page. a"
+
+
 def test_token_vectors_equal_counting(spark):
     rows = [(i, "http://a.example/", page("<p>same</p>" + "<p>own %d</p>" % (i % 2) * (i % 3))) for i in range(6)]
     pages = html_text.with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))

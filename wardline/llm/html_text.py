@@ -49,11 +49,14 @@ CLOSES = {
 DROPPED = frozenset("head nav footer aside form script style noscript template svg math button select textarea iframe dialog menu object canvas title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"sidebar|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|menu|nav|navbar|navigation|breadcrumbs?|footer|"
-    r"masthead|toolbar|pagination|pager|login|signup|search|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"ads?|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|"
+    r"sidebar|widget|related|recommended|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|menu|nav|navbar|navigation|breadcrumbs?|footer|"
+    r"masthead|toolbar|pagination|pager|login|signup|search|skip|copyright|legal|disclaimer",
     re.I,
 )
+#: Parts of a class or id that may stand beside one of NAMES without changing what it says.
+PLACES = re.compile(r"site|page|main|global|list|area|box|bar|wrap|wrapper|container|section|block|slot|unit|left|right|top|bottom|links?|items?|inner|outer|form|\d+", re.I)
+TEXTS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # never dropped by name
 HEADS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -61,19 +64,27 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "main")
+    __slots__ = ("tag", "path", "dropped", "main", "above", "named")
 
     def __init__(self, tag: str, attributes: str, above: Element | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         name = f"{found.get('class', '')} {found.get('id', '')}".strip()
         role = found.get("role", "").lower()
-        self.tag = tag
+        self.tag, self.above = tag, above
         self.path = (above.path if above else "") + "/" + tag + (f".{name}" if name else "")
         self.main = bool(above and above.main) or tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         head = (tag == "header" or bool(name and HEADS.search(name))) and not self.main
-        named = bool(name) and tag not in ("html", "body") and bool(NAMES.search(name))
-        self.dropped = bool(above and above.dropped) or tag in DROPPED or role in ROLES or hidden or head or named
+        #: The elements around, this one included, whose name speaks against them.
+        self.named = (above.named if above else ()) + ((self,) if name and tag not in TEXTS and any(map(is_named, name.split())) else ())
+        self.dropped = bool(above and above.dropped) or tag in DROPPED or role in ROLES or hidden or head
+
+
+def is_named(token: str) -> bool:
+    """Whether a whole class or id says that its element is no main text: has-sidebar and related-work do not."""
+    parts = [p for p in re.split("[-_]+", token) if p]
+    named = [bool(NAMES.fullmatch(p)) for p in parts]
+    return any(named) and all(n or PLACES.fullmatch(p) for n, p in zip(named, parts, strict=True))
 
 
 def page_blocks(page: str) -> tuple[Counter, list[tuple[str, str, Element]]]:
@@ -188,6 +199,12 @@ def extract(page: str | None, fixed) -> str:
     _, blocks = page_blocks(page or "")
     known = frozenset(fixed.tolist()) if fixed is not None else frozenset()
     kept = [(text, path, e) for text, path, e in blocks if not e.dropped and not (known and name(path, text) in known)]
+    held: Counter = Counter()
+    for text, _, e in kept:
+        for n in e.named:
+            held[n] += len(text)
+    total = sum(len(text) for text, _, _ in kept)
+    kept = [b for b in kept if all(2 * held[n] > total for n in b[2].named)]  # a container of most open text is no notice
     if any(e.main for _, _, e in kept):
         kept = [b for b in kept if b[2].main]
     elif kept:  # no marked article: the containers that hold the page's open text
