@@ -158,6 +158,15 @@ def test_names_drop_no_main_text():
         assert html_text.extract(page(f"<main><p>Long text of the page.</p><section id={name}><p>a</p></section></main>"), None) == "Long text of the page. a"
 
 
+def test_long_articles_keep_lists_quotes_and_tables():
+    body = "".join(f"<p>Paragraph {i} of a story told at some length.</p>" for i in range(40))
+    body += "<ul><li>item</ul><blockquote>quote</blockquote><table><tr><td>cell</table><div><p>deep</div>"
+    for around in ("<div class=content>%s</div>", "<article>teaser</article><div class=content>%s</div>", "<div class=wrap><div class=content>%s</div></div>"):
+        got = html_text.extract(page(around % body), None)
+        assert got.endswith("length. item quote cell deep") and got.startswith("Paragraph 0 of") and "teaser" not in got
+    assert html_text.extract(page("<table><tr><td>a<td>b</table>"), None) == "a b"
+
+
 def test_token_vectors_equal_counting(spark):
     rows = [(i, "http://a.example/", page("<p>same</p>" + "<p>own %d</p>" % (i % 2) * (i % 3))) for i in range(6)]
     pages = html_text.with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -7,9 +7,10 @@ a hash for each (page, count), which aggregates in any order, so no host's pages
 Classes of at least two tokens that nearly all pages of the host share are frequent; a text token of
 such a class is valid if the element around it is frequent too, so that the class nests in the
 template.  What the template leaves open are the slots: of their text, blocks in navigation,
-forms, adverts, comments and the like (by element, role, class or id) go, and the rest is the main
-text, that within article or main elements where a page has them, else that of the containers
-that hold most of the page's open text.
+forms, adverts, comments and the like (by element or role, or by class or id unless they hold most
+of the open text) go, and the rest is the main
+text, that within article or main elements where these hold most of it, else all that stands in the
+innermost container of at least 1 - ``MASS`` of the page's open text.
 
 Defined cases: null and empty html give an empty text; a null or odd url is a host of its own
 kind; hosts with fewer than ``LEAST`` pages have no template and rely on slots alone; repeated
@@ -56,6 +57,7 @@ NAMES = re.compile(
 )
 #: Parts of a class or id that may stand beside one of NAMES without changing what it says.
 PLACES = re.compile(r"site|page|main|global|list|area|box|bar|wrap|wrapper|container|section|block|slot|unit|left|right|top|bottom|links?|items?|inner|outer|form|\d+", re.I)
+SLOTS = frozenset("html body main article section div center td".split())  # elements that can be a page's main slot
 TEXTS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # never dropped by name
 HEADS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -195,6 +197,16 @@ def templates(pages: DataFrame) -> DataFrame:
     return save(fixed.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("fixed")))  # a template's size
 
 
+def around(e: Element) -> list[Element]:
+    """The containers around a block, from itself outwards to the page."""
+    found = []
+    while e is not None:
+        if e.tag in SLOTS or e.above is None:
+            found.append(e)
+        e = e.above
+    return found
+
+
 def extract(page: str | None, fixed) -> str:
     _, blocks = page_blocks(page or "")
     known = frozenset(fixed.tolist()) if fixed is not None else frozenset()
@@ -205,14 +217,15 @@ def extract(page: str | None, fixed) -> str:
             held[n] += len(text)
     total = sum(len(text) for text, _, _ in kept)
     kept = [b for b in kept if all(2 * held[n] > total for n in b[2].named)]  # a container of most open text is no notice
-    if any(e.main for _, _, e in kept):
+    total = sum(len(text) for text, _, _ in kept)
+    if 2 * sum(len(text) for text, _, e in kept if e.main) > total:
         kept = [b for b in kept if b[2].main]
-    elif kept:  # no marked article: the containers that hold the page's open text
+    elif kept:  # no article of most text: the innermost container of nearly all open text, with all it holds
         mass: Counter = Counter()
-        for text, path, _ in kept:
-            mass[path.rpartition("/")[0]] += len(text)
-        most = max(mass.values())
-        kept = [b for b in kept if mass[b[1].rpartition("/")[0]] >= MASS * most]
+        for text, _, e in kept:
+            mass.update(dict.fromkeys(around(e), len(text)))
+        slot = max((e for e in mass if mass[e] >= (1 - MASS) * total), key=lambda e: len(around(e)))
+        kept = [b for b in kept if slot in around(b[2])]
     return " ".join(text for text, _, _ in kept)
 
 
