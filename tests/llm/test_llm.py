@@ -298,8 +298,10 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert near_dup.near_duplicates(make(spark, {})).count() == 0
 
 
-def test_family_of_uneven_copies(spark):
+@pytest.mark.parametrize("small", [near_dup.SMALL, 3])
+def test_family_of_uneven_copies(spark, monkeypatch, small):
     """Copies with few and many edits, cut short and drawn out: links that miss the centre count."""
+    monkeypatch.setattr(near_dup, "SMALL", small)
     rng = random.Random(11)
     base = prose(rng, 120, 10_000).split()
     texts = {}
@@ -316,6 +318,36 @@ def test_family_of_uneven_copies(spark):
     assert got == brute_near(texts, 4)
 
 
+def test_large_family_makes_no_pairs(spark, monkeypatch):
+    """2000 copies of one text, half of them edited too much to be like any other: what a round
+    writes follows the members, not their pairs."""
+    rng = random.Random(12)
+    base = prose(rng, 150, 10_000).split()
+    texts = {}
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(300)}"
+        texts[i] = " ".join(w)
+    rows = []
+    counted = lambda f: lambda *a, **k: rows.append((out := near_dup.save(f(*a, **k))).count()) or out
+    for name in ("spread", "overlaps", "within_small"):
+        monkeypatch.setattr(near_dup, name, counted(getattr(near_dup, name)))
+    monkeypatch.setattr(near_dup, "SMALL", 64)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(make(spark, texts), n=4).collect()}
+    sets = [near_dup.shingles(t, 4) for t in texts.values()]
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((2000, len(known)), np.float32)
+    has[np.repeat(np.arange(2000), [len(s) for s in sets]), at] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    linked = 100 * common >= 80 * (size[:, None] + size - common)
+    label = np.arange(2000)
+    while (new := np.array([label[near].min() for near in linked])).tolist() != label.tolist():
+        label = new
+    assert [got[i] for i in range(2000)] == label.tolist() and len(set(label)) > 500
+    assert max(rows) < 20 * 2000
+
+
 def test_min_and_max_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))

@@ -7,11 +7,14 @@ With 28 bands of 4, a pair at similarity 0.8 misses every bucket with probabilit
 Documents with equal shingle sets are one class and go on as its smallest doc_id.  In a bucket
 all members are compared with one centre, the member that shares most buckets with most others.
 Members that are like the centre are one component.  Others may still be linked, to each other or
-to members, but then by shingles that the centre lacks: if s and m are similar enough, s has fewer
-shingles in common with the centre c than similarity to m asks for, or m has, so s and m share a
-shingle outside c.  Only where c has more shingles than m and both overlap c widely is that not certain.  So the
-second comparison takes pairs from different components that share (centre, shingle outside it),
-and those wide overlaps; edits at random share none, and no bucket is ever paired up.
+to members, but then by shingles that the centre lacks: if s and m are similar enough and s is not
+like the centre c, s has fewer shingles in common with c than similarity to m asks for, so s and m
+share a shingle outside c, unless m is smaller than c and both lie in c nearly whole.  So a star
+whose members are not one component yet falls apart into smaller groups, one for each shingle outside
+the centre (the rarest first, and no more of them than prefix filtering needs) and one for the members
+nearly inside it.  Groups of at most ``SMALL`` members are settled in one task; a larger one gets a
+centre of its own, and so on until none is left.  Every round writes members, never pairs, and a
+group always loses its centre, so the rounds end.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone; texts of fewer than
 ``SHINGLE`` words are one shingle; rows with a null id stay alone; repeated rows share a class;
@@ -20,12 +23,13 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import save
@@ -34,6 +38,7 @@ from wardline.llm.components import components
 BANDS, ROWS = 28, 4
 PERMUTATIONS = BANDS * ROWS // 2
 SHINGLE, PERCENT = 5, 80
+SMALL, TASK_SHINGLES = 256, 1_000_000  # members of a group compared in one task, shingles of its groups together
 CHUNK = 1 << 15  # shingles hashed at once
 
 _rng = np.random.default_rng(20240501)
@@ -133,17 +138,80 @@ def overlaps(pairs: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
 
 
 def outside_rows(stars: DataFrame) -> DataFrame:
-    """(v, x, u): one row for each shingle x of u outside its centre v."""
+    """(v, root, u, x): one row for each shingle x of u outside its centre v."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 x = [np.frombuffer(r, np.int64) for r in part["rest"]]
-                sizes = [len(r) for r in x]
-                yield pd.DataFrame({"v": np.repeat(part["v"].to_numpy(), sizes), "x": np.concatenate(x) if x else [], "u": np.repeat(part["u"].to_numpy(), sizes)})
+                again = {c: np.repeat(part[c].to_numpy(), [len(r) for r in x]) for c in ("v", "root", "u")}
+                yield pd.DataFrame(again | {"x": np.concatenate(x) if x else []})
 
-    return stars.select("v", "u", "rest").mapInPandas(rows, "v long, x long, u long")
+    return stars.select("v", "root", "u", "rest").mapInPandas(rows, "v long, root long, u long, x long")
+
+
+def mixed(groups: DataFrame) -> DataFrame:
+    """(g, root, many, who) of the groups that have two components, and two documents that the star
+    of their own first centre f does not bring together; who names the members."""
+    mark = F.pmod(F.xxhash64("u"), F.lit(1 << 31))  # sums of these cannot overflow
+    ends = [end(c).alias(end.__name__ + c) for c in ("uc", "f") for end in (F.min, F.max)]
+    seen = groups.groupBy("g", "root").agg(*ends, F.count(F.lit(1)).alias("many"), F.sum(mark).alias("who"))
+    return seen.where("minuc <> maxuc AND (minf <> maxf OR minf = root)").select("g", "root", "many", "who")
+
+
+def spread(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(g, root, u, f, uc, un, many): what may still be linked in each star, as smaller groups.
+
+    A group is named by its centre and a shingle outside it, or by the centre alone for the members
+    that lie in it nearly whole.  With the rarest outside shingles first, the number that a linked
+    pair has in common bounds how many of them a member needs; of groups with the same members one stays."""
+    comp = label.select(F.col("node").alias("u"), F.col("component").alias("uc"))
+    stars = stars.join(comp, "u", "left").join(comp.withColumnsRenamed({"u": "v", "uc": "vc"}), "v", "left")
+    stars = stars.withColumns({"uc": F.coalesce("uc", "u"), "vc": F.coalesce("vc", "v")})
+    open_ = save(stars.groupBy("v", "root").agg(F.max(F.col("uc") != F.col("vc")).alias("open"), F.min("un").alias("least")).where("open").drop("open"))
+    stars = stars.join(open_, ["v", "root"])
+    partner = F.greatest("least", F.col("un") * percent / 100)  # words of the smallest that can be linked
+    prefix = F.col("un") - F.ceil((F.col("un") + partner) * percent / (100 + percent) - 1e-6) + 1
+    stars = save(stars.withColumn("spare", F.col("un") - F.col("common") - prefix))
+    inside = (100 * F.col("common") >= percent * F.col("un")) & (~F.col("linked") | (F.col("un") < F.col("vn")))
+    groups = outside_rows(stars).unionByName(stars.where(inside).select("v", "root", "u", F.lit(None).cast("long").alias("x")))
+    groups = groups.withColumn("g", F.xxhash64("root", "v", "x")).join(stars.select("u", "v", "root", "f", "uc", "un", "spare"), ["u", "v", "root"])
+    open_ = save(mixed(groups).select("g", "many"))
+    each = Window.partitionBy("u", "v", "root")  # at most the shingles of a document
+    groups = groups.join(open_, "g")
+    groups = groups.withColumn("rank", F.row_number().over(each.orderBy(F.desc("many"), "g")))
+    # of the outside shingles (un - common) the last `spare` ones are not needed, frequent ones first
+    groups = save(groups.where("x IS NULL OR rank > spare").select("g", "root", "u", "f", "uc", "un"))
+    chosen = save(mixed(groups).groupBy("root", "many", "who").agg(F.min("g").alias("g")).select("g", "many"))
+    return groups.join(chosen, "g")
+
+
+def within_small(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links inside groups of at most ``SMALL`` members, several groups to a task."""
+
+    def pairs(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["g", "u"])
+        found = []
+        for _, one in part.groupby("g", sort=False):
+            u, f, root = one["u"].to_numpy(), one["f"].to_numpy(), one["root"].iloc[0]
+            comp, s = one["uc"].to_numpy().copy(), [np.frombuffer(x, np.uint64) for x in one["s"]]
+            for i in range(len(u)):
+                for j in range(i):
+                    if comp[i] == comp[j] or (f[i] == f[j] and f[i] != root):
+                        continue
+                    a, b = (s[i], s[j]) if len(s[i]) < len(s[j]) else (s[j], s[i])
+                    if 100 * len(a) < percent * len(b):
+                        continue
+                    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                    if 100 * common >= percent * (len(a) + len(b) - common):
+                        found.append((u[i], u[j]))
+                        comp[comp == comp[i]] = comp[j]
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    tasks = 1 + (groups.agg(F.sum("un")).first()[0] or 0) // TASK_SHINGLES
+    dealt = groups.select("g", "root", "u", "f", "uc", F.pmod(F.xxhash64("g"), F.lit(tasks)).alias("task")).join(sets.withColumnRenamed("doc_id", "u"), "u")
+    return dealt.groupBy("task").applyInPandas(pairs, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -154,47 +222,36 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         .groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     )
-    members = classes.select("rep", "n", F.explode("bands").alias("key"))
+    members = classes.select(F.explode("bands").alias("g"), F.col("rep").alias("u"), F.col("n").alias("un"))
     # what joins back to a hot key is saved first: Spark then splits the key's rows in the join
-    many = save(members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
-    shared = save(members.join(many, "key"))
-    mass = shared.groupBy("rep").agg(F.sum("many").alias("mass"))
-    placed = save(shared.drop("many").join(mass, "rep"))
-    central = F.struct(-F.col("mass"), F.col("rep"))
-    centres = save(placed.groupBy("key").agg(F.min_by("rep", central).alias("centre"), F.min_by("n", central).alias("cn")))
-    stars = placed.join(centres, "key").where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v"), F.col("n").alias("un"), F.col("cn").alias("vn")).distinct()
-    stars = save(stars)
-
-    sets = save(shingle_sets(docs, shared.select(F.col("rep").alias("doc_id")).distinct(), n))
+    many = save(members.groupBy("g").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+    shared = save(members.join(many, "g"))
+    mass = save(shared.groupBy("u").agg(F.sum("many").alias("mass")))
+    sets = save(shingle_sets(docs, mass.select(F.col("u").alias("doc_id")), n))
     alike = 100 * F.col("common") >= percent * (F.col("un") + F.col("vn") - F.col("common"))
-    stars = save(stars.join(overlaps(stars, sets, outside=True), ["u", "v"]).withColumn("linked", alike))
-    links = stars.where("linked").select("u", "v")
-    label = save(components(links))
-
-    # centres that some of their members have not come to
-    comp = label.select(F.col("node").alias("u"), F.col("component").alias("uc"))
-    stars = stars.join(comp, "u", "left").join(comp.withColumnsRenamed({"u": "v", "uc": "vc"}), "v", "left")
-    stars = stars.withColumns({"uc": F.coalesce("uc", "u"), "vc": F.coalesce("vc", "v")})
-    open_ = save(stars.where("uc <> vc").select("v").distinct())
-    stars = save(stars.join(open_, "v", "left_semi"))
-    other = stars.select("u", "uc", "un").distinct()
-    beyond = outside_rows(stars).join(other.drop("un"), "u")
-    mixed = save(beyond.groupBy("v", "x").agg(F.min("uc").alias("a"), F.max("uc").alias("b")).where("a <> b").select("v", "x"))
-    beyond = save(beyond.join(mixed, ["v", "x"]))
-    left, right = beyond.select("v", "x", F.col("u").alias("a"), F.col("uc").alias("ac")), beyond.select("v", "x", F.col("u").alias("b"), F.col("uc").alias("bc"))
-    cross = left.join(right, ["v", "x"]).where("ac <> bc AND a < b").select("a", "b").distinct()
-
-    # wide overlaps with a larger centre, where a pair may agree on the centre's shingles alone
-    asked = lambda a, b: percent * (F.col(a) + F.col(b))  # noqa: E731  (100 + percent) * common must reach it
-    wide = stars.where(~F.col("linked") & (100 * F.col("common") >= percent * F.col("un"))).select("v", F.col("u").alias("a"), F.col("un").alias("an"), F.col("uc").alias("ac"), F.col("common").alias("acommon"))
-    small = stars.where("un < vn").select("v", F.col("u").alias("b"), F.col("un").alias("bn"), F.col("uc").alias("bc"), F.col("common").alias("bcommon"))
-    both = wide.join(small, "v").where((F.col("ac") != F.col("bc")) & ((100 + percent) * F.least("acommon", "bcommon") >= asked("an", "bn")))
-    cross = cross.unionByName(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-
-    size = other.select("u", "un").distinct()
-    cross = save(cross.join(size.withColumnsRenamed({"u": "a", "un": "an"}), "a").join(size.withColumnsRenamed({"u": "b", "un": "bn"}), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("an").alias("un"), F.col("bn").alias("vn")))
-    more = save(cross.join(overlaps(cross, sets, outside=False), ["u", "v"]).where(alike).select("u", "v"))
-    label = save(components(links.unionByName(more)))
+    central = F.struct(-F.col("mass"), F.col("u"))
+
+    def starred(groups: DataFrame, *more: str) -> DataFrame:
+        placed = save(groups.join(mass, "u"))
+        centres = save(placed.groupBy("g").agg(F.min_by(F.struct(F.col("u").alias("v"), F.col("un").alias("vn"), F.col("mass").alias("vm")), central).alias("c")).select("g", "c.*"))
+        return placed.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", *more).distinct()
+
+    stars = save(starred(shared.select("g", "u", "un")))
+    first = stars.groupBy("u").agg(F.min(F.struct(-F.col("vm"), F.col("v"))).alias("f")).select("u", "f.v").withColumnRenamed("v", "f")
+    stars = stars.join(first, "u").withColumn("root", F.col("v"))
+    links = []
+    while True:
+        looked = save(stars)
+        looked = save(looked.join(overlaps(looked.select("u", "v").distinct(), sets, outside=True), ["u", "v"]).withColumn("linked", alike))
+        links.append(looked.where("linked").select("u", "v"))
+        label = save(components(functools.reduce(DataFrame.unionByName, links)))
+        groups = save(spread(looked, label, percent))
+        links = [label.select(F.col("node").alias("u"), F.col("component").alias("v")), save(within_small(groups.where(F.col("many") <= SMALL), sets, percent))]
+        large = groups.where(F.col("many") > SMALL)
+        if large.isEmpty():
+            break
+        stars = starred(large, "root", "f")
+    label = save(components(functools.reduce(DataFrame.unionByName, links)))
 
     reps = classes.select("set_a", "set_b", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("set_a", "set_b", F.coalesce("component", "rep").alias("of_set"))
