@@ -234,8 +234,9 @@ def brute_substring(texts, length):
     return words, out
 
 
-@pytest.mark.parametrize("seed", [1, 7])
-def test_substring_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(1, substring.CHUNK_WORDS), (7, 400)])
+def test_substring_equals_brute_force(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(substring, "CHUNK_WORDS", chunk)
     texts = corpus(seed)
     words, kept = brute_substring(texts, 50)
     docs = make(spark, [*texts.items(), (9, texts[9]), (None, texts[9])])
@@ -567,6 +568,25 @@ def test_targets_fill_like_water(spark):
     assert got == pytest.approx(target)
 
 
+def test_mix_reaches_targets_with_null_and_equal_ids(spark):
+    """Half of the ids null, a third of the rows all alike, and columns with the names used inside."""
+    rng = random.Random(6)
+    pairs = [(None if i % 2 else i, prose(rng, rng.randrange(1, 30))) for i in range(200)] + [(5, "the same words again")] * 100 + [(None, "void of id")] * 30
+    docs = make(spark, pairs, lambda i: f"s{i % 2}")
+    for c in ("epochs", "at", "last", "s", "row", "key", "id", "print", "src", "weight", "more", "size", "copies", "target", "__end"):
+        docs = docs.withColumn(c, F.lit("own"))
+    results = []
+    for n in (1, 7):
+        out = mixing.mixed_rows(docs.repartition(n)).select("row.*", *(F.col(c).alias("mix_" + c) for c in mixing.OWN)).toPandas()
+        assert len(out) == len(pairs) and (out[["size", "copies", "epochs"]] == "own").all(axis=None)
+        for _, part in out.groupby("source"):
+            assert abs(part["mix_taken"].sum() - part["mix_target"].iloc[0]) <= part["mix_size"].max()
+        results.append(sorted(map(str, out[["doc_id", "text", "mix_taken"]].itertuples(index=False))))
+    assert results[0] == results[1]
+    plain = mixing.weighted_mix(docs)
+    assert set(plain.columns) == set(docs.columns) | set(mixing.OWN) and plain.first()["size"] != "own"
+
+
 def test_mix_takes_targets_and_repeats(spark):
     rng = random.Random(4)
     pairs = [(i, prose(rng, rng.randrange(0, 50))) for i in range(300)] + [(400, None), (None, "a b c"), (7, "x y")]

@@ -43,8 +43,8 @@ def op8_vector_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("words"), mixing.symbol_weight().alias("weight"))
-    mix = mixing.weighted_mix(save(docs), size=F.col("words"), weight=F.col("weight"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("words"), mixing.symbol_weight().alias("weight"), mixing.fingerprint().alias("print"))
+    mix = mixing.weighted_mix(save(docs), size=F.col("words"), weight=F.col("weight"), print_=F.col("print"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -2,7 +2,8 @@
 
 Seeds are winnowed anchors: in each window of LENGTH words the smallest of its K-word hashes.  Two
 equal windows pick the same anchor at the same place, so a shared passage always shares a seed.
-Every run of windows with one anchor is a row (seed, hash of the run's whole text, document, run).
+Runs of windows with one anchor are rows (seed, hash of the run's whole text), which hold all places of
+the run in a chunk of documents, so a passage that many documents have is a row a chunk.
 Seeds that only one document has are dropped.  A run that occurs, as a whole, in an earlier
 document is a match extended over all its windows at once.  What is left are the first documents
 of each distinct run around a shared seed, whose texts agree only in part: there the match is
@@ -24,12 +25,14 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import save
 
 LENGTH, K = 50, 12
+CHUNK_WORDS = 500_000  # words of the documents whose equal runs share a row
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -87,21 +90,64 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def find_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
+    """(seed, run, chunk, least, most, places): each chunk's runs, their smallest and largest doc_id and
+    (document's number in the chunk, first window, last window) of each place; with a null
+    seed, the ids and keys of the chunk's documents."""
+
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, parts, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def packed() -> pd.DataFrame:
+            seed, run, doc, lo, hi = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((doc, run, seed))
+            seed, run, places = seed[order], run[order], np.stack([doc, lo, hi], axis=1)[order].astype(np.int32)
+            start = np.concatenate([[0], np.flatnonzero((seed[1:] != seed[:-1]) | (run[1:] != run[:-1])) + 1])
+            names = np.array(ids, np.int64)
+            of = names[places[:, 0], 0]
+            buffer, ends = places.tobytes(), [*(12 * start[1:]).tolist(), 12 * len(places)]
+            return pd.DataFrame({
+                "seed": pd.array([*seed[start], None], "Int64"), "run": pd.array([*run[start], None], "Int64"), "chunk": chunk,
+                "least": [*np.minimum.reduceat(of, start), 0], "most": [*np.maximum.reduceat(of, start), 0],
+                "places": [*(buffer[i:j] for i, j in zip((12 * start).tolist(), ends, strict=True)), names.tobytes()],
+            })
+
         for batch in batches:
-            parts: list[tuple] = []
             for doc_id, key, text in zip(batch["doc_id"].to_numpy(), batch["key"].to_numpy(), batch["text"], strict=True):
                 words = text.encode("utf-8", "replace").split()
                 if len(words) < length:
                     continue
                 h = Hashes(words)
                 seed, lo, hi = anchors(h, len(words), length, k)
-                parts.append((seed, h.of(1, lo, hi + length).view(np.int64), np.full(len(lo), doc_id), np.full(len(lo), key), lo, hi))
-            if parts:
-                yield pd.DataFrame(dict(zip(("seed", "run", "doc_id", "key", "lo", "hi"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+                parts.append((seed, h.of(1, lo, hi + length).view(np.int64), np.full(len(lo), len(ids)), lo, hi))
+                ids.append((doc_id, key))
+                held += len(words)
+                if held >= CHUNK_WORDS:
+                    yield packed()
+                    chunk, parts, ids, held = chunk + 1, [], [], 0
+        if parts:
+            yield packed()
 
     have = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("__key").alias("key"), "text")
-    return have.mapInPandas(runs, "seed long, run long, doc_id long, key long, lo int, hi int")
+    return have.mapInPandas(runs, "seed long, run long, chunk long, least long, most long, places binary")
+
+
+def unpacked(part: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, key, whole, partly) of a chunk: the runs that an earlier document has (a row's places
+    after ``first``), and those whose first document this is."""
+    names = np.frombuffer(part.loc[part["kind"] == 2, "places"].iloc[0], np.int64).reshape(-1, 2)
+    found = {}
+    for kind in (0, 1):
+        own = part[part["kind"] == kind]
+        places = np.frombuffer(b"".join(own["places"]), np.int32).reshape(-1, 3)
+        first = np.repeat(own["first"].to_numpy(np.int64), own["places"].map(len).to_numpy(np.int64) // 12)
+        of = names[places[:, 0], 0]
+        places = places[of > first if kind == 0 else of == first]
+        places = places[np.argsort(places[:, 0], kind="stable")]
+        docs, start = np.unique(places[:, 0], return_index=True)
+        for d, p in zip(docs.tolist(), np.split(places[:, 1:], start[1:]), strict=False):
+            found.setdefault(d, [None, None])[kind] = [{"lo": lo, "hi": hi} for lo, hi in p.tolist()]
+    out = [(*names[d].tolist(), *r) for d, r in found.items()]
+    return pd.DataFrame(out, columns=["doc_id", "key", "whole", "partly"])
 
 
 def hash_windows(docs: DataFrame, length: int) -> DataFrame:
@@ -120,20 +166,28 @@ def hash_windows(docs: DataFrame, length: int) -> DataFrame:
 def covered_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(doc_id, key, runs): the windows lo..hi of each document that an earlier document has."""
     docs = _keyed(docs)
-    runs = save(find_runs(docs, length, k))
+    packed = save(find_runs(docs, length, k))
     # what joins back to a hot seed is saved first: Spark then splits the seed's rows in the join
-    known = save(runs.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"))
+    runs = packed.where("seed IS NOT NULL")
+    known = save(runs.groupBy("seed").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("seed"))
     runs = save(runs.join(known, "seed"))
-    first = save(runs.groupBy("seed", "run").agg(F.min("doc_id").alias("first")))
+    first = save(runs.groupBy("seed", "run").agg(F.min("least").alias("first")))
     several = save(first.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("seed"))
-    runs = runs.join(first, ["seed", "run"])
-    whole = save(runs.where("doc_id > first").select("doc_id", "key", "lo", "hi"))
-    partly = save(runs.where("doc_id = first").join(several, "seed").select("doc_id", "key", "lo", "hi")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = runs.join(first, ["seed", "run"]).where("most > first OR least = first")
+    whole = runs.where("most > first").select("chunk", F.lit(0).alias("kind"), "first", "places")
+    partly = runs.where("least = first").join(several, "seed").select("chunk", F.lit(1).alias("kind"), "first", "places")
+    names = packed.where("seed IS NULL").select("chunk", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("first"), "places")
+    spans = "array<struct<lo:int,hi:int>>"
+    each = whole.unionByName(partly).unionByName(names).groupBy("chunk").applyInPandas(unpacked, f"doc_id long, key long, whole {spans}, partly {spans}")
+    each = save(each)
+    partly = each.where("partly IS NOT NULL").groupBy("doc_id", "key").agg(F.first("partly").alias("runs"))
     texts = docs.select("doc_id", F.col("__key").alias("key"), "text").dropDuplicates(["doc_id", "key"]).join(partly, ["doc_id", "key"])
     windows = save(hash_windows(texts.select("doc_id", "key", "text", "runs"), length))
     earliest = save(windows.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"))
     more = save(windows.join(earliest, ["win_a", "win_b"]).where("doc_id > a").select("doc_id", "key", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    return whole.unionByName(more).groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    more = more.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    whole = each.where("whole IS NOT NULL").select("doc_id", "key", F.col("whole").alias("runs"))
+    return whole.unionByName(more).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def cut(words: list[bytes], runs, length: int) -> list[bytes]:
