@@ -33,8 +33,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
-    mixed = mixing.weighted_mix(docs)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    mixed = mixing.mixed_rows(docs)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
