@@ -110,11 +110,16 @@ def test_one_sweep_matches_like_brackets(spark):
     assert len({r.bin for r in got}) == len(got) and len({r.uid for r in got}) == len(got)
 
 
-def test_encoder_equals_the_tokenizer():
-    coder = packing.Encoder(packing.default_tokenizer())
-    texts = ["it's 'tis don't… «é,» İ, y 12a3 ３ ŉ ĳ ,… é́ ΑΣ, <|endoftext|> ß 日本語。 👍🏽!", "", "A\tB\x0bC d\x1ce", "x1 x1"]
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(monkeypatch, name):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHED", 5)
+    coder = packing.Encoder(public_tokenizers.path(name))
+    assert coder.by_words == name.startswith("word")
+    texts = ["it's 'tis don't\u2026 \u00ab\u00e9,\u00bb \u0130, y 12a3 \uff13 \u0149 \u0133 ,\u2026 e\u0301\u0301 \u0391\u03a3, <|endoftext|> \u00df \u65e5\u672c\u8a9e\u3002 \U0001f44d\U0001f3fd!", "", "A\tB\x0bC d\x1ce", "x1 x1", "Plain, (Words) \u00c9t\u00e9 a-b_c! 7"]
     want = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert coder.encode(texts) == want and coder.encode(texts) == want
+    assert list(coder.encode(texts)) == want and list(coder.encode(texts)) == want
 
 
 def test_packing_of_nothing(spark):

@@ -18,6 +18,7 @@ once each; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,22 +32,65 @@ from pyspark.sql import functions as F
 from wardline.llm.common import save
 
 CAPACITY = 2048
-CACHED = 350_000  # entries of a worker's caches, each of two generations
-TOGETHER = 50  # texts encoded at once
+CACHED = 350_000  # entries of a generation of a worker's caches
 
 
 #: Byte-level vocabularies spell bytes that are no visible Latin-1 character as U+0100 and on, in order.
 SPELLED = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)), range(256, 512), strict=False))
 
 
+# How the tokenizer files that code word by word normalize and split text.
+WORDWISE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, codes each word between white space by itself,
+    and a lower-cased run of letters in it too."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == WORDWISE["normalizer"]
+        and [s["type"] for s in splits] == WORDWISE["pre_tokenizer"]
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": WORDWISE["pattern"]}, "Removed", True)
+        and (splits[1]["add_prefix_space"], splits[1]["use_regex"]) == (False, False)
+        and (spec["model"]["type"], spec["model"].get("end_of_word_suffix"), spec["model"].get("dropout")) == ("BPE", WORDWISE["suffix"], None)
+        and spec.get("post_processor") is None
+    )
+
+
+class Known(dict):
+    """Codes of what has been asked for, in two generations: the older is dropped when the newer is full."""
+
+    def __init__(self, code):
+        self.code, self.old = code, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        self[key] = found = self.code(key) if found is None else found
+        return found
+
+    def bound(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Texts -> their ids as little-endian bytes.
 
-    The tokenizer of the file splits text at white space, and between letters and other signs but
-    for contractions, before it merges; so words between ASCII white space are encoded once each and
-    remembered, and plain words fall into runs of letters and of signs that are remembered too.  A run of
-    letters is one piece, which goes to the merge model at once, its bytes spelled as the file does.
-    Words with apostrophes, opening angles or characters beyond Latin letters are encoded whole.
+    A tokenizer that splits text at white space, and between letters and other signs but for
+    contractions, before it merges, codes each word by itself; so words between ASCII white space are
+    encoded once each and remembered, and plain words fall into runs of letters and of signs that are
+    remembered too.  A run of letters is one piece, which goes to the merge model at once, its bytes
+    spelled as the file does.  Words with apostrophes, opening angles or characters beyond Latin letters
+    are encoded whole.  Whether a tokenizer is of this kind is read from its file (``by_words``); with
+    any other one whole texts are encoded.
     """
 
     LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
@@ -57,51 +101,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: list[dict] = [{}, {}]  # in use, and the generation before
-        self.runs: list[dict] = [{}, {}]
-
-    def fresh(self, cache: list[dict], keys: set) -> list:
-        """The keys that the cache doesn't hold; those of the generation before move over."""
-        if len(cache[0]) > CACHED:
-            cache[:] = [{}, cache[0]]
-        now, before = cache
-        missing = []
-        for key in keys.difference(now):
-            found = before.get(key)
-            if found is None:
-                missing.append(key)
-            else:
-                now[key] = found
-        return missing
-
-    def whole(self, words: list[str]) -> Iterator[bytes]:
-        for coded in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(coded.ids, "<u4").tobytes()
-
-    def learn_runs(self, keys: set) -> None:
-        missing, now = self.fresh(self.runs, keys), self.runs[0]
-        letters, signs = [k for k in missing if k[0].isalpha()], [k for k in missing if not k[0].isalpha()]
-        model = self.tokenizer.model
-        for key in letters:
-            now[key] = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(key.encode().decode("latin-1").translate(SPELLED))])
-        now.update(zip(signs, self.whole(signs), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.encode("utf-8", "replace").split() for text in texts]
-        missing = self.fresh(self.words, set().union(*split))
-        plain, other = [], []
-        for word in missing:
-            text = word.decode()
-            if self.PLAIN.fullmatch(text):
-                plain.append((word, self.RUNS.findall(text.lower())))
+        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
+        self.ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.words, self.runs = Known(self.code_word), Known(self.code_run)
+        self.merged = self.tokenizer.model.tokenize
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def code_run(self, run: str) -> bytes:
+        if not run[0].isalpha():
+            return self.whole(run)
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.merged(run if run.isascii() else run.encode().decode("latin-1").translate(SPELLED))])
+
+    def code_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.PLAIN.fullmatch(text):
+            return self.whole(text)
+        text = text.lower()
+        return self.runs[text] if text.isalpha() else b"".join(map(self.runs.__getitem__, self.RUNS.findall(text)))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for text in texts:
+            raw = text.encode("utf-8", "replace")
+            if self.by_words:
+                yield b"".join(map(self.words.__getitem__, raw.split()))
+                self.words.bound()
+                self.runs.bound()
             else:
-                other.append(text)
-        self.learn_runs({run for _, runs in plain for run in runs})
-        known, run = self.words[0], self.runs[0]
-        for word, runs in plain:
-            known[word] = b"".join([run[r] for r in runs])
-        known.update(zip([w.encode() for w in other], self.whole(other), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+                yield self.whole(raw.decode())
 
 
 @functools.lru_cache(1)
@@ -116,9 +145,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(tokenizer_path)
         for batch in batches:
-            rows, texts = [], [t or "" for t in batch["text"]]
-            coded = (ids for at in range(0, len(texts), TOGETHER) for ids in coder.encode(texts[at : at + TOGETHER]))
-            for doc_id, ids in zip(batch["doc_id"], coded, strict=True):
+            rows = []
+            for doc_id, ids in zip(batch["doc_id"], coder.encode([t or "" for t in batch["text"]]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
