@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from wardline.llm.common import save
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to its smallest neighbour, which has none of its own."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(None).cast("int").alias("up")))
+    seen = ends.groupBy("x").agg(F.count("up").alias("ups"), F.max(F.col("up").isNull()).alias("below"))
+    return seen.where("ups > 1 OR (ups = 1 AND below)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,12 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v); component is its smallest node."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = save(edges)
-    mark = _mark(edges)
-    while mark[0]:
+    while not _are_stars(edges):
         edges = save(_small_star(_large_star(edges)))
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

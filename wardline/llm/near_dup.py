@@ -161,7 +161,7 @@ def mixed(groups: DataFrame) -> DataFrame:
 
 
 def spread(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(g, root, u, f, uc, un, many): what may still be linked in each star, as smaller groups.
+    """(g, root, u, f, uc, un, mass, many): what may still be linked in each star, as smaller groups.
 
     A group is named by its centre and a shingle outside it, or by the centre alone for the members
     that lie in it nearly whole.  With the rarest outside shingles first, the number that a linked
@@ -182,7 +182,7 @@ def spread(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     groups = groups.join(open_, "g")
     groups = groups.withColumn("rank", F.row_number().over(each.orderBy(F.desc("many"), "g")))
     # of the outside shingles (un - common) the last `spare` ones are not needed, frequent ones first
-    groups = save(groups.where("x IS NULL OR rank > spare").select("g", "root", "u", "f", "uc", "un"))
+    groups = save(groups.where("x IS NULL OR rank > spare").select("g", "root", "u", "f", "uc", "un", "mass"))
     chosen = save(mixed(groups).groupBy("root", "many", "who").agg(F.min("g").alias("g")).select("g", "many"))
     return groups.join(chosen, "g")
 
@@ -232,17 +232,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     central = F.struct(-F.col("mass"), F.col("u"))
 
     def starred(groups: DataFrame, *more: str) -> DataFrame:
-        placed = save(groups.join(mass, "u"))
-        centres = save(placed.groupBy("g").agg(F.min_by(F.struct(F.col("u").alias("v"), F.col("un").alias("vn"), F.col("mass").alias("vm")), central).alias("c")).select("g", "c.*"))
-        return placed.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", *more).distinct()
+        centres = save(groups.groupBy("g").agg(F.min_by(F.struct(F.col("u").alias("v"), F.col("un").alias("vn"), F.col("mass").alias("vm")), central).alias("c")).select("g", "c.*"))
+        return save(groups.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", "mass", *more).distinct())
 
-    stars = save(starred(shared.select("g", "u", "un")))
+    stars = starred(save(shared.select("g", "u", "un").join(mass, "u")))
     first = stars.groupBy("u").agg(F.min(F.struct(-F.col("vm"), F.col("v"))).alias("f")).select("u", "f.v").withColumnRenamed("v", "f")
-    stars = stars.join(first, "u").withColumn("root", F.col("v"))
+    stars = save(stars.join(first, "u").withColumn("root", F.col("v")))
     links = []
     while True:
-        looked = save(stars)
-        looked = save(looked.join(overlaps(looked.select("u", "v").distinct(), sets, outside=True), ["u", "v"]).withColumn("linked", alike))
+        looked = save(stars.join(overlaps(stars.select("u", "v").distinct(), sets, outside=True), ["u", "v"]).withColumn("linked", alike))
         links.append(looked.where("linked").select("u", "v"))
         label = save(components(functools.reduce(DataFrame.unionByName, links)))
         groups = save(spread(looked, label, percent))
