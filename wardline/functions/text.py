@@ -108,3 +108,57 @@ def query_args(text: Column) -> Column:
 def merge_args(base: Column, over: Column) -> Column:
     """``base`` with the keys of ``over`` replaced or added."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+
+
+def binlog_dump(line: Column) -> dict[str, Column]:
+    """kmpp and the smallest and largest population of a dumped binary-log record."""
+    return {"kmpp": number(line, rf"kmpp={NUMBER}"), "min_pop": number(line, r"minPop=([0-9]+)"), "max_pop": number(line, r"maxPop=([0-9]+)")}
+
+
+def html_escape(text: Column) -> Column:
+    for sign, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "#x27")):
+        text = F.replace(text, F.lit(sign), F.lit(f"&{name};"))
+    return text
+
+
+def url_join(*parts: Column) -> Column:
+    """Parts joined by single slashes; empty ones are left out and the ends stay as they are."""
+    filled = F.filter(F.array(*parts), lambda x: F.length(x) > 0)
+    inner = F.transform(filled, lambda x, i: F.when(i == 0, x).otherwise(F.regexp_replace(x, "^/", "")))
+    return F.array_join(F.transform(inner, lambda x, i: F.when(i == F.size(filled) - 1, x).otherwise(F.regexp_replace(x, "/$", ""))), "/")
+
+
+def strip_comments(text: Column) -> Column:
+    """A template without its {# ... #} comments, which may span lines."""
+    return F.regexp_replace(text, r"(?s)\{#.*?#\}", "")
+
+
+def races_add_up(total: Column, one: Column, more: Column, by_number: list[Column], parts: list[Column]) -> Column:
+    """Whether race counts hold together: people of one race and of more within the total, the counts by
+    number of races within both, and the single races within those of one race."""
+    numbered, single = sum(by_number[1:], by_number[0]), sum(parts[1:], parts[0])
+    return (total >= one + more) & (one + more >= numbered) & (total >= numbered) & (one >= single)
+
+
+def bundle_rank(name: Column) -> Column:
+    """Orders shape bundles of one state: newer year first, then the census vintages 10, 00 and none."""
+    vintage = F.regexp_extract(name, r"(?i)_tabblock(\d*)\.zip$", 1)
+    kind = F.when(vintage == "10", 2).when(vintage != "", 1).otherwise(0)
+    return F.struct(F.regexp_extract(name, r"tl_(\d{4})_", 1).try_cast("int").alias("year"), kind.alias("vintage"))
+
+
+# States, their postal codes and census numbers.
+STATES = """
+Alabama AL 1, Alaska AK 2, Arizona AZ 4, Arkansas AR 5, California CA 6, Colorado CO 8, Connecticut CT 9, Delaware DE 10,
+District of Columbia DC 11, Florida FL 12, Georgia GA 13, Hawaii HI 15, Idaho ID 16, Illinois IL 17, Indiana IN 18, Iowa IA 19,
+Kansas KS 20, Kentucky KY 21, Louisiana LA 22, Maine ME 23, Maryland MD 24, Massachusetts MA 25, Michigan MI 26, Minnesota MN 27,
+Mississippi MS 28, Missouri MO 29, Montana MT 30, Nebraska NE 31, Nevada NV 32, New Hampshire NH 33, New Jersey NJ 34,
+New Mexico NM 35, New York NY 36, North Carolina NC 37, North Dakota ND 38, Ohio OH 39, Oklahoma OK 40, Oregon OR 41,
+Pennsylvania PA 42, Rhode Island RI 44, South Carolina SC 45, South Dakota SD 46, Tennessee TN 47, Texas TX 48, Utah UT 49,
+Vermont VT 50, Virginia VA 51, Washington WA 53, West Virginia WV 54, Wisconsin WI 55, Wyoming WY 56, Puerto Rico PR 72
+"""
+
+
+def state_rows() -> list[tuple[str, str, int]]:
+    """(name, postal code, census number)."""
+    return [(" ".join(w[:-2]), w[-2], int(w[-1])) for w in (row.split() for row in STATES.split(","))]

@@ -189,3 +189,31 @@ def color_districts(adjacency: list[tuple[int, int]], districts: list[int], colo
         return False
 
     return found if place(0, 0) else {d: d % colors for d in order}
+
+
+def nearest_other(points: DataFrame, cell: float = 0.002) -> DataFrame:
+    """(id, other, miles): the nearest other point by great circle, the smallest id among equals.
+
+    points: id, lat, lon in degrees.  Points are dealt to cells of space on the unit sphere; whoever is at
+    most a cell's width away stands in a neighbouring cell, and whoever has nobody that near asks again
+    with cells four times as wide, so only lonely points see wide cells.
+    """
+    from wardline.functions.geo import great_circle_miles
+
+    lat, lon = F.radians("lat"), F.radians("lon")
+    placed = saved(points.select("id", "lat", "lon", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")))
+    asking, found = placed, None
+    while True:
+        at = lambda c, d=0: (F.floor(F.col(c) / cell) + d).cast("long")  # noqa: E731, B023
+        around = F.explode(F.array(*(F.struct(*((at(c, d)).alias("g" + c) for c, d in zip("xyz", (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+        left = asking.select("id", "lat", "lon", "x", "y", "z", around.alias("g")).select("*", "g.*").drop("g")
+        right = placed.select(*(F.col(c).alias("o_" + c) for c in placed.columns), *(at(c).alias("g" + c) for c in "xyz"))
+        chord = F.sqrt(sum((F.pow(F.col(c) - F.col("o_" + c), F.lit(2)) for c in "yz"), F.pow(F.col("x") - F.col("o_x"), F.lit(2))))
+        miles = F.round(great_circle_miles(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")), 6)
+        met = left.join(right, ["gx", "gy", "gz"]).where((F.col("id") != F.col("o_id")) & ((chord <= cell) | F.lit(cell >= 2)))
+        near = saved(met.groupBy("id").agg(F.min(F.struct(miles.alias("miles"), F.col("o_id").alias("other"))).alias("n")).select("id", "n.other", "n.miles"))
+        found = near if found is None else found.unionByName(near)
+        asking = saved(asking.join(near, "id", "left_anti"))
+        if cell >= 2 or asking.isEmpty():  # the sphere's width: a single point has no other
+            return found
+        cell *= 4

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.geo import planar
+from wardline.functions.text import run_seconds
 from wardline.schema import KM_PER_MICRODEGREE, NO_PLACE
 
 
@@ -159,3 +160,73 @@ def density_histogram(blocks: DataFrame, levels: int = 256, clamp: float = 1 / 4
     above = F.sum("n").over(Window.orderBy(F.col("level").desc()))
     total = F.sum("n").over(Window.partitionBy())
     return hist.select("level", "n", above.alias("above"), (above <= total * clamp).alias("clamped"))
+
+
+def house_seats(legislatures: DataFrame, right: int = 435) -> DataFrame:
+    """Seats of all delegations to the House, and whether there are as many as there must be."""
+    total = legislatures.where("short = 'Congress'").agg(F.sum("seats").cast("long").alias("seats"))
+    return total.withColumn("right", F.col("seats") == right)
+
+
+def party_counts(grids: DataFrame) -> DataFrame:
+    """(grid, district, x, o): cells of either party where a party grid and a district map, zipped by
+    position, say so.  grids: grid, party array, layout array."""
+    cells = grids.select("grid", F.explode(F.arrays_zip("party", "layout")).alias("c")).select("grid", F.col("c.layout").alias("district"), "c.party")
+    return cells.groupBy("grid", "district").agg(F.count_if(F.col("party") == "x").alias("x"), F.count_if(F.col("party") == "o").alias("o"))
+
+
+def membership(blocks: DataFrame) -> DataFrame:
+    """How many blocks each place has in each county."""
+    return blocks.groupBy("place", "county").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def moving_center_stats(blocks: DataFrame, centers: DataFrame) -> DataFrame:
+    """kmpp to the solver's moving centres (district, cx, cy), spread and deviation of the populations;
+    the median is not kept and counts as 0."""
+    far = planar(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy"))
+    placed = blocks.join(centers.select("district", "cx", "cy"), "district")
+    kmpp = F.try_divide(F.sum(F.col("pop") * far), F.sum("pop")) * KM_PER_MICRODEGREE
+    s = population_stats(district_sums(blocks)).select((F.col("max_pop") - F.col("min_pop")).alias("spread"), "std")
+    return placed.agg(kmpp.alias("kmpp")).join(s).withColumn("median", F.lit(0).cast("long"))  # one row each
+
+
+def size_histogram(rows: DataFrame, size: Column, name: str = "size", count: str = "n") -> DataFrame:
+    return rows.groupBy(size.alias(name)).agg(F.count(F.lit(1)).alias(count))
+
+
+def run_totals(reports: DataFrame) -> DataFrame:
+    """Seconds of all runs by their reports' text, runs, and reports that tell no time."""
+    seconds = run_seconds(F.col("text"))
+    return reports.agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("runs"), F.count_if(seconds.isNull()).alias("bad"))
+
+
+def winner_range(won: DataFrame) -> DataFrame:
+    """Smallest and biggest votes of a winner, and the races where they were won."""
+    key = F.struct("winner_votes", "district")
+    return won.agg(
+        F.min("winner_votes").alias("smallest"), F.max("winner_votes").alias("biggest"),
+        F.min_by("district", key).alias("smallest_race"), F.max_by("district", key).alias("biggest_race"),
+    )
+
+
+def newest(rows: DataFrame, key: str, when: str, name: str) -> DataFrame:
+    """The newest member of each key, the largest name among equals."""
+    return rows.groupBy(key).agg(F.max_by(name, F.struct(when, name)).alias(name))
+
+
+def marked(ids: DataFrame, chosen: DataFrame) -> DataFrame:
+    """ids with ``bit``: whether the id is among ``chosen``."""
+    on = chosen.select("id").distinct().withColumn("bit", F.lit(True))
+    return ids.join(on, "id", "left").fillna(False, ["bit"])
+
+
+def indexed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their place ``idx`` in the order of ``key``: sorted by ranges, each range numbered
+    by itself behind the rows of those before it."""
+    from wardline.operators.graph import saved
+
+    dealt = saved(rows.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__skip"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return dealt.join(counts, "__range").withColumn("idx", F.col("__skip") + own - 1).select(*rows.columns, "idx")

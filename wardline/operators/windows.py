@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +136,7 @@ def name_filter(configs: DataFrame, include: list[str], exclude: list[str]) -> D
     """Configs whose name matches an include pattern (any, if there are none) and no exclude pattern."""
     out = configs.where(~F.coalesce("disabled", F.lit(False)))
     if include:
-        out = out.where("(" + ") OR (".join(f"name RLIKE r'{p}'" for p in include) + ")")
+        out = out.where(reduce(Column.__or__, (F.col("name").rlike(p) for p in include)))
     for p in exclude:
         out = out.where(~F.col("name").rlike(p))
     return out

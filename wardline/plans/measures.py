@@ -300,9 +300,9 @@ def _(spark, sf):
     return windows.latest(B.statlog(spark, sf).select("run", "generation", "kmpp", "spread"), "run", "generation", 10)
 
 
-@query("t10_best_ok_record", B.sql("submissions", "SELECT config, id, kmpp FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY kmpp, id) AS k FROM submissions WHERE kmpp >= 1e-6 AND id % 3 = 0) WHERE k = 1"))
+@query("t10_best_ok_record", B.sql("submissions", "SELECT config, id, kmpp FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY kmpp, id) AS k FROM submissions WHERE kmpp >= 1e-6 AND config <> 'error') WHERE k = 1"))
 def _(spark, sf):
-    ok = B.submissions(spark, sf).where("kmpp >= 1e-6 AND id % 3 = 0").select("config", "id", "kmpp")
+    ok = B.submissions(spark, sf).where("kmpp >= 1e-6 AND config <> 'error'").select("config", "id", "kmpp")
     return windows.best_per(ok, "config", "kmpp", "id")
 
 
@@ -344,11 +344,10 @@ def _(spark, sf):
     return b.join(top, "place", "left_semi").select("ubid")
 
 
-@query("j10_new_submissions", B.sql("submissions", "SELECT id, path FROM submissions s WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM submissions k WHERE k.id % 7 = 0 AND k.path = s.path AND k.config = s.config)"))
+@query("j10_new_submissions", B.sql("submissions", "SELECT id, path FROM submissions WHERE path NOT IN (SELECT 'u' || c_custkey FROM customer WHERE c_acctbal > 0)"))
 def _(spark, sf):
-    s = B.submissions(spark, sf)
-    known = s.where("id % 7 = 0").select("path", "config")
-    return s.where("id % 2 = 1").join(known, ["path", "config"], "left_anti").select("id", "path")
+    known = B.table(spark, sf, "customer").where("c_acctbal > 0").select(F.concat(F.lit("u"), "c_custkey").alias("path"))
+    return B.submissions(spark, sf).join(known, "path", "left_anti").select("id", "path")
 
 
 @query("j11_seen_hashes", B.sql("submissions", "SELECT sha256(props) AS sha, count(*) AS copies FROM submissions GROUP BY 1"))
@@ -405,10 +404,10 @@ def _(spark, sf):
     return graph.district_adjacency(B.edges(spark, sf), B.blocks(spark, sf))
 
 
-@query("u03_union_of_sources", B.sql("submissions", "SELECT id, config FROM submissions WHERE id % 2 = 0 UNION ALL SELECT id, config FROM submissions WHERE id % 3 = 0"))
+@query("u03_union_of_sources", B.sql("submissions", "SELECT id, config FROM submissions UNION ALL SELECT o_orderkey, o_orderpriority FROM orders"))
 def _(spark, sf):
-    s = B.submissions(spark, sf).select("id", "config")
-    return s.where("id % 2 = 0").unionByName(s.where("id % 3 = 0"))
+    orders = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("config"))
+    return B.submissions(spark, sf).select("id", "config").unionByName(orders)
 
 
 @query("u05_number_labels", B.sql("submissions", "SELECT config, dense_rank() OVER (ORDER BY config)::INT AS number FROM (SELECT DISTINCT config FROM submissions WHERE config <> 'error')"))

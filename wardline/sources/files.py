@@ -28,7 +28,8 @@ def _number(start: int, stop: int, kind: str = "long") -> Column:
 PLACE_CLASSES = ("C1", "C2", "C5", "C6", "C7", "C8")
 
 
-def _place(code: Column, kind: Column) -> Column:
+def incorporated(code: Column, kind: Column) -> Column:
+    """The place's number if its class is that of an incorporated place, else 0."""
     return F.coalesce(F.when(kind.isin(*PLACE_CLASSES), code.try_cast("int")), F.lit(0))
 
 
@@ -39,7 +40,7 @@ def geography_2010(spark: SparkSession, path: str, level: str | None = "750") ->
     return lines.select(
         ubid(cut(27, 29), cut(29, 32), cut(54, 60), cut(61, 65)).alias("ubid"), _number(18, 25, "int").alias("recno"),
         degrees_to_micro(cut(347, 359)).alias("lon"), degrees_to_micro(cut(336, 347)).alias("lat"), _number(318, 327, "int").alias("pop"),
-        _number(198, 212).alias("area"), _place(cut(45, 50), cut(50, 52)).alias("place"),
+        _number(198, 212).alias("area"), incorporated(cut(45, 50), cut(50, 52)).alias("place"),
     )
 
 
@@ -62,7 +63,7 @@ def geography_2020(spark: SparkSession, path: str, level: str | None = "750") ->
         wide = wide.where(c["level"] == level)
     return wide.select(
         ubid(c["state"], c["county"], c["tract"], c["block"]).alias("ubid"), c["recno"].cast("int").alias("recno"), degrees_to_micro(c["lon"]).alias("lon"),
-        degrees_to_micro(c["lat"]).alias("lat"), c["pop"].cast("int").alias("pop"), c["land"].cast("long").alias("area"), _place(c["place"], c["place_class"]).alias("place"),
+        degrees_to_micro(c["lat"]).alias("lat"), c["pop"].cast("int").alias("pop"), c["land"].cast("long").alias("area"), incorporated(c["place"], c["place_class"]).alias("place"),
     )
 
 
@@ -178,3 +179,10 @@ def folder_listing(spark: SparkSession, page: str) -> DataFrame:
     link = F.explode(F.regexp_extract_all("value", F.lit(r'href="(tl_\d+_(?:\d{5}|\d{2})_[^"]*\.zip)"'), F.lit(1)))
     code = F.regexp_extract("path", r"tl_\d+_(\d{2})(\d{3})?_", 1)
     return spark.read.text(page, wholetext=True).select(link.alias("path")).distinct().select("path", code.alias("fips"), F.regexp_extract("path", r"tl_\d+_\d{2}(\d{3})_", 1).alias("county"))
+
+
+def colors(spark: SparkSession, path: str) -> DataFrame:
+    """(number, r, g, b) from lines of a number and three hexadecimal bytes."""
+    parts = F.split("value", " ")
+    byte = lambda n: F.conv(F.get(parts, F.lit(n)), 16, 10).cast("int")
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).cast("int").alias("number"), byte(1).alias("r"), byte(2).alias("g"), byte(3).alias("b"))

@@ -58,6 +58,19 @@ def append_log(log: DataFrame, path: str, every: int = 100) -> None:
     log.where(F.col("generation") % every == 0).write.mode("append").json(path)
 
 
+def statlog_lines(log: DataFrame, every: int = 100) -> DataFrame:
+    """(run, generation, value): text lines of every ``every``-th generation, as ``files.statlog_text`` reads them."""
+    rows = log.where(F.col("generation") % every == 0)
+    value = F.concat(F.lit("generation "), "generation", F.lit(": "), F.col("kmpp").cast("string"), F.lit(" Km/person"))
+    return rows.select("run", "generation", value.alias("value"))
+
+
+def write_statlogs(log: DataFrame, path: str, every: int = 100) -> None:
+    """A folder a run, its lines in order of generation."""
+    lines = statlog_lines(log, every).repartition("run").sortWithinPartitions("run", "generation")
+    lines.select("run", "value").write.mode("overwrite").partitionBy("run").text(path)
+
+
 def run_configs(legislatures: DataFrame) -> DataFrame:
     """(state, body, config): one JSON config a body, disabled where it has a single seat."""
     name = F.concat_ws("_", "state", "short")
@@ -65,6 +78,11 @@ def run_configs(legislatures: DataFrame) -> DataFrame:
     return legislatures.select("state", "body", F.to_json(config).alias("config"))
 
 
+def color_lines(colors: DataFrame) -> DataFrame:
+    """Lines of a color's number and its bytes in hexadecimal digits.  colors: number, r, g, b."""
+    return colors.select(F.format_string("%d %02x %02x %02x", "number", "r", "g", "b").alias("value"))
+
+
 def split_columns(rows: DataFrame, folder: str) -> None:
     """Each column as a gzipped text folder of its own."""
     for c in rows.columns:
