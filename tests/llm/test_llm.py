@@ -133,6 +133,10 @@ def page(body, title="T"):
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style><script>var t='</p><p>x</p>';</script></head><body>{body}</body></html>"
 
 
+def alone(html):
+    return html_text.own_text(html_text.page_events(html))
+
+
 PAGES = [
     (1, "<nav><a>Menu</a></nav><div class=ad>Buy</div><article><h1>A &amp; B</h1><p>one\n two<b>three</b><p>four<br>five</article><footer>f</footer>", "A & B one twothree four five"),
     (2, "<header>Top</header><main><header>Title</header><p>x &lt;b&gt; y</p><section id=comments><p>hi</p></section><form>f</form></main><aside>s</aside>", "Title x <b> y"),
@@ -158,29 +162,88 @@ def test_names_drop_no_main_text():
     body = "<p>The first long paragraph of the story.</p><section id=related-work><h2 class=search>Head</h2><p>Others.</p></section><div class='comments-area'>hi</div>"
     want = "The first long paragraph of the story. Head Others."
     for tag, name in [("div", "content has-sidebar"), ("article", "post no-comments"), ("article", "notice"), ("div", "legal")]:
-        assert html_text.extract(page(f"<{tag} class='{name}'>{body}</{tag}><div class='site-footer'>f</div>"), None) == want
+        assert alone(page(f"<{tag} class='{name}'>{body}</{tag}><div class='site-footer'>f</div>")) == want
     for name in ("legal-status", "social-history", "search-algorithms", "recommendations"):
-        assert html_text.extract(page(f"<main><p>Long text of the page.</p><section id={name}><p>a</p></section></main>"), None) == "Long text of the page. a"
+        assert alone(page(f"<main><p>Long text of the page.</p><section id={name}><p>a</p></section></main>")) == "Long text of the page. a"
 
 
 def test_long_articles_keep_lists_quotes_and_tables():
     body = "".join(f"<p>Paragraph {i} of a story told at some length.</p>" for i in range(40))
     body += "<ul><li>item</ul><blockquote>quote</blockquote><table><tr><td>cell</table><div><p>deep</div>"
     for around in ("<div class=content>%s</div>", "<article>teaser</article><div class=content>%s</div>", "<div class=wrap><div class=content>%s</div></div>"):
-        got = html_text.extract(page(around % body), None)
+        got = alone(page(around % body))
         assert got.endswith("length. item quote cell deep") and got.startswith("Paragraph 0 of") and "teaser" not in got
-    assert html_text.extract(page("<table><tr><td>a<td>b</table>"), None) == "a b"
+    assert alone(page("<table><tr><td>a<td>b</table>")) == "a b"
 
 
-def test_token_vectors_equal_counting(spark):
-    rows = [(i, "http://a.example/", page("<p>same</p>" + "<p>own %d</p>" % (i % 2) * (i % 3))) for i in range(6)]
-    pages = html_text.with_host(spark.createDataFrame(rows, "page_id long, url string, html string"))
-    support = {r.token: r.support for r in html_text.token_vectors(pages).collect()}
-    want = Counter()
-    for _, _, h in rows:
-        elements, blocks = html_text.page_blocks(h)
-        want.update({html_text.name(p) for p in elements} | {html_text.name(p, t) for t, p, e in blocks if not e.dropped} | {0})
-    assert support == dict(want)
+def test_partly_shared_boilerplate_goes(spark):
+    rows = [(i, f"http://s.example/{i}", page(f"<div><p>story {i} told at some length {i}</p></div><p>Terms of use{' apply' if i < 4 else ''}</p>")) for i in range(10)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} told at some length {i}" for i in range(10)}
+
+
+def test_advert_longer_than_the_article_goes():
+    """Only the host's other pages tell that the article is the main slot."""
+    short = page("<div class=x>Buy the very best of all goods today and tomorrow.</div><div class=y><p>Brief.</p></div>")
+    long_ = [page(f"<div class=x>Offer {i}.</div><div class=y><p>{'A long story. ' * 20}{i}</p></div>") for i in range(6)]
+    assert alone(short).startswith("Buy") and html_text.block_texts([*long_, short])[-1] == "Brief."
+
+
+def brute_classes(pages):
+    """Valid equivalence classes by their definition, one comparison at a time."""
+    least = max(html_text.LEAST, html_text.SHARE * len(pages))
+    tokens = {t for p in pages for t in p}
+    vector = {t: tuple(sum(x == t for x in p) for p in pages) for t in tokens}
+    groups = {v: {t for t in tokens if vector[t] == v} for v in vector.values() if sum(n > 0 for n in v) >= least}
+    valid = []
+    for v, members in sorted(groups.items(), key=lambda g: (-sum(n > 0 for n in g[0]), -len(g[1]), min(g[1]))):
+        seen = [[x for x in p if x in members] for p in pages]
+        order = next(s for s in seen if s)[: len(members)]
+        if len(members) < 2 or any(s != order * (len(s) // len(order)) for s in seen):
+            continue
+        fits = True
+        for other in valid:
+            gaps = set()
+            for p in pages:
+                if not members & set(p) or not set(other) & set(p):
+                    continue
+                passed, inside, total = 0, [], sum(x in other for x in p)
+                for x in p:
+                    passed += x in other
+                    if x in members:
+                        inside.append(None if passed in (0, total) else (passed - 1) % len(other))
+                        if len(inside) % len(members) == 1:
+                            began = passed
+                        fits &= passed == began
+                gaps |= set(inside)
+            fits &= len(gaps) <= 1
+        if fits:
+            valid.append(order)
+    return valid
+
+
+def test_deduction_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        frame = [rng.choice(["<p>%s</p>", "<ul>%s</ul>", "<div class=a>Top %s bottom</div>", "Left %s right"]) for _ in range(rng.randrange(1, 4))]
+        pages = []
+        for _ in range(rng.randrange(4, 9)):
+            inner = "".join(f"<li>item {rng.randrange(9)} of</li>" for _ in range(rng.randrange(4)))
+            parts = [f % rng.choice([inner, f"w{rng.randrange(5)} w{rng.randrange(5)}"]) for f in frame]
+            if rng.random() < 0.2:
+                rng.shuffle(parts)
+            pages.append(html_text.page_tokens(html_text.page_events(page("".join(parts)))))
+        assert [list(c) for c in html_text.Template(pages).classes] == brute_classes(pages)
+
+
+def test_html_odd_tables(spark):
+    names = "page_id long, url string, html string, host string, row string, block string, found string, blocks int, __fixed string"
+    text = page("<article><p>" + "word " * 200_000 + "</p></article>")
+    rows = [(1, "http://a.example/", text), (1, "http://a.example/", text), (None, None, page("<p>x</p>")), (2, "odd", None)]
+    df = spark.createDataFrame([(*r, "h", "r", "b", "f", 1, "x") for r in rows], names)
+    out = html_text.main_text(df, "found").collect()
+    assert sorted((r.page_id or 0, len(r.found), r.host, r.row, r.block, r.blocks, r["__fixed"]) for r in out) == [(0, 1, "h", "r", "b", 1, "x"), (1, 999_999, "h", "r", "b", 1, "x"), (1, 999_999, "h", "r", "b", 1, "x"), (2, 0, "h", "r", "b", 1, "x")]
+    assert html_text.main_text(df.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- quality

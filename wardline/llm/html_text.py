@@ -1,37 +1,43 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: its elements, named by their path, and its text blocks, named by
-path and text.  Over the pages of one host every token has an occurrence vector, how often it
-stands on each page; equal vectors make an equivalence class.  Vectors are compared by the sum of
-a hash for each (page, count), which aggregates in any order, so no host's pages are ever gathered.
-Classes of at least two tokens that nearly all pages of the host share are frequent; a text token of
-such a class is valid if the element around it is frequent too, so that the class nests in the
-template.  What the template leaves open are the slots: of their text, blocks in navigation,
-forms, adverts, comments and the like (by element or role, or by class or id unless they hold most
-of the open text) go, and the rest is the main
-text, that within article or main elements where these hold most of it, else all that stands in the
+A page is a sequence of tokens: the starts and ends of its elements, named by their path, and its
+words, named by path and word; those in menus and footers too.  Pages of one host are dealt at random to
+blocks of about ``BLOCK`` pages, so that no host, however large, is gathered, and each block deduces
+its template.  A token's occurrence vector says how often it stands on each page of the block; tokens
+with equal vectors on at least ``LEAST`` pages and a ``SHARE`` of the block make an equivalence class.  A
+class of at least two tokens is valid if they come in one order on every page, and nests in the
+template if all of it stands in one and the same gap of every larger class.  What valid classes leave
+open are the slots.  Template elements that stand once on a page hold slots; the main slots are those
+of the innermost one that holds at least 1 - ``MASS`` of the block's slot text.  Of their text, blocks in
+navigation, forms, adverts, comments and the like (by element or role, or by class or id unless they
+hold most of the open text) go, and blocks of nothing but words of the template too; the rest is the main text.
+
+Where that leaves no text, and on hosts with fewer than ``LEAST`` pages, a page relies on its own: the
+text within article or main elements where these hold most of it, else all that stands in the
 innermost container of at least 1 - ``MASS`` of the page's open text.
 
 Defined cases: null and empty html give an empty text; a null or odd url is a host of its own
-kind; hosts with fewer than ``LEAST`` pages have no template and rely on slots alone; repeated
-rows count as pages; an empty table gives an empty result; other columns are ignored.
+kind; repeated rows count as pages; an empty table gives an empty result; other columns are
+kept, whatever their names, but for one named like the result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect
+from collections import Counter, defaultdict
 
-import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.llm.common import save
 
-LEAST, SHARE, MASS = 4, 0.9, 0.2
+LEAST, SHARE, MASS = 4, 0.3, 0.2
+BLOCK, SURE = 64, 12  # pages of a block; pages times words of a class that are no accident
 
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,6 +63,7 @@ NAMES = re.compile(
 )
 #: Parts of a class or id that may stand beside one of NAMES without changing what it says.
 PLACES = re.compile(r"site|page|main|global|list|area|box|bar|wrap|wrapper|container|section|block|slot|unit|left|right|top|bottom|links?|items?|inner|outer|form|\d+", re.I)
+UNSEEN = frozenset("head title button select option textarea template svg math canvas object iframe".split())  # no slot's text
 SLOTS = frozenset("html body main article section div center td".split())  # elements that can be a page's main slot
 TEXTS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # never dropped by name
 HEADS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
@@ -89,11 +96,10 @@ def is_named(token: str) -> bool:
     return any(named) and all(n or PLACES.fullmatch(p) for n, p in zip(named, parts, strict=True))
 
 
-def page_blocks(page: str) -> tuple[Counter, list[tuple[str, str, Element]]]:
-    """(elements by path, text blocks as (text, path, element)) of a page, in page order."""
+def page_events(page: str) -> list[tuple[str, str, Element]]:
+    """(sign, text, element) in page order: '<' an element starts, '>' it ends, '' a text block in it."""
     stack = [Element("", "", None)]
-    elements: Counter = Counter()
-    blocks: list[tuple[str, str, Element]] = []
+    events: list[tuple[str, str, Element]] = []
     run: list[str] = []
     home = stack[0]  # the block element whose text is running
 
@@ -102,15 +108,19 @@ def page_blocks(page: str) -> tuple[Counter, list[tuple[str, str, Element]]]:
             text = " ".join("".join(run).split())
             run.clear()
             if text:
-                blocks.append((text, home.path, home))
+                events.append(("", text, home))
 
     def container() -> Element:
         return next(e for e in reversed(stack) if e.tag not in INLINE)
 
+    def pop(k: int) -> None:
+        events.extend((">", "", e) for e in reversed(stack[k:]))
+        del stack[k:]
+
     def close(kinds, within) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in kinds:
-                del stack[k:]
+                pop(k)
                 return
             if stack[k].tag in within:
                 return
@@ -119,7 +129,7 @@ def page_blocks(page: str) -> tuple[Counter, list[tuple[str, str, Element]]]:
     while at < end:
         m = MARKUP.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not stack[-1].dropped:
+        if stop > at and (home.dropped or not stack[-1].dropped):
             run.append(entities.unescape(page[at:stop]))
         if not m:
             break
@@ -133,7 +143,7 @@ def page_blocks(page: str) -> tuple[Counter, list[tuple[str, str, Element]]]:
                     flush()
                 k = max(i for i in range(1, len(stack)) if stack[i].tag == tag)
                 if tag not in INLINE or all(e.tag in INLINE for e in stack[k:]):
-                    del stack[k:]
+                    pop(k)
                 home = container()
             continue
         if tag not in INLINE and tag != "br":
@@ -145,56 +155,140 @@ def page_blocks(page: str) -> tuple[Counter, list[tuple[str, str, Element]]]:
         if tag == "br":
             run.append(" ")
         new = Element(tag, m[3], stack[-1])
-        elements[new.path] += 1
+        events.append(("<", "", new))
         if tag in RAW:
             last = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = last.end() if last else end
         elif tag not in VOID and not m[3].endswith("/"):
-            if new.dropped and not stack[-1].dropped:
-                flush()
             stack.append(new)
-        home = container() if not stack[-1].dropped else home
+        home = container()
     flush()
-    return elements, blocks
-
-
-def name(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "replace")) - (1 << 63)
-
-
-def with_host(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("__host", F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col("url"), HOST, 1)), F.lit(""))))
-
-
-def token_vectors(pages: DataFrame) -> DataFrame:
-    """(host, token, up, support, vector): token 0 counts pages; up names the element around."""
-
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for host, page_id, page in zip(batch["host"].to_numpy(), batch["page"].to_numpy(), batch["html"], strict=True):
-                elements, blocks = page_blocks(page or "")
-                out.append((host, 0, 0, page_id, 1))
-                out += [(host, name(path), 0, page_id, n) for path, n in elements.items()]
-                texts = Counter((path, text) for text, path, e in blocks if not e.dropped)
-                out += [(host, name(path, text), name(path), page_id, n) for (path, text), n in texts.items()]
-            yield pd.DataFrame(out, columns=["host", "token", "up", "page", "n"])
-
-    slim = pages.select(F.col("__host").alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    found = slim.mapInPandas(tokens, "host long, token long, up long, page long, n long")
-    part = F.pmod(F.xxhash64("page", "n"), F.lit(1 << 31))  # sums of these cannot overflow
-    return found.groupBy("host", "token", "up").agg(F.count(F.lit(1)).alias("support"), F.sum(part).alias("vector"))
+    return events
+
+
+# ---------------------------------------------------------------- templates
+
+
+def page_tokens(events: list[tuple[str, str, Element]]) -> list[tuple[str, str]]:
+    """The page's tokens in order: (sign or word, path)."""
+    out: list[tuple[str, str]] = []
+    for sign, text, e in events:
+        if sign:
+            out.append((sign, e.path))
+        else:
+            out.extend((word, e.path) for word in text.split())
+    return out
+
+
+class Template:
+    """What deduction finds in a block of pages: valid classes as ordered lists of tokens, outer ones first."""
+
+    def __init__(self, pages: list[list[tuple[str, str]]]):
+        self.classes: list[tuple[tuple[str, str], ...]] = []
+        self.words: set[tuple[str, str]] = set()  # (word, path)
+        self.elements: set[str] = set()  # paths of elements that stand once on a page
+        least = max(LEAST, SHARE * len(pages))
+        counts = [Counter(p) for p in pages]
+        support = Counter(t for c in counts for t in c)
+        alike = defaultdict(list)
+        for token, n in support.items():
+            if n >= least:
+                alike[tuple(c[token] for c in counts)].append(token)
+        large = sorted((k for k in alike.items() if len(k[1]) > 1), key=lambda k: (-sum(x > 0 for x in k[0]), -len(k[1]), min(k[1])))
+        number = {token: k for k, (_, tokens) in enumerate(large) for token in tokens}
+        places = []  # of each page: the tokens and positions of each class
+        for p in pages:
+            found: dict[int, list] = defaultdict(list)
+            for at, token in enumerate(p):
+                if token in number:
+                    found[number[token]].append((token, at))
+            places.append(found)
+        valid: list[tuple[int, int]] = []  # (class, size)
+        for k, (vector, tokens) in enumerate(large):
+            size = len(tokens)
+            order = next(tuple(t for t, _ in f[k][:size]) for f in places if k in f)
+            if set(order) != set(tokens) or any(tuple(t for t, _ in f[k]) != order * n for f, n in zip(places, vector, strict=True) if n):
+                continue
+            if not all(self.nested(places, k, size, outer, outer_size) for outer, outer_size in valid):
+                continue
+            valid.append((k, size))
+            self.classes.append(order)
+            words = [t for t in order if t[0] not in "<>"]
+            if len(words) > 1 and len(words) * sum(n > 0 for n in vector) >= SURE:
+                self.words.update(words)
+            if max(vector) == 1:
+                self.elements.update(path for sign, path in order if sign == "<")
+
+    @staticmethod
+    def nested(places: list[dict], k: int, size: int, outer: int, outer_size: int) -> bool:
+        """Whether each occurrence of class k stands in one gap of the outer class, the same everywhere."""
+        gaps = set()
+        for found in places:
+            if k not in found or outer not in found:
+                continue
+            ends = [at for _, at in found[outer]]
+            at = [bisect(ends, x) for _, x in found[k]]
+            if any(at[i] != at[i + size - 1] for i in range(0, len(at), size)):
+                return False
+            gaps.update(0 if x in (0, len(ends)) else x % outer_size or outer_size for x in at)
+        return len(gaps - {0}) <= 1 and not (0 in gaps and len(gaps) > 1)
+
+
+def main_element(pages: list[list[tuple[str, str, Element]]], template: Template) -> str | None:
+    """Path of the innermost template element that holds nearly all slot text of the pages."""
+    mass: Counter = Counter()
+    total = 0
+    for events in pages:
+        for text, e in remaining(events, template):
+            if not outside(e):
+                total += len(text)
+                while e is not None:
+                    if e.path in template.elements:
+                        mass[e.path] += len(text)
+                    e = e.above
+    held = [path for path, n in mass.items() if n >= (1 - MASS) * total]
+    return max(held, key=lambda p: (p.count("/"), p)) if held and total else None
+
+
+def outside(e: Element) -> bool:
+    """Whether text of the element is no part of any slot: titles, scripts, form controls."""
+    while e is not None:
+        if e.tag in UNSEEN:
+            return True
+        e = e.above
+    return False
+
+
+def block_texts(pages: list[str | None]) -> list[str]:
+    """Main texts of the pages of a block."""
+    events = [page_events(p or "") for p in pages]
+    if len(pages) < LEAST:
+        return [own_text(e) for e in events]
+    template = Template([page_tokens(e) for e in events])
+    slot = main_element(events, template)
+    return [slot_text(e, template, slot) or own_text(e, template) for e in events]
+
+
+def slot_text(events: list[tuple[str, str, Element]], template: Template, slot: str | None) -> str:
+    """Text of a page's main slots; empty if the page has no such slot."""
+    kept = []
+    for text, e in remaining(events, template):
+        inner = e
+        while inner is not None and inner.path != slot:
+            inner = inner.above
+        if inner is not None and (inner.dropped or not e.dropped):
+            kept.append((text, e, [n for n in e.named if len(n.path) > len(slot)]))
+    total = sum(len(text) for text, _, _ in kept)
+    held: Counter = Counter()
+    for text, _, named in kept:
+        held.update(dict.fromkeys(named, len(text)))
+    return " ".join(text for text, _, named in kept if all(2 * held[n] > total for n in named))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed): the text tokens of each host's template."""
-    found = save(token_vectors(pages).where("support > 1 OR token = 0"))
-    hosts = found.where("token = 0").select("host", F.col("support").alias("pages")).where(F.col("pages") >= LEAST)
-    common = found.where("token <> 0").join(hosts, "host").where(F.col("support") >= SHARE * F.col("pages"))
-    large = common.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    around = common.where("up = 0").select("host", F.col("token").alias("up"))
-    fixed = common.where("up <> 0").join(large, ["host", "vector"]).join(around, ["host", "up"], "left_semi")
-    return save(fixed.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("fixed")))  # a template's size
+def remaining(events: list[tuple[str, str, Element]], template: Template | None) -> list[tuple[str, Element]]:
+    """Text blocks that have more than words of the template; sentences are left whole."""
+    known = template.words if template else ()
+    return [(text, e) for sign, text, e in events if not sign and not (known and all((w, e.path) in known for w in text.split()))]
 
 
 def around(e: Element) -> list[Element]:
@@ -207,36 +301,38 @@ def around(e: Element) -> list[Element]:
     return found
 
 
-def extract(page: str | None, fixed) -> str:
-    _, blocks = page_blocks(page or "")
-    known = frozenset(fixed.tolist()) if fixed is not None else frozenset()
-    kept = [(text, path, e) for text, path, e in blocks if not e.dropped and not (known and name(path, text) in known)]
+def own_text(events: list[tuple[str, str, Element]], template: Template | None = None) -> str:
+    """Main text of a page by its own blocks."""
+    kept = [(text, e) for text, e in remaining(events, template) if not e.dropped]
     held: Counter = Counter()
-    for text, _, e in kept:
-        for n in e.named:
-            held[n] += len(text)
-    total = sum(len(text) for text, _, _ in kept)
-    kept = [b for b in kept if all(2 * held[n] > total for n in b[2].named)]  # a container of most open text is no notice
-    total = sum(len(text) for text, _, _ in kept)
-    if 2 * sum(len(text) for text, _, e in kept if e.main) > total:
-        kept = [b for b in kept if b[2].main]
+    for text, e in kept:
+        held.update(dict.fromkeys(e.named, len(text)))
+    total = sum(len(text) for text, _ in kept)
+    kept = [b for b in kept if all(2 * held[n] > total for n in b[1].named)]  # a container of most open text is no notice
+    total = sum(len(text) for text, _ in kept)
+    if 2 * sum(len(text) for text, e in kept if e.main) > total:
+        kept = [b for b in kept if b[1].main]
     elif kept:  # no article of most text: the innermost container of nearly all open text, with all it holds
         mass: Counter = Counter()
-        for text, _, e in kept:
+        for text, e in kept:
             mass.update(dict.fromkeys(around(e), len(text)))
         slot = max((e for e in mass if mass[e] >= (1 - MASS) * total), key=lambda e: len(around(e)))
-        kept = [b for b in kept if slot in around(b[2])]
-    return " ".join(text for text, _, _ in kept)
+        kept = [b for b in kept if slot in around(b[1])]
+    return " ".join(text for text, _ in kept)
 
 
 def main_text(pages: DataFrame, into: str = "text") -> DataFrame:
     """``pages`` (page_id, url, html, ...) with the main text in column ``into``."""
-    pages = with_host(pages)
-    known = templates(pages).select(F.col("host").alias("__of"), F.col("fixed").alias("__fixed"))
+    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract(F.col("url"), HOST, 1)), F.lit("")))
+    rows = pages.select(host.alias("host"), F.struct(*pages.columns).alias("row"))
+    blocks = save(rows.groupBy("host").agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")))
+    dealt = rows.join(blocks, "host").withColumn("block", F.pmod(F.xxhash64("row.page_id", "row.url", "row.html"), "blocks"))
+
+    at = pages.columns.index("html")
 
-    @F.pandas_udf("string")
-    def text(page: pd.Series, fixed: pd.Series) -> pd.Series:
-        return pd.Series([extract(p, f) for p, f in zip(page, fixed, strict=True)], dtype=object)
+    def texts(part: pa.Table) -> pa.Table:
+        found = block_texts(pc.struct_field(part["row"], [at]).to_pylist())
+        return pa.table({"row": part["row"], "found": pa.array(found, pa.string())})
 
-    joined = pages.join(known, pages["__host"] == known["__of"], "left")
-    return joined.withColumn(into, text("html", "__fixed")).drop("__host", "__of", "__fixed")
+    out = dealt.groupBy("host", "block").applyInArrow(texts, StructType([StructField("row", pages.schema), StructField("found", StringType())]))
+    return out.select(*(F.col("row")[c].alias(c) for c in pages.columns if c != into), F.col("found").alias(into))
