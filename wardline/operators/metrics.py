@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardline.functions.geo import planar
 from wardline.functions.text import run_seconds
 from wardline.schema import KM_PER_MICRODEGREE, NO_PLACE
+from wardline.shared import save
 
 
 def district_sums(blocks: DataFrame) -> DataFrame:
@@ -223,9 +224,7 @@ def marked(ids: DataFrame, chosen: DataFrame) -> DataFrame:
 def indexed(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` with their place ``idx`` in the order of ``key``: sorted by ranges, each range numbered
     by itself behind the rows of those before it."""
-    from wardline.operators.graph import saved
-
-    dealt = saved(rows.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()))
+    dealt = save(rows.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__skip"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(key))

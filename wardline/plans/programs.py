@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import graph, raster
 from wardline.plans import bindings as B
 from wardline.plans import solvers
+from wardline.shared import shared_folder as folder
 from wardline.sources import binary, files, sinks
 from wardline.streaming import streams
 
@@ -28,15 +26,6 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wardline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 def squares(blocks: DataFrame) -> DataFrame:
     """Each block as a square of 1000 by 1000 around the grid."""
     at = lambda dx, dy: F.struct((F.col("lon") + dx).cast("double").alias("x"), (F.col("lat") + dy).cast("double").alias("y"))

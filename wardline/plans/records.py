@@ -11,8 +11,8 @@ from wardline.operators import graph, metrics, settings, windows
 from wardline.plans import bindings as B
 from wardline.plans.measures import ORACLE_SQL as _KNOWN_SQL
 from wardline.plans.measures import QUERIES as _KNOWN
-from wardline.plans.programs import folder
 from wardline.plans.solvers import default_generations
+from wardline.shared import shared_folder as folder
 from wardline.sources import files, sinks
 
 QUERIES: dict = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.geo import interpolate, planar
 from wardline.operators import graph
-from wardline.operators.graph import saved
+from wardline.shared import save as saved
 
 
 def draw(seed: int, *columns: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 import numpy as np
@@ -89,39 +90,54 @@ def split_columns(rows: DataFrame, folder: str) -> None:
         rows.select(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{folder}/{c}")
 
 
-def report_text(report: DataFrame, kind: str = "text", limit: int = 253) -> str:
-    """A report of at most ``limit`` rows (one a district) as text, csv or html."""
-    rows = report.limit(limit).collect()
-    cells = [report.columns, *([("" if v is None else str(v)) for v in r] for r in rows)]
+def bounded(rows: DataFrame, most: int) -> list:
+    """The rows, for a report on the driver: no more than ``most``, and never fewer than there are."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a report of more than {most} rows: write it as a table, or aggregate it first")
+    return got
+
+
+def report_text(report: DataFrame, kind: str = "text", most: int = 100_000) -> str:
+    """A report as text, csv or html."""
+    cells = [report.columns, *([("" if v is None else str(v)) for v in r] for r in bounded(report, most))]
     if kind == "csv":
         return "\n".join(",".join(r) for r in cells) + "\n"
     if kind == "html":
-        body = "".join("<tr>" + "".join(f"<td>{v}</td>" for v in r) + "</tr>" for r in cells[1:])
-        return "<table><tr>" + "".join(f"<th>{v}</th>" for v in cells[0]) + f"</tr>{body}</table>"
+        row = lambda r, tag: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in r) + "</tr>"
+        return "<table>" + row(cells[0], "th") + "".join(row(r, "td") for r in cells[1:]) + "</table>"
     return "\n".join("\t".join(r) for r in cells) + "\n"
 
 
-def scatter_svg(points: DataFrame, size: int = 400, limit: int = 1000) -> str:
-    """SVG of the best ``limit`` (spread, kmpp) points, scaled to their range."""
-    got = points.where("spread IS NOT NULL AND kmpp IS NOT NULL").orderBy("kmpp", "spread").limit(limit).select("spread", "kmpp").collect()
-    if not got:
+def scatter_svg(points: DataFrame, size: int = 400) -> str:
+    """SVG of the (spread, kmpp) points, scaled to their range; points of one pixel are one dot."""
+    have = points.where("spread IS NOT NULL AND kmpp IS NOT NULL")
+    x0, x1, y0, y1 = have.agg(F.min("spread"), F.max("spread"), F.min("kmpp"), F.max("kmpp")).first()
+    if x0 is None:
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}"/>'
-    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*got, strict=True))
-    place = lambda v, a, b: round((v - a) / (b - a) * (size - 20) + 10, 2) if b > a else size / 2
-    dots = "".join(f'<circle cx="{place(x, x0, x1)}" cy="{size - place(y, y0, y1)}" r="2"/>' for x, y in got)
+    at = lambda c, a, b: F.round((F.col(c) - a) / (b - a) * (size - 20) + 10).cast("int") if b > a else F.lit(size // 2)
+    got = bounded(have.select(at("spread", x0, x1).alias("x"), at("kmpp", y0, y1).alias("y")).distinct().orderBy("x", "y"), size * size)
+    dots = "".join(f'<circle cx="{x}" cy="{size - y}" r="2"/>' for x, y in got)
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">{dots}</svg>'
 
 
-def plot_script(log: DataFrame, run, most: int = 5000) -> tuple[str, str]:
-    """Gnuplot commands and JSON series of the last ``most`` points of one run."""
-    got = log.where(F.col("run") == run).orderBy(F.desc("generation")).limit(most).orderBy("generation").select("generation", "kmpp", "spread").collect()
+def seats_votes_svg(states: DataFrame, size: int = 400) -> str:
+    """SVG of each state's share of votes and of seats for one party, circles by its seats.  states: votes, seats, n."""
+    got = bounded(states.select("votes", "seats", "n").orderBy("votes", "seats", "n"), 1000)
+    dots = "".join(f'<circle cx="{round(v * size, 2)}" cy="{round(size - s * size, 2)}" r="{n}"/>' for v, s, n in got)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}"><line x1="0" y1="{size}" x2="{size}" y2="0"/>{dots}</svg>'
+
+
+def plot_script(log: DataFrame, run, most: int = 1_000_000) -> tuple[str, str]:
+    """Gnuplot commands and JSON series of one run's points."""
+    got = bounded(log.where(F.col("run") == run).select("generation", "kmpp", "spread").orderBy("generation"), most)
     lines = "\n".join(f"{r.generation} {r.kmpp}" for r in got)
     return f"plot '-' with lines title 'km/p'\n{lines}\ne\n", json.dumps([list(r) for r in got])
 
 
-def leaderboard_html(best: DataFrame, limit: int = 500) -> str:
+def leaderboard_html(best: DataFrame) -> str:
     """Page of the best result of each config (a row a config)."""
-    return "<html><body><h1>Best results</h1>" + report_text(best.orderBy("config"), "html", limit) + "</body></html>"
+    return "<html><body><h1>Best results</h1>" + report_text(best.orderBy("config"), "html") + "</body></html>"
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -33,18 +33,16 @@ def best_so_far(stream: DataFrame) -> DataFrame:
 
 
 def last_n_stream(stream: DataFrame, n: int) -> DataFrame:
-    """Per run the range of the last n values, kept as a ring in state.  stream: run, generation, kmpp."""
+    """Per run the range of the last n values, kept as a ring in state.  stream: run, generation, kmpp.
+    A batch is put in order of generation; what comes in a later batch counts as later."""
 
     def ring(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
+        gens, vals = state.get if state.exists else ([], [])
         new = pd.concat(list(frames)).sort_values("generation")
-        out = []
-        for g, v in zip(new["generation"].tolist(), new["kmpp"].tolist(), strict=True):
-            held = [*held, (g, v)][-n:]
-            values = [x for _, x in held]
-            out.append((key[0], g, min(values), max(values), len(values)))
-        state.update(([g for g, _ in held], [v for _, v in held]))
-        yield pd.DataFrame(out, columns=["run", "generation", "low", "high", "n"])
+        held = pd.Series([*vals, *new["kmpp"]], dtype=float).rolling(n, min_periods=1)
+        out = pd.DataFrame({"low": held.min(), "high": held.max(), "n": held.count()}).iloc[len(vals) :]
+        state.update(([*gens, *new["generation"].tolist()][-n:], [*vals, *new["kmpp"].tolist()][-n:]))
+        yield pd.DataFrame({"run": key[0], "generation": new["generation"].to_numpy(), "low": out["low"].to_numpy(), "high": out["high"].to_numpy(), "n": out["n"].to_numpy(int)})
 
     return stream.groupBy("run").applyInPandasWithState(ring, "run long, generation int, low double, high double, n int", "generations array<int>, vals array<double>", "append", GroupStateTimeout.NoTimeout)
 
