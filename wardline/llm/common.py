@@ -2,56 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.shared import release, save, shared_folder
+
+__all__ = ["WORD", "crc_mod", "release", "save", "shared_folder", "table"]
+
 #: A word: a run of anything but ASCII white space.  ``bytes.split()`` splits UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_saved: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the session names none (a local test) is a temporary folder used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="wardline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/wardline-{uuid.uuid4().hex}"
-    _saved.append((spark, path))
-    return path
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here,
-    and a lost executor costs no recomputation of what stands before."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _saved:
-        try:
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
-        except Exception:  # noqa: BLE001  the session is gone, and its folder with it
-            return
-
-
 def crc_mod(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % modulus
