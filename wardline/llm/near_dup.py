@@ -176,7 +176,7 @@ def spread(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     stars = save(stars.withColumn("spare", F.col("un") - F.col("common") - prefix))
     inside = (100 * F.col("common") >= percent * F.col("un")) & (~F.col("linked") | (F.col("un") < F.col("vn")))
     groups = outside_rows(stars).unionByName(stars.where(inside).select("v", "root", "u", F.lit(None).cast("long").alias("x")))
-    groups = groups.withColumn("g", F.xxhash64("root", "v", "x")).join(stars.select("u", "v", "root", "f", "uc", "un", "spare"), ["u", "v", "root"])
+    groups = groups.withColumn("g", F.xxhash64("root", "v", "x")).join(stars.select("u", "v", "root", "f", "uc", "un", "mass", "spare"), ["u", "v", "root"])
     open_ = save(mixed(groups).select("g", "many"))
     each = Window.partitionBy("u", "v", "root")  # at most the shingles of a document
     groups = groups.join(open_, "g")
