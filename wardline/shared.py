@@ -36,6 +36,25 @@ def save(df: DataFrame) -> DataFrame:
     return out
 
 
+def save_by(df: DataFrame, column: str, n: int) -> list[DataFrame]:
+    """Write ``df`` once and read it back as ``n`` tables, of the rows with 0, 1, ... in ``column``; each can be
+    released by itself."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.partitionBy(column).parquet(path)
+    rest = df.drop(column)
+    out = []
+    for k in range(n):
+        part = f"{path}/{column}={k}"
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
+        have = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        t = spark.read.schema(rest.schema).parquet(part) if have else spark.createDataFrame([], rest.schema)
+        t.saved_path = part
+        _kept[part] = spark
+        out.append(t)
+    return out
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``save`` wrote and nothing reads any more."""
     for t in tables:
