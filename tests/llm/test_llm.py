@@ -10,11 +10,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import components, html_text, lm, mixing, near_dup, packing, quality, queries, substring, vectors, warc
-from wardline.llm.common import table
+from wardline.llm.common import save, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __key long, bucket string, score double"
 
@@ -279,8 +280,8 @@ def test_quality_learns_and_handles_odd_rows(spark):
 
 
 def test_quality_on_held_out_labels(spark, sf_dir):
-    got = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).join(table(spark, sf_dir, "labels"), "doc_id").toPandas()
-    assert (got["predicted"] == got["quality"]).mean() > 0.9
+    got = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("held_out").join(table(spark, sf_dir, "labels"), "doc_id").toPandas()
+    assert len(got) and (got["predicted"] == got["quality"]).mean() > 0.9
 
 
 # ---------------------------------------------------------------- substring
@@ -452,29 +453,131 @@ def test_lm_counts_and_base(spark, monkeypatch, hot):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def one_bucket(pairs):
+    """A bucket of all cells of {(word, before): count}, numbered words and contexts."""
+    words = sorted({w for w, _ in pairs})
+    w, b, n = (np.array(x, np.int64) for x in zip(*((w, b, c) for (w, b), c in sorted(pairs.items())), strict=True))
+    part = pd.DataFrame([{
+        "bucket": 0, "chunk": 0, "mark": 0, "words": np.array(words, np.uint64).tobytes(), "runs": lm.small(np.unique(w, return_counts=True)[1]),
+        "before": lm.narrow(b, 6), "n": lm.small(n),
+    }])
+    built = lm.build_bucket(part, 3)
+    sums = np.frombuffer(built["sums"].iloc[1], np.int64)
+    names = lm.wide(built["names"].iloc[1], 6)
+    return lm.Bucket(next(built.iloc[:1].itertuples()), sums), words, names
+
+
+def mixed_pairs(seed, words=12, contexts=6, cells=40):
+    rng = random.Random(seed)
+    return {(rng.randrange(words), rng.randrange(contexts)): rng.choice([1, 1, 1, 2, 3, 9, 40]) for _ in range(cells)}
+
+
 def test_lm_probabilities_sum_to_one():
-    """Over a vocabulary and the unseen word, for every restaurant."""
-    rng = np.random.default_rng(2)
-    word, room = np.divmod(np.unique(rng.integers(0, 60 * lm.ROOMS, 200)), lm.ROOMS)
-    n = rng.integers(1, 50, len(word))
-    known, word = np.unique(word, return_inverse=True)
-    pack = lambda x, k: x.astype(k).tobytes()
-    row = type("Row", (), {"word": pack(word, np.int32), "room": pack(room, np.int16), "n": pack(n, np.int64), "n_words": len(known), "bucket": 0})
-    customers = np.bincount(room, n, lm.ROOMS)
-    b = lm.Bucket(row, int(n.sum()), len(known))
-    history = [{"tables": np.minimum(customers, 1), "up_tables": float(len(known)), "guests": 0.0}]
-    for k in range(3):
-        b.sweep(k, history[k])
-        t = b.totals()
-        history.append({"tables": t[: lm.ROOMS], "up_tables": t[lm.ROOMS], "guests": t[lm.ROOMS + 1]})
-        b.set_parent(history[-1])
-    assert (b.tables >= 1).all() and (b.tables <= b.n).all() and (b.up_tables <= b.guests).all()
-    for u in np.unique(room)[:5]:
-        p = lm.context_probability(0, 0, b.parent, np.full(len(known), u), history[-1], customers)
-        mine = room == u
-        p[word[mine]] = lm.context_probability(n[mine], b.tables[mine], b.parent[word[mine]], room[mine], history[-1], customers)
-        unseen = lm.context_probability(0, 0, lm.unseen_parent(history[-1]), u, history[-1], customers)
-        assert p.sum() + unseen == pytest.approx(1.0)
+    """Over the vocabulary and the unseen word, for every restaurant, after sweeps."""
+    pairs = mixed_pairs(2) | {(13, 5): 0}
+    b, words, names = one_bucket(pairs)
+    tables, up = b.start()
+    for k in range(1, 4):
+        whole = (int(up.sum()), int(b.guests(tables).sum()))
+        tables, up = b.sweep(k, tables, up, b.by_room(tables), whole)
+        assert (tables >= np.minimum(b.n, 1)).all() and (tables <= b.n).all() and (up <= b.guests(tables)).all()
+    whole, rooms, customers = (int(up.sum()), int(b.guests(tables).sum())), b.by_room(tables), b.by_room(b.n)
+    p = b.predict(tables, up, rooms, customers, whole)
+    parent = b.parent(b.guests(tables), up, whole)
+    (d, up_d), (s, up_s) = b.discount, lm.STRENGTH
+    unseen = (up_s + up_d * whole[0]) * lm.UNSEEN / (up_s + whole[1])
+    for u in range(len(names)):
+        back_off = (s + d * rooms[u]) / (s + customers[u])
+        known = p[b.room == u].sum() + sum(back_off * parent[w] for w in range(len(words)) if b.count[w] and w not in b.word[b.room == u])
+        known -= sum(p[(b.room == u) & (b.count[b.word] == 0)])
+        assert known + back_off * unseen == pytest.approx(1.0)
+
+
+def test_seat_draws_from_the_joint_distribution():
+    """Exact odds of each number of tables by recursion over the customers; large dishes by their mean."""
+    rng = np.random.default_rng(1)
+    for n, first, more, d in [(2, 0.3, 0.1, 0.6), (7, 1.5, 0.2, 0.5), (40, 4.0, 0.05, 0.8), (300, 0.8, 0.4, 0.3)]:
+        odds = np.array([0.0, 1.0])
+        for i in range(1, n):
+            t = np.arange(len(odds))
+            odds = np.append(odds * (i - d * t), 0) + np.concatenate([[0], odds * (first + more * t)])
+            odds /= odds.sum()
+        got = np.bincount(lm.seat(rng, np.full(40_000, n), np.full(40_000, first), np.full(40_000, more), d), minlength=len(odds)) / 40_000
+        assert np.abs(got - odds).sum() < 0.08
+    for first, more in [(3.0, 0.0), (8.0, 0.05)]:
+        f, m, n = np.full(3000, first), np.full(3000, more), np.full(3000, 9000)
+        want = lm._exact(rng.random(3000), n, f, m, 0.5, 120, np.ones(3000))
+        got = lm.seat(rng, n, f, m, 0.5)
+        assert got.mean() == pytest.approx(want.mean(), rel=0.04) and got.std() == pytest.approx(want.std(), rel=0.1)
+
+
+def plain_sampler(pairs, discount, vocabulary, rounds, seed):
+    """Textbook sampler: one customer at a time leaves its table and sits down again.  Averaged p(word | context)."""
+    rng, (d, du), (s, su) = random.Random(seed), discount, lm.STRENGTH
+    base = (1 - lm.UNSEEN) / vocabulary
+    rooms, top = {}, {}  # tables of a dish: list of sizes
+
+    def p_top(w):
+        mine, g, t = top.get(w, []), sum(map(sum, top.values())), sum(map(len, top.values()))
+        return (sum(mine) - du * len(mine) + (su + du * t) * base) / (su + g)
+
+    def p_room(w, b):
+        room = rooms.get(b, {})
+        n, t, mine = sum(map(sum, room.values())), sum(map(len, room.values())), room.get(w, [])
+        return (sum(mine) - d * len(mine) + (s + d * t) * p_top(w)) / (s + n)
+
+    def sit(tables, new, discount):
+        odds = [x - discount for x in tables] + [new]
+        k = rng.choices(range(len(odds)), odds)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    def add(w, b):
+        room = rooms.setdefault(b, {})
+        t = sum(map(len, room.values()))
+        if sit(room.setdefault(w, []), (s + d * t) * p_top(w), d):
+            sit(top.setdefault(w, []), (su + du * sum(map(len, top.values()))) * base, du)
+
+    everyone = [c for c, n in pairs.items() for _ in range(n)]
+    for w, b in everyone:
+        add(w, b)
+    sums, count = Counter(), 0
+    for r in range(rounds):
+        for w, b in everyone:
+            if leave(rooms[b][w]):
+                leave(top[w])
+            add(w, b)
+        if r >= rounds // 4:
+            count += 1
+            for w, b in pairs:
+                sums[(w, b)] += p_room(w, b)
+    return {c: sums[c] / count for c in pairs}
+
+
+def test_lm_agrees_with_a_textbook_sampler():
+    pairs = mixed_pairs(7, cells=30)
+    b, words, names = one_bucket(pairs)
+    total, count = np.zeros(len(b.n)), 0
+    tables, up = b.start()
+    for k in range(1, 400):
+        whole = (int(up.sum()), int(b.guests(tables).sum()))
+        tables, up = b.sweep(k, tables, up, b.by_room(tables), whole)
+        if k > 50:
+            whole = (int(up.sum()), int(b.guests(tables).sum()))
+            total, count = total + b.predict(tables, up, b.by_room(tables), b.by_room(b.n), whole), count + 1
+    want = plain_sampler(pairs, b.discount, b.vocabulary, 300, 3)
+    for w, u, p in zip(b.word, b.room, total / count, strict=True):
+        assert p == pytest.approx(want[(words[w], int(names[u]))], rel=0.1)
 
 
 def test_lm_gives_every_previous_word_its_own_restaurant(spark, monkeypatch):
@@ -508,16 +611,16 @@ def test_lm_odd_tables(spark):
     assert len(got) == 4 and len({r.score for r in got if r.doc_id == 1}) == 1
 
 
-def test_seating_follows_the_process():
-    rng = np.random.default_rng(0)
-    d, a, c = 0.5, 2.0, 30
-    mean = lm.seat(rng, np.full(4000, c), np.full(4000, a), d).mean()
-    want = np.zeros(c + 1)
-    want[1] = 1.0
-    for n in range(1, c):
-        open_ = a / (n - d * np.minimum(np.arange(c + 1), n) + a)  # no more tables than customers
-        want = want * (1 - open_) + np.concatenate([[0], (want * open_)[:-1]])
-    assert mean == pytest.approx((want * np.arange(c + 1)).sum(), rel=0.02)
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 4000)
+    texts = corpus(6)
+    one, seven = ({r.doc_id: r.score for r in lm.score(save(make(spark, texts).repartition(n))).collect()} for n in (1, 7))
+    assert one == pytest.approx(seven)
+
+
+def test_lm_small_numbers():
+    x = np.array([0, 1, 254, 255, 256, 10**12])
+    assert lm.unsmall(lm.small(x), 6).tolist() == x.tolist() and lm.wide(lm.narrow(x, 6), 6).tolist() == x.tolist()
 
 
 # ---------------------------------------------------------------- WARC

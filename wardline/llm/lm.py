@@ -2,26 +2,29 @@
 
 Each context, the word before, is a restaurant of its own, whatever its frequency; text starts share
 one.  The tables of all of them are the customers of the unigram restaurant, whose parent gives half
-its mass to unseen words and half to the vocabulary in equal parts.  A sweep reseats every dish of
-every restaurant by the Chinese restaurant process, given its parent's current predictive and the
-restaurants' table totals of the sweep before; the scores average the predictive probabilities of
-the sweeps after burn-in.
+its mass to unseen words and half to the vocabulary in equal parts.  A Gibbs step takes all customers of
+one dish out of a restaurant and seats them anew, given the tables of the restaurant's other dishes and the
+parent without this dish's own tables (``seat``: the exact joint distribution of the number of tables).
+A sweep does so for every dish of every restaurant at once, given the sweep before.  The scores
+average the predictive probabilities of the sweeps after burn-in.  Discounts are fitted by the numbers
+of dishes eaten once and twice; strengths are constants.
 
 Texts are cut into chunks, whose distinct cells (word, word before) are dealt to buckets by word; the
 number of buckets follows the text's length.  A bucket adds up the cells of its words over all chunks and
-numbers the restaurants it has guests of.  What restaurants need of each other, their customers and,
-after each sweep, their tables, is added up by the context's hash in as many parts as there are
-buckets and goes back to the buckets that asked; a restaurant whose customers are all in one bucket
-needs no exchange.  At the end each bucket answers each chunk's cells, and the chunk adds up its texts.
-Nothing but a few sums goes to the driver, and no table is broadcast.
+sorts its restaurants by the part that adds up their tables over all buckets after each sweep; who
+has which place in a part is worked out once (``route``), after which only small numbers travel.
+At the end each bucket answers each chunk's cells, and the chunk, tokenized once more, adds up its texts.
+Nothing but a few sums goes to the driver, and no table is broadcast.  Tables that are no longer
+needed are deleted on the way.
 
-Words and contexts are told apart by 64-bit hashes.  What is approximate: the ``SWEEPS - BURN_IN``
-sweeps averaged are few; a sweep seats each dish anew, from the totals of the sweep before, and
-large dishes in parties (``seat``).
+What is approximate: the ``SWEEPS - BURN_IN`` sweeps averaged are few; the dishes of a sweep are seated
+side by side; customers beyond the first ``EXACT`` of a dish count as a continuous stream; words are told apart by 64-bit hashes, contexts by 48 bits of them.  All
+contexts of a word meet in one bucket, so a word's distinct neighbours must fit a task.
 
 Defined cases: null and empty texts are their end token; rows with a null id are dealt to a fold as
 the text 'null'; repeated rows all count and get equal scores; without training rows every word is
 unseen and the vocabulary empty; an empty table gives an empty result; other columns are not read.
+``docs`` is read twice and must come in the same order, as a table does; if not, the scoring fails.
 """
 
 from __future__ import annotations
@@ -38,14 +41,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import crc_mod, save
+from wardline.llm.common import crc_mod, release, save
+from wardline.shared import save_by
 
 HOT, FOLDS = 8192, 10  # words whose hashes a task remembers
-ROOMS = 257  # restaurants of a bucket that names none
 BUCKET_TOKENS, CHUNK_BYTES, WORD_BYTES = 1_000_000, 6_000_000, 6  # they bound a task's memory only
-SWEEPS, BURN_IN = 3, 1
-DISCOUNT, STRENGTH = (0.75, 0.75), (5.0, 50.0)  # of contexts, of the unigram restaurant
-UNSEEN = 0.5
+SWEEPS, BURN_IN = 5, 2
+STRENGTH = (5.0, 50.0)  # of contexts, of the unigram restaurant
+EXACT, UNSEEN = 1000, 0.5
 END = b""  # no word is empty, so the empty string stands for the end token, and before the first word for the start
 
 
@@ -70,14 +73,48 @@ def tokens(texts: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]
     return words, found, np.bincount(text, minlength=len(texts)) + 1
 
 
-DEALT = "bucket int, chunk long, word binary, before binary, n binary, id binary, null binary, held binary, size binary, at binary"
+def small(x: np.ndarray) -> bytes:
+    """Numbers, most of them below 255, in a byte each; the others follow."""
+    large = x >= 255
+    return np.where(large, 255, x).astype(np.uint8).tobytes() + x[large].astype(np.int64).tobytes()
 
 
-def deal(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows: for each chunk and bucket the chunk's distinct cells (word, word before, training
-    count); for each chunk, with a null bucket, its texts and the cell at which each token stands."""
-    names = [c.split()[0] for c in DEALT.split(", ")]
-    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in names[2:])])
+def unsmall(b: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(b, np.uint8, n).astype(np.int64)
+    x[x == 255] = np.frombuffer(b, np.int64, offset=n)
+    return x
+
+
+def narrow(x: np.ndarray, width: int) -> bytes:
+    """Numbers in ``width`` bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def wide(b: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(b) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(b, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def numbers(x: np.ndarray, top: int) -> bytes:
+    return narrow(x, 3 if top < 1 << 24 else 4)
+
+
+def unnumbers(b: bytes, n: int) -> np.ndarray:
+    return wide(b, len(b) // n) if n else np.empty(0, np.int64)
+
+
+NAME = np.uint64((1 << 48) - 1)
+CELLS = "bucket int, chunk long, mark long, words binary, runs binary, before binary, n binary"
+TEXTS = "chunk long, mark long, id binary, null binary, held binary, size binary, at binary"
+
+
+def deal(docs: DataFrame, buckets: int, texts: bool) -> DataFrame:
+    """CELLS: for each chunk and bucket the chunk's distinct cells by word, with their training counts.  TEXTS: for
+    each chunk its texts and the cell at which each token stands.  Mark names the cells of a chunk."""
+    kinds = TEXTS if texts else CELLS
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in kinds.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = functools.lru_cache(HOT)(xxhash.xxh3_64_intdigest)
@@ -92,19 +129,25 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
             before = np.concatenate([word[-1:], word[:-1]])  # each text ends with the end token
             at, cell = pd.factorize(word * len(words) + before)
             w, b = cell // len(words), cell % len(words)
-            order = np.argsort(of[w] * len(words) + w)
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            n = np.bincount(at, np.repeat(~held, size), len(cell)).astype(np.int32)[order]
-            w, b = w[order], b[order]
-            edges = np.searchsorted(of[w], np.arange(buckets + 1))
-            out = [
-                (k, number, key[w[i:j]].tobytes(), key[b[i:j]].tobytes(), n[i:j].tobytes(), *[None] * 5)
-                for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True))
-                if j > i
-            ]
-            ids = t["doc_id"]
-            out.append((None, number, None, None, None, pc.fill_null(ids, 0).to_numpy().tobytes(), ids.is_null().to_numpy().tobytes(), held.tobytes(), size.astype(np.int32).tobytes(), rank[at].tobytes()))
+            order = np.argsort(of[w] * len(words) + w, kind="stable")
+            mark = xxhash.xxh3_64_intdigest(key[w[order]].tobytes()) - (1 << 63)
+            if texts:
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                ids = t["doc_id"]
+                out = [(number, mark, pc.fill_null(ids, 0).to_numpy().tobytes(), ids.is_null().to_numpy().tobytes(), held.tobytes(), small(size), numbers(rank[at], len(cell)))]
+            else:
+                n = np.bincount(at, np.repeat(~held, size), len(cell)).astype(np.int64)[order]
+                w, b = w[order], b[order]
+                start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                runs = np.diff(np.append(start, len(w)))
+                edges = np.searchsorted(of[w], np.arange(buckets + 1))
+                ends = np.searchsorted(start, edges)
+                out = [
+                    (k, number, mark, key[w[start[e:f]]].tobytes(), small(runs[e:f]), narrow((key[b[i:j]] & NAME).astype(np.int64), 6), small(n[i:j]))
+                    for k, (i, j, e, f) in enumerate(zip(edges[:-1], edges[1:], ends[:-1], ends[1:], strict=True))
+                    if j > i
+                ]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
         parts, pending = [], 0
@@ -124,204 +167,342 @@ def deal(docs: DataFrame, buckets: int) -> DataFrame:
             number += 1
             yield flush(parts)
 
-    return docs.select(F.col("doc_id").cast("string").cast("long").alias("doc_id"), "held", F.col("text").cast("string").alias("text")).mapInArrow(rows, DEALT)
+    return docs.select(F.col("doc_id").cast("string").cast("long").alias("doc_id"), "held", F.col("text").cast("string").alias("text")).mapInArrow(rows, kinds)
 
 
-def build_bucket(part: pd.DataFrame) -> pd.DataFrame:
-    """One row: the cells of the bucket's words, the hashes of the contexts (names) by number, and the cells each chunk asks for."""
-    part = part.sort_values("chunk")
-    join = lambda c, kind: np.frombuffer(b"".join(part[c]), kind)
-    word, words = pd.factorize(join("word", np.uint64))
-    room, names = pd.factorize(join("before", np.uint64))
-    at, cell = pd.factorize(word * len(names) + room)
-    order = np.argsort(cell)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    n = np.bincount(at, join("n", np.int32), len(cell)).astype(np.int64)[order]
-    cell = cell[order]
-    return pd.DataFrame({
-        "bucket": part["bucket"].iloc[:1].to_numpy(), "n_words": [len(words)], "names": [names.tobytes()], "word": [(cell // len(names)).astype(np.int32).tobytes()],
-        "room": [(cell % len(names)).astype(np.int16 if len(names) < 1 << 15 else np.int32).tobytes()], "n": [n.tobytes()],
-        "chunk": [part["chunk"].to_numpy().astype(np.int64).tobytes()], "size": [(part["n"].map(len).to_numpy() // 4).astype(np.int64).tobytes()], "at": [rank[at].tobytes()],
-    })
+#: Of kind 0 a bucket's cells, of kind 1 its contexts for ``route``, of kind 2 the cells each chunk asks for.
+BUILT = "kind int, bucket int, cells int, rooms int, runs binary, room binary, n binary, edges binary, names binary, sums binary, chunk binary, mark binary, size binary, at binary"
 
 
-CELLS = "bucket int, n_words long, names binary, word binary, room binary, n binary, chunk binary, size binary, at binary"
+def build_bucket(part: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Cells in order of word and context, contexts in order of their part and name, whatever the order of chunks."""
+    part = part.sort_values("chunk")
+    words = np.frombuffer(b"".join(part["words"]), np.uint64)
+    each = [len(x) // 8 for x in part["words"]]
+    word = np.repeat(words, np.concatenate([unsmall(b, n) for b, n in zip(part["runs"], each, strict=True)]))
+    size = part["before"].map(len).to_numpy(np.int64) // 6
+    name = wide(b"".join(part["before"]), 6)
+    n = np.concatenate([unsmall(b, k) for b, k in zip(part["n"], size, strict=True)])
+    known, word = np.unique(word, return_inverse=True)
+    names, room = np.unique(name, return_inverse=True)
+    order = np.argsort(names % parts, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    names = names[order]
+    cell, at = np.unique(word * len(names) + place[room], return_inverse=True)
+    n = np.bincount(at, n, len(cell)).astype(np.int64)
+    word, room = cell // len(names), cell % len(names)
+    runs = np.bincount(word, minlength=len(known))
+    trained = np.bincount(word, n > 0, len(known))
+    sums = [n.sum(), (trained > 0).sum(), (n == 1).sum(), (n == 2).sum(), (trained == 1).sum(), (trained == 2).sum()]
+    edges = np.searchsorted(names % parts, np.arange(parts + 1)).astype(np.int32)
+    customers = np.bincount(room, n, len(names)).astype(np.int64)
+    both = {"bucket": part["bucket"].iloc[0], "cells": len(cell), "rooms": len(names), "edges": edges.tobytes()}
+    rows = [
+        both | {"kind": 0, "runs": small(runs), "room": numbers(room, len(names)), "n": small(n)},
+        both | {"kind": 1, "names": narrow(names, 6), "n": small(customers), "sums": np.array(sums, np.int64).tobytes()},
+        both | {"kind": 2, "chunk": part["chunk"].to_numpy(np.int64).tobytes(), "mark": part["mark"].to_numpy(np.int64).tobytes(), "size": size.tobytes(), "at": numbers(at, len(cell))},
+    ]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in BUILT.split(", ")])
 
 
 # ---------------------------------------------------------------- seating
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after seating its customers one after another: the next one opens a table
-    with odds weight : seated - discount * tables.  Beyond a few customers they come in small parties,
-    a tenth of the odds' sum, within which the odds stay."""
-    tables = np.minimum(customers, 1)
-    seated = tables.copy()
-    active = np.flatnonzero(customers > 1)
-    while len(active):
-        c, s, t, a = customers[active], seated[active], tables[active], weight[active]
-        whole = s - discount * t + a
-        party = np.minimum(c - s, np.maximum(1, (0.1 * whole).astype(np.int64)))
-        tables[active] = t + rng.binomial(party, a / whole)
-        seated[active] = s + party
-        active = active[s + party < c]
-    return tables
+def seat(rng: np.random.Generator, n: np.ndarray, first: np.ndarray, more: np.ndarray, discount: float) -> np.ndarray:
+    """Numbers of tables of n customers of one dish each, drawn from their joint distribution: a customer joins a
+    table with odds seated - discount, t tables taken together seated - discount * t, and opens the table
+    after t of them with odds first + more * t."""
+    tables = np.minimum(n, 1)
+    u = rng.random(len(n))
+    # Behind the first EXACT customers their number grows by a share of itself: t tables then lose odds as exp(-discount * t)
+    # per e-fold and open others, which is a linear birth process; its solution tilts the odds so far and adds a mixed Poisson number
+    large = np.flatnonzero(n > EXACT)
+    gone = (EXACT / n[large]) ** discount
+    q = more[large] / discount * (1 - gone)
+    tilt = np.ones(len(n))
+    tilt[large] = gone / (1 - q)
+    lows = [1, 2, 8, 32, 128, 512]
+    for low, high in zip(lows, [*lows[1:], EXACT], strict=True):
+        some = np.flatnonzero((n > low) & ((n <= high) | (high == EXACT)))
+        mean = np.ones(len(some))
+        reach = np.minimum(n[some], EXACT)
+        for i in range(1, int(reach.max(initial=1))):  # a bound on the number of tables that matter
+            odds = first[some] + more[some] * mean
+            mean += np.where(i < reach, odds / (i - discount * mean + odds), 0)
+        some = some[np.lexsort((-reach, np.ceil(np.log2(mean))))]
+        at = 0
+        while at < len(some):
+            widest = np.ceil(np.log2(mean)).max() if len(mean) else 0
+            step = max(1, int(2_000_000 // min(EXACT, 2 ** (widest + 2) + 40)))
+            rows = some[at : at + step]
+            rows = rows[np.argsort(-np.minimum(n[rows], EXACT), kind="stable")]
+            tables[rows] = _exact(u[rows], np.minimum(n[rows], EXACT), first[rows], more[rows], discount, min(EXACT, int(2 ** (widest + 2) + 40)), tilt[rows])
+            at += step
+    lam = (q / (1 - q)) * rng.gamma(tables[large] + first[large] / np.maximum(more[large], 1e-12))
+    tables[large] += rng.poisson(np.where(more[large] > 0, lam, first[large] / discount * (1 - gone)))
+    return np.minimum(tables, n)
+
+
+def _exact(u: np.ndarray, n: np.ndarray, first: np.ndarray, more: np.ndarray, discount: float, width: int, tilt: np.ndarray) -> np.ndarray:
+    """One draw for each dish; n descends.  f has the odds of 1, 2, ... tables after so many customers."""
+    width = min(width, int(n[0]))
+    t = np.arange(1, width + 1, dtype=float)
+    f = np.zeros((len(n), width))
+    f[:, 0] = 1
+    opens = first[:, None] + more[:, None] * t[:-1]
+    active = np.searchsorted(-n, -np.arange(1, n[0]))  # dishes with more than i customers
+    for i, k in enumerate(active, 1):
+        top = min(i + 1, width)
+        g = f[:k, :top] * (i - discount * t[:top])
+        g[:, 1:] += f[:k, : top - 1] * opens[:k, : top - 1]
+        f[:k, :top] = g / (g.sum(axis=1, keepdims=True) if i % 8 == 0 else i)
+    total = np.cumsum(f * tilt[:, None] ** (t - 1), axis=1)
+    return 1 + (total[:, :-1] <= u[:, None] * total[:, -1:]).sum(axis=1)
 
 
 class Bucket:
-    """The restaurants' dishes of one bucket, reseated sweep by sweep."""
+    """A bucket's restaurants, and what it knows of the whole: sums are the tokens, the vocabulary and the
+    numbers of dishes that fit the discounts."""
+
+    def __init__(self, row, sums: np.ndarray):
+        self.number, cells, self.rooms = int(row.bucket), int(row.cells), int(row.rooms)
+        self.room, self.n = unnumbers(row.room, cells), unsmall(row.n, cells)
+        at = np.frombuffer(row.edges, np.int32)
+        self.edges = at
+        runs, got = [], 0
+        body = np.frombuffer(row.runs, np.uint8)
+        got = self._words(body, cells)
+        runs = unsmall(row.runs, got)
+        self.word, self.n_words = np.repeat(np.arange(got), runs), got
+        self.count = np.bincount(self.word, self.n, got).astype(np.int64)
+        self.total, vocabulary, n1, n2, w1, w2 = (int(x) for x in sums)
+        fit = lambda one, two: min(0.95, max(0.05, one / max(one + 2 * two, 1)))
+        self.discount = (fit(n1, n2), fit(w1, w2))
+        self.vocabulary, self.base = vocabulary, (1 - UNSEEN) / max(vocabulary, 1)
+
+    @staticmethod
+    def _words(body: np.ndarray, cells: int) -> int:
+        """How many of the bytes are runs: they and what follows them for 255 add up to the cells."""
+        n = len(body)
+        for words in range(n, -1, -8):
+            if words + 8 * int((body[:words] == 255).sum()) == n:
+                return words
+        raise ValueError("damaged runs")
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first state: a table for each dish in each restaurant."""
+        tables = np.minimum(self.n, 1)
+        return tables, np.minimum(self.guests(tables), 1)
+
+    def guests(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word, tables, self.n_words).astype(np.int64)
+
+    def parent(self, guests: np.ndarray, up: np.ndarray, whole: tuple[int, int], gone=0) -> np.ndarray:
+        """Probability in the unigram restaurant, of whose guests ``gone`` have left."""
+        d, s = self.discount[1], STRENGTH[1]
+        left = guests - gone
+        fresh = (s + d * whole[0]) * np.where(self.count > 0, self.base, UNSEEN)
+        return (left - d * np.minimum(up, left) + fresh[: len(left)]) / (s + whole[1] - gone)
+
+    def sweep(self, k: int, tables: np.ndarray, up: np.ndarray, room_tables: np.ndarray, whole: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """New (tables, tables of the unigram restaurant), given the old ones and the tables of all buckets."""
+        rng = np.random.default_rng([k, self.number])
+        (d, up_d), (s, up_s) = self.discount, STRENGTH
+        guests = self.guests(tables)
+        w, left = self.word, guests[self.word] - tables
+        fresh = (up_s + up_d * whole[0]) * self.base
+        p = (left - up_d * np.minimum(up[w], left) + fresh) / (up_s + whole[1] - tables)
+        others = room_tables[self.room] - tables
+        new = seat(rng, self.n, (s + d * others) * p, d * p, d)
+        guests = self.guests(new)
+        again = seat(rng, guests, (up_s + up_d * (whole[0] - up)) * self.base, np.full(len(up), up_d * self.base), up_d)
+        return new, again
 
-    def __init__(self, row, total: int, vocabulary: int, rooms: int = ROOMS):
-        wide = 4 * len(row.room) // max(len(row.word), 1) or 4  # bytes of a restaurant's number
-        self.word, self.room, self.rooms = np.frombuffer(row.word, np.int32).astype(np.int64), np.frombuffer(row.room, f"i{wide}").astype(np.int64), rooms
-        self.n, self.n_words, self.number = np.frombuffer(row.n, np.int64), int(row.n_words), int(row.bucket)
-        self.count = np.bincount(self.word, self.n, self.n_words).astype(np.int64)
-        self.base = (1 - UNSEEN) / max(vocabulary, 1)
-        self.parent = self.count / max(total, 1)
+    def predict(self, tables: np.ndarray, up: np.ndarray, room_tables: np.ndarray, customers: np.ndarray, whole: tuple[int, int]) -> np.ndarray:
+        """Probability of each cell."""
+        d, s = self.discount[0], STRENGTH[0]
+        p = self.parent(self.guests(tables), up, whole)[self.word]
+        return (self.n - d * tables + (s + d * room_tables[self.room]) * p) / (s + customers[self.room])
 
-    def sweep(self, k: int, before: dict) -> None:
-        rng = np.random.default_rng([k, self.number])
-        (d, up_d), (s, up_s) = DISCOUNT, STRENGTH
-        self.tables = seat(rng, self.n, (s + d * before["tables"][self.room]) * self.parent[self.word], d)
-        self.guests = np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
-        self.up_tables = seat(rng, self.guests, np.full(self.n_words, (up_s + up_d * before["up_tables"]) * self.base), up_d)
+    def by_room(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.room, x, self.rooms).astype(np.int64)
 
-    def set_parent(self, totals: dict) -> None:
-        d, s = DISCOUNT[1], STRENGTH[1]
-        fresh = (s + d * totals["up_tables"]) * self.base
-        p = (self.guests - d * self.up_tables + fresh) / (s + totals["guests"])
-        self.parent = np.where(self.count > 0, p, unseen_parent(totals))
 
-    def totals(self) -> np.ndarray:
-        return np.concatenate([np.bincount(self.room, self.tables, self.rooms), [self.up_tables.sum(), self.guests.sum()]])
+# ---------------------------------------------------------------- exchange
 
 
-def unseen_parent(totals: dict) -> float:
-    d, s = DISCOUNT[1], STRENGTH[1]
-    return (s + d * totals["up_tables"]) / (s + totals["guests"]) * UNSEEN
+TOTALS = -1  # the part, and the bucket, of sums over all buckets
+SENT, MOVED = "part int, bucket int, size int, v binary", "kind int, part int, bucket int, size int, v binary"
 
 
-def context_probability(n, tables, parent, room, totals: dict, customers: np.ndarray) -> np.ndarray:
-    d, s = DISCOUNT[0], STRENGTH[0]
-    return (n - d * tables + (s + d * totals["tables"][room]) * parent) / (s + customers[room])
+def send(kind, number: int, edges: np.ndarray, v: np.ndarray, sums: list[int]) -> list[tuple]:
+    out = [(kind, p, number, int(j - i), small(v[i:j])) for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+    return [*out, (kind, TOTALS, number, 0, np.array(sums, np.int64).tobytes())]
 
 
-class Exchange:
-    """What a bucket sends to the parts that add up its contexts' numbers, and what comes back."""
+def total_row(part: pd.DataFrame) -> tuple:
+    return 0, TOTALS, TOTALS, 0, sum(np.frombuffer(v, np.int64) for v in part["v"]).tobytes()
 
-    def __init__(self, names: np.ndarray, parts: int):
-        part = (names % np.uint64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
-        self.names, self.part, self.parts = names[self.order], part[self.order], parts
 
-    def send(self, bucket: int, own: np.ndarray) -> list[tuple]:
-        edges, own = np.searchsorted(self.part, np.arange(self.parts + 1)), own[self.order].astype(np.int32)
-        return [(p, bucket, self.names[i:j].tobytes(), own[i:j].tobytes()) for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if j > i]
+def frame(rows: list[tuple], kinds: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")])
 
-    def back(self, reply: bytes) -> np.ndarray:
-        out = np.empty(len(self.order))
-        out[self.order] = np.frombuffer(reply, np.int64)
-        return out
 
+def first_sent(contexts: DataFrame) -> DataFrame:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                edges, names, v = np.frombuffer(r.edges, np.int32), r.names, unsmall(r.n, r.rooms)
+                out = send(0, r.bucket, edges, v, np.frombuffer(r.sums, np.int64))
+                cut = {p: names[6 * i : 6 * j] for p, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True))}
+                yield frame([(*row[1:], cut.get(row[1], b"")) for row in out], SENT + ", names binary")
 
-SENT, REPLY = "part int, bucket int, names binary, v binary", "bucket int, part int, v binary"
-TOTALS = -1  # the part that adds up the numbers of the unigram restaurant
+    return contexts.mapInPandas(rows, SENT + ", names binary")
 
 
-def add_up(part: pd.DataFrame) -> pd.DataFrame:
-    """Each sender's contexts with the sums over all senders."""
+def route(part: pd.DataFrame) -> pd.DataFrame:
+    """Of kind 0 each bucket's contexts with their customers in all buckets, of kind 1 their places in the part."""
     part = part.sort_values("bucket")
     if (number := part["part"].iloc[0]) == TOTALS:
-        return pd.DataFrame({"bucket": [TOTALS], "part": [number], "v": [sum(np.frombuffer(v, np.int64) for v in part["v"]).tobytes()]})
-    at, names = pd.factorize(np.frombuffer(b"".join(part["names"]), np.uint64))
-    total = np.bincount(at, np.frombuffer(b"".join(part["v"]), np.int32), len(names)).astype(np.int64)[at]
-    edges = np.cumsum([0, *(len(v) // 4 for v in part["v"])])
-    return pd.DataFrame({"bucket": part["bucket"].to_numpy(), "part": number, "v": [total[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]})
-
-
-def replay(row, replies: pd.DataFrame, sums: list[np.ndarray], parts: int) -> Iterator[tuple]:
-    """(bucket, its exchange, customers, totals after the sweep or None) for each sweep whose totals are
-    known and the one after it; seeds make reruns agree."""
-    names = np.frombuffer(row.names, np.uint64)
-    reply = {k: b"".join(own.sort_values("part")["v"]) for k, own in replies.groupby("k")}
-    total, vocabulary = (int(x) for x in sums[0])
-    b = Bucket(row, total, vocabulary, len(names))
-    own = np.bincount(b.room, b.n, b.rooms)
-    customers = Exchange(names, parts).back(reply[0])
-    shared = np.flatnonzero(customers > own)
-    exchange = Exchange(names[shared], parts)
-    # the first sweep takes one table a word and restaurant in proportion to the vocabulary
-    before = {"tables": np.minimum(customers, vocabulary), "up_tables": float(vocabulary)}
-    for k in range(SWEEPS):
-        b.sweep(k, before)
-        if k + 1 >= len(sums):
-            yield b, exchange, shared, customers, None
-            return
-        tables = np.bincount(b.room, b.tables, b.rooms)
-        tables[shared] = exchange.back(reply.get(k + 1, b""))
-        before = {"tables": tables, "up_tables": float(sums[k + 1][0]), "guests": float(sums[k + 1][1])}
-        b.set_parent(before)
-        yield b, exchange, shared, customers, before
-
-
-def train(cells: DataFrame, buckets: int) -> tuple[DataFrame | None, list[np.ndarray]]:
-    """(replies to each bucket by exchange k, sums of each exchange): k = 0 are the customers, with the
-    training tokens and the vocabulary, the others each sweep's tables, with the unigram restaurant's tables and guests."""
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                names = np.frombuffer(row.names, np.uint64)
-                b = Bucket(row, 1, 1, len(names))
-                made = Exchange(names, buckets).send(b.number, np.bincount(b.room, b.n, b.rooms))
-                yield pd.DataFrame([*made, (TOTALS, b.number, b"", np.array([b.n.sum(), (b.count > 0).sum()], np.int64).tobytes())], columns=["part", "bucket", "names", "v"])
-
-    def seated(sums: list[np.ndarray]):
-        def more(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-            made = []
+        return frame([total_row(part)], MOVED)
+    names, at = np.unique(wide(b"".join(part["names"]), 6), return_inverse=True)
+    sizes = part["size"].tolist()
+    total = np.bincount(at, np.concatenate([unsmall(v, n) for v, n in zip(part["v"], sizes, strict=True)]), len(names)).astype(np.int64)
+    edges = np.cumsum([0, *sizes])
+    out = []
+    for b, i, j in zip(part["bucket"].tolist(), edges[:-1], edges[1:], strict=True):
+        out += [(0, number, b, int(j - i), small(total[at[i:j]])), (1, number, b, int(j - i), numbers(at[i:j], len(names)))]
+    return frame(out, MOVED)
+
+
+def add_up(sent: pd.DataFrame, places: pd.DataFrame) -> pd.DataFrame:
+    """Each bucket's numbers, added up over all buckets."""
+    sent, places = sent.sort_values("bucket"), places.sort_values("bucket")
+    if len(sent) and (number := sent["part"].iloc[0]) == TOTALS:
+        return frame([total_row(sent)], MOVED)
+    if not len(sent):
+        return frame([], MOVED)
+    at = [unnumbers(v, n) for v, n in zip(places["v"], places["size"], strict=True)]
+    total = np.bincount(np.concatenate(at), np.concatenate([unsmall(v, n) for v, n in zip(sent["v"], sent["size"], strict=True)])).astype(np.int64)
+    return frame([(0, number, b, len(x), small(total[x])) for b, x in zip(sent["bucket"].tolist(), at, strict=True)], MOVED)
+
+
+def in_order(replies: pd.DataFrame) -> np.ndarray:
+    """A bucket's numbers for its contexts from the replies of all parts."""
+    replies = replies.sort_values("part")
+    found = [unsmall(v, n) for v, n in zip(replies["v"], replies["size"], strict=True)]
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def sums_of(replies: DataFrame) -> np.ndarray:
+    return np.frombuffer(replies.where(F.col("bucket") == TOTALS).first().v, np.int64)
+
+
+KNOWN = "k int, kind int, bucket int, part int, size int, v binary, up binary"
+
+
+def known(k: int, replies: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """What a bucket is told of sweep k: replies (kind 1) and its own state (kind 0)."""
+    told = replies.where(F.col("bucket") != TOTALS).select(F.lit(k).alias("k"), F.lit(1).alias("kind"), "bucket", "part", "size", "v", F.lit(None).cast("binary").alias("up"))
+    if state is None:
+        return told
+    return told.unionByName(state.select(F.lit(k).alias("k"), F.lit(0).alias("kind"), "bucket", "part", "size", "v", "up"))
+
+
+def state_of(b: Bucket, told: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tables, tables of the unigram restaurant, tables of each context in all buckets) after sweep k."""
+    mine = told[told["k"] == k]
+    own = mine[mine["kind"] == 0]
+    rooms = in_order(mine[mine["kind"] == 1])
+    return unsmall(own["v"].iloc[0], len(b.n)), unsmall(own["up"].iloc[0], b.n_words), rooms
+
+
+STATE = "kind int, part int, bucket int, size int, v binary, up binary"
+
+
+def sweeps(cells: DataFrame, contexts: DataFrame) -> tuple[DataFrame, list[tuple[int, DataFrame, DataFrame, np.ndarray]], np.ndarray]:
+    """(customers, [(sweep, replies, state, sums)] after burn-in, sums of the corpus)."""
+    customers, places = save_by(first_sent(contexts).groupBy("part").applyInPandas(route, MOVED), "kind", 2)
+    sums = sums_of(customers)
+    release(contexts)
+
+    def step(k: int, whole):
+        def swept(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            out = []
             for row in part.itertuples():
-                *_, (b, exchange, shared, _, _) = replay(row, replies, sums, buckets)
-                made += exchange.send(b.number, np.bincount(b.room, b.tables, b.rooms)[shared])
-                made.append((TOTALS, b.number, b"", np.array([b.up_tables.sum(), b.guests.sum()], np.int64).tobytes()))
-            return pd.DataFrame(made, columns=["part", "bucket", "names", "v"])
+                b = Bucket(row, sums)
+                tables, up = b.sweep(k, *state_of(b, told, k - 1), (int(whole[0]), int(whole[1]))) if k else b.start()
+                moved = send(1, b.number, b.edges, b.by_room(tables), [int(up.sum()), int(b.guests(tables).sum())])
+                out += [(0, 0, b.number, 0, small(tables), small(up)), *((*m, None) for m in moved)]
+            return frame(out, STATE)
 
-        return more
+        return swept
 
-    words = cells.select("bucket", "n_words", "names", "word", "room", "n")
-    made, replies, sums = words.mapInPandas(first, SENT), None, []
+    kept: list = []
+    last = None
     for k in range(SWEEPS + 1):
-        got = save(made.groupBy("part").applyInPandas(add_up, REPLY))
-        cells.sparkSession.sparkContext._jvm.java.lang.System.gc()  # lets Spark delete the shuffle files of exchanges that are over
-        sums.append(np.frombuffer(r.v, np.int64) if (r := got.where(F.col("bucket") == TOTALS).first()) else np.zeros(2, np.int64))
-        got = got.where(F.col("bucket") != TOTALS).withColumn("k", F.lit(k))
-        replies = got if replies is None else replies.unionByName(got)
-        made = words.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(seated(list(sums)), SENT)
-    return replies, sums
+        told = known(k - 1, last[1], last[2]) if last else known(0, customers.limit(0))
+        state, sent = save_by(cells.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(step(k, last[3] if last else None), STATE), "kind", 2)
+        replies = save(sent.select("part", "bucket", "size", "v").groupBy("part").cogroup(places.select("part", "bucket", "size", "v").groupBy("part")).applyInPandas(add_up, MOVED))
+        release(sent)
+        if last and last[0] <= BURN_IN:
+            release(last[1], last[2])
+        last = (k, replies, state, sums_of(replies))
+        if k > BURN_IN:
+            kept.append(last)
+        forget(cells)
+    release(places)
+    return customers, kept, sums
+
+
+def forget(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of what is over."""
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def score_buckets(cells: DataFrame, replies: DataFrame, sums: list[np.ndarray], buckets: int) -> DataFrame:
-    """For each chunk and bucket the logarithms of the probabilities and of the base of the chunk's cells, in its order."""
+VALUES = "bucket int, cells int, p binary, count binary"
+
+
+def cell_values(cells: DataFrame, customers: DataFrame, kept: list, sums: np.ndarray) -> DataFrame:
+    """(bucket, p, count) of its cells: averaged probabilities, and training counts of the words."""
+    told = known(-1, customers)
+    for k, replies, state, _ in kept:
+        told = told.unionByName(known(k, replies, state))
+    whole = {k: (int(t[0]), int(t[1])) for k, _, _, t in kept}
 
-    def rows(part: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        total, vocabulary = (int(x) for x in sums[0])
-        made = []
+    def values(part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
         for row in part.itertuples():
-            p = 0.0
-            for k, (b, _, _, customers, after) in enumerate(replay(row, replies, sums, buckets)):
-                if k >= BURN_IN:
-                    p = p + context_probability(b.n, b.tables, b.parent[b.word], b.room, after, customers)
-            logs = np.log10(p / (SWEEPS - BURN_IN)).astype(np.float32)
-            base = np.log10((b.count + 0.1) / (total + 0.1 * (vocabulary + 1))).astype(np.float32)[b.word]
-            at, edges = np.frombuffer(row.at, np.int32), np.cumsum([0, *np.frombuffer(row.size, np.int64)])
-            for chunk, i, j in zip(np.frombuffer(row.chunk, np.int64).tolist(), edges[:-1], edges[1:], strict=True):
-                made.append((chunk, b.number, logs[at[i:j]].tobytes(), base[at[i:j]].tobytes()))
-        return pd.DataFrame(made, columns=["chunk", "bucket", "score", "base"])
+            b = Bucket(row, sums)
+            guests = in_order(told[told["k"] == -1])
+            p = sum(b.predict(*state_of(b, told, k), guests, whole[k]) for k in whole) / len(whole)
+            out.append((b.number, len(p), p.astype(np.float32).tobytes(), small(b.count[b.word])))
+        return frame(out, VALUES)
+
+    return cells.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(values, VALUES)
+
+
+ANSWERS = "chunk long, mark long, bucket int, size int, p binary, count binary"
+
+
+def answers(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """For each chunk and bucket the values of the chunk's cells, in its order."""
+
+    def rows(part: pd.DataFrame, value: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, v in zip(part.itertuples(), value.itertuples(), strict=True):
+            p, count = np.frombuffer(v.p, np.float32), unsmall(v.count, v.cells)
+            size = np.frombuffer(row.size, np.int64)
+            at, edges = unnumbers(row.at, int(size.sum())), np.cumsum([0, *size])
+            for chunk, mark, i, j in zip(np.frombuffer(row.chunk, np.int64).tolist(), np.frombuffer(row.mark, np.int64).tolist(), edges[:-1], edges[1:], strict=True):
+                out.append((chunk, mark, row.bucket, int(j - i), p[at[i:j]].tobytes(), small(count[at[i:j]])))
+        return frame(out, ANSWERS)
 
-    return cells.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInPandas(rows, "chunk long, bucket int, score binary, base binary")
+    return asked.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(rows, ANSWERS)
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -330,26 +511,37 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def score(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), "text", (crc_mod(id_col, FOLDS) == 0).alias("held"))
-    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-length // (WORD_BYTES * BUCKET_TOKENS)))
-    dealt = save(deal(docs, buckets))
-    cells = save(dealt.where("bucket IS NOT NULL").select("bucket", "chunk", "word", "before", "n").groupBy("bucket").applyInPandas(build_bucket, CELLS))
-    replies, sums = train(cells, buckets)
-    total, vocabulary = (int(x) for x in sums[0])
-    least = np.log10(0.6 / (total + 0.1 * (vocabulary + 1)))  # between no occurrence and one
+    rows, length = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    if not rows:
+        return docs.sparkSession.createDataFrame([], SCORED)
+    buckets = max(1, -(-(length or 0) // (WORD_BYTES * BUCKET_TOKENS)))
+    built = deal(docs, buckets, False).groupBy("bucket").applyInPandas(lambda part: build_bucket(part, buckets), BUILT)
+    cells, contexts, asked = save_by(built, "kind", 3)
+    forget(docs)
+    slim = cells.select("bucket", "cells", "rooms", "runs", "room", "n", "edges")
+    customers, kept, sums = sweeps(slim, contexts)
+    values = save(cell_values(slim, customers, kept, sums))
+    release(cells, customers, *(t for k in kept for t in k[1:3]))
+    forget(docs)
+    total, vocabulary = int(sums[0]), int(sums[1])
 
     def texts(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        answers = answers.sort_values("bucket")
-        logs, base = (np.frombuffer(b"".join(answers[c]), np.float32).astype(float) for c in ("score", "base"))
         out = []
         for row in part.itertuples():
-            at, size = np.frombuffer(row.at, np.int32), np.frombuffer(row.size, np.int32).astype(np.int64)
+            mine = answers.sort_values("bucket")
+            if (mine["mark"] != row.mark).any():
+                raise ValueError("the documents came in another order when they were read again: save them as a table first")
+            logs = np.log10(np.frombuffer(b"".join(mine["p"]), np.float32).astype(float))
+            count = np.concatenate([unsmall(v, n) for v, n in zip(mine["count"], mine["size"], strict=True)])
+            base = np.log10((count + 0.1) / (total + 0.1 * (vocabulary + 1)))
+            n = len(row.null)
+            size = unsmall(row.size, n)
+            at = unnumbers(row.at, int(size.sum()))
             starts = np.concatenate([[0], np.cumsum(size)[:-1]])
             ids = pd.array(np.frombuffer(row.id, np.int64), dtype="Int64")
             ids[np.frombuffer(row.null, bool)] = pd.NA
             add = lambda x: np.add.reduceat(x[at], starts)  # noqa: B023, E731
-            out.append(pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(row.held, bool), "n_tokens": size, "n_known": add((base > least).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(logs)}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
+            out.append(pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(row.held, bool), "n_tokens": size, "n_known": add((count > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(logs)}))
+        return pd.concat(out) if out else frame([], SCORED)
 
-    chunks = dealt.where("bucket IS NULL").select("chunk", "id", "null", "held", "size", "at")
-    return chunks.groupBy("chunk").cogroup(score_buckets(cells, replies, sums, buckets).groupBy("chunk")).applyInPandas(texts, SCORED)
+    return deal(docs, buckets, True).groupBy("chunk").cogroup(answers(asked.select("bucket", "chunk", "mark", "size", "at"), values).groupBy("chunk")).applyInPandas(texts, SCORED)
