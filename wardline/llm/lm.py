@@ -222,7 +222,7 @@ def seat(rng: np.random.Generator, n: np.ndarray, first: np.ndarray, more: np.nd
     q = more[large] / discount * (1 - gone)
     tilt = np.ones(len(n))
     tilt[large] = gone / (1 - q)
-    lows = [1, 2, 8, 32, 128, 512]
+    lows = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]
     for low, high in zip(lows, [*lows[1:], EXACT], strict=True):
         some = np.flatnonzero((n > low) & ((n <= high) | (high == EXACT)))
         mean = np.ones(len(some))
@@ -230,15 +230,16 @@ def seat(rng: np.random.Generator, n: np.ndarray, first: np.ndarray, more: np.nd
         for i in range(1, int(reach.max(initial=1))):  # a bound on the number of tables that matter
             odds = first[some] + more[some] * mean
             mean += np.where(i < reach, odds / (i - discount * mean + odds), 0)
-        some = some[np.lexsort((-reach, np.ceil(np.log2(mean))))]
-        at = 0
-        while at < len(some):
-            widest = np.ceil(np.log2(mean)).max() if len(mean) else 0
-            step = max(1, int(2_000_000 // min(EXACT, 2 ** (widest + 2) + 40)))
-            rows = some[at : at + step]
-            rows = rows[np.argsort(-np.minimum(n[rows], EXACT), kind="stable")]
-            tables[rows] = _exact(u[rows], np.minimum(n[rows], EXACT), first[rows], more[rows], discount, min(EXACT, int(2 ** (widest + 2) + 40)), tilt[rows])
-            at += step
+        class_ = np.ceil(2 * np.log2(mean)).astype(int)
+        for c in np.unique(class_).tolist():
+            own, most = some[class_ == c], 2 ** (c / 2)
+            spread = (most + most * most * (more[own] / np.maximum(first[own], 1e-300)).max()) ** 0.5
+            width = int(min(high, most + 8 * spread + 6))
+            step = max(1, 500_000 // min(high, width))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
+                rows = rows[np.argsort(-np.minimum(n[rows], EXACT), kind="stable")]
+                tables[rows] = _exact(u[rows], np.minimum(n[rows], EXACT), first[rows], more[rows], discount, width, tilt[rows])
     lam = (q / (1 - q)) * rng.gamma(tables[large] + first[large] / np.maximum(more[large], 1e-12))
     tables[large] += rng.poisson(np.where(more[large] > 0, lam, first[large] / discount * (1 - gone)))
     return np.minimum(tables, n)
