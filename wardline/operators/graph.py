@@ -114,7 +114,7 @@ def nearest(points: DataFrame, centers: DataFrame, weight: bool = True) -> DataF
     listed = centers.agg(F.sort_array(F.collect_list(F.struct("district", "cx", "cy", "weight"))).alias("cs"))
     apart = lambda c: ((F.col("lon") - c.cx) * (F.col("lon") - c.cx) + (F.col("lat") - c.cy) * (F.col("lat") - c.cy)) * (c.weight if weight else F.lit(1.0))
     best = F.array_min(F.transform("cs", lambda c: F.struct(apart(c).alias("far"), c.district.alias("district"))))
-    return points.join(F.broadcast(listed)).select("ubid", best.getField("district").alias("district"))
+    return points.join(listed).select("ubid", best.getField("district").alias("district"))
 
 
 def repair_connectivity(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:

@@ -49,7 +49,7 @@ def paint(pixels: DataFrame, blocks: DataFrame, colors: DataFrame, density: bool
     if density:
         shade = log_density(F.col("pop"), F.col("area"))
         top = blocks.agg(F.max(shade).alias("top"))
-        shown = shown.join(F.broadcast(top)).withColumn("shade", 1 - 0.5 * grey_level(shade, F.col("top")) / 255.0)
+        shown = shown.join(top).withColumn("shade", 1 - 0.5 * grey_level(shade, F.col("top")) / 255.0)
         shown = shown.withColumns({c: (F.col(c) * F.col("shade")).cast("int") for c in "rgb"})
     if marked is not None:
         shown = shown.join(marked.select("ubid", F.lit(True).alias("m")), "ubid", "left")
@@ -62,12 +62,14 @@ def point_plot(blocks: DataFrame, width: int, height: int) -> DataFrame:
     """(x, y, district) with points scaled into the picture, 0.999 of its size."""
     e = blocks.agg(F.min("lon").alias("x0"), F.max("lon").alias("x1"), F.min("lat").alias("y0"), F.max("lat").alias("y1"))
     at = lambda v, a, b, n: F.coalesce(F.floor(F.try_divide((F.col(v) - F.col(a)).cast("double"), F.col(b) - F.col(a)) * n * 0.999), F.lit(0)).cast("int")
-    spots = blocks.join(F.broadcast(e)).select("ubid", "district", at("lon", "x0", "x1", width).alias("x"), (F.lit(height - 1) - at("lat", "y0", "y1", height)).cast("int").alias("y"))
+    spots = blocks.join(e).select("ubid", "district", at("lon", "x0", "x1", width).alias("x"), (F.lit(height - 1) - at("lat", "y0", "y1", height)).cast("int").alias("y"))
     return spots.groupBy("x", "y").agg(F.max_by("district", "ubid").alias("district"))
 
 
 def png(pixels: DataFrame, width: int, height: int) -> bytes:
-    """RGBA picture of (x, y, r, g, b) rows; its size, width * height, is the caller's."""
+    """RGBA picture of (x, y, r, g, b) rows, one a pixel; the picture is made on the driver, so its size is bounded."""
+    if width * height > 100_000_000:
+        raise ValueError("a picture of more than 100 million pixels: cut it into tiles")
     image = np.zeros((height, width, 4), np.uint8)
     got = clip(pixels, width, height).toPandas()
     image[got["y"], got["x"], :3] = got[["r", "g", "b"]].to_numpy()

@@ -47,16 +47,49 @@ def _(spark, sf):
     return spark.createDataFrame(sorted(found.items()), "district int, color int")
 
 
-@query("v01_random_seeds")
+def draw_sql(seed, *columns: str) -> str:
+    """solvers.draw in SQL."""
+    return f"(('0x' || substr(md5({' || '.join([f"'{seed}'", *(f"':' || {c}" for c in columns)])}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE"
+
+
+SEEDS_SQL = f"""one AS (SELECT ubid, {draw_sql(3, "ubid")} AS u FROM blocks ORDER BY u, ubid LIMIT 7), own AS (SELECT ubid, (row_number() OVER (ORDER BY u, ubid) - 1)::INT AS district FROM one),
+near AS (SELECT e.b AS ubid, district, {draw_sql(4, "e.b")} AS v FROM own JOIN both_ways e ON e.a = own.ubid WHERE e.b NOT IN (SELECT ubid FROM own)),
+picked AS (SELECT district, arg_min(ubid, v) AS ubid FROM near GROUP BY 1)"""
+
+
+@query("v01_random_seeds", B.sql("blocks edges both", "SELECT ubid, district FROM own UNION ALL SELECT ubid, min(district) FROM picked GROUP BY 1", SEEDS_SQL))
 def _(spark, sf):
     return solvers.random_seeds(B.blocks(spark, sf), B.edges(spark, sf), 7, 3).where("district IS NOT NULL").select("ubid", "district")
 
 
-@query("v04_grab_scores")
-def _(spark, sf):
+GRAB_SQL = f"""goal AS (SELECT sum(pop) / 7.0::DOUBLE AS target FROM blocks),
+c AS (SELECT district, pop, area_x::DOUBLE / area AS cx, area_y::DOUBLE / area AS cy FROM sums),
+rim AS (SELECT x.district, count(*) AS rim, avg(sqrt((x.lon - c.cx) ** 2 + (x.lat - c.cy) ** 2)) AS r FROM blocks x JOIN c USING (district)
+  WHERE EXISTS (SELECT 1 FROM both_ways e JOIN blocks y ON e.b = y.ubid WHERE e.a = x.ubid AND y.district <> x.district) GROUP BY 1),
+d AS (SELECT c.*, coalesce(rim, 0) AS rim, r FROM c LEFT JOIN rim USING (district)),
+around AS (SELECT e.a AS ubid, y.district AS nd, count(*) AS n FROM both_ways e JOIN blocks y ON e.b = y.ubid GROUP BY 1, 2),
+m AS (SELECT b.ubid, a.nd AS taker, t.pop AS tp, o.pop AS op, sqrt((lon - t.cx) ** 2 + (lat - t.cy) ** 2) / t.r AS t_far, sqrt((lon - o.cx) ** 2 + (lat - o.cy) ** 2) / o.r AS o_far, t.rim AS t_rim,
+    (coalesce((SELECT n FROM around w WHERE w.ubid = b.ubid AND w.nd = b.district), 0) - a.n)::DOUBLE / (SELECT sum(n) FROM around w WHERE w.ubid = b.ubid) AS neighbours,
+    (SELECT sum((target - z.pop) / nullif((lon - z.cx) ** 2 + (lat - z.cy) ** 2, 0)) FROM d z, goal) AS pull, (t.pop - o.pop)::DOUBLE / o.pop AS gap
+  FROM around a JOIN blocks b USING (ubid) JOIN d t ON t.district = a.nd JOIN d o ON o.district = b.district, goal
+  WHERE a.nd <> b.district AND NOT (o.rim <= 1 OR (o.pop > 1 AND t.pop > target AND t.pop > o.pop))),
+f AS (SELECT ubid, taker, CASE WHEN t_rim <= 1 THEN 0 ELSE coalesce(t_far - 1, 0) END AS edge, coalesce(1 - o_far, 0) AS other_edge, neighbours, CASE WHEN op <= 1 THEN 10.0 WHEN tp > op THEN 3 * gap ELSE gap END AS pop,
+    1.0::DOUBLE AS lock, coalesce(pull / nullif(avg(pull) OVER (PARTITION BY taker), 0), 0) AS field, {draw_sql(0, "ubid", "taker")} AS random FROM m)"""
+
+
+def _moves(spark, sf):
     b = B.blocks(spark, sf).withColumn("lock", F.lit(0))
-    target = b.agg(F.sum("pop")).first()[0] / 7
-    return solvers.grab_scores(b, B.edges(spark, sf), target).select("ubid", "taker", F.round("score", 6).alias("score"))
+    return b, B.edges(spark, sf), b.agg(F.sum("pop")).first()[0] / 7
+
+
+@query("a20_score_ranges", B.sql("blocks edges both sums", "SELECT term, round(min(v), 6) AS low, round(max(v), 6) AS high FROM (UNPIVOT (SELECT edge, other_edge, neighbours, pop::DOUBLE AS pop, lock, field, random FROM f) ON edge, other_edge, neighbours, pop, lock, field, random INTO NAME term VALUE v) GROUP BY 1", GRAB_SQL))
+def _(spark, sf):
+    return solvers.score_ranges(solvers.grab_features(*_moves(spark, sf))).select("term", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("v04_v05_grab_scores", B.sql("blocks edges both sums", "SELECT ubid, taker, round(edge * 1.2 + other_edge + neighbours * 0.3 + pop * 0.5 + lock * 0.1 + field * 0.001 + random * 0.1, 6) AS score FROM f", GRAB_SQL))
+def _(spark, sf):
+    return solvers.grab_scores(*_moves(spark, sf)).select("ubid", "taker", F.round("score", 6).alias("score"))
 
 
 @query("v02_grab_solver")
@@ -81,7 +114,13 @@ def _(spark, sf):
     return solvers.county_city_start(b, b.agg(F.sum("pop")).first()[0] / 12, 0.3)
 
 
-@query("v14_synthetic_maps")
+MAPS_SQL = f"""WITH party AS (SELECT trial, cell, CASE WHEN row_number() OVER (PARTITION BY trial ORDER BY u, cell) <= 10 THEN 'o' ELSE 'x' END AS label
+  FROM (SELECT trial, cell, {draw_sql(1, "trial", "cell")} AS u FROM range(2000) t(trial), range(25) c(cell))),
+won AS (SELECT map, trial, d, count(*) FILTER (label = 'x') >= count(*) FILTER (label = 'o') AS x FROM (SELECT *, CASE WHEN map = 0 THEN cell // 5 ELSE cell % 5 END AS d FROM party, (SELECT unnest([0, 1])::INT AS map)) GROUP BY 1, 2, 3)
+SELECT map, seats, count(*) AS n FROM (SELECT map, trial, count(*) FILTER (x) AS seats FROM won GROUP BY 1, 2) GROUP BY 1, 2"""
+
+
+@query("v14_synthetic_maps", MAPS_SQL)
 def _(spark, sf):
     maps = [[c // 5 for c in range(25)], [c % 5 for c in range(25)]]
     return solvers.synthetic_maps(spark, maps, 10, 2000)
@@ -98,19 +137,26 @@ def _(spark, sf):
     return lists.select("ubid", F.size("pixels").alias("pixels"))
 
 
-@query("r05_point_plot")
+@query("r05_point_plot", B.sql("blocks", """SELECT x, y, arg_max(district, ubid) AS district FROM (SELECT ubid, district, coalesce(floor((lon - x0)::DOUBLE / nullif(x1 - x0, 0) * 200 * 0.999::DOUBLE), 0)::INT AS x,
+  199 - coalesce(floor((lat - y0)::DOUBLE / nullif(y1 - y0, 0) * 200 * 0.999::DOUBLE), 0)::INT AS y FROM blocks, (SELECT min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM blocks)) GROUP BY 1, 2"""))
 def _(spark, sf):
     return raster.point_plot(B.blocks(spark, sf), 200, 200)
 
 
-@query("r06_painted_pixels")
+PAINT_SQL = """SELECT ((lon // 500) + dx)::INT AS x, ((100000 - lat) // 500 - 1 - dy)::INT AS y, trunc(CASE WHEN place = 1 THEN r * 0.5 + 127.5 ELSE r END)::INT AS r, trunc(CASE WHEN place = 1 THEN g * 0.5 + 127.5 ELSE g END)::INT AS g,
+  trunc(CASE WHEN place = 1 THEN b * 0.5 + 127.5 ELSE b END)::INT AS b FROM (SELECT *, trunc(district * 37 % 256 * s)::INT AS r, trunc(district * 91 % 256 * s)::INT AS g, trunc(district * 173 % 256 * s)::INT AS b
+  FROM (SELECT *, 1 - 0.5::DOUBLE * least(255, trunc(v / max(v) OVER () * 255)) / 255.0::DOUBLE AS s FROM (SELECT *, ln(pop::DOUBLE / area + 1) AS v FROM blocks))), range(2) a(dx), range(2) c(dy)"""
+
+
+@query("r06_j09_painted_pixels", B.sql("blocks", PAINT_SQL))
 def _(spark, sf):
     b = B.blocks(spark, sf)
     colors = spark.range(7).select(F.col("id").cast("int").alias("district"), *((F.col("id") * k % 256).cast("int").alias(c) for c, k in zip("rgb", (37, 91, 173), strict=True)))
     return raster.paint(raster.fill(squares(b), 0.0, 100000.0, 500.0, 500.0), b, colors, density=True, marked=b.where("place = 1"))
 
 
-@query("g09_district_outlines")
+@query("g09_district_outlines", B.sql("blocks", """SELECT district, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (SELECT district, lon + 1000 * a AS x1, lat + 1000 * b AS y1, lon + 1000 * c AS x2, lat + 1000 * d AS y2
+  FROM blocks, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (0, 1, 1, 1), (0, 0, 0, 1)) s(a, b, c, d)) GROUP BY district, x1, y1, x2, y2 HAVING count(*) = 1"""))
 def _(spark, sf):
     return raster.outlines(squares(B.blocks(spark, sf)), B.blocks(spark, sf))
 

@@ -14,8 +14,9 @@ from wardline.shared import save as saved
 
 
 def draw(seed: int, *columns: str):
-    """Uniform in [0, 1) by hash: reruns agree whatever the partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53)) / float(1 << 53)
+    """Uniform in (0, 1) from the first 52 bits of an md5 of seed and columns: reruns agree whatever the partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def random_seeds(blocks: DataFrame, edges: DataFrame, districts: int, seed: int) -> DataFrame:
@@ -76,13 +77,12 @@ WEIGHTS = {"edge": 1.2, "other_edge": 1.0, "neighbours": 0.3, "pop": 0.5, "lock"
 LOCKED = 60
 
 
-def grab_scores(blocks: DataFrame, edges: DataFrame, target: float, seed: int = 0, generation: int = 0, factors: dict[str, float] | None = None) -> DataFrame:
-    """(ubid, taker, score) of every block that borders another district; lower is better.
+def grab_features(blocks: DataFrame, edges: DataFrame, target: float, seed: int = 0, generation: int = 0) -> DataFrame:
+    """(ubid, taker, over, the terms of WEIGHTS) of every block that borders another district.
 
     blocks: ubid, lon, lat, pop, area, district, lock.  Banned moves have no row: a district's last
     edge block, and an oversized taker from a smaller district.
     """
-    k = WEIGHTS | (factors or {})
     wires = graph.both_ways(edges)
     d = blocks.where("district IS NOT NULL").groupBy("district").agg(
         F.sum("pop").alias("dpop"), F.try_divide(F.sum(F.col("area") * F.col("lon").cast("double")), F.sum("area")).alias("cx"), F.try_divide(F.sum(F.col("area") * F.col("lat").cast("double")), F.sum("area")).alias("cy")
@@ -100,7 +100,7 @@ def grab_scores(blocks: DataFrame, edges: DataFrame, target: float, seed: int =
     moves = moves.join(own, ["ubid", "district"], "left").join(degree, "ubid")
     t = d.select(F.col("district").alias("taker"), F.col("dpop").alias("tp"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), F.col("rim").alias("t_rim"), F.col("mean_r").alias("t_r"))
     o = d.select("district", F.col("dpop").alias("op"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("rim").alias("o_rim"), F.col("mean_r").alias("o_r"))
-    m = moves.join(t, "taker").join(o, "district", "left").join(F.broadcast(listed))
+    m = moves.join(t, "taker").join(o, "district", "left").join(listed)
     free = F.col("district").isNull()
     banned = ~free & ((F.col("o_rim") <= 1) | ((F.col("op") > 1) & (F.col("tp") > target) & (F.col("tp") > F.col("op"))))
     m = m.where(~banned)
@@ -113,8 +113,22 @@ def grab_scores(blocks: DataFrame, edges: DataFrame, target: float, seed: int =
     pull = F.aggregate("ds", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_divide(target - x.dpop, (F.col("lon") - x.cx) * (F.col("lon") - x.cx) + (F.col("lat") - x.cy) * (F.col("lat") - x.cy)), F.lit(0.0)))
     m = m.withColumn("pull", pull)
     field = F.coalesce(F.try_divide(F.col("pull"), F.avg("pull").over(Window.partitionBy("taker"))), F.lit(0.0))
-    score = edge * k["edge"] + other * k["other_edge"] + neigh * k["neighbours"] + pop * k["pop"] + (F.col("lock") / 5.0 + 1) * k["lock"] + field * k["field"] + draw(seed + generation, "ubid", "taker") * k["random"]
-    return m.select("ubid", "taker", score.alias("score"), (F.col("tp") > target).alias("over"))
+    terms = {"edge": edge, "other_edge": other, "neighbours": neigh, "pop": pop, "lock": F.col("lock") / 5.0 + 1, "field": field, "random": draw(seed + generation, "ubid", "taker")}
+    return m.select("ubid", "taker", (F.col("tp") > target).alias("over"), *(terms[k].alias(k) for k in WEIGHTS))
+
+
+def grab_scores(blocks: DataFrame, edges: DataFrame, target: float, seed: int = 0, generation: int = 0, factors: dict[str, float] | None = None) -> DataFrame:
+    """(ubid, taker, score, over): the weighted sum of a move's terms; lower is better."""
+    k = WEIGHTS | (factors or {})
+    found = grab_features(blocks, edges, target, seed, generation)
+    score = sum((F.col(c) * k[c] for c in list(WEIGHTS)[1:]), F.col("edge") * k["edge"])
+    return found.select("ubid", "taker", score.alias("score"), "over")
+
+
+def score_ranges(features: DataFrame) -> DataFrame:
+    """(term, low, high) over all moves."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("term"), F.col(k).alias("v")) for k in WEIGHTS))).alias("t")
+    return features.select(each).select("t.*").groupBy("term").agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def grab_step(blocks: DataFrame, edges: DataFrame, target: float, generation: int, seed: int = 0) -> DataFrame:
@@ -179,6 +193,6 @@ def synthetic_maps(spark, maps: list[list[int]], minority: int, trials: int, see
     order = Window.partitionBy("trial").orderBy(draw(seed, "trial", "cell"), "cell")
     party = cells.select("trial", "cell", F.when(F.row_number().over(order) <= minority, "o").otherwise("x").alias("label"))
     layout = spark.createDataFrame([(m, c, d) for m, grid in enumerate(maps) for c, d in enumerate(grid)], "map int, cell int, district int")
-    counts = party.join(F.broadcast(layout), "cell").groupBy("map", "trial", "district").agg(F.count_if(F.col("label") == "x").alias("x"), F.count_if(F.col("label") == "o").alias("o"))
+    counts = party.join(layout, "cell").groupBy("map", "trial", "district").agg(F.count_if(F.col("label") == "x").alias("x"), F.count_if(F.col("label") == "o").alias("o"))
     seats = counts.groupBy("map", "trial").agg(F.count_if(F.col("x") >= F.col("o")).alias("seats"))
     return seats.groupBy("map", "seats").agg(F.count(F.lit(1)).alias("n"))
