@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.operators import graph, metrics, raster, windows
 from wardline.plans import bindings as B
 from wardline.plans import solvers
+from wardline.sources import sinks
 
 
 def path_blocks(spark, labels):
@@ -44,7 +45,7 @@ def test_fragment_ties(spark, labels, district, kept):
 def test_connectivity_repair(spark):
     nodes = spark.createDataFrame([(i, x, 0) for i, x in enumerate([0, 1, 10, 11, 30])], "ubid long, lon long, lat long")
     edges = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
-    assert [tuple(r) for r in graph.repair_connectivity(nodes, edges, 4.0).collect()] == [(2, 1), (4, 3)]
+    assert [tuple(r) for r in graph.repair_connectivity(nodes, edges, 4.0).collect()] == [(1, 2), (3, 4)]
 
 
 def test_contiguity_holds_on_the_grid(spark, sf_dir):
@@ -131,3 +132,108 @@ def test_outline_of_two_squares_drops_the_shared_side(spark):
 def test_weighted_pick(spark):
     c = spark.createDataFrame([("a", 1.0, False), ("b", 3.0, False), ("c", 9.0, True)], "name string, weight double, disabled boolean")
     assert [windows.weighted_pick(c, u).first().name for u in (0.1, 0.26, 0.99)] == ["a", "b", "b"]
+
+
+def grid(spark, sf_dir, n):
+    b = B.blocks(spark, sf_dir).where(f"ubid < {n}")
+    e = B.edges(spark, sf_dir).where(f"a < {n} AND b < {n}")
+    return b, e, {r.ubid: r for r in b.collect()}, [tuple(r) for r in e.collect()]
+
+
+def plain_components(nodes, edges):
+    parent = {x: x for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a in parent and b in parent:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in nodes}
+
+
+def plain_contiguity(rows, edges, district):
+    """District by district all parts but the largest go; orphans join the nearest centre, round by round."""
+    parts = plain_components(rows, [(a, b) for a, b in edges if district[a] == district[b]])
+    now = {}
+    for d in set(district.values()):
+        own = [parts[x] for x in rows if district[x] == d]
+        best = max(set(own), key=lambda c: (own.count(c), c == min(own), c))
+        now |= {x: d for x in rows if district[x] == d and parts[x] == best}
+    near = {x: [b for a, b in edges if a == x] + [a for a, b in edges if b == x] for x in rows}
+    while True:
+        centre = {}
+        for d in set(now.values()):
+            own = [rows[x] for x in now if now[x] == d]
+            area = sum(r.area for r in own)
+            centre[d] = (sum(r.area * float(r.lon) for r in own) / area, sum(r.area * float(r.lat) for r in own) / area)
+        given = {}
+        for x in rows:
+            offers = {now[y] for y in near[x] if y in now} if x not in now else ()
+            if offers:
+                given[x] = min(offers, key=lambda d: ((rows[x].lon - centre[d][0]) ** 2 + (rows[x].lat - centre[d][1]) ** 2, d))
+        if not given:
+            return now
+        now |= given
+
+
+def test_contiguity_equals_a_plain_repair(spark, sf_dir):
+    b, e, rows, edges = grid(spark, sf_dir, 150)
+    got = {r.ubid: r.district for r in graph.fix_contiguity(e, b).collect()}
+    assert got == plain_contiguity(rows, edges, {x: r.district for x, r in rows.items()})
+
+
+def test_bridges_equal_a_plain_spanning_tree(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(0, 4000), rng.randrange(0, 4000)) for i in range(25)] + [(25 + i, 90_000 + rng.randrange(3000), 0) for i in range(4)] + [(40, 300_000, 300_000)]
+    edges = [(0, 1), (1, 2), (5, 9), (26, 27)]
+    got = {tuple(r) for r in graph.repair_connectivity(spark.createDataFrame(rows, "ubid long, lon long, lat long"), spark.createDataFrame(edges, "a long, b long"), 300.0).collect()}
+    label, want = plain_components([r[0] for r in rows], edges), set()
+    for _, a, b in sorted(((x1 - x2) ** 2 + (y1 - y2) ** 2, a, b) for a, x1, y1 in rows for b, x2, y2 in rows if a < b):
+        if label[a] != label[b]:
+            want.add((a, b))
+            old = label[b]
+            label = {x: label[a] if c == old else c for x, c in label.items()}
+    assert got == want
+
+
+def test_nearest_solver_equals_a_plain_run(spark, sf_dir):
+    import hashlib
+
+    b, e, rows, edges = grid(spark, sf_dir, 120)
+    draw = lambda x: (int(hashlib.md5(f"3:{x}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    centres = [[float(rows[x].lon), float(rows[x].lat), 1.0] for x in sorted(rows, key=lambda x: (draw(x), x))[:4]]
+    target = sum(r.pop for r in rows.values()) / 4
+    for _ in range(3):
+        where = {x: min(range(4), key=lambda d: (((r.lon - centres[d][0]) ** 2 + (r.lat - centres[d][1]) ** 2) * centres[d][2], d)) for x, r in rows.items()}
+        for d, c in enumerate(centres):
+            own = [r for x, r in rows.items() if where[x] == d]
+            pop, area = sum(r.pop for r in own), sum(r.area for r in own)
+            if own:
+                c[0] += 0.01 * (sum(r.area * float(r.lon) for r in own) / area - c[0])
+                c[1] += 0.01 * (sum(r.area * float(r.lat) for r in own) / area - c[1])
+            c[2] *= 1.01 if pop > target else 0.99 if pop < target else 1.0
+    got = {r.ubid: r.district for r in solvers.Nearest().run(b, 4, 3, seed=3, edges=e).collect()}
+    assert got == plain_contiguity(rows, edges, where)
+
+
+def test_district_colors_differ_between_neighbours(spark, sf_dir):
+    from wardline.plans.programs import QUERIES
+
+    color = {r.district: r.color for r in QUERIES["g08_district_colors"](spark, sf_dir).collect()}
+    pairs = graph.district_adjacency(B.edges(spark, sf_dir), B.blocks(spark, sf_dir)).collect()
+    assert len(color) == 7 and pairs and all(color[p.d1] != color[p.d2] for p in pairs if p.d1 is not None)
+
+
+def test_reports_refuse_to_cut_rows(spark):
+    with pytest.raises(ValueError):
+        sinks.report_text(spark.range(5), most=4)
+    html = sinks.report_text(spark.createDataFrame([("<b>",)], "name string"), "html")
+    assert "&lt;b&gt;" in html and sinks.seats_votes_svg(spark.createDataFrame([(0.5, 0.25, 3)], "votes double, seats double, n int")).count("<circle") == 1
+    svg = sinks.scatter_svg(spark.range(5000).selectExpr("double(id % 50) spread", "double(id % 20) kmpp"))
+    assert svg.count("<circle") == 100

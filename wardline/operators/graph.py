@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,44 +116,43 @@ def nearest(points: DataFrame, centers: DataFrame, weight: bool = True) -> DataF
 
 
 def repair_connectivity(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
-    """Bridging edges (a, b) that join all components, each the shortest from a reached to an unreached block.
+    """Bridging edges (a, b) that join all components by the least total distance.
 
-    Candidate bridges are the nearest pairs between components in neighbouring grid cells; the cell
-    grows until all are joined.  The components, few by nature, are then spanned on the driver.
+    In each round every component takes the shortest way out of it, which are joined in; the number of
+    components halves at least.  Ways out are looked for in neighbouring cells of a grid, where a way no longer
+    than a cell is always found; components that have none ask again with cells twice as wide.
+    Blocks without a place are left out.
     """
-    label = saved(components(nodes.select("ubid"), edges).join(nodes.select("ubid", "lon", "lat"), "ubid"))
-    start = label.agg(F.min_by("component", "ubid")).first()[0]
-    n = label.select("component").distinct().count()
-    pairs: list = []
-    while n > 1:
-        at = lambda c: F.floor(F.col(c) / cell).cast("long")
-        left = label.select("component", F.col("ubid").alias("a"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), at("lon").alias("gx"), at("lat").alias("gy"))
-        near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-        right = reduce(DataFrame.unionByName, [label.select(F.col("component").alias("other"), F.col("ubid").alias("b"), F.col("lon").alias("bx"), F.col("lat").alias("by"), (at("lon") + dx).alias("gx"), (at("lat") + dy).alias("gy")) for dx, dy in near])
-        far = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
-        met = left.join(right, ["gx", "gy"]).where("component <> other").groupBy("component", "other").agg(F.min(F.struct(far.alias("far"), F.col("a"), F.col("b"))).alias("m"))
-        pairs = [(r.component, r.other, r.m.far, r.m.a, r.m.b) for r in met.collect()]  # one row for each pair of neighbouring components
-        seen, todo = {start}, {start}
-        while todo:
-            c = todo.pop()
-            new = {o for a, o, *_ in pairs if a == c} - seen
-            seen |= new
-            todo |= new
-        if len(seen) == n:
-            break
-        cell *= 2
-    reached, bridges = {start}, []
-    while len(reached) < n:
-        _, _, far, a, b = min((p for p in pairs if p[0] not in reached and p[1] in reached), key=lambda p: (p[2], p[3], p[4]))
-        comp = next(p[0] for p in pairs if p[3] == a and p[4] == b and p[0] not in reached)
-        reached.add(comp)
-        bridges.append((a, b))
-    return nodes.sparkSession.createDataFrame(bridges, "a long, b long")
+    placed = saved(nodes.where("lon IS NOT NULL AND lat IS NOT NULL").select("ubid", "lon", "lat"))
+    bridges, wires = nodes.sparkSession.createDataFrame([], "a long, b long"), saved(edges.select("a", "b"))
+    while True:
+        label = saved(components(placed.select("ubid"), wires).join(placed, "ubid"))
+        if label.select("component").distinct().limit(2).count() < 2:
+            return bridges
+        asking, found, width = label, None, cell
+        while True:
+            at = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: E731, B023
+            around = F.explode(F.array(*(F.struct((at("lon") + dx).alias("gx"), (at("lat") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
+            left = asking.select("component", F.col("ubid").alias("a"), "lon", "lat", around.alias("g")).select("*", "g.*").drop("g")
+            right = label.select(F.col("component").alias("other"), F.col("ubid").alias("b"), F.col("lon").alias("x"), F.col("lat").alias("y"), at("lon").alias("gx"), at("lat").alias("gy"))
+            far = (F.col("lon") - F.col("x")) * (F.col("lon") - F.col("x")) + (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y"))
+            met = left.join(right, ["gx", "gy"]).where((F.col("component") != F.col("other")) & (far <= width * width))
+            way = F.min(F.struct(far.alias("far"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+            near = saved(met.groupBy("component").agg(way.alias("way")))
+            found = near if found is None else found.unionByName(near)
+            asking = saved(asking.join(near, "component", "left_anti"))
+            if asking.isEmpty():
+                break
+            width *= 2
+        new = saved(found.select("way.a", "way.b").distinct())
+        bridges, wires = bridges.unionByName(new), saved(wires.unionByName(new))
 
 
 def color_districts(adjacency: list[tuple[int, int]], districts: list[int], colors: int = 14) -> dict[int, int]:
     """Colors of districts (at most 253, so on the driver) such that neighbours differ; the search for
     each district starts behind the color before.  Falls back to district mod ``colors``."""
+    if len(districts) > 253:
+        raise ValueError("more than 253 districts")
     touch: dict[int, set[int]] = {d: set() for d in districts}
     for a, b in adjacency:
         if a in touch and b in touch and a != b:
