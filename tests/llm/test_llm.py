@@ -436,10 +436,9 @@ def brute_base(texts):
     return words, c, n, {i: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) for i, ws in words.items()}
 
 
-@pytest.mark.parametrize("hot", [8192, 40])
-def test_lm_counts_and_base(spark, monkeypatch, hot):
-    monkeypatch.setattr(lm, "HOT", hot)
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", 15_000)
+@pytest.mark.parametrize("tokens", [15_000, 1_000_000])
+def test_lm_counts_and_base(spark, monkeypatch, tokens):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", tokens)
     texts = corpus(2)
     words, c, n, base = brute_base(texts)
     got = lm.score(make(spark, texts)).collect()

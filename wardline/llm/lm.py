@@ -14,7 +14,7 @@ number of buckets follows the text's length.  A bucket adds up the cells of its
 sorts its restaurants by the part that adds up their tables over all buckets after each sweep; who
 has which place in a part is worked out once (``route``), after which only small numbers travel.
 At the end each bucket answers each chunk's cells, and the chunk, tokenized once more, adds up its texts.
-Nothing but a few sums goes to the driver, and no table is broadcast.  Tables that are no longer
+Logarithms travel to six decimals.  Nothing but a few sums goes to the driver, and no table is broadcast.  Tables that are no longer
 needed are deleted on the way.
 
 What is approximate: the ``SWEEPS - BURN_IN`` sweeps averaged are few; the dishes of a sweep are seated
@@ -29,7 +29,6 @@ unseen and the vocabulary empty; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +43,12 @@ from pyspark.sql import functions as F
 from wardline.llm.common import crc_mod, release, save
 from wardline.shared import save_by
 
-HOT, FOLDS = 8192, 10  # words whose hashes a task remembers
+FOLDS = 10
 BUCKET_TOKENS, CHUNK_BYTES, WORD_BYTES = 1_000_000, 6_000_000, 6  # they bound a task's memory only
 SWEEPS, BURN_IN = 5, 2
 STRENGTH = (5.0, 50.0)  # of contexts, of the unigram restaurant
-EXACT, UNSEEN = 1000, 0.5
+EXACT, UNSEEN = 512, 0.5
+TOGETHER = 4000  # dishes times tables that are as fast to seat as few
 END = b""  # no word is empty, so the empty string stands for the end token, and before the first word for the start
 
 
@@ -117,14 +117,13 @@ def deal(docs: DataFrame, buckets: int, texts: bool) -> DataFrame:
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in kinds.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = functools.lru_cache(HOT)(xxhash.xxh3_64_intdigest)
         number = (TaskContext.get().partitionId() << 32) - 1
 
         def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
             words, word, size = tokens(t["text"])
             held = t["held"].to_numpy().astype(bool)
-            key = np.fromiter(map(hashed, words), np.uint64, len(words))
+            key = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             of = (key % np.uint64(buckets)).astype(np.int64)
             before = np.concatenate([word[-1:], word[:-1]])  # each text ends with the end token
             at, cell = pd.factorize(word * len(words) + before)
@@ -222,15 +221,19 @@ def seat(rng: np.random.Generator, n: np.ndarray, first: np.ndarray, more: np.nd
     q = more[large] / discount * (1 - gone)
     tilt = np.ones(len(n))
     tilt[large] = gone / (1 - q)
-    lows = [1, 2, 4, 8, 16, 32, 64, 128, 256, 512]
+    lows = [1, 2, 4, 8, 16, 32, 64, 128, 256]
     for low, high in zip(lows, [*lows[1:], EXACT], strict=True):
         some = np.flatnonzero((n > low) & ((n <= high) | (high == EXACT)))
         mean = np.ones(len(some))
         reach = np.minimum(n[some], EXACT)
-        for i in range(1, int(reach.max(initial=1))):  # a bound on the number of tables that matter
+        i = 1
+        while i < reach.max(initial=1):  # about the number of tables, to bound those that matter
             odds = first[some] + more[some] * mean
-            mean += np.where(i < reach, odds / (i - discount * mean + odds), 0)
+            mean += np.clip(reach - i, 0, i) * odds / (i - discount * mean + odds)
+            i *= 2
         class_ = np.ceil(2 * np.log2(mean)).astype(int)
+        if len(some) * 2 ** (class_.max(initial=0) / 2) < TOGETHER:
+            class_[:] = class_.max(initial=0)
         for c in np.unique(class_).tolist():
             own, most = some[class_ == c], 2 ** (c / 2)
             spread = (most + most * most * (more[own] / np.maximum(first[own], 1e-300)).max()) ** 0.5
@@ -465,6 +468,7 @@ def forget(df: DataFrame) -> None:
 # ---------------------------------------------------------------- scoring
 
 
+LOG = 1 << 20  # negative decimal logarithms travel as whole multiples of 1 / LOG, in three bytes
 VALUES = "bucket int, cells int, p binary, count binary"
 
 
@@ -481,7 +485,7 @@ def cell_values(cells: DataFrame, customers: DataFrame, kept: list, sums: np.nda
             b = Bucket(row, sums)
             guests = in_order(told[told["k"] == -1])
             p = sum(b.predict(*state_of(b, told, k), guests, whole[k]) for k in whole) / len(whole)
-            out.append((b.number, len(p), p.astype(np.float32).tobytes(), small(b.count[b.word])))
+            out.append((b.number, len(p), narrow(np.minimum(np.rint(-np.log10(p) * LOG), (1 << 24) - 1), 3), small(b.count[b.word])))
         return frame(out, VALUES)
 
     return cells.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(values, VALUES)
@@ -496,11 +500,11 @@ def answers(asked: DataFrame, values: DataFrame) -> DataFrame:
     def rows(part: pd.DataFrame, value: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row, v in zip(part.itertuples(), value.itertuples(), strict=True):
-            p, count = np.frombuffer(v.p, np.float32), unsmall(v.count, v.cells)
+            p, count = wide(v.p, 3), unsmall(v.count, v.cells)
             size = np.frombuffer(row.size, np.int64)
             at, edges = unnumbers(row.at, int(size.sum())), np.cumsum([0, *size])
             for chunk, mark, i, j in zip(np.frombuffer(row.chunk, np.int64).tolist(), np.frombuffer(row.mark, np.int64).tolist(), edges[:-1], edges[1:], strict=True):
-                out.append((chunk, mark, row.bucket, int(j - i), p[at[i:j]].tobytes(), small(count[at[i:j]])))
+                out.append((chunk, mark, row.bucket, int(j - i), narrow(p[at[i:j]], 3), small(count[at[i:j]])))
         return frame(out, ANSWERS)
 
     return asked.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInPandas(rows, ANSWERS)
@@ -532,7 +536,7 @@ def score(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             mine = answers.sort_values("bucket")
             if (mine["mark"] != row.mark).any():
                 raise ValueError("the documents came in another order when they were read again: save them as a table first")
-            logs = np.log10(np.frombuffer(b"".join(mine["p"]), np.float32).astype(float))
+            logs = -wide(b"".join(mine["p"]), 3) / LOG
             count = np.concatenate([unsmall(v, n) for v, n in zip(mine["count"], mine["size"], strict=True)])
             base = np.log10((count + 0.1) / (total + 0.1 * (vocabulary + 1)))
             n = len(row.null)
