@@ -700,6 +700,23 @@ def test_vector_near_duplicates(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_links_at_the_production_target(spark):
+    """64 dimensions, pairs just above the threshold: what the tables miss, and nothing below it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cos = rng.uniform(0.9502, 0.965, 900)[:, None]
+    side = rng.normal(size=(900, 64))
+    side -= (side * x[:900]).sum(axis=1)[:, None] * x[:900]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([x, cos * x[:900] + np.sqrt(1 - cos**2) * side])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    want = ((x @ x.T) >= 0.95).sum(axis=1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.99 * want.sum() and want.sum() >= 1800
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     monkeypatch.setattr(vectors, "QUERIES", 3)
@@ -802,6 +819,11 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert mixed.columns == docs.columns
     copies = Counter(r.doc_id for r in mixed.collect())
     assert copies and max(copies.values()) <= 3
+    odd = docs.withColumn("__score", F.lit("own")).withColumn("row", F.lit("own"))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and out.where("__score <> 'own' OR row <> 'own'").isEmpty()
+        assert stage(spark, docs.limit(0), str(tmp_path)).isEmpty()
     packed = P.run(spark, str(tmp_path)).toPandas()
     assert Counter(packed[packed["piece"] == 0]["doc_id"].tolist()) == copies
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
