@@ -717,11 +717,12 @@ def test_vector_links_at_the_production_target(spark):
     assert sum(got.values()) >= 0.99 * want.sum() and want.sum() >= 1800
 
 
-def test_top_k_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("scale", [1, 100_003, 10**7])
+def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(vectors, "BLOCK", 40)
     monkeypatch.setattr(vectors, "QUERIES", 3)
     rng = np.random.default_rng(6)
-    x = rng.integers(-20, 20, (150, 8))
+    x = rng.integers(-20 * scale, 20 * scale, (150, 8))
     x[30] = x[31] = x[32]
     rows = [(i, [int(v) for v in r]) for i, r in enumerate(x)] + [(200, [1, 2])]
     df = spark.createDataFrame(rows, "id long, vec array<long>")

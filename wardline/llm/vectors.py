@@ -9,9 +9,10 @@ no task holds the whole key; a task returns sums and one spanning edge a vector,
 Substring length follows log2 of the row count, the number of tables the target recall at the
 threshold, so the work per vector stays level as the table grows.
 
-Exact top-k.  Each block of candidates keeps, beside its vectors, a cell number for every dimension.  The
-cells bound every inner product from both sides; the k-th largest lower bound discards most
-candidates, and the rest are read in order of their upper bound until the k-th result is certain.
+Exact top-k.  A vector-approximation file is written once: for each block of rows a cell number of one byte
+for every dimension, beside the vectors themselves.  A first scan of the cells bounds every inner product
+from below; the k-th largest lower bound of all blocks is the query's limit.  A second scan keeps the rows whose upper
+bound reaches it.  Only of those are exact vectors read, in order of their bounds until the k-th result is certain.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, and rows with a null id
 take no part (near_duplicates returns them alone, and zero vectors too); vectors of different
@@ -35,7 +36,7 @@ from wardline.llm.components import components
 
 SAMPLE, ITERATIONS, TARGET = 20_000, 40, 0.995
 BUCKET, GROUP = 2048, 20_000
-BLOCK, QUERIES, CELLS = 8192, 1024, 16
+BLOCK, QUERIES, CELLS = 8192, 4096, 256
 
 
 def valid(vec: str):
@@ -192,16 +193,39 @@ def whole_numbers(vec: str, scale: int = 64):
     return F.transform(F.col(vec), lambda v: F.floor(v.cast("double") * scale).cast("long"))
 
 
-def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows (id, vec) packed into about ``size`` rows a block: (dim, <name>, ids, vecs)."""
-    count = max(1, -(-rows.count() // size))
+APPROXIMATE, EXACT = ["dim", "d", "d_ids", "low", "width", "cells"], ["dim", "d", "d_ids", "kind", "vecs"]
+
+
+def vector_file(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks of about ``BLOCK`` rows (id, vec), and their number: cells beside exact vectors, read by columns."""
+    count = max(1, -(-rows.count() // BLOCK))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        x = np.stack(part["vec"].to_list()).astype(np.int64)
+        low = x.min(axis=0)
+        width = np.maximum(1, -(-(x.max(axis=0) - low + 1) // CELLS))  # whole numbers in a cell
+        kind = np.min_scalar_type(-1 - int(max(x.max(), -1 - x.min()))).str
+        return pd.DataFrame({
+            "dim": part["dim"].iloc[:1], "d": part["d"].iloc[:1], "d_ids": [part["id"].to_numpy(np.int64).tobytes()], "low": [low.tobytes()],
+            "width": [width.tobytes()], "cells": [((x - low) // width).astype(np.uint8).tobytes()], "kind": [kind], "vecs": [x.astype(kind).tobytes()],
+        })
+
+    dealt = rows.withColumns({"dim": F.size("vec"), "d": F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")})
+    return save(dealt.groupBy("dim", "d").applyInPandas(pack, "dim int, d int, d_ids binary, low binary, width binary, cells binary, kind string, vecs binary")), count
+
+
+def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
+    """Blocks of about ``QUERIES`` queries (id, vec, limit), and their number."""
+    count = max(1, -(-queries.count() // QUERIES))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        return pd.DataFrame({"dim": part["dim"].iloc[:1], name: part[name].iloc[:1], f"{name}_ids": [part["id"].to_numpy(np.int64).tobytes()], f"{name}_vecs": [np.stack(part["vec"].to_list()).astype(np.int64).tobytes()]})
+        x = np.stack(part["vec"].to_list()).astype(np.int64)
+        return pd.DataFrame({"dim": part["dim"].iloc[:1], "q": part["q"].iloc[:1], "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_vecs": [x.tobytes()], "limits": [part["limit"].to_numpy(float).tobytes()]})
 
-    dealt = rows.withColumns({"dim": F.size("vec"), name: F.pmod(F.xxhash64("id", "vec"), F.lit(count)).cast("int")})
-    return dealt.groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, {name}_ids binary, {name}_vecs binary"), count
+    dealt = queries.withColumns({"dim": F.size("vec"), "q": F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")})
+    return dealt.groupBy("dim", "q").applyInPandas(pack, "dim int, q int, q_ids binary, q_vecs binary, limits binary"), count
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,61 +235,76 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query id, vec ids, scores) of the k best of one block for each query; ids ascend."""
-    low = x.min(axis=0)
-    width = np.maximum(1, -(-(x.max(axis=0) - low + 1) // CELLS))  # whole numbers in a cell
-    corner = (low + (x - low) // width * width).astype(float)
-    reach = (width - 1).astype(float)
-    for at in range(0, len(q), 256):
-        some = q[at : at + 256].astype(float)
+def bounds(r) -> Iterator[tuple[int, float, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query id, limit, rows that are not its own, lower, upper bounds) for each query of a pair of blocks."""
+    ids, q_ids, limits = np.frombuffer(r.d_ids, np.int64), np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.limits, float)
+    low, width = np.frombuffer(r.low, np.int64), np.frombuffer(r.width, np.int64)
+    corner = (low + np.frombuffer(r.cells, np.uint8).reshape(-1, r.dim).astype(np.int64) * width).astype(float)
+    asked, reach = np.frombuffer(r.q_vecs, np.int64).reshape(-1, r.dim).astype(float), (width - 1).astype(float)
+    for at in range(0, len(asked), 256):
+        some = asked[at : at + 256]
         base = some @ corner.T
-        up, down = np.maximum(some, 0) @ reach, np.minimum(some, 0) @ reach
         slack = 1e-9 * np.abs(base).max(initial=1.0)
-        for r in range(len(some)):
-            own, row = ids == q_ids[at + r], base[r]
-            row[own] = -np.inf
-            n = len(ids) - int(own.sum())
-            if not n:
-                continue
-            kth = np.partition(row, len(row) - min(k, n))[len(row) - min(k, n)] + down[r]
-            left = np.flatnonzero(row + up[r] >= kth - slack)
-            left = left[~own[left]]
-            left = left[np.argsort(-row[left], kind="stable")]
-            got_i, got_s, step = np.empty(0, np.int64), np.empty(0, np.int64), max(64, 2 * k)
-            for b in range(0, len(left), step):
-                if len(got_s) >= k and row[left[b]] + up[r] < got_s[k - 1] - slack:
-                    break  # no candidate further on can reach the k-th result
-                i = left[b : b + step]
-                got_i, got_s = np.append(got_i, ids[i]), np.append(got_s, inner(q[at + r : at + r + 1], x[i])[0])
-                best = np.lexsort((got_i, -got_s))[:k]
-                got_i, got_s = got_i[best], got_s[best]
-            yield q_ids[at + r], got_i, got_s
+        up, down = np.maximum(some, 0) @ reach + slack, np.minimum(some, 0) @ reach - slack
+        for k in range(len(some)):
+            other = np.flatnonzero(ids != q_ids[at + k])
+            yield int(q_ids[at + k]), float(limits[at + k]), other, base[k, other] + down[k], base[k, other] + up[k]
 
 
 def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): rows and queries have (id, vec) of whole numbers."""
-    data, n_data = blocks(rows, BLOCK, "d")
-    asked, n_asked = blocks(queries.groupBy("id").agg(F.min("vec").alias("vec")), QUERIES, "q")
-    # every block of queries meets every block of rows once, under a key of its own
-    data = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    asked = asked.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
+    file, n_file = vector_file(rows)
+    asked = save(queries.groupBy("id").agg(F.min("vec").alias("vec")))
+
+    def met(limited: DataFrame) -> DataFrame:
+        """Every block of queries with the cells of every block of rows once, under a key of its own."""
+        some, n_some = query_blocks(limited)
+        every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        cells = file.select(*APPROXIMATE, every("q", n_some))
+        return some.select("*", every("d", n_file)).join(cells, ["dim", "q", "d"])
+
+    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                found = [(q, r.d, np.sort(low)[::-1][:k]) for q, _, _, low, _ in bounds(r)]
+                yield pd.DataFrame(found, columns=["id", "d", "best"])
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                arrays = [np.frombuffer(b, np.int64) for b in (r.q_ids, r.q_vecs, r.d_ids, r.d_vecs)]
-                found = list(search_block(arrays[0], arrays[1].reshape(-1, r.dim), arrays[2], arrays[3].reshape(-1, r.dim), k))
-                if found:
-                    yield pd.DataFrame({
-                        "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-                        "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found]),
-                    })
-
-    pairs = asked.join(data, ["dim", "q", "d"])
-    hits = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a block
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for q, limit, other, _, high in bounds(r):
+                    near = high >= limit
+                    if near.any():
+                        yield pd.DataFrame({"query_id": q, "dim": r.dim, "d": r.d, "at": other[near], "bound": high[near]})
+
+    def read(near: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(near):
+            b = next(block.itertuples())
+            ids, x = np.frombuffer(b.d_ids, np.int64), np.frombuffer(b.vecs, b.kind).reshape(-1, b.dim)
+            for q, part in near.sort_values(["query_id", "bound"], ascending=[True, False]).groupby("query_id"):
+                vec, at, bound = np.array(part["vec"].iloc[0], np.int64)[None], part["at"].to_numpy(), part["bound"].to_numpy()
+                got_i, got_s, step = np.empty(0, np.int64), np.empty(0, np.int64), max(64, 2 * k)
+                for i in range(0, len(at), step):
+                    if len(got_s) >= k and bound[i] < got_s[k - 1]:
+                        break  # no candidate further on can reach the k-th result
+                    rows = at[i : i + step]
+                    got_i, got_s = np.append(got_i, ids[rows]), np.append(got_s, inner(vec, x[rows].astype(np.int64))[0])
+                    best = np.lexsort((got_i, -got_s))[:k]
+                    got_i, got_s = got_i[best], got_s[best]
+                out.append(pd.DataFrame({"query_id": q, "vec_id": got_i, "score": got_s}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+
+    best = met(asked.withColumn("limit", F.lit(float("-inf")))).mapInPandas(lower, "id long, d int, best array<double>")
+    largest = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("best")))), 1, k).alias("best")
+    best = best.groupBy("id", F.col("d") % 256).agg(largest).groupBy("id").agg(largest)  # k values for each 256th of the blocks
+    limit = F.when(F.size("best") >= k, F.element_at("best", -1)).otherwise(float("-inf"))
+    limits = save(best.select("id", limit.alias("limit")))
+    near = met(asked.join(limits, "id")).mapInPandas(within, "query_id long, dim int, d int, at int, bound double")
+    near = near.join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id")
+    hits = near.groupBy("dim", "d").cogroup(file.select(*EXACT).groupBy("dim", "d")).applyInPandas(read, "query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a block
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL of the search over ``embeddings``.
