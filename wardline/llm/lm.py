@@ -48,7 +48,7 @@ BUCKET_TOKENS, CHUNK_BYTES, WORD_BYTES = 1_000_000, 6_000_000, 6  # they bound a
 SWEEPS, BURN_IN = 5, 2
 STRENGTH = (5.0, 50.0)  # of contexts, of the unigram restaurant
 EXACT, UNSEEN = 512, 0.5
-TOGETHER = 4000  # dishes times tables that are as fast to seat as few
+TOGETHER = 8000  # dishes times tables that are as fast to seat as few
 END = b""  # no word is empty, so the empty string stands for the end token, and before the first word for the start
 
 
@@ -232,8 +232,14 @@ def seat(rng: np.random.Generator, n: np.ndarray, first: np.ndarray, more: np.nd
             mean += np.clip(reach - i, 0, i) * odds / (i - discount * mean + odds)
             i *= 2
         class_ = np.ceil(2 * np.log2(mean)).astype(int)
-        if len(some) * 2 ** (class_.max(initial=0) / 2) < TOGETHER:
-            class_[:] = class_.max(initial=0)
+        rows_of = np.bincount(class_)
+        top = rows = 0
+        for c in np.flatnonzero(rows_of)[::-1].tolist():  # few dishes go with those of the class above
+            rows += int(rows_of[c])
+            if top and rows * 2 ** (top / 2) < TOGETHER:
+                class_[class_ == c] = top
+            else:
+                top, rows = c, int(rows_of[c])
         for c in np.unique(class_).tolist():
             own, most = some[class_ == c], 2 ** (c / 2)
             spread = (most + most * most * (more[own] / np.maximum(first[own], 1e-300)).max()) ** 0.5
