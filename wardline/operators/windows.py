@@ -162,3 +162,10 @@ def winners(races: DataFrame) -> DataFrame:
 def label_winner(counts: DataFrame) -> DataFrame:
     """The most frequent label of each district; the larger label among equals.  counts: district, label, n."""
     return counts.groupBy("district").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
+
+
+def overdue(runs: DataFrame, now: Column, limit_seconds: int = 6 * 3600) -> DataFrame:
+    """Runs that have not ended within the time limit and are to be stopped.  runs: run, started, ended (null: running)."""
+    until = F.coalesce("ended", now)
+    seconds = (F.unix_micros(until) - F.unix_micros("started")) / 1_000_000
+    return runs.withColumn("seconds", seconds).withColumn("stop", F.col("ended").isNull() & (F.col("seconds") > limit_seconds))

@@ -517,3 +517,11 @@ def _(spark, sf):
 @query("t01_sorted_blocks", B.sql("blocks", "SELECT ubid, row_number() OVER (ORDER BY ubid) - 1 AS idx FROM blocks"))
 def _(spark, sf):
     return metrics.indexed(B.blocks(spark, sf).select("ubid"), "ubid")
+
+
+@query("st06_time_limit", """SELECT run, seconds, ended IS NULL AND seconds > 21600 AS stop FROM (SELECT *, date_diff('microsecond', started, coalesce(ended, TIMESTAMP '2024-06-01 00:00:00')) / 1e6::DOUBLE AS seconds
+  FROM (SELECT user_id AS run, min(ts) AS started, max(ts) FILTER (event_type = 'signup') AS ended FROM events GROUP BY 1))""")
+def _(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    runs = B.table(spark, sf, "events").groupBy(F.col("user_id").alias("run")).agg(F.min(ts).alias("started"), F.max(F.when(F.col("event_type") == "signup", ts)).alias("ended"))
+    return windows.overdue(runs, F.lit("2024-06-01 00:00:00").cast("timestamp")).select("run", "seconds", "stop")
