@@ -266,24 +266,26 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                found = [(q, r.d, np.sort(low)[::-1][:k]) for q, _, _, low, _ in bounds(r)]
+                found = [(q, r.d, low if len(low) <= k else np.partition(low, len(low) - k)[len(low) - k :]) for q, _, _, low, _ in bounds(r)]
                 yield pd.DataFrame(found, columns=["id", "d", "best"])
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                for q, limit, other, _, high in bounds(r):
-                    near = high >= limit
-                    if near.any():
-                        yield pd.DataFrame({"query_id": q, "dim": r.dim, "d": r.d, "at": other[near], "bound": high[near]})
+                size, found = 8 * r.dim, []
+                for n, (q, limit, other, _, high) in enumerate(bounds(r)):
+                    near = np.flatnonzero(high >= limit)
+                    if len(near):
+                        near = near[np.argsort(-high[near], kind="stable")]
+                        found.append((q, r.dim, r.d, r.q_vecs[size * n : size * (n + 1)], other[near].astype(np.int32).tobytes(), high[near].tobytes()))
+                yield pd.DataFrame(found, columns=["query_id", "dim", "d", "vec", "at", "bound"])
 
     def read(near: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(near):
-            b = next(block.itertuples())
+        for b in block.itertuples():
             ids, x = np.frombuffer(b.d_ids, np.int64), np.frombuffer(b.vecs, b.kind).reshape(-1, b.dim)
-            for q, part in near.sort_values(["query_id", "bound"], ascending=[True, False]).groupby("query_id"):
-                vec, at, bound = np.array(part["vec"].iloc[0], np.int64)[None], part["at"].to_numpy(), part["bound"].to_numpy()
+            for r in near.itertuples():
+                vec, at, bound = np.frombuffer(r.vec, np.int64)[None], np.frombuffer(r.at, np.int32), np.frombuffer(r.bound, float)
                 got_i, got_s, step = np.empty(0, np.int64), np.empty(0, np.int64), max(64, 2 * k)
                 for i in range(0, len(at), step):
                     if len(got_s) >= k and bound[i] < got_s[k - 1]:
@@ -292,16 +294,15 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                     got_i, got_s = np.append(got_i, ids[rows]), np.append(got_s, inner(vec, x[rows].astype(np.int64))[0])
                     best = np.lexsort((got_i, -got_s))[:k]
                     got_i, got_s = got_i[best], got_s[best]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": got_i, "score": got_s}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                out.append((np.full(len(got_i), r.query_id), got_i, got_s))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     best = met(asked.withColumn("limit", F.lit(float("-inf")))).mapInPandas(lower, "id long, d int, best array<double>")
     largest = F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list("best")))), 1, k).alias("best")
     best = best.groupBy("id", F.col("d") % 256).agg(largest).groupBy("id").agg(largest)  # k values for each 256th of the blocks
     limit = F.when(F.size("best") >= k, F.element_at("best", -1)).otherwise(float("-inf"))
     limits = save(best.select("id", limit.alias("limit")))
-    near = met(asked.join(limits, "id")).mapInPandas(within, "query_id long, dim int, d int, at int, bound double")
-    near = near.join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id")
+    near = met(asked.join(limits, "id")).mapInPandas(within, "query_id long, dim int, d int, vec binary, at binary, bound binary")
     hits = near.groupBy("dim", "d").cogroup(file.select(*EXACT).groupBy("dim", "d")).applyInPandas(read, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a block
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
