@@ -128,7 +128,10 @@ def deal(docs: DataFrame, buckets: int, texts: bool) -> DataFrame:
             before = np.concatenate([word[-1:], word[:-1]])  # each text ends with the end token
             at, cell = pd.factorize(word * len(words) + before)
             w, b = cell // len(words), cell % len(words)
-            order = np.argsort(of[w] * len(words) + w, kind="stable")
+            if len(words) ** 2 * buckets < 1 << 63:
+                order = np.argsort((of[w] * len(words) + w) * len(words) + b)  # no two are equal, so every machine sorts alike
+            else:
+                order = np.lexsort((b, w, of[w]))
             mark = xxhash.xxh3_64_intdigest(key[w[order]].tobytes()) - (1 << 63)
             if texts:
                 rank = np.empty(len(order), np.int64)
