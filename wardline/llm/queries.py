@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import html_text, lm, mixing, near_dup, packing, quality, substring, vectors, warc
+from wardline.llm import html_text, imatch, lm, mixing, near_dup, packing, quality, substring, vectors, warc
 from wardline.llm.common import save, table
 
 
@@ -54,7 +54,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(rows, rows.where("id % 20 = 0"), 20)
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k}
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k, "op11_fingerprints": op11_fingerprints}
 #: WARC round trip: base32 takes five bits at a time of the SHA-1 in hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -66,4 +70,4 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM f
 """
 
-ORACLE_SQL = {"op7_warc": WARC_SQL, "op9_mix": mixing.SQL, "op10_top_k": vectors.TOP_K_SQL}
+ORACLE_SQL = {"op7_warc": WARC_SQL, "op9_mix": mixing.SQL, "op10_top_k": vectors.TOP_K_SQL, "op11_fingerprints": imatch.SQL}
