@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import conversations, html_text, imatch, lm, mixing, near_dup, packing, quality, substring, vectors, warc
+from wardline.llm import conversations, html_text, imatch, lm, merkle, mixing, near_dup, packing, quality, substring, vectors, warc
 from wardline.llm.common import save, table
 
 
@@ -62,7 +62,11 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k, "op11_fingerprints": op11_fingerprints, "op12_conversations": op12_conversations}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_html": op2_html, "op3_quality": op3_quality, "op4_substring": op4_substring, "op5_near_dup": op5_near_dup, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_vector_near_dup": op8_vector_near_dup, "op9_mix": op9_mix, "op10_top_k": op10_top_k, "op11_fingerprints": op11_fingerprints, "op12_conversations": op12_conversations, "op13_merkle": op13_merkle}
 #: WARC round trip: base32 takes five bits at a time of the SHA-1 in hexadecimal digits.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -74,4 +78,4 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM f
 """
 
-ORACLE_SQL = {"op7_warc": WARC_SQL, "op9_mix": mixing.SQL, "op10_top_k": vectors.TOP_K_SQL, "op11_fingerprints": imatch.SQL, "op12_conversations": conversations.SQL}
+ORACLE_SQL = {"op7_warc": WARC_SQL, "op9_mix": mixing.SQL, "op10_top_k": vectors.TOP_K_SQL, "op11_fingerprints": imatch.SQL, "op12_conversations": conversations.SQL, "op13_merkle": merkle.SQL}
