@@ -115,7 +115,7 @@ def fingerprint_texts(texts: DataFrame, words_in: DataFrame, held: int | None =
     # equal texts are signed once; a text has as many rows here as it has distinct terms
     keyed = save(texts.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__digest", F.sha2("text", 256)))
     once = keyed.groupBy("__digest").agg(F.first("text").alias("text"))
-    words = once.select("__digest", F.explode_outer(F.array_distinct(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))).cast("binary").alias("term"))
+    words = once.select("__digest", F.explode_outer(F.array_distinct(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")).cast("array<binary>")).alias("term"))
     words = words.join(words_in.select("term", F.lit(True).alias("band")), "term", "left")
     terms = words.groupBy("__digest").agg(F.collect_list(F.when(F.col("band"), F.col("term"))).alias("band"), F.collect_list("term").alias("terms"))
 
@@ -200,9 +200,9 @@ def edited_fingerprints(docs: DataFrame, held: int | None = None) -> DataFrame:
 
     out = with_next(docs).select("bucket", "bridge", "id", "text").mapInArrow(walk, EDITED if inline else BARE)
     if not inline:
-        out = save(out)
-        texts = out.select("doc_id", "n_chars", "edited_sha256", F.posexplode(F.array("text", "edited", "next")).alias("which", "text"), F.monotonically_increasing_id().alias("row"))
-        texts = fingerprint_texts(texts.withColumn("row", F.expr("row - which")), words_in, held)
+        out = save(out.withColumn("row", F.monotonically_increasing_id()))
+        texts = out.select("row", "doc_id", "n_chars", "edited_sha256", F.posexplode(F.array("text", "edited", "next")).alias("which", "text"))
+        texts = fingerprint_texts(texts, words_in, held)
         pick = lambda k: F.max(F.when(F.col("which") == k, F.col("fingerprint")))
         out = texts.groupBy("row", "doc_id", "n_chars", "edited_sha256").agg(pick(0).alias("fingerprint"), pick(1).alias("edited_fingerprint"), pick(2).alias("next_fingerprint"))
     near = lambda c: likeness(F.col("fingerprint"), F.col(c))
