@@ -33,6 +33,8 @@ FAMILIES = 32
 HELD = 1_000_000
 #: Terms counted in a task before they are handed on.
 COUNTED = 300_000
+#: Rows of an Arrow batch that are turned into Python strings at a time.
+FEW = 200
 #: Documents of a range of ids.
 RANGE = 2000
 
@@ -43,9 +45,14 @@ def term_hash(term: bytes) -> int:
     return int.from_bytes(hashlib.md5(term).digest()[:8], "big")
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python strings at a time."""
+    return (batch.slice(k, FEW) for batch in batches for k in range(0, batch.num_rows, FEW))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
-    for batch in batches:
+    for batch in _few(batches):
         for text in batch.column(0).to_pylist():
             seen.update(set((text or b"").split()))
             if len(seen) > COUNTED:
@@ -184,7 +191,7 @@ def edited_fingerprints(docs: DataFrame, held: int | None = None) -> DataFrame:
         schema = pa.schema([pa.field(c.split()[0], f.type) for c, f in zip((EDITED if inline else BARE).split(", "), schema, strict=True)])
         sign = (lambda t: fingerprint(t, own)) if inline else (lambda t: t)
         held_back = None  # the row that waits for its next one: (bucket, id, text, print)
-        for batch in batches:
+        for batch in _few(batches):
             out = []
             columns = (batch.column(c).to_pylist() for c in ("bucket", "bridge", "id", "text"))
             for bucket, bridge, id_, text in zip(*columns, strict=True):
