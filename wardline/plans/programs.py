@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import graph, raster
 from wardline.plans import bindings as B
-from wardline.plans import solvers
+from wardline.plans import solvers, turns
 from wardline.shared import shared_folder as folder
 from wardline.sources import binary, files, sinks
 from wardline.streaming import streams
@@ -94,12 +94,14 @@ def _(spark, sf):
 
 @query("v02_grab_solver")
 def _(spark, sf):
-    return solvers.grab_run(B.blocks(spark, sf), B.edges(spark, sf), 7, 3, seed=3).select("ubid", "district")
+    solver = turns.TurnSolver(7, seed=3, last=6, kmpp_share=0.02, spread_share=0.05, pop_factor=turns.schedule([(0, 0.5), (100, 1.0)]))
+    return solver.run(B.blocks(spark, sf), B.edges(spark, sf)).select("ubid", "district")
 
 
 @query("v09_nearest_solver")
 def _(spark, sf):
-    return solvers.Nearest().run(B.blocks(spark, sf), 7, 4, seed=3, edges=B.edges(spark, sf)).select("ubid", "district")
+    done = solvers.Nearest().run(B.blocks(spark, sf), 7, seed=3, edges=B.edges(spark, sf), last=6, kmpp_share=0.02, spread_share=0.1)
+    return done.select("ubid", "district")
 
 
 COUNTY_SQL = """, c AS (SELECT *, lon // 4000 AS county FROM blocks), t AS (SELECT sum(pop) / 12.0 AS target FROM c),

@@ -3,6 +3,8 @@ distributed, and every step is joins and aggregates.  All draws come from hashes
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.geo import interpolate, planar
 from wardline.operators import graph
+from wardline.schema import KM_PER_MICRODEGREE
+from wardline.shared import release
 from wardline.shared import save as saved
 
 
@@ -29,6 +33,34 @@ def random_seeds(blocks: DataFrame, edges: DataFrame, districts: int, seed: int)
     return blocks.drop("district").join(first.unionByName(near), "ubid", "left")
 
 
+class Monitor:
+    """The last ``n`` values of kmpp and spread; says when both have stopped moving."""
+
+    def __init__(self, n: int, target: float, kmpp_share: float, spread_share: float) -> None:
+        self.kmpp, self.spread = deque(maxlen=n), deque(maxlen=n)
+        self.target, self.kmpp_share, self.spread_share = target, kmpp_share, spread_share
+
+    def stopped(self, kmpp: float, spread: float) -> bool:
+        self.kmpp.append(kmpp)
+        self.spread.append(spread)
+        if len(self.kmpp) < self.kmpp.maxlen or not kmpp or not self.target:
+            return False
+        moved = (max(self.kmpp) - min(self.kmpp)) / kmpp, (max(self.spread) - min(self.spread)) / self.target
+        return moved[0] < self.kmpp_share and moved[1] < self.spread_share
+
+
+def kmpp_and_spread(placed: DataFrame, districts: int) -> tuple[float, float]:
+    """Kilometres per person to the district's land centre, and the largest less the smallest population."""
+    d = placed.groupBy("district").agg(F.sum("pop").alias("dpop"), *(F.try_divide(F.sum(F.col("area") * F.col(c).cast("double")), F.sum("area")).alias(f"c{c}") for c in ("lon", "lat")))
+    d = saved(d)  # a row a district
+    far = planar(F.col("lon"), F.col("lat"), F.col("clon"), F.col("clat")) * F.col("pop")
+    moment = placed.join(F.broadcast(d), "district").agg(F.sum(far), F.sum("pop")).first()
+    pops = [r.dpop for r in d.collect()]
+    release(d)
+    pops += [0] * (districts - len(pops))
+    return ((moment[0] or 0.0) / moment[1] * KM_PER_MICRODEGREE if moment[1] else math.inf), float(max(pops) - min(pops))
+
+
 # ---------------------------------------------------------------- nearest neighbour
 
 
@@ -60,13 +92,20 @@ class Nearest:
             out.append((d, x, y, w * (self.grow if pop > target else self.shrink if pop < target else 1.0)))
         return placed, out
 
-    def run(self, blocks: DataFrame, districts: int, generations: int, seed: int = 1, edges: DataFrame | None = None) -> DataFrame:
-        """Blocks with districts after ``generations`` steps; with edges, parts are made contiguous at the end."""
+    def run(self, blocks: DataFrame, districts: int, generations: int | None = None, seed: int = 1, edges: DataFrame | None = None, last: int = 5000, kmpp_share: float = 0.0005, spread_share: float = 0.0005) -> DataFrame:
+        """Blocks with districts after ``generations`` steps, or without that number when kmpp and spread have stopped moving for
+        ``last`` steps; with edges, parts are made contiguous at the end."""
         target = blocks.agg(F.sum("pop")).first()[0] / districts
         centers = self.start(blocks, districts, seed)
-        placed = blocks
-        for _ in range(generations):
+        placed, done = blocks, 0
+        monitor = Monitor(last, target, kmpp_share, spread_share)
+        while generations is None or done < generations:
+            if done:
+                release(placed)
             placed, centers = self.step(blocks, centers, target)
+            done += 1
+            if generations is None and monitor.stopped(*kmpp_and_spread(placed, districts)):
+                break
         return graph.fix_contiguity(edges, placed) if edges is not None else placed
 
 
