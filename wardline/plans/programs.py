@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators import graph, raster
+from wardline.operators import graph, raster, rings
 from wardline.plans import bindings as B
 from wardline.plans import solvers, turns
 from wardline.shared import shared_folder as folder
-from wardline.sources import binary, files, sinks
+from wardline.sources import binary, files, sinks, upix
 from wardline.streaming import streams
 
 QUERIES: dict = {}
@@ -133,6 +133,14 @@ def _(spark, sf):
     return raster.fill(squares(B.blocks(spark, sf)), 0.0, 100000.0, 250.0, 250.0)
 
 
+@query("s21_raw_raster", B.sql("blocks", "SELECT ubid, ((lon // 250) + dx)::INT AS x, ((16000000 - lat) // 250 - 1 - dy)::INT AS y FROM blocks, range(4) a(dx), range(4) b(dy) WHERE lat < 16000000"))
+def _(spark, sf):
+    out = folder(spark)
+    pixels = raster.clip(raster.fill(squares(B.blocks(spark, sf)), 0.0, 16_000_000.0, 250.0, 250.0), 65_535, 65_535)
+    upix.write(raster.pixel_lists(pixels), out, 160, 64_000)
+    return upix.read(spark, out, split=4096)
+
+
 @query("k08_pixels_by_block", B.sql("blocks", "SELECT ubid, 16::INT AS pixels FROM blocks"))
 def _(spark, sf):
     lists = raster.pixel_lists(raster.fill(squares(B.blocks(spark, sf)), 0.0, 100000.0, 250.0, 250.0))
@@ -163,6 +171,18 @@ def _(spark, sf):
     return raster.outlines(squares(B.blocks(spark, sf)), B.blocks(spark, sf))
 
 
+RINGS_SQL = """SELECT district, 1000000.0::DOUBLE * sum(cells) AS area, sum(CASE WHEN m IN (1, 2, 4, 8, 7, 11, 13, 14) THEN 1 WHEN m IN (6, 9) THEN 2 ELSE 0 END)::BIGINT AS corners,
+  (sum(CASE WHEN m IN (1, 2, 4, 8) THEN 1 WHEN m IN (6, 9) THEN 2 WHEN m IN (7, 11, 13, 14) THEN -1 ELSE 0 END) / 4)::BIGINT AS shells_less_holes FROM (
+  SELECT district, sum(1 << (2 * b + a)) AS m, sum((a + b = 0)::INT) AS cells FROM blocks, range(2) p(a), range(2) q(b) GROUP BY district, lon + 1000 * a, lat + 1000 * b) GROUP BY district"""
+
+
+@query("g09_u06_district_rings", B.sql("blocks", RINGS_SQL))
+def _(spark, sf):
+    b = B.blocks(spark, sf)
+    ring = rings.rings(squares(b), b).groupBy("district", "ring", "area").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("ring") == F.col("shell")).cast("int")).alias("is_shell"))
+    return ring.groupBy("district").agg(F.sum("area").alias("area"), F.sum("n").alias("corners"), F.sum(2 * F.col("is_shell") - 1).cast("long").alias("shells_less_holes"))
+
+
 @query("k01_s13_dsz_round_trip", B.sql("blocks", "SELECT (ubid % 7)::VARCHAR AS solution_id, count(*) AS blocks, count(DISTINCT district) AS districts FROM blocks GROUP BY 1"))
 def _(spark, sf):
     from pyspark.sql import Window
