@@ -75,7 +75,7 @@ def clean_int(text: Column) -> Column:
 
 
 def clean_label(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"&nbsp;|<br\s*/?>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)&nbsp;|<br\s*/?>", " "), r"\s+", " "))
 
 
 def indent_width(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline.plans import bindings as B
 from wardline.shared import shared_folder as folder
-from wardline.sources import sheets, sinks
+from wardline.sources import metadata, sheets, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,3 +103,47 @@ UNION ALL SELECT 8, '', 0, concat_ws(',', 'votes for winners', sum(m)::BIGINT) F
 @query("k18_election_all", B.sql("races", "").rstrip() + ALL_SQL)
 def _(spark, sf):
     return sheets.all_lines(sheets.election(_election_files(spark, sf))[0])
+
+
+# ---------------------------------------------------------------- indented metadata
+
+KEYS_SQL = """WITH i AS (SELECT r_regionkey AS f, -1 AS n, -1 AS s, 'R' || r_regionkey AS code, r_name AS a, NULL AS b, NULL AS c FROM region
+UNION ALL SELECT n_regionkey, n_nationkey, -1, 'N' || n_nationkey, r_name, n_name, NULL FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 'S' || s_suppkey, r_name, n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+"""
+
+
+def _items(spark, sf) -> DataFrame:
+    """(f, n, s, code, name, depth): regions, their nations and their suppliers."""
+    r, n, s = (B.table(spark, sf, t) for t in ("region", "nation", "supplier"))
+    none = F.lit(-1).cast("long")
+    regions = r.select(F.col("r_regionkey").cast("long").alias("f"), none.alias("n"), none.alias("s"), F.concat(F.lit("R"), "r_regionkey").alias("code"), F.col("r_name").alias("name"), F.lit(0).alias("depth"))
+    nations = n.select(F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long"), none, F.concat(F.lit("N"), "n_nationkey"), F.col("n_name"), F.lit(1))
+    suppliers = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long"), F.col("s_suppkey").cast("long"), F.concat(F.lit("S"), "s_suppkey"), F.col("s_name"), F.lit(2))
+    return regions.union(nations).union(suppliers)
+
+
+def _lists(spark, sf, line, head, tail: str, suffix: str) -> str:
+    """A file for each region with its items in order."""
+    each = _items(spark, sf).groupBy("f").agg(F.max(F.when(F.col("depth") == 0, F.col("name"))).alias("region"), F.sort_array(F.collect_list(F.struct("n", "s", "code", "name", "depth"))).alias("items"))
+    text = F.concat(head, F.array_join(F.transform("items", line), "\n"), F.lit(tail))
+    out = folder(spark)
+    sinks.write_files(each.select(F.concat(F.lit("f"), F.col("f"), F.lit(suffix)).alias("name"), text.cast("binary").alias("content")), out)
+    return out
+
+
+@query("s37_label_paths", KEYS_SQL + "SELECT 'f' || f || '.sas' AS file, code, 'Places of' || chr(10) || a AS comment, concat_ws('>', '', a, b, c) AS path FROM i")
+def _(spark, sf):
+    blanks = F.array(F.lit(" "), F.lit("   "), F.lit("\t"))
+    line = lambda x: F.concat(F.lit("  "), x["code"], F.lit("='"), F.get(blanks, x["depth"]), x["name"], F.lit("<br>'"))
+    head = F.concat(F.lit("DATA one;\nLABEL\n/* Places of */\n/* "), F.col("region"), F.lit(" */\n"))
+    found = metadata.label_records(metadata.texts(spark, _lists(spark, sf, line, head, "\n;\nINPUT X='not a label';", ".sas")))
+    return found.select("file", F.col("codename").alias("code"), "comment", F.array_join("path", ">").alias("path"))
+
+
+@query("s37_table_keys", KEYS_SQL + """SELECT 'file' || f AS file, 'P' || f AS "table", 5 + row_number() OVER (PARTITION BY f ORDER BY n, s) - 1 AS "column", (count(*) OVER (PARTITION BY f)) = 7 AS as_told, concat_ws('>', a, b, c) AS path FROM i""")
+def _(spark, sf):
+    line = lambda x: F.concat(F.repeat(F.lit("\t"), x["depth"]), x["name"])
+    head = F.concat(F.lit("# file file"), F.col("f"), F.lit("\n# P"), F.col("f"), F.lit(". Places [7]\n# of one region\n"))
+    found = metadata.table_keys(metadata.texts(spark, _lists(spark, sf, line, head, "\n", ".txt")))
+    return found.select("file", "table", F.col("column").cast("long").alias("column"), (F.col("found") == F.col("expected")).alias("as_told"), F.array_join("path", ">").alias("path"))
