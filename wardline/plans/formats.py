@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wardline.plans import bindings as B
 from wardline.shared import shared_folder as folder
 from wardline.sources import metadata, sheets, sinks
+from wardline.streaming import streams, tail
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,3 +148,17 @@ def _(spark, sf):
     head = F.concat(F.lit("# file file"), F.col("f"), F.lit("\n# P"), F.col("f"), F.lit(". Places [7]\n# of one region\n"))
     found = metadata.table_keys(metadata.texts(spark, _lists(spark, sf, line, head, "\n", ".txt")))
     return found.select("file", "table", F.col("column").cast("long").alias("column"), (F.col("found") == F.col("expected")).alias("as_told"), F.array_join("path", ">").alias("path"))
+
+
+# ---------------------------------------------------------------- live tail
+
+
+@query("st07_live_tail", B.sql("statlog", """SELECT 'run' || run || '.log' AS file, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY run ORDER BY generation) - octet_length(encode(line)) - 1 AS at, line
+  FROM (SELECT run, generation, 'generation: ' || generation || ' ' || event_type AS line FROM statlog)"""))
+def _(spark, sf):
+    log = B.statlog(spark, sf).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("generation", "event_type"))).alias("g"))  # one run's log is a file
+    lines = F.transform("g", lambda x: F.concat(F.lit("generation: "), x["generation"], F.lit(" "), x["event_type"], F.lit("\n")))
+    out = folder(spark)
+    sinks.write_files(log.select(F.concat(F.lit("run"), "run", F.lit(".log")).alias("name"), F.array_join(lines, "").cast("binary").alias("content")), out)
+    found = streams.run_to_end(tail.live_tail(spark, out, "*.log", split=4096), folder(spark), "append")
+    return found.select(F.substring_index("file", "/", -1).alias("file"), "at", "line")
