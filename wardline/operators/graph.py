@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,6 +177,20 @@ def color_districts(adjacency: list[tuple[int, int]], districts: list[int], colo
     return found if place(0, 0) else {d: d % colors for d in order}
 
 
+def colors(pairs: DataFrame, key: str, n: int = 14) -> DataFrame:
+    """(``key``, district, color) for each map of ``pairs`` (key, d1, d2; a district without neighbours stands beside itself).  A map has at
+    most 253 districts, so it is one task's work; a larger one raises."""
+    kind = dict(pairs.dtypes)[key]
+
+    def color(part: pd.DataFrame) -> pd.DataFrame:
+        touch = list(part[["d1", "d2"]].drop_duplicates().itertuples(index=False, name=None))
+        found = color_districts(touch, sorted({int(d) for pair in touch for d in pair}), n)
+        return pd.DataFrame({key: [part[key].iloc[0]] * len(found), "district": list(found), "color": list(found.values())})
+
+    slim = pairs.select(key, "d1", "d2").distinct()
+    return slim.groupBy(key).applyInPandas(color, f"{key} {kind}, district int, color int")
+
+
 def nearest_other(points: DataFrame, cell: float = 0.002) -> DataFrame:
     """(id, other, miles): the nearest other point by great circle, the smallest id among equals.
 

@@ -66,6 +66,14 @@ def point_plot(blocks: DataFrame, width: int, height: int) -> DataFrame:
     return spots.groupBy("x", "y").agg(F.max_by("district", "ubid").alias("district"))
 
 
+def encode_png(image: np.ndarray) -> bytes:
+    """RGBA bytes (height, width, 4) as a PNG file."""
+    height, width = image.shape[:2]
+    raw = np.hstack([np.zeros((height, 1), np.uint8), image.reshape(height, -1)]).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
 def png(pixels: DataFrame, width: int, height: int) -> bytes:
     """RGBA picture of (x, y, r, g, b) rows, one a pixel; the picture is made on the driver, so its size is bounded."""
     if width * height > 100_000_000:
@@ -74,9 +82,7 @@ def png(pixels: DataFrame, width: int, height: int) -> bytes:
     got = clip(pixels, width, height).toPandas()
     image[got["y"], got["x"], :3] = got[["r", "g", "b"]].to_numpy()
     image[got["y"], got["x"], 3] = 255
-    raw = np.hstack([np.zeros((height, 1), np.uint8), image.reshape(height, -1)]).tobytes()
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return encode_png(image)
 
 
 def outlines(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
