@@ -1,12 +1,9 @@
 """Drawing scripts, tiles and collisions."""
 
-import struct
-import zlib
-
 import numpy as np
 from pyspark.sql import functions as F
 
-from wardline.operators import drawing, graph
+from wardline.operators import drawing, graph, raster
 
 SCRIPT = """# a comment --pngW 7
 --loadSolution one.dsz  --pngW 4 --pngH 2 // size
@@ -18,20 +15,6 @@ done --pngout never.png nonsense
 """
 
 
-def decode(content):
-    assert content[:8] == b"\x89PNG\r\n\x1a\n"
-    at, data, size = 8, b"", None
-    while at < len(content):
-        n, kind = struct.unpack(">I4s", content[at : at + 8])
-        body = content[at + 8 : at + 8 + n]
-        assert struct.unpack(">I", content[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
-        size = struct.unpack(">II", body[:8]) if kind == b"IHDR" else size
-        data += body if kind == b"IDAT" else b""
-        at += 12 + n
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size[1], size[0] * 4 + 1)
-    return raw[:, 1:].reshape(size[1], size[0], 4)
-
-
 def test_scripts_fold_into_pictures(spark):
     scripts = [("s", SCRIPT), ("bad", "--pngW 3 --pngout a.png bogus --pngout b.png"), ("open", "--pngout"), ("number", "--pngW x --pngout a"), ("none", "")]
     got = drawing.pictures(spark.createDataFrame(scripts, "script string, text string")).orderBy("script", "place").collect()
@@ -69,13 +52,13 @@ def test_tiles_hold_the_pixels(spark):
     pixels = spark.createDataFrame(rows, "path string, x int, y int, r int, g int, b int")
     whole = np.zeros((64, 96, 4), np.uint8)
     for t in drawing.tiles(pixels, ["path"], 32).collect():
-        whole[t.ty * 32 : t.ty * 32 + 32, t.tx * 32 : t.tx * 32 + 32] = decode(bytes(t.content))
+        whole[t.ty * 32 : t.ty * 32 + 32, t.tx * 32 : t.tx * 32 + 32] = raster.decode_png(bytes(t.content))
     want = np.zeros_like(whole)
     for _, x, y, r, g, b in rows:
         want[y, x] = (r, g, b, 255)
     assert (whole == want).all()
     some = drawing.tiles(pixels.limit(1), ["path"], 4, drawing.BACKGROUND).first()
-    assert (decode(bytes(some.content))[:, :, 3] == 255).all()
+    assert (raster.decode_png(bytes(some.content))[:, :, 3] == 255).all()
 
 
 def test_collisions_count_later_blocks(spark):

@@ -74,6 +74,27 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def decode_png(content: bytes) -> np.ndarray:
+    """RGBA bytes of a PNG file as ``encode_png`` writes it (8 bits a channel, no filters)."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG file")
+    at, data, width, height = 8, b"", 0, 0
+    while at < len(content):
+        n, kind = struct.unpack_from(">I4s", content, at)
+        body = content[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            width, height, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+            if (depth, color, interlaced) != (8, 6, 0):
+                raise ValueError("only pictures of 8-bit RGBA")
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + n
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, width * 4 + 1)
+    if lines[:, 0].any():
+        raise ValueError("filtered lines")
+    return lines[:, 1:].reshape(height, width, 4)
+
+
 def png(pixels: DataFrame, width: int, height: int) -> bytes:
     """RGBA picture of (x, y, r, g, b) rows, one a pixel; the picture is made on the driver, so its size is bounded."""
     if width * height > 100_000_000:

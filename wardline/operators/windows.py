@@ -169,3 +169,16 @@ def overdue(runs: DataFrame, now: Column, limit_seconds: int = 6 * 3600) -> Data
     until = F.coalesce("ended", now)
     seconds = (F.unix_micros(until) - F.unix_micros("started")) / 1_000_000
     return runs.withColumn("seconds", seconds).withColumn("stop", F.col("ended").isNull() & (F.col("seconds") > limit_seconds))
+
+
+def late_sample(log: DataFrame, run: str = "run", at: str = "generation", n: int = 10, seed: int = 0) -> DataFrame:
+    """``n`` rows of each run, drawn at random from the second half of its generations.
+
+    Rows are put in the order of a hash of seed, run and generation, so reruns and other partitions draw the same; each task
+    keeps its first ``n`` of a run before the shuffle.
+    """
+    middle = log.groupBy(F.col(run).alias("__run")).agg(((F.min(at) + F.max(at)) / 2).alias("__middle"))
+    late = log.join(middle, F.col(run).eqNullSafe(F.col("__run"))).where(F.col(at) >= F.col("__middle")).select(*log.columns)
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(run).cast("string"), F.col(at).cast("string")).cast("binary"))
+    order = Window.partitionBy(run).orderBy(draw, at)
+    return late.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators import projection, windows
 from wardline.plans import bindings as B
 from wardline.shared import shared_folder as folder
-from wardline.sources import metadata, sheets, sinks
+from wardline.sources import keyed, metadata, sheets, sinks
 from wardline.streaming import streams, tail
 
 QUERIES: dict = {}
@@ -162,3 +163,49 @@ def _(spark, sf):
     sinks.write_files(log.select(F.concat(F.lit("run"), "run", F.lit(".log")).alias("name"), F.array_join(lines, "").cast("binary").alias("content")), out)
     found = streams.run_to_end(tail.live_tail(spark, out, "*.log", split=4096), folder(spark), "append")
     return found.select(F.substring_index("file", "/", -1).alias("file"), "at", "line")
+
+
+# ---------------------------------------------------------------- keyed tables, samples, projection
+
+
+@query("k15_upserted_table", """WITH o AS (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders)
+SELECT c_custkey AS k, CASE WHEN o.k IS NULL THEN c_acctbal ELSE o.v END AS v FROM customer LEFT JOIN (SELECT * FROM o WHERE n = 1) o ON o.k = c_custkey WHERE o.k IS NULL OR o.k % 5 <> 0""")
+def _(spark, sf):
+    t = keyed.KeyedTable(spark, folder(spark), "k", "k long, v double", buckets=16)
+    base = B.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_acctbal").cast("double").alias("v"), F.lit(0).alias("at"))
+    t.upsert(base, "base", "at")
+    changes = B.table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("k"), F.col("o_totalprice").cast("double").alias("v"), F.col("o_orderkey").alias("at"))
+    t.upsert(changes, "orders", "at", gone="k % 5 = 0")
+    t.upsert(changes.withColumn("v", F.lit(-1.0)), "orders", "at")  # the same batch again
+    return t.read()
+
+
+@query("s10_sorted_index", "SELECT c_custkey AS k, c_acctbal AS v, true AS found FROM customer WHERE c_custkey % 400 = 7 UNION ALL SELECT -5, NULL, NULL")
+def _(spark, sf):
+    rows = B.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.col("c_acctbal").cast("double").alias("v"))
+    out = folder(spark)
+    keyed.write_index(rows, out, "k", 20)
+    return keyed.look_up(spark, out, rows.where("k % 400 = 7").select("k").union(spark.range(1).select(F.lit(-5).cast("long"))), "k")
+
+
+@query("t09_late_sample", B.sql("statlog", """SELECT run, generation, kmpp, spread FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY md5('4:' || run || ':' || generation), generation) AS k
+  FROM (SELECT *, (min(generation) OVER (PARTITION BY run) + max(generation) OVER (PARTITION BY run)) / 2.0 AS middle FROM statlog) WHERE generation >= middle) WHERE k <= 10"""))
+def _(spark, sf):
+    return windows.late_sample(B.statlog(spark, sf).select("run", "generation", "kmpp", "spread"), seed=4)
+
+
+PLANE_SQL = """, s AS (SELECT *, radians(lat / 1e6) AS la, radians(lon / 1e6) AS lo FROM blocks), c AS (SELECT sum(area * cos(la) * cos(lo)) AS x, sum(area * cos(la) * sin(lo)) AS y, sum(area * sin(la)) AS z FROM s),
+o AS (SELECT atan2(z, sqrt(x * x + y * y)) AS la0, atan2(y, x) AS lo0 FROM c),
+d AS (SELECT *, acos(greatest(-1.0, least(1.0, sin(la0) * sin(la) + cos(la0) * cos(la) * cos(lo - lo0)))) AS a FROM s, o),
+p AS (SELECT ubid, 6378137.0 * k * cos(la) * sin(lo - lo0) AS px, 6378137.0 * k * (cos(la0) * sin(la) - sin(la0) * cos(la) * cos(lo - lo0)) AS py FROM (SELECT *, coalesce(a / nullif(sin(a), 0), 1.0) AS k FROM d)),
+e AS (SELECT least(max(px) - min(px), max(py) - min(py)) AS low FROM p), f AS (SELECT min(2.0 ** n) AS scale FROM range(40) t(n), e WHERE low * 2.0 ** n >= 50000)
+SELECT ubid, scale, round(px * scale / 100)::BIGINT AS px, round(py * scale / 100)::BIGINT AS py FROM p, f"""
+
+
+@query("p16_rescaled_plane", B.sql("blocks", "").rstrip() + PLANE_SQL)
+def _(spark, sf):
+    b = B.blocks(spark, sf)
+    fitted = projection.fit(b)
+    out = projection.apply(b.select("ubid", "lon", "lat"), fitted).crossJoin(fitted.select("scale"))
+    near = lambda c: F.round(F.col(c) / 100).cast("long").alias(c)  # noqa: E731  to a hundredth of the least step between blocks
+    return out.select("ubid", "scale", near("px"), near("py"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.operators import graph, raster, rings
+from wardline.operators import drawing, graph, raster, rings
 from wardline.plans import bindings as B
 from wardline.plans import solvers, turns
 from wardline.shared import shared_folder as folder
@@ -39,12 +39,18 @@ def _(spark, sf):
     return graph.repair_connectivity(b, cut, 2000.0)
 
 
-@query("g08_district_colors")
+@query("g08_district_colors", B.sql("blocks edges", """, p AS (SELECT DISTINCT x.district AS d1, y.district AS d2 FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges) e JOIN blocks x ON e.a = x.ubid JOIN blocks y ON e.b = y.ubid WHERE x.district <> y.district)
+SELECT district, count(d2) AS neighbours, 0::BIGINT AS alike, true AS in_palette FROM (SELECT DISTINCT district FROM blocks) d LEFT JOIN p ON d1 = district GROUP BY district"""))
 def _(spark, sf):
-    pairs = graph.district_adjacency(B.edges(spark, sf), B.blocks(spark, sf)).collect()  # pairs of districts
-    districts = [r.district for r in B.blocks(spark, sf).select("district").distinct().collect()]
-    found = graph.color_districts([tuple(p) for p in pairs], districts)
-    return spark.createDataFrame(sorted(found.items()), "district int, color int")
+    """Each district's neighbours, and how many of them have its color: none."""
+    b = B.blocks(spark, sf)
+    pairs = graph.district_adjacency(B.edges(spark, sf), b).select(F.lit("now").alias("map"), "d1", "d2")
+    alone = b.select(F.lit("now").alias("map"), F.col("district").alias("d1"), F.col("district").alias("d2")).distinct()
+    found = graph.colors(pairs.unionByName(alone), "map").select("district", "color")
+    ways = pairs.select(F.col("d1").alias("district"), F.col("d2").alias("other")).union(pairs.select("d2", "d1"))
+    met = ways.join(found.select(F.col("district").alias("other"), F.col("color").alias("c2")), "other")
+    met = found.join(met, "district", "left").groupBy("district").agg(F.count("other").alias("neighbours"), F.count_if(F.col("color") == F.col("c2")).alias("alike"), F.max("color").alias("top"))
+    return met.select("district", "neighbours", "alike", (F.col("top") < 14).alias("in_palette"))
 
 
 def draw_sql(seed, *columns: str) -> str:
@@ -165,6 +171,48 @@ def _(spark, sf):
     return raster.paint(raster.fill(squares(b), 0.0, 100000.0, 500.0, 500.0), b, colors, density=True, marked=b.where("place = 1"))
 
 
+SCRIPT = """# two views of one map
+--loadSolution now --colorsIn shades --pngW 80 --pngH 8000 --minlon 0 --maxlon 40000 --minlat 0 --maxlat 4000000 --pngout whole.png
+--pngW 20 --pngH 30 --minlon 10000 --maxlond 10000 --maxlat 30000 --minlatd -15000 --pngout part.png
+done --pngout never.png"""
+SCRIPT_SQL = """SELECT path, x, y, district * 37 % 256 AS r, district * 91 % 256 AS g, district * 173 % 256 AS b FROM (
+  SELECT path, district, ((lon - x0) // 500 + dx)::INT AS x, ((y0 - lat) // 500 - 1 - dy)::INT AS y, w, h FROM blocks, range(2) a(dx), range(2) c(dy), (VALUES ('whole.png', 0, 4000000, 80, 8000), ('part.png', 10000, 30000, 20, 30)) v(path, x0, y0, w, h))
+  WHERE x >= 0 AND y >= 0 AND x < w AND y < h"""
+
+
+def _drawn(spark, sf) -> DataFrame:
+    b = B.blocks(spark, sf)
+    shades = spark.range(7).select(F.lit("file:shades").alias("colors"), F.col("id").cast("int").alias("district"), *((F.col("id") * k % 256).cast("int").alias(c) for c, k in zip("rgb", (37, 91, 173), strict=True)))
+    palette = spark.range(14).select(F.col("id").cast("int").alias("color"), *(F.lit(9).alias(c) for c in "rgb"))
+    asked = drawing.pictures(spark.createDataFrame([("s", SCRIPT)], "script string, text string"))
+    return drawing.draw(asked, squares(b), b, B.edges(spark, sf), b.select(F.lit("now").alias("solution"), "ubid", "district"), palette, shades)
+
+
+@query("r08_drawing_script", B.sql("blocks", SCRIPT_SQL))
+def _(spark, sf):
+    return _drawn(spark, sf).select("path", "x", "y", "r", "g", "b")
+
+
+@query("k10_r04_tiles", B.sql("blocks", f"SELECT path, (x // 64)::INT AS tx, (y // 64)::INT AS ty, count(*) AS painted, sum(r + 256 * g + 65536 * b)::BIGINT AS colors FROM ({SCRIPT_SQL}) GROUP BY 1, 2, 3"))
+def _(spark, sf):
+    made = drawing.tiles(_drawn(spark, sf), ["path"], 64)
+
+    def read(parts):
+        for part in parts:
+            images = [raster.decode_png(bytes(c)).astype("int64") for c in part["content"]]
+            sums = [(int((i[:, :, 3] > 0).sum()), int((i[:, :, :3] @ [1, 256, 65536])[i[:, :, 3] > 0].sum())) for i in images]
+            yield part[["path", "tx", "ty"]].assign(painted=[s[0] for s in sums], colors=[s[1] for s in sums])
+
+    return made.mapInPandas(read, "path string, tx int, ty int, painted long, colors long")
+
+
+@query("r04_collisions", B.sql("blocks", """, p AS (SELECT ubid, ((lon // 250) + dx)::INT AS x, ((16000000 - lat) // 250 - 1 - dy)::INT AS y FROM blocks, range(6) a(dx), range(6) b(dy))
+SELECT ubid, count(*) AS pixels, count(*) FILTER (ubid > first) AS collisions FROM (SELECT *, min(ubid) OVER (PARTITION BY x, y) AS first FROM p) GROUP BY ubid"""))
+def _(spark, sf):
+    wide = squares(B.blocks(spark, sf)).withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p.x + F.when(p.x == ring[2].x, 500).otherwise(0)).alias("x"), (p.y + F.when(p.y == ring[2].y, 500).otherwise(0)).alias("y")))))
+    return drawing.collisions(raster.fill(wide, 0.0, 16_000_000.0, 250.0, 250.0))
+
+
 @query("g09_district_outlines", B.sql("blocks", """SELECT district, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (SELECT district, lon + 1000 * a AS x1, lat + 1000 * b AS y1, lon + 1000 * c AS x2, lat + 1000 * d AS y2
   FROM blocks, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (0, 1, 1, 1), (0, 0, 0, 1)) s(a, b, c, d)) GROUP BY district, x1, y1, x2, y2 HAVING count(*) = 1"""))
 def _(spark, sf):
