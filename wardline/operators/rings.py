@@ -9,11 +9,13 @@ there.  A ring with positive area is a shell; a hole lies in the shell that is m
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.shared import release
 from wardline.shared import save as saved
+from wardline.sources.binary import encode_shapes
 
 
 def signed_area(points: Column) -> Column:
@@ -139,3 +141,17 @@ def wkt(corners: DataFrame) -> DataFrame:
     all_ = polygon.groupBy("district").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     many = F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.transform("ps", lambda p: p.text), ", "), F.lit(")"))
     return all_.select("district", F.when(F.size("ps") == 1, F.concat(F.lit("POLYGON "), F.get("ps", F.lit(0)).text)).otherwise(many).alias("wkt"))
+
+
+def shape_files(corners: DataFrame) -> DataFrame:
+    """(name, content): each district's rings as a polygon shapefile, one shape for each shell with its holes; shells run with the clock."""
+    ring = corners.groupBy("district", "shell", "ring").agg(F.sort_array(F.collect_list(F.struct("place", "x", "y")), asc=False).alias("points"))
+
+    def encode(part: pd.DataFrame) -> pd.DataFrame:
+        shapes = []
+        for _, own in part.sort_values(["shell", "ring"]).groupby("shell"):
+            own = own.assign(hole=own["ring"] != own["shell"]).sort_values("hole", kind="stable")
+            shapes.append([[(p["x"], p["y"]) for p in [*points, points[0]]] for points in own["points"]])
+        return pd.DataFrame({"name": [f"district{part['district'].iloc[0]}.shp"], "content": [encode_shapes(shapes)]})
+
+    return ring.groupBy("district").applyInPandas(encode, "name string, content binary")

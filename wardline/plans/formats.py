@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import io
+import json
+import tarfile
+import urllib.parse
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -10,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators import projection, windows
+from wardline.operators import metrics, projection, rings, windows
 from wardline.plans import bindings as B
 from wardline.shared import shared_folder as folder
-from wardline.sources import keyed, metadata, sheets, sinks
+from wardline.sources import binary, files, keyed, metadata, sheets, sinks
 from wardline.streaming import streams, tail
 
 QUERIES: dict = {}
@@ -209,3 +214,191 @@ def _(spark, sf):
     out = projection.apply(b.select("ubid", "lon", "lat"), fitted).crossJoin(fitted.select("scale"))
     near = lambda c: F.round(F.col(c) / 100).cast("long").alias(c)  # noqa: E731  to a hundredth of the least step between blocks
     return out.select("ubid", "scale", near("px"), near("py"))
+
+
+# ---------------------------------------------------------------- binary files, each of a bounded run of blocks
+
+#: Blocks of a file.
+BLOCKS = 10_000
+FILE_SQL = f"'f' || ubid // {BLOCKS}"
+
+
+def _per_file(rows: DataFrame, encode, suffix: str, out: str, by=None) -> str:
+    """One file of ``encode(rows as pandas)`` for each run of blocks (or value of ``by``)."""
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"name": [f"{part['__file'].iloc[0]}{suffix}"], "content": [encode(part)]})
+
+    name = F.concat(F.lit("f"), F.floor(F.col("ubid") / BLOCKS)) if by is None else by
+    sinks.write_files(rows.withColumn("__file", name).groupBy("__file").applyInPandas(build, "name string, content binary"), out)
+    return out
+
+
+def _base(path: str = "path"):
+    return F.substring_index(path, "/", -1)
+
+
+def square_rings(lon: int, lat: int) -> list[list[tuple[float, float]]]:
+    return [[(float(lon + a), float(lat + b)) for a, b in ((0, 0), (0, 1000), (1000, 1000), (1000, 0), (0, 0))]]
+
+
+@query("s22_s26_shape_bundles", B.sql("blocks", f"SELECT {FILE_SQL} || '.zip' AS file, '36' || lpad(ubid::VARCHAR, 13, '0') AS blockid, ubid % 13 = 0 AS water, 1::BIGINT AS rings, 5::BIGINT AS points, lon::DOUBLE AS x, lat::DOUBLE AS y FROM blocks"))
+def _(spark, sf):
+    def bundle(part: pd.DataFrame) -> bytes:
+        part, buffer = part.sort_values("ubid"), io.BytesIO()
+        rows = [(f"36{u:013d}", 0 if u % 13 == 0 else 5, 7) for u in part["ubid"]]
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("tl.shp", binary.encode_shapes([square_rings(x, y) for x, y in zip(part["lon"], part["lat"], strict=True)]))
+            z.writestr("tl.dbf", binary.encode_dbase([("GEOID10", "C", 15), ("ALAND10", "N", 9), ("AWATER10", "N", 9)], rows))
+        return buffer.getvalue()
+
+    found = binary.bundles(spark, _per_file(B.blocks(spark, sf).select("ubid", "lon", "lat"), bundle, ".zip", folder(spark)))
+    return found.select(_base().alias("file"), "blockid", "water", F.size("rings").cast("long").alias("rings"), F.size(F.col("rings")[0]).cast("long").alias("points"), F.col("box")[0].alias("x"), F.col("box")[1].alias("y"))
+
+
+@query("a23_s23_part_histogram", "SELECT parts, count(*) AS polygons FROM (SELECT l_orderkey, count(*) AS parts FROM lineitem GROUP BY 1) GROUP BY 1")
+def _(spark, sf):
+    """Parts of the shapes in shapefiles: an order is a shape with a part for each of its lines."""
+
+    def encode(part: pd.DataFrame) -> bytes:
+        shapes = [[ring for n in ns for ring in square_rings(int(n) * 2000, int(u))] for u, ns in zip(part["ubid"], part["lines"], strict=True)]
+        return binary.encode_shapes(shapes, 3)
+
+    orders = B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("ubid")).agg(F.collect_list("l_linenumber").alias("lines"))
+    found = binary.shape_files(spark, _per_file(orders, encode, ".shp", folder(spark)))
+    return metrics.size_histogram(found, F.size("rings"), "parts", "polygons")
+
+
+@query("g10_district_shapes", B.sql("blocks", "SELECT district, 1000000.0::DOUBLE * count(*) AS area FROM blocks GROUP BY 1"))
+def _(spark, sf):
+    """District outlines written as shapefiles, a district each, and read back: shells run with the clock, holes against it."""
+    b = B.blocks(spark, sf)
+    square = F.array(*(F.struct((F.col("lon") + x).cast("double").alias("x"), (F.col("lat") + y).cast("double").alias("y")) for x, y in ((0, 0), (1000, 0), (1000, 1000), (0, 1000), (0, 0))))
+    corners = rings.rings(b.select("ubid", F.array(square).alias("rings")), b)
+    out = folder(spark)
+    sinks.write_files(rings.shape_files(corners), out)
+    found = binary.shape_files(spark, out).select(F.regexp_extract("path", r"district(\d+)\.shp", 1).cast("int").alias("district"), F.explode("rings").alias("ring"))
+    return found.groupBy("district").agg((-F.sum(rings.signed_area(F.col("ring")))).alias("area"))
+
+
+@query("s09_k03_dataset_files", B.sql("blocks", f"SELECT {FILE_SQL} || '.pb' AS file, row_number() OVER (PARTITION BY ubid // {BLOCKS} ORDER BY ubid)::INT - 1 AS idx, ubid, lon::INT AS lon, -lat::INT AS lat, pop::INT AS pop, area, place FROM blocks"))
+def _(spark, sf):
+    def encode(part: pd.DataFrame) -> bytes:
+        part = part.sort_values("ubid")
+        points = [int(v) for x, y in zip(part["lon"], part["lat"], strict=True) for v in (x, -y)]
+        return binary.encode_dataset({"points": points} | {c: [int(v) for v in part[c]] for c in ("pop", "area", "ubid", "place")})
+
+    found = binary.dataset_blocks(spark, _per_file(B.blocks(spark, sf), encode, ".pb", folder(spark)))
+    return found.select(_base().alias("file"), "idx", "ubid", "lon", "lat", "pop", "area", "place")
+
+
+@query("s17_s19_place_maps", B.sql("blocks", "SELECT ubid, place::BIGINT AS place, place % 3 = 0 AS marked FROM blocks"))
+def _(spark, sf):
+    b, maps, lists = B.blocks(spark, sf).select("ubid", "place"), folder(spark), folder(spark)
+    _per_file(b, lambda p: binary.encode_place_map(p[["ubid", "place"]].to_numpy()), ".gz", maps)
+    _per_file(b.where("place % 3 = 0"), lambda p: binary.encode_id_list(p["ubid"].to_numpy()), ".gz", lists)
+    marked = binary.id_list(spark, lists).select("ubid", F.lit(True).alias("marked"))
+    return binary.place_map(spark, maps).join(marked, "ubid", "left").select("ubid", "place", F.coalesce("marked", F.lit(False)).alias("marked"))
+
+
+@query("s20_k08_raster_files", B.sql("blocks", "SELECT ubid, ((lon // 500) + dx)::INT AS x, (lat // 500 + dy)::INT AS y, ubid % 13 = 0 AS is_water FROM blocks, range(2) a(dx), range(2) b(dy)"))
+def _(spark, sf):
+    def encode(part: pd.DataFrame) -> bytes:
+        xy = [[v for dx in (0, 1) for dy in (0, 1) for v in (x // 500 + dx, y // 500 + dy)] for x, y in zip(part["lon"].tolist(), part["lat"].tolist(), strict=True)]
+        return binary.encode_raster([(u, [] if u % 13 == 0 else p, p if u % 13 == 0 else []) for u, p in zip(part["ubid"].tolist(), xy, strict=True)])
+
+    return binary.raster_pixels(spark, _per_file(B.blocks(spark, sf).select("ubid", "lon", "lat"), encode, ".mppb", folder(spark))).drop("path")
+
+
+@query("s29_k09_binary_logs", B.sql("statlog", "SELECT 'run' || run || '.log' AS file, generation, kmpp, (spread * 100)::INT AS max_pop FROM statlog"))
+def _(spark, sf):
+    def encode(part: pd.DataFrame) -> bytes:
+        part = part.sort_values("generation")
+        return binary.encode_log([{"generation": int(g), "kmpp": float(k), "max_pop": int(p)} for g, k, p in zip(part["generation"], part["kmpp"], part["max_pop"], strict=True)])
+
+    log = B.statlog(spark, sf).select("run", "generation", "kmpp", F.round(F.col("spread") * 100).cast("int").alias("max_pop"))
+    found = binary.statlog_binary(spark, _per_file(log, encode, ".log", folder(spark), by=F.concat(F.lit("run"), "run")))
+    return found.select(_base().alias("file"), "generation", "kmpp", "max_pop")
+
+
+@query("t12_newest_member", B.sql("submissions", "SELECT path || '.zip' AS file, 'uf1_' || arg_max(id, (date_trunc('minute', ts), 'uf1_' || id || '.dat')) || '.dat' AS member FROM submissions WHERE config = 'error' GROUP BY 1"))
+def _(spark, sf):
+    """The newest member of each zip file whose name matches, the largest name among equals."""
+
+    def encode(part: pd.DataFrame) -> bytes:
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w") as z:
+            for id_, ts, good in zip(part["id"], part["ts"], part["good"], strict=True):
+                z.writestr(zipfile.ZipInfo(f"{'uf1' if good else 'geo'}_{id_}.dat", tuple(ts.timetuple()[:5]) + (0,)), str(id_))
+        return buffer.getvalue()
+
+    subs = B.submissions(spark, sf).select("id", "path", F.col("ts").cast("timestamp").alias("ts"), (F.col("config") == "error").alias("good"))
+    found = binary.zip_members(spark, _per_file(subs, encode, ".zip", folder(spark), by=F.col("path")), r"^uf1_.*\.dat$")
+    return metrics.newest(found.withColumn("file", _base()), "file", "modified", "member")
+
+
+SUBMITTED_SQL = """SELECT CASE WHEN id % 3 = 0 THEN 's' || id || '.json' ELSE 's' || id || '.tar.gz' END AS file, CASE WHEN id % 3 = 1 THEN 'NC_House' ELSE 'c' || config END AS n, CASE WHEN id % 2 = 0 THEN 'dsz' || id END AS solution
+  FROM submissions WHERE id % 3 <> 0 OR id % 2 = 0"""
+
+
+@query("s31_s33_submission_scan", B.sql("submissions", SUBMITTED_SQL))
+def _(spark, sf):
+    """JSON files and tar.gz archives of one folder; a JSON without solution and summary is none."""
+
+    def pack(parts):
+        for part in parts:
+            names, contents = [], []
+            for id_, config in zip(part["id"].tolist(), part["config"], strict=True):
+                solution = f"dsz{id_}".encode() if id_ % 2 == 0 else None
+                if id_ % 3 == 0:
+                    body = {"n": f"c{config}", "ok": True} | ({"bestKmpp.dsz": base64.b64encode(solution).decode()} if solution else {})
+                    names.append(f"s{id_}.json")
+                    contents.append(json.dumps(body).encode())
+                else:
+                    said = urllib.parse.urlencode({"localpath": "x", "path": f"old/NC_House/{id_}"} if id_ % 3 == 1 else {"config": f"c{config}"})
+                    buffer = io.BytesIO()
+                    with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+                        for name, content in (("vars", said.encode()), ("solution", solution)):
+                            if content is not None:
+                                info = tarfile.TarInfo(f"run/{name}")
+                                info.size = len(content)
+                                tar.addfile(info, io.BytesIO(content))
+                    names.append(f"s{id_}.tar.gz")
+                    contents.append(buffer.getvalue())
+            yield pd.DataFrame({"name": names, "content": contents})
+
+    out = folder(spark)
+    sinks.write_files(B.submissions(spark, sf).select("id", "config").mapInPandas(pack, "name string, content binary"), out)
+    return files.submissions(spark, out).select(_base().alias("file"), "n", F.decode("solution", "UTF-8").alias("solution"))
+
+
+@query("s08_gzip_lines", B.sql("blocks", f"SELECT {FILE_SQL} || CASE WHEN ubid // {BLOCKS} % 2 = 0 THEN '.txt.gz' ELSE '.txt' END AS file, 'block ' || ubid AS line FROM blocks"))
+def _(spark, sf):
+    even = F.floor(F.col("ubid") / BLOCKS) % 2 == 0
+    name = F.concat(F.lit("f"), F.floor(F.col("ubid") / BLOCKS), F.when(even, ".txt.gz").otherwise(".txt"))
+
+    def encode(part: pd.DataFrame) -> bytes:
+        text = "".join(f"block {u}\n" for u in part["ubid"]).encode()
+        return gzip.compress(text) if part["__file"].iloc[0].endswith(".gz") else text
+
+    return files.lines(spark, _per_file(B.blocks(spark, sf).select("ubid"), encode, "", folder(spark), by=name))
+
+
+@query("p13_large_enough", B.sql("submissions", "SELECT path || '.txt' AS file, count(*)::BIGINT AS length FROM submissions GROUP BY 1 HAVING count(*) >= 8"))
+def _(spark, sf):
+    out = folder(spark)
+    sinks.write_files(B.submissions(spark, sf).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.concat("path", F.lit(".txt")).alias("name"), F.repeat(F.lit("x"), F.col("n")).cast("binary").alias("content")), out)
+    return files.large_enough(spark, out, 8)
+
+
+@query("s27_j07_race_files", """WITH c AS (SELECT l_suppkey AS recno, count(*) AS total, count(*) FILTER (l_linenumber = 1) AS white, count(*) FILTER (l_linenumber > 1) + (l_suppkey % 5 = 0)::INT AS black FROM lineitem GROUP BY l_suppkey)
+SELECT s_suppkey AS ubid, total, white, black, white + black <= total AS valid FROM c JOIN supplier ON s_suppkey = recno""")
+def _(spark, sf):
+    """Race counts by record number, joined to the blocks that have the record."""
+    one, k = F.count_if(F.col("l_linenumber") == 1), F.col("l_suppkey")
+    c = B.table(spark, sf, "lineitem").groupBy(k.alias("LOGRECNO")).agg(F.count(F.lit(1)).alias("total"), one.alias("white"), F.count_if(F.col("l_linenumber") > 1).alias("b"))
+    c = c.select("LOGRECNO", "total", "white", (F.col("b") + (F.col("LOGRECNO") % 5 == 0).cast("int")).alias("black"), *(F.lit(0).alias(x) for x in ("native", "asian", "pacific", "other")))
+    out = folder(spark)
+    c.write.option("header", True).csv(out)
+    blocks = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ubid"), F.col("s_suppkey").alias("recno"))
+    return blocks.join(files.race_counts(spark, out), F.col("recno") == F.col("LOGRECNO")).select("ubid", "total", "white", "black", "valid")

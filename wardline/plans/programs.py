@@ -123,7 +123,7 @@ def _(spark, sf):
 
 
 MAPS_SQL = f"""WITH party AS (SELECT trial, cell, CASE WHEN row_number() OVER (PARTITION BY trial ORDER BY u, cell) <= 10 THEN 'o' ELSE 'x' END AS label
-  FROM (SELECT trial, cell, {draw_sql(1, "trial", "cell")} AS u FROM range(2000) t(trial), range(25) c(cell))),
+  FROM (SELECT trial, cell, {draw_sql(1, "trial", "cell")} AS u FROM (SELECT c_custkey AS trial FROM customer) t, range(25) c(cell))),
 won AS (SELECT map, trial, d, count(*) FILTER (label = 'x') >= count(*) FILTER (label = 'o') AS x FROM (SELECT *, CASE WHEN map = 0 THEN cell // 5 ELSE cell % 5 END AS d FROM party, (SELECT unnest([0, 1])::INT AS map)) GROUP BY 1, 2, 3)
 SELECT map, seats, count(*) AS n FROM (SELECT map, trial, count(*) FILTER (x) AS seats FROM won GROUP BY 1, 2) GROUP BY 1, 2"""
 
@@ -131,7 +131,7 @@ SELECT map, seats, count(*) AS n FROM (SELECT map, trial, count(*) FILTER (x) AS
 @query("v14_synthetic_maps", MAPS_SQL)
 def _(spark, sf):
     maps = [[c // 5 for c in range(25)], [c % 5 for c in range(25)]]
-    return solvers.synthetic_maps(spark, maps, 10, 2000)
+    return solvers.synthetic_maps(spark, maps, 10, B.table(spark, sf, "customer").select(F.col("c_custkey").alias("trial")))
 
 
 @query("r01_filled_polygons", B.sql("blocks", "SELECT ubid, ((lon // 250) + dx)::INT AS x, ((100000 - lat) // 250 - 1 - dy)::INT AS y FROM blocks, range(4) a(dx), range(4) b(dy)"))

@@ -7,7 +7,7 @@ import math
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.geo import interpolate, planar
@@ -194,8 +194,11 @@ def grab_run(blocks: DataFrame, edges: DataFrame, districts: int, generations: i
     return graph.fix_contiguity(edges, state)
 
 
-def default_generations(blocks: int, districts: int, kind: str = "grab") -> int:
-    return 15_000 if kind == "nearest" else 10 * blocks // districts
+def default_generations(blocks, districts, kind: str = "grab"):
+    """Of numbers or of columns."""
+    if kind == "nearest":
+        return 15_000
+    return F.floor(10 * blocks / districts).cast("long") if isinstance(blocks, Column) else 10 * blocks // districts
 
 
 def pop_ratio_factor(generation, points: list[tuple[float, float]]):
@@ -222,13 +225,14 @@ def county_city_start(blocks: DataFrame, target: float, tolerance: float = 0.05)
 # ---------------------------------------------------------------- synthetic maps
 
 
-def synthetic_maps(spark, maps: list[list[int]], minority: int, trials: int, seed: int = 1) -> DataFrame:
+def synthetic_maps(spark, maps: list[list[int]], minority: int, trials: int | DataFrame, seed: int = 1) -> DataFrame:
     """(map, seats, n): how often x, with all but ``minority`` of the cells, wins so many districts.
 
-    Each trial shuffles the cells by hash; ties in a district go to the larger label.
+    Each trial, a number or a row (trial) of a table, shuffles the cells by hash; ties in a district go to the larger label.
     """
     size = len(maps[0])
-    cells = spark.range(trials).select(F.col("id").alias("trial"), F.posexplode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell", "_"))
+    each = spark.range(trials).withColumnRenamed("id", "trial") if isinstance(trials, int) else trials
+    cells = each.select("trial", F.posexplode(F.sequence(F.lit(0), F.lit(size - 1))).alias("cell", "_"))
     order = Window.partitionBy("trial").orderBy(draw(seed, "trial", "cell"), "cell")
     party = cells.select("trial", "cell", F.when(F.row_number().over(order) <= minority, "o").otherwise("x").alias("label"))
     layout = spark.createDataFrame([(m, c, d) for m, grid in enumerate(maps) for c, d in enumerate(grid)], "map int, cell int, district int")

@@ -4,6 +4,7 @@ Text formats are declared as columns over ``spark.read``; nothing is inferred.""
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from wardline import schema
 from wardline.functions import text
 from wardline.functions.geo import degrees_to_micro
 from wardline.schema import ubid
+from wardline.sources import binary
 
 
 def cut(start: int, stop: int, line: str = "value") -> Column:
@@ -174,6 +176,43 @@ def json_submissions(spark: SparkSession, folder: str, most: int = 1_000_000) ->
     return parsed.where("r.n IS NOT NULL AND r.ok AND (r.`bestKmpp.dsz` IS NOT NULL OR r.statsum IS NOT NULL)").select("path", "modificationTime", "sha", "r.*")
 
 
+def archived_submissions(spark: SparkSession, folder: str, most: int = 1_000_000) -> DataFrame:
+    """Submissions in tar.gz archives of at most ``most`` bytes: (path, modificationTime, sha, n, vars, solution, statsum).  Their members are ``vars``, a
+    URL query that has a config or a path, and perhaps ``solution`` and ``statsum``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar.gz").load(folder)
+    found = found.where((F.col("length") <= most) & ~F.col("path").contains("/Attic/"))
+    kept = {"vars": "vars string", "solution": "solution binary", "statsum": "statsum string"}
+
+    def unpack(batches):
+        for batch in batches:
+            rows = [binary.tar_contents(c) for c in batch["content"]]
+            text = lambda r, k: r[k].decode(errors="replace") if k in r else None
+            yield batch[["path", "modificationTime"]].assign(sha=[hashlib.sha256(c).hexdigest() for c in batch["content"]], vars=[text(r, "vars") for r in rows], solution=[r.get("solution") for r in rows], statsum=[text(r, "statsum") for r in rows])
+
+    rows = found.select("path", "modificationTime", "content").mapInPandas(unpack, f"path string, modificationTime timestamp, sha string, {', '.join(kept.values())}")
+    value = lambda k: F.url_decode(F.regexp_extract("vars", rf"(?:^|&){k}=([^&]*)", 1))
+    config = F.coalesce(F.nullif(value("config"), F.lit("")), F.nullif(F.regexp_extract(value("path"), r"([A-Z]{2}_[A-Z][A-Za-z]+)", 1), F.lit("")))
+    return rows.withColumn("n", config).where("vars IS NOT NULL AND n IS NOT NULL").select("path", "modificationTime", "sha", "n", "vars", "solution", "statsum")
+
+
+def submissions(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modificationTime, sha, n, solution, statsum) of JSON files and tar.gz archives below ``folder``: one scan over both kinds."""
+    columns = ["path", "modificationTime", "sha", "n", "solution", "statsum"]
+    plain = json_submissions(spark, folder).withColumn("solution", F.unbase64("`bestKmpp.dsz`")).select(*columns)
+    return plain.unionByName(archived_submissions(spark, folder).select(*columns))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line) of text files, plain or, by their names, gzipped."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+
+
+def large_enough(spark: SparkSession, path: str, least: int) -> DataFrame:
+    """(file, length) of files of at least ``least`` bytes; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.where(F.col("length") >= least).select(F.substring_index("path", "/", -1).alias("file"), "length")
+
+
 def folder_listing(spark: SparkSession, page: str) -> DataFrame:
     """Distinct (path, fips, county) links of a saved directory index page."""
     link = F.explode(F.regexp_extract_all("value", F.lit(r'href="(tl_\d+_(?:\d{5}|\d{2})_[^"]*\.zip)"'), F.lit(1)))
