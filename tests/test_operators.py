@@ -45,7 +45,7 @@ def test_fragment_ties(spark, labels, district, kept):
 def test_connectivity_repair(spark):
     nodes = spark.createDataFrame([(i, x, 0) for i, x in enumerate([0, 1, 10, 11, 30])], "ubid long, lon long, lat long")
     edges = spark.createDataFrame([(0, 1), (2, 3)], "a long, b long")
-    assert [tuple(r) for r in graph.repair_connectivity(nodes, edges, 4.0).collect()] == [(1, 2), (3, 4)]
+    assert [tuple(r) for r in graph.repair_connectivity(nodes, edges).collect()] == [(1, 2), (3, 4)]
 
 
 def test_contiguity_holds_on_the_grid(spark, sf_dir):
@@ -192,7 +192,7 @@ def test_bridges_equal_a_plain_spanning_tree(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(0, 4000), rng.randrange(0, 4000)) for i in range(25)] + [(25 + i, 90_000 + rng.randrange(3000), 0) for i in range(4)] + [(40, 300_000, 300_000)]
     edges = [(0, 1), (1, 2), (5, 9), (26, 27)]
-    got = {tuple(r) for r in graph.repair_connectivity(spark.createDataFrame(rows, "ubid long, lon long, lat long"), spark.createDataFrame(edges, "a long, b long"), 300.0).collect()}
+    got = {tuple(r) for r in graph.repair_connectivity(spark.createDataFrame(rows, "ubid long, lon long, lat long"), spark.createDataFrame(edges, "a long, b long")).collect()}
     label, want = plain_components([r[0] for r in rows], edges), set()
     for _, a, b in sorted(((x1 - x2) ** 2 + (y1 - y2) ** 2, a, b) for a, x1, y1 in rows for b, x2, y2 in rows if a < b):
         if label[a] != label[b]:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.shared import release
 from wardline.shared import save as saved
 
 
@@ -42,24 +43,59 @@ def edge_blocks(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     return pairs.where("da IS NOT NULL AND NOT (da <=> db)").select(F.col("a").alias("ubid"), F.col("da").alias("district")).distinct()
 
 
+#: Contracted edges that one task may finish.
+FEW_EDGES = 100_000
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ubid, component): smallest ubid reachable.  In a round each component hooks to the least label
-    that its members see, and pointers are jumped to the roots, so long chains take few rounds."""
-    label = saved(nodes.select("ubid", F.col("ubid").alias("component")))
-    wires = saved(both_ways(edges))
-    while True:
-        near = wires.join(label.withColumnsRenamed({"ubid": "b"}), "b").groupBy(F.col("a").alias("ubid")).agg(F.min("component").alias("near"))
-        seen = label.join(near, "ubid", "left").select("component", F.least("component", F.coalesce("near", "component")).alias("to"))
-        moved = saved(seen.groupBy("component").agg(F.min("to").alias("to")))
-        if moved.where("to < component").isEmpty():
-            return label
+    """(ubid, component): smallest ubid reachable.
+
+    In a round each component hooks to its least neighbour, pointers are jumped to the roots, and edges are contracted:
+    those within a component go, and of several between two one stays.  So rounds shrink; once ``FEW_EDGES`` are left, one task ends it.
+    """
+    ids = nodes.select("ubid").distinct()
+    known = edges.join(ids.select(F.col("ubid").alias("a")), "a", "left_semi").join(ids.select(F.col("ubid").alias("b")), "b", "left_semi")
+    wires, maps = saved(undirected(known)), []
+    while (left := wires.count()) > FEW_EDGES:
+        near = both_ways(wires).groupBy("a").agg(F.min("b").alias("near"))
+        moved = saved(near.select(F.col("a").alias("component"), F.least("a", "near").alias("to")))
         while True:
             up = moved.select(F.col("component").alias("to"), F.col("to").alias("next"))
-            jumped = saved(moved.join(up, "to").select("component", "next", (F.col("next") < F.col("to")).alias("changed")))
-            moved = jumped.select("component", F.col("next").alias("to"))
+            jumped = saved(moved.join(up, "to").select("component", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("changed")))
+            release(moved)
+            moved = jumped
             if jumped.where("changed").isEmpty():
                 break
-        label = saved(label.join(moved, "component").select("ubid", F.col("to").alias("component")))
+        maps.append(moved.select("component", "to"))
+        end = lambda c: moved.select(F.col("component").alias(c), F.col("to").alias(f"{c}2"))  # noqa: B023, E731
+        new = wires.join(end("a"), "a").join(end("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        new = saved(undirected(new))
+        release(wires)
+        wires = new
+    if left:
+        maps.append(wires.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_least_reachable, "component long, to long"))
+    label = ids.withColumn("component", F.col("ubid"))
+    for m in maps:
+        label = label.join(m, "component", "left").select("ubid", F.coalesce("to", "component").alias("component"))
+    label = saved(label)
+    release(wires)
+    return label
+
+
+def _least_reachable(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(component, to) of few edges (a, b): the least id that each reaches."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for a, b in pairs[["a", "b"]].itertuples(index=False):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return pd.DataFrame({"component": list(root), "to": [find(x) for x in list(root)]})
 
 
 def district_groups(edges: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -116,13 +152,55 @@ def nearest(points: DataFrame, centers: DataFrame, weight: bool = True) -> DataF
     return points.join(listed).select("ubid", best.getField("district").alias("district"))
 
 
-def repair_connectivity(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+#: Blocks of a finest cell, and times that a square is quartered at most.
+CELL_BLOCKS, MOST_LEVELS = 32, 24
+
+
+def ways_out(label: DataFrame) -> DataFrame:
+    """(component, way struct<far, a, b>): the shortest way (squared distance, then ids) from each component but the largest to another.
+
+    The square around all blocks is quartered again and again.  On each level a component keeps pairs of an own cell
+    and a cell with others' blocks, of which the boxes are no farther apart than the surest way so far is long; only
+    pairs that are left on the last level have their blocks compared.  label: ubid, component, lon, lat.
+    """
+    e = label.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"), F.count(F.lit(1))).first()
+    side, levels = max(e[1] - e[0], e[3] - e[2], 1) * 1.0000001, 1
+    at = lambda c, low, n: F.floor((F.col(c) - F.lit(low)) / F.lit(side) * (1 << n)).cast("long")
+    while levels < MOST_LEVELS and label.groupBy(at("lon", e[0], levels), at("lat", e[2], levels)).count().agg(F.max("count")).first()[0] > CELL_BLOCKS:
+        levels += 2
+    box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    placed = saved(label.withColumns({"gx": at("lon", e[0], levels), "gy": at("lat", e[2], levels)}))
+    point = placed.select("component", "gx", "gy", F.col("lon").alias("x0"), F.col("lon").alias("x1"), F.col("lat").alias("y0"), F.col("lat").alias("y1"))
+    fine = saved(point.groupBy("component", "gx", "gy").agg(*box))
+    sizes = saved(label.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    largest = sizes.agg(F.max(F.struct("n", "component")).alias("m")).first()["m"]["component"]
+    pairs = sizes.where(F.col("component") != largest).select("component", *(F.lit(0).cast("long").alias(c) for c in ("ax", "ay", "bx", "by")))
+    up = lambda c, n: F.shiftright(F.col(c), n)
+    for level in range(1, levels + 1):
+        cells = fine.withColumns({"gx": up("gx", levels - level), "gy": up("gy", levels - level)})
+        own = cells.groupBy("component", "gx", "gy").agg(*box)
+        own = own.select("component", up("gx", 1).alias("ax"), up("gy", 1).alias("ay"), F.col("gx").alias("cx"), F.col("gy").alias("cy"), F.struct("x0", "x1", "y0", "y1").alias("p"))
+        all_ = cells.groupBy("gx", "gy").agg(*box, F.min("component").alias("low"), F.max("component").alias("high"))
+        all_ = all_.select(up("gx", 1).alias("bx"), up("gy", 1).alias("by"), F.col("gx").alias("dx"), F.col("gy").alias("dy"), F.struct("x0", "x1", "y0", "y1").alias("q"), "low", "high")
+        met = pairs.join(own, ["component", "ax", "ay"]).join(all_, ["bx", "by"]).where("low <> component OR high <> component")
+        gap = lambda a, b: F.greatest(F.lit(0), F.col(f"p.{a}") - F.col(f"q.{b}"), F.col(f"q.{a}") - F.col(f"p.{b}"))
+        reach = lambda a, b: F.greatest(F.col(f"p.{b}") - F.col(f"q.{a}"), F.col(f"q.{b}") - F.col(f"p.{a}"))
+        square = lambda x, y: x * x + y * y
+        met = saved(met.select("component", "cx", "cy", "dx", "dy", square(gap("x0", "x1"), gap("y0", "y1")).alias("near"), square(reach("x0", "x1"), reach("y0", "y1")).alias("sure")))
+        sure = met.groupBy("component").agg(F.min("sure").alias("best"))
+        pairs = met.join(sure, "component").where("near <= best").select("component", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
+    left = placed.select("component", F.col("gx").alias("ax"), F.col("gy").alias("ay"), F.col("ubid").alias("a"), "lon", "lat")
+    right = placed.select(F.col("component").alias("other"), F.col("gx").alias("bx"), F.col("gy").alias("by"), F.col("ubid").alias("b"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    far = (F.col("lon") - F.col("x")) * (F.col("lon") - F.col("x")) + (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y"))
+    met = pairs.join(left, ["component", "ax", "ay"]).join(right, ["bx", "by"]).where("component <> other")
+    return met.groupBy("component").agg(F.min(F.struct(far.alias("far"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).alias("way"))
+
+
+def repair_connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Bridging edges (a, b) that join all components by the least total distance.
 
-    In each round every component takes the shortest way out of it, which are joined in; the number of
-    components halves at least.  Ways out are looked for in neighbouring cells of a grid, where a way no longer
-    than a cell is always found; components that have none ask again with cells twice as wide.
-    Blocks without a place are left out.
+    In each round every component but the largest takes the shortest way out of it, which are joined in; the number of
+    components falls to half at least.  Blocks without a place are left out.
     """
     placed = saved(nodes.where("lon IS NOT NULL AND lat IS NOT NULL").select("ubid", "lon", "lat"))
     bridges, wires = nodes.sparkSession.createDataFrame([], "a long, b long"), saved(edges.select("a", "b"))
@@ -130,22 +208,7 @@ def repair_connectivity(nodes: DataFrame, edges: DataFrame, cell: float) -> Data
         label = saved(components(placed.select("ubid"), wires).join(placed, "ubid"))
         if label.select("component").distinct().limit(2).count() < 2:
             return bridges
-        asking, found, width = label, None, cell
-        while True:
-            at = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: E731, B023
-            around = F.explode(F.array(*(F.struct((at("lon") + dx).alias("gx"), (at("lat") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-            left = asking.select("component", F.col("ubid").alias("a"), "lon", "lat", around.alias("g")).select("*", "g.*").drop("g")
-            right = label.select(F.col("component").alias("other"), F.col("ubid").alias("b"), F.col("lon").alias("x"), F.col("lat").alias("y"), at("lon").alias("gx"), at("lat").alias("gy"))
-            far = (F.col("lon") - F.col("x")) * (F.col("lon") - F.col("x")) + (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y"))
-            met = left.join(right, ["gx", "gy"]).where((F.col("component") != F.col("other")) & (far <= width * width))
-            way = F.min(F.struct(far.alias("far"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            near = saved(met.groupBy("component").agg(way.alias("way")))
-            found = near if found is None else found.unionByName(near)
-            asking = saved(asking.join(near, "component", "left_anti"))
-            if asking.isEmpty():
-                break
-            width *= 2
-        new = saved(found.select("way.a", "way.b").distinct())
+        new = saved(ways_out(label).select("way.a", "way.b").distinct())
         bridges, wires = bridges.unionByName(new), saved(wires.unionByName(new))
 
 

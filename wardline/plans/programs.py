@@ -36,17 +36,24 @@ def squares(blocks: DataFrame) -> DataFrame:
 def _(spark, sf):
     b, e = B.blocks(spark, sf), B.edges(spark, sf)
     cut = e.where("a % 40 NOT IN (9, 29) OR b <> a + 1")
-    return graph.repair_connectivity(b, cut, 2000.0)
+    return graph.repair_connectivity(b, cut)
 
 
-@query("g08_district_colors", B.sql("blocks edges", """, p AS (SELECT DISTINCT x.district AS d1, y.district AS d2 FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges) e JOIN blocks x ON e.a = x.ubid JOIN blocks y ON e.b = y.ubid WHERE x.district <> y.district)
+def _pairs(spark, sf) -> DataFrame:
+    return graph.district_adjacency(B.edges(spark, sf), B.blocks(spark, sf)).select(F.lit("now").alias("map"), "d1", "d2")
+
+
+@query("g08_district_colors")
+def _(spark, sf):
+    alone = B.blocks(spark, sf).select(F.lit("now").alias("map"), F.col("district").alias("d1"), F.col("district").alias("d2")).distinct()
+    return graph.colors(_pairs(spark, sf).unionByName(alone), "map").select("district", "color")
+
+
+@query("g08_colors_differ", B.sql("blocks edges", """, p AS (SELECT DISTINCT x.district AS d1, y.district AS d2 FROM (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges) e JOIN blocks x ON e.a = x.ubid JOIN blocks y ON e.b = y.ubid WHERE x.district <> y.district)
 SELECT district, count(d2) AS neighbours, 0::BIGINT AS alike, true AS in_palette FROM (SELECT DISTINCT district FROM blocks) d LEFT JOIN p ON d1 = district GROUP BY district"""))
 def _(spark, sf):
     """Each district's neighbours, and how many of them have its color: none."""
-    b = B.blocks(spark, sf)
-    pairs = graph.district_adjacency(B.edges(spark, sf), b).select(F.lit("now").alias("map"), "d1", "d2")
-    alone = b.select(F.lit("now").alias("map"), F.col("district").alias("d1"), F.col("district").alias("d2")).distinct()
-    found = graph.colors(pairs.unionByName(alone), "map").select("district", "color")
+    pairs, found = _pairs(spark, sf), QUERIES["g08_district_colors"](spark, sf)
     ways = pairs.select(F.col("d1").alias("district"), F.col("d2").alias("other")).union(pairs.select("d2", "d1"))
     met = ways.join(found.select(F.col("district").alias("other"), F.col("color").alias("c2")), "other")
     met = found.join(met, "district", "left").groupBy("district").agg(F.count("other").alias("neighbours"), F.count_if(F.col("color") == F.col("c2")).alias("alike"), F.max("color").alias("top"))
