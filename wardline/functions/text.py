@@ -105,6 +105,32 @@ def query_args(text: Column) -> Column:
     return F.str_to_map(text, F.lit("&"), F.lit("="))
 
 
+def query_decoded(text: Column) -> Column:
+    """'a=1&b=x+y%21' -> map, as a form sends it; of a key that comes more than once the last value stays."""
+    pairs = F.filter(F.split(text, "&"), lambda p: p != "")
+    key = lambda p: F.url_decode(F.substring_index(p, "=", 1))
+    value = lambda p: F.when(F.instr(p, "=") > 0, F.url_decode(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).otherwise("")
+    return F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != key(p)), F.create_map(key(p), value(p))))
+
+
+def query_text(args: Column) -> Column:
+    """A map as the text of a URL query, keys in order."""
+    pairs = F.array_sort(F.map_entries(args))
+    return F.array_join(F.transform(pairs, lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(F.coalesce(e["value"], F.lit(""))))), "&")
+
+
+def general(value: Column, digits: int) -> Column:
+    """A number to ``digits`` digits without trailing zeros, in powers of ten where it is very small or large, as C prints %g."""
+    shown = F.format_string(f"%.{digits - 1}e", F.abs(value.cast("double")))
+    mantissa, power = F.replace(F.substring_index(shown, "e", 1), F.lit(".")), F.substring_index(shown, "e", -1).cast("int")
+    trim = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0*$", "")).otherwise(t)
+    whole = F.concat(F.substring(mantissa, F.lit(1), power + 1), F.lit("."), F.substring(mantissa, power + 2, F.lit(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), mantissa)
+    far = F.concat(trim(F.concat(F.substring(mantissa, 1, 1), F.lit("."), F.substring(mantissa, 2, digits))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    plain = F.when(value == 0, "0").when((power < -4) | (power >= digits), far).when(power < 0, trim(small)).otherwise(trim(whole))
+    return F.concat(F.when(value < 0, "-").otherwise(""), plain)
+
+
 def merge_args(base: Column, over: Column) -> Column:
     """``base`` with the keys of ``over`` replaced or added."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)

@@ -10,10 +10,29 @@ from pyspark.sql import functions as F
 LAST_N, GIVE_UP = 5000, 0.0005
 
 
+#: Frames up to this long are gone through row by row.
+SHORT = 128
+
+
 def last_n(log: DataFrame, column: str, n: int = LAST_N) -> DataFrame:
-    """Minimum, maximum and count of the last n rows of each run."""
-    w = Window.partitionBy("run").orderBy("generation").rowsBetween(-(n - 1), 0)
-    return log.select("run", "generation", column, F.min(column).over(w).alias("low"), F.max(column).over(w).alias("high"), F.count(column).over(w).alias("n"))
+    """Minimum, maximum and count of the last n rows of each run.
+
+    A long frame is never gone through: rows stand in blocks of n, and a frame is the end of one block and the beginning of the next,
+    so that each row costs the same however long the frame is.
+    """
+    shown = ["run", "generation", column, "low", "high", "n"]
+    order = Window.partitionBy("run").orderBy("generation")
+    if n <= SHORT:
+        w = order.rowsBetween(-(n - 1), 0)
+        return log.select("run", "generation", column, F.min(column).over(w).alias("low"), F.max(column).over(w).alias("high"), F.count(column).over(w).alias("n"))
+    rows = log.select("run", "generation", column).withColumn("i", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("i") / n))
+    block = Window.partitionBy("run", "block").orderBy("i")
+    begun, rest = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(0, Window.unboundedFollowing)
+    found = lambda w: F.struct(F.min(column).over(w).alias("low"), F.max(column).over(w).alias("high"), F.count(column).over(w).alias("n"))
+    rows = rows.withColumns({"begun": found(begun), "rest": found(rest)})
+    rows = rows.withColumn("before", F.when(F.col("i") % n != n - 1, F.lag("rest", n - 1).over(Window.partitionBy("run").orderBy("i"))))
+    both = {"low": F.least("begun.low", "before.low"), "high": F.greatest("begun.high", "before.high"), "n": F.col("begun.n") + F.coalesce("before.n", F.lit(0))}
+    return rows.withColumns(both).select(*shown)
 
 
 def variability(log: DataFrame, column: str = "kmpp", n: int = LAST_N, over: Column | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions import text
 from wardline.operators import metrics, projection, rings, windows
 from wardline.plans import bindings as B
 from wardline.shared import shared_folder as folder
@@ -133,9 +134,9 @@ def _items(spark, sf) -> DataFrame:
 def _lists(spark, sf, line, head, tail: str, suffix: str) -> str:
     """A file for each region with its items in order."""
     each = _items(spark, sf).groupBy("f").agg(F.max(F.when(F.col("depth") == 0, F.col("name"))).alias("region"), F.sort_array(F.collect_list(F.struct("n", "s", "code", "name", "depth"))).alias("items"))
-    text = F.concat(head, F.array_join(F.transform("items", line), "\n"), F.lit(tail))
+    whole = F.concat(head, F.array_join(F.transform("items", line), "\n"), F.lit(tail))
     out = folder(spark)
-    sinks.write_files(each.select(F.concat(F.lit("f"), F.col("f"), F.lit(suffix)).alias("name"), text.cast("binary").alias("content")), out)
+    sinks.write_files(each.select(F.concat(F.lit("f"), F.col("f"), F.lit(suffix)).alias("name"), whole.cast("binary").alias("content")), out)
     return out
 
 
@@ -378,8 +379,8 @@ def _(spark, sf):
     name = F.concat(F.lit("f"), F.floor(F.col("ubid") / BLOCKS), F.when(even, ".txt.gz").otherwise(".txt"))
 
     def encode(part: pd.DataFrame) -> bytes:
-        text = "".join(f"block {u}\n" for u in part["ubid"]).encode()
-        return gzip.compress(text) if part["__file"].iloc[0].endswith(".gz") else text
+        said = "".join(f"block {u}\n" for u in part["ubid"]).encode()
+        return gzip.compress(said) if part["__file"].iloc[0].endswith(".gz") else said
 
     return files.lines(spark, _per_file(B.blocks(spark, sf).select("ubid"), encode, "", folder(spark), by=name))
 
@@ -402,3 +403,39 @@ def _(spark, sf):
     c.write.option("header", True).csv(out)
     blocks = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ubid"), F.col("s_suppkey").alias("recno"))
     return blocks.join(files.race_counts(spark, out), F.col("recno") == F.col("LOGRECNO")).select("ubid", "total", "white", "black", "valid")
+
+
+# ---------------------------------------------------------------- logs, pages and queries as text
+
+LOG_SQL = """SELECT run, generation, 'generation: ' || generation || chr(10) || CASE WHEN open <> 0 THEN 'gen ' || generation || ': ' || open || ' in no district (pop=' || format('{:.0f}', spread) || ')' ELSE 'generation ' || generation || ':' END
+  || ' ' || format('{:.11g}', kmpp / 7) || ' Km/person to pop center; ' || format('{:.11g}', kmpp) || ' Km/person to land center' || chr(10) || 'population avg=' || format('{:.0f}', spread) || ' std=' || format('{:.9g}', kmpp / 3000000)
+  || chr(10) || 'max=' || format('{:.0f}', spread * 9) || ' (dist# ' || generation % 7 + 1 || ')  min=' || format('{:.0f}', spread) || ' (dist# 1)  median=' || format('{:.0f}', spread * 2) || ' (dist# 3)'
+  || CASE WHEN generation % 2 = 0 THEN chr(10) || 'kmpp var per 5000=' || format('{:.6f}', kmpp / 1000) || ', spread var per 5000=0.250000' ELSE '' END || chr(10) AS value FROM statlog"""
+
+
+@query("k09_solver_log", B.sql("statlog", LOG_SQL))
+def _(spark, sf):
+    s, v, wide = B.statlog(spark, sf), F.col("kmpp"), F.col("spread")
+    stats = s.select(
+        "run", "generation", F.col("open").alias("free"), wide.alias("free_pop"), (v / 7).alias("kmpp"), v.alias("land_kmpp"), wide.alias("average"), (v / 3_000_000).alias("std"), (wide * 9).alias("max_pop"), (F.col("generation") % 7).alias("max_district"),
+        wide.alias("min_pop"), F.lit(0).alias("min_district"), (wide * 2).alias("median_pop"), F.lit(2).alias("median_district"), F.when(F.col("generation") % 2 == 0, v / 1000).alias("kmpp_var"), F.lit(0.25).alias("spread_var"),
+    )
+    return sinks.solver_lines(stats)
+
+
+@query("f41_query_text", "SELECT c_custkey AS k, 'name=' || replace(c_name, '#', '%23') || '&path=a%26b+' || c_custkey AS query, c_name AS name, 'a&b ' || c_custkey AS path FROM customer")
+def _(spark, sf):
+    c = B.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.create_map(F.lit("path"), F.concat(F.lit("a&b "), "c_custkey"), F.lit("name"), F.col("c_name")).alias("args"))
+    said = text.query_text(F.col("args"))
+    back = text.query_decoded(F.concat(F.lit("name=old&"), said))
+    return c.select("k", said.alias("query"), back["name"].alias("name"), back["path"].alias("path"))
+
+
+@query("r12_state_pages", "SELECT 'S_' || c_nationkey || '.html' AS file, count(*) AS rows, sum(octet_length(encode(replace(c_name, '&', '&amp;'))))::BIGINT AS characters FROM customer GROUP BY c_nationkey")
+def _(spark, sf):
+    """A page for each state with its best results, written and read back."""
+    best = B.table(spark, sf, "customer").select(F.concat(F.lit("S/"), "c_nationkey").alias("state"), F.col("c_name").alias("config"), F.col("c_acctbal").alias("kmpp"))
+    out = folder(spark)
+    sinks.write_files(sinks.pages(best, "state", "kmpp"), out)
+    page = spark.read.text(out, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract_all("value", F.lit(r"<tr><td>([^<]*)</td><td>[^<]*</td></tr>"), F.lit(1)).alias("names"))
+    return page.select("file", F.size("names").cast("long").alias("rows"), F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)).alias("characters"))

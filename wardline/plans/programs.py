@@ -291,7 +291,8 @@ def _(spark, sf):
 
 @query("st02_received_once", B.sql("submissions", "SELECT DISTINCT sha256(props) AS sha FROM submissions"))
 def _(spark, sf):
-    s = streams.received(_event_stream(spark, sf).select(F.col("props").alias("body")))
+    # hashes are forgotten after 30 days, so the state does not grow for ever
+    s = streams.received(_event_stream(spark, sf).select(F.col("props").alias("body"), F.col("ts").cast("timestamp").alias("ts")), late="30 days")
     return streams.run_to_end(s.select("sha"), folder(spark), "append")
 
 

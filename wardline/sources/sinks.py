@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.text import general, html_escape
 from wardline.schema import ubid_text
 from wardline.sources.binary import encode_dsz
 
@@ -74,6 +75,27 @@ def write_statlogs(log: DataFrame, path: str, every: int = 100) -> None:
     lines.select("run", "value").write.mode("overwrite").partitionBy("run").text(path)
 
 
+def solver_lines(stats: DataFrame, window: int = 5000) -> DataFrame:
+    """(run, generation, value): the whole text that a solver logs of a generation, three to five lines.
+
+    stats: run, generation, free, free_pop, kmpp, land_kmpp, average, std, max_pop, max_district, min_pop, min_district, median_pop, median_district,
+    kmpp_var, spread_var (null: no such line).  Districts are counted from 0 here and from 1 in the text.
+    """
+    c, whole = F.col, lambda v: F.bround(F.col(v).cast("double")).cast("decimal(38,0)").cast("string")  # noqa: E731  halves to the even number
+    number = lambda v: (F.col(v) + 1).cast("string")
+    g = c("generation").cast("string")
+    head = F.when(c("free") != 0, F.concat(F.lit("gen "), g, F.lit(": "), c("free").cast("string"), F.lit(" in no district (pop="), whole("free_pop"), F.lit(")"))).otherwise(F.concat(F.lit("generation "), g, F.lit(":")))
+    lines = [
+        F.concat(F.lit("generation: "), g),
+        F.concat(head, F.lit(" "), general(c("kmpp"), 11), F.lit(" Km/person to pop center; "), general(c("land_kmpp"), 11), F.lit(" Km/person to land center")),
+        F.concat(F.lit("population avg="), whole("average"), F.lit(" std="), general(c("std"), 9)),
+        F.concat(*(x for name in ("max", "min", "median") for x in (F.lit(f"{'' if name == 'max' else '  '}{name}="), whole(f"{name}_pop"), F.lit(" (dist# "), number(f"{name}_district"), F.lit(")")))),
+        F.concat(F.lit(f"kmpp var per {window}="), F.format_string("%.6f", "kmpp_var"), F.lit(f", spread var per {window}="), F.format_string("%.6f", "spread_var")),
+    ]
+    last = F.when(c("kmpp_var").isNotNull() & c("spread_var").isNotNull(), lines[4])
+    return stats.select("run", "generation", F.concat(F.concat_ws("\n", *lines[:4], last), F.lit("\n")).alias("value"))
+
+
 def run_configs(legislatures: DataFrame) -> DataFrame:
     """(state, body, config): one JSON config a body, disabled where it has a single seat."""
     name = F.concat_ws("_", "state", "short")
@@ -142,6 +164,18 @@ def leaderboard_html(best: DataFrame) -> str:
     return "<html><body><h1>Best results</h1>" + report_text(best.orderBy("config"), "html") + "</body></html>"
 
 
+def pages(best: DataFrame, key: str, order: str) -> DataFrame:
+    """(name, content): an HTML page for each ``key`` with its rows in order, as files for ``write_files``.  A page's rows are one row here."""
+    columns = [c for c in best.columns if c != key]
+    cell = lambda x: F.concat(F.lit("<td>"), html_escape(F.coalesce(x.cast("string"), F.lit(""))), F.lit("</td>"))
+    line = lambda r: F.concat(F.lit("<tr>"), *(cell(r[c]) for c in columns), F.lit("</tr>"))
+    rows = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("__order"), *columns))).alias("rows"))
+    name = F.col(key).cast("string")
+    head = F.lit("<table><tr>" + "".join(f"<th>{html.escape(c)}</th>" for c in columns) + "</tr>")
+    body = F.concat(F.lit("<html><body><h1>"), html_escape(name), F.lit("</h1>"), head, F.array_join(F.transform("rows", line), ""), F.lit("</table></body></html>"))
+    return rows.select(F.concat(F.regexp_replace(name, r"[^\w.-]", "_"), F.lit(".html")).alias("name"), body.cast("binary").alias("content"))
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows but those whose key is in ``gone``: a delete as an anti join, to be written anew."""
     return rows.join(gone.select(key), key, "left_anti")
