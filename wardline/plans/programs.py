@@ -105,6 +105,14 @@ def _(spark, sf):
     return solvers.grab_scores(*_moves(spark, sf)).select("ubid", "taker", F.round("score", 6).alias("score"))
 
 
+@query("v03_best_grabs", B.sql("blocks edges both sums", """SELECT taker, arg_min(ubid, (score, ubid)) AS ubid, round(min(score), 6) AS score FROM (
+  SELECT ubid, taker, edge * 1.2 + other_edge + neighbours * 0.3 + pop * 0.5 + lock * 0.1 + field * 0.001 + random * 0.1 AS score FROM f) s JOIN d ON d.district = s.taker, goal WHERE d.pop < target OR score <= 0 GROUP BY taker""", GRAB_SQL))
+def _(spark, sf):
+    """What each district would take if it were the first to act."""
+    solver = turns.TurnSolver(7)
+    return solver.first_grabs(B.blocks(spark, sf), B.edges(spark, sf)).select("taker", "ubid", F.round("score", 6).alias("score"))
+
+
 @query("v02_grab_solver")
 def _(spark, sf):
     solver = turns.TurnSolver(7, seed=3, last=6, kmpp_share=0.02, spread_share=0.05, pop_factor=turns.schedule([(0, 0.5), (100, 1.0)]))

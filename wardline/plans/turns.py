@@ -100,6 +100,11 @@ class TurnSolver:
             generation += 1
         return self._now().select("ubid", "lon", "lat", "pop", "area", "district")
 
+    def first_grabs(self, blocks: DataFrame, edges: DataFrame) -> DataFrame:
+        """(taker, score, ubid, ...): the block that each district would take first."""
+        self._start(blocks, edges)
+        return self.best(list(range(self.districts)), 0, self._centres())
+
     # ------------------------------------------------------------ state
 
     def _start(self, blocks: DataFrame, edges: DataFrame) -> None:
