@@ -47,15 +47,17 @@ def edge_blocks(edges: DataFrame, assignment: DataFrame) -> DataFrame:
 FEW_EDGES = 100_000
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ubid, component): smallest ubid reachable.
+def components(nodes: DataFrame, edges: DataFrame, known: bool = False) -> DataFrame:
+    """(ubid, component): smallest ubid reachable.  ``known`` says that ids are distinct and that both ends of all edges are among them.
 
     In a round each component hooks to its least neighbour, pointers are jumped to the roots, and edges are contracted:
     those within a component go, and of several between two one stays.  So rounds shrink; once ``FEW_EDGES`` are left, one task ends it.
     """
-    ids = nodes.select("ubid").distinct()
-    known = edges.join(ids.select(F.col("ubid").alias("a")), "a", "left_semi").join(ids.select(F.col("ubid").alias("b")), "b", "left_semi")
-    wires, maps = saved(undirected(known)), []
+    ids = nodes.select("ubid")
+    if not known:
+        ids = ids.distinct()
+        edges = edges.join(ids.select(F.col("ubid").alias("a")), "a", "left_semi").join(ids.select(F.col("ubid").alias("b")), "b", "left_semi")
+    wires, maps = saved(undirected(edges)), []
     while (left := wires.count()) > FEW_EDGES:
         near = both_ways(wires).groupBy("a").agg(F.min("b").alias("near"))
         moved = saved(near.select(F.col("a").alias("component"), F.least("a", "near").alias("to")))
@@ -102,7 +104,7 @@ def district_groups(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(ubid, district, component): connected parts of each district."""
     placed = blocks.where("district IS NOT NULL").select("ubid", "district")
     own = with_districts(edges, placed).where("da = db").select("a", "b")
-    return components(placed.select("ubid"), own).join(placed, "ubid")
+    return components(placed.select("ubid"), own, known=True).join(placed, "ubid")
 
 
 def largest_groups(groups: DataFrame) -> DataFrame:
