@@ -50,3 +50,29 @@ def test_shortest_ways_out(spark, monkeypatch):
                 want[c] = min(want.get(c, (1 << 60, 0, 0)), ((x1 - x2) ** 2 + (y1 - y2) ** 2, min(a, b), max(a, b)))
     want.pop(0)  # the largest does not ask
     assert got == want
+
+
+def test_contiguity_by_weighted_centres(spark):
+    rng = random.Random(3)
+    wide, rows = 12, {}
+    for k in range(144):
+        rows[k] = (k, k % wide * 10, k // wide * 10, 1, rng.randrange(1, 5), k % wide // 3 if rng.random() < 0.85 else rng.randrange(4))
+    edges = [(k, k + 1) for k in rows if k % wide != wide - 1] + [(k, k + wide) for k in rows if k + wide in rows]
+    centres = {d: (rng.uniform(0, 110), rng.uniform(0, 110), rng.uniform(0.2, 4)) for d in range(4)}
+    blocks = spark.createDataFrame(list(rows.values()), "ubid long, lon long, lat long, pop long, area long, district int")
+    known = spark.createDataFrame([(d, *c) for d, c in centres.items()], "district int, cx double, cy double, weight double")
+    got = {r.ubid: r.district for r in graph.fix_contiguity(spark.createDataFrame(edges, "a long, b long"), blocks, known).collect()}
+    parts = plain(rows, [(a, b) for a, b in edges if rows[a][5] == rows[b][5]])
+    now = {}
+    for d in range(4):
+        own = [parts[x] for x in rows if rows[x][5] == d]
+        best = max(set(own), key=lambda c: (own.count(c), c == min(own), c))
+        now |= {x: d for x in rows if parts[x] == best}
+    while len(now) < len(rows):
+        given = {}
+        for x in rows.keys() - now.keys():
+            offers = {now[b] for a, b in edges if a == x and b in now} | {now[a] for a, b in edges if b == x and a in now}
+            if offers:
+                given[x] = min(offers, key=lambda d: (((rows[x][1] - centres[d][0]) ** 2 + (rows[x][2] - centres[d][1]) ** 2) * centres[d][2], d))
+        now |= given
+    assert got == now

@@ -118,10 +118,17 @@ def largest_groups(groups: DataFrame) -> DataFrame:
     return parts.select("district", "component", "size", (rank == 1).alias("kept"))
 
 
-def fix_contiguity(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+def land_centres(blocks: DataFrame) -> DataFrame:
+    """(district, cx, cy): area-weighted, the plain mean where a district has no area."""
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col("area") * F.col(c).cast("double")), F.sum("area")), F.avg(c))
+    return blocks.where("district IS NOT NULL").groupBy("district").agg(mean("lon").alias("cx"), mean("lat").alias("cy"))
+
+
+def fix_contiguity(edges: DataFrame, blocks: DataFrame, centers: DataFrame | None = None) -> DataFrame:
     """``blocks`` with every part of a district but its largest given to adjacent districts.
 
-    Orphans join, round after round, the neighbouring district whose land centre is nearest.
+    Orphans join, round after round, the neighbouring district whose land centre is nearest; with ``centers`` (district, cx, cy,
+    weight; a row a district) that whose centre has the least weighted squared distance.
     """
     groups = district_groups(edges, blocks)
     kept = largest_groups(groups).where("kept").select("component")
@@ -129,17 +136,17 @@ def fix_contiguity(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     state = saved(blocks.drop("district").join(whole, "ubid", "left"))
     wires = saved(both_ways(edges))
     while True:
-        centre = state.where("district IS NOT NULL").groupBy("district").agg(
-            F.coalesce(F.try_divide(F.sum(F.col("area") * F.col("lon").cast("double")), F.sum("area")), F.avg("lon")).alias("cx"),
-            F.coalesce(F.try_divide(F.sum(F.col("area") * F.col("lat").cast("double")), F.sum("area")), F.avg("lat")).alias("cy"),
-        )
+        centre = land_centres(state).withColumn("weight", F.lit(1.0)) if centers is None else centers.select("district", "cx", "cy", "weight")
         orphans = state.where("district IS NULL").select("ubid", "lon", "lat")
         offers = orphans.join(wires.withColumnRenamed("a", "ubid"), "ubid").join(state.where("district IS NOT NULL").select(F.col("ubid").alias("b"), "district"), "b").join(centre, "district")
-        far = (F.col("lon") - F.col("cx")) * (F.col("lon") - F.col("cx")) + (F.col("lat") - F.col("cy")) * (F.col("lat") - F.col("cy"))
+        far = ((F.col("lon") - F.col("cx")) * (F.col("lon") - F.col("cx")) + (F.col("lat") - F.col("cy")) * (F.col("lat") - F.col("cy"))) * F.col("weight")
         chosen = saved(offers.groupBy("ubid").agg(F.min_by("district", F.struct(far, "district")).alias("given")))
         if chosen.isEmpty():
+            release(wires, chosen)
             return state
-        state = saved(state.join(chosen, "ubid", "left").withColumn("district", F.coalesce("district", "given")).drop("given"))
+        new = saved(state.join(chosen, "ubid", "left").withColumn("district", F.coalesce("district", "given")).drop("given"))
+        release(state, chosen)
+        state = new
 
 
 def nearest(points: DataFrame, centers: DataFrame, weight: bool = True) -> DataFrame:

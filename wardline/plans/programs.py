@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("v09_nearest_solver")
 def _(spark, sf):
-    done = solvers.Nearest().run(B.blocks(spark, sf), 7, seed=3, edges=B.edges(spark, sf), last=6, kmpp_share=0.02, spread_share=0.1)
+    done = solvers.Nearest().run(B.blocks(spark, sf), 7, seed=3, edges=B.edges(spark, sf), last=6, kmpp_share=0.02, spread_share=0.1, by_weight=True)
     return done.select("ubid", "district")
 
 

@@ -92,9 +92,9 @@ class Nearest:
             out.append((d, x, y, w * (self.grow if pop > target else self.shrink if pop < target else 1.0)))
         return placed, out
 
-    def run(self, blocks: DataFrame, districts: int, generations: int | None = None, seed: int = 1, edges: DataFrame | None = None, last: int = 5000, kmpp_share: float = 0.0005, spread_share: float = 0.0005) -> DataFrame:
+    def run(self, blocks: DataFrame, districts: int, generations: int | None = None, seed: int = 1, edges: DataFrame | None = None, last: int = 5000, kmpp_share: float = 0.0005, spread_share: float = 0.0005, by_weight: bool = False) -> DataFrame:
         """Blocks with districts after ``generations`` steps, or without that number when kmpp and spread have stopped moving for
-        ``last`` steps; with edges, parts are made contiguous at the end."""
+        ``last`` steps; with edges, parts are made contiguous at the end, ``by_weight`` by the weighted centres of the last step."""
         target = blocks.agg(F.sum("pop")).first()[0] / districts
         centers = self.start(blocks, districts, seed)
         placed, done = blocks, 0
@@ -102,11 +102,16 @@ class Nearest:
         while generations is None or done < generations:
             if done:
                 release(placed)
+            before = centers
             placed, centers = self.step(blocks, centers, target)
             done += 1
             if generations is None and monitor.stopped(*kmpp_and_spread(placed, districts)):
                 break
-        return graph.fix_contiguity(edges, placed) if edges is not None else placed
+        if edges is None:
+            return placed
+        spark = blocks.sparkSession
+        known = spark.createDataFrame(before, "district int, cx double, cy double, weight double") if by_weight and done else None
+        return graph.fix_contiguity(edges, placed, known)
 
 
 # ---------------------------------------------------------------- edge grab
