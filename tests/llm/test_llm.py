@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -237,6 +238,32 @@ def test_deduction_equals_brute_force():
         assert [list(c) for c in html_text.Template(pages).classes] == brute_classes(pages)
 
 
+HOSTILE = {
+    "nested": ("<div class=a>", "words of a page"), "no end": ("<a ", ""), "late quote": ("<a ", '">'), "long name": ("<a", ' ">'), "open quotes": ('<a "', ""),
+    "inline": ("<b>x", ""), "headings": ("<h1>a", ""), "named": ("<div class=menu>a", ""), "script": ("<script></script", ""), "declarations": ("<!", ""),
+    "crossed": ("<p><b><table><td><i></b></p>", ""),
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_html_hostile_markup_takes_linear_time(kind):
+    unit, tail = HOSTILE[kind]
+    took = []
+    for size in (1 << 15, 1 << 18):  # eight times as much: a quadratic parser takes 64 times as long
+        began = time.perf_counter()
+        html_text.block_texts([unit * (size // len(unit)) + tail, "<p>a</p>", "<p>b</p>", "<p>c</p>"])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_html_tags_that_never_end_and_long_numbers():
+    assert alone('a < b <i x="1>2">c</i> <a "d') == 'a < b c <a "d'
+    assert alone("<p>a<!-- <p>b") == "a" and alone("<p>1 <2 <? x> 3</p>") == "1 <2 3"
+    assert alone("<p>&#" + "9" * 5000 + "; &#" + "0" * 5000 + "65;") == "\ufffd A"
+    deep = "<div>" * 5000 + "<nav>menu</nav>the text" + "</div>" * 5000
+    assert alone(deep) == "the text"
+
+
 def test_html_odd_tables(spark):
     names = "page_id long, url string, html string, host string, row string, block string, found string, blocks int, __fixed string"
     text = page("<article><p>" + "word " * 200_000 + "</p></article>")

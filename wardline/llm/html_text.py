@@ -17,15 +17,17 @@ text within article or main elements where these hold most of it, else all that
 innermost container of at least 1 - ``MASS`` of the page's open text.
 
 Defined cases: null and empty html give an empty text; a null or odd url is a host of its own
-kind; repeated rows count as pages; an empty table gives an empty result; other columns are
+kind; a tag that never ends is text; a page is read in time in line with its length, however its tags nest
+or break off; repeated rows count as pages; an empty table gives an empty result; other columns are
 kept, whatever their names, but for one named like the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -67,25 +69,33 @@ UNSEEN = frozenset("head title button select option textarea template svg math c
 SLOTS = frozenset("html body main article section div center td".split())  # elements that can be a page's main slot
 TEXTS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  # never dropped by name
 HEADS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+MARKED = re.compile("<[!?]")
+MARKS = re.compile("[>\"']")
+DIGITS = re.compile("&#0*([0-9]{1,8})[0-9]*")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "main", "above", "named")
+    """An element; ``path`` names it and all around it, ``box`` is the nearest block element, itself included."""
+
+    __slots__ = ("tag", "path", "dropped", "main", "above", "named", "depth", "slots", "box", "unseen")
 
     def __init__(self, tag: str, attributes: str, above: Element | None):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         name = f"{found.get('class', '')} {found.get('id', '')}".strip()
         role = found.get("role", "").lower()
         self.tag, self.above = tag, above
-        self.path = (above.path if above else "") + "/" + tag + (f".{name}" if name else "")
+        self.path = hashlib.blake2b((above.path if above else b"") + f"{tag}.{name}".encode("utf-8", "replace"), digest_size=16).digest()
+        self.depth = above.depth + 1 if above else 0
+        self.slots = (above.slots if above else 0) + (tag in SLOTS or above is None)
+        self.box = above.box if tag in INLINE else self
+        self.unseen = tag in UNSEEN or bool(above and above.unseen)  # titles, scripts, form controls: no part of any slot
         self.main = bool(above and above.main) or tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         head = (tag == "header" or bool(name and HEADS.search(name))) and not self.main
-        #: The elements around, this one included, whose name speaks against them.
-        self.named = (above.named if above else ()) + ((self,) if name and tag not in TEXTS and any(map(is_named, name.split())) else ())
+        self.named = bool(name) and tag not in TEXTS and any(map(is_named, name.split()))  # its name speaks against it
         self.dropped = bool(above and above.dropped) or tag in DROPPED or role in ROLES or hidden or head
 
 
@@ -96,9 +106,38 @@ def is_named(token: str) -> bool:
     return any(named) and all(n or PLACES.fullmatch(p) for n, p in zip(named, parts, strict=True))
 
 
+def plain(text: str) -> str:
+    """The text with its character references decoded; numbers of any length too."""
+    try:
+        return entities.unescape(text)
+    except ValueError:  # more digits than Python turns into a number; eight already say that it is no character
+        return entities.unescape(DIGITS.sub(r"&#\1", text))
+
+
+class TagEnds:
+    """Where the tags of a page end: at the first '>' outside quotes.  One pass from the end knows it for every place."""
+
+    def __init__(self, page: str):
+        self.marks = [m.start() for m in MARKS.finditer(page)]
+        self.ends = [-1] * (len(self.marks) + 1)
+        later = {'"': -1, "'": -1}  # the next quote of each kind
+        for k in range(len(self.marks) - 1, -1, -1):
+            mark = page[self.marks[k]]
+            if mark == ">":
+                self.ends[k] = self.marks[k]
+            else:
+                self.ends[k] = self.ends[later[mark] + 1] if later[mark] >= 0 else -1
+                later[mark] = k
+
+    def __call__(self, at: int) -> int:
+        """Place of the '>' of a tag whose attributes start here; -1 if it never ends."""
+        return self.ends[bisect_left(self.marks, at)]
+
+
 def page_events(page: str) -> list[tuple[str, str, Element]]:
     """(sign, text, element) in page order: '<' an element starts, '>' it ends, '' a text block in it."""
-    stack = [Element("", "", None)]
+    stack = [Element("", "", None)]  # an element's depth is its place here
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each kind
     events: list[tuple[str, str, Element]] = []
     run: list[str] = []
     home = stack[0]  # the block element whose text is running
@@ -110,41 +149,56 @@ def page_events(page: str) -> list[tuple[str, str, Element]]:
             if text:
                 events.append(("", text, home))
 
-    def container() -> Element:
-        return next(e for e in reversed(stack) if e.tag not in INLINE)
-
     def pop(k: int) -> None:
         events.extend((">", "", e) for e in reversed(stack[k:]))
+        for e in stack[k:]:
+            places[e.tag].pop()
         del stack[k:]
 
+    def innermost(kinds) -> int:
+        return max((places[t][-1] for t in kinds if places[t]), default=0)
+
     def close(kinds, within) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in kinds:
-                pop(k)
-                return
-            if stack[k].tag in within:
-                return
-
-    at, end = 0, len(page)
-    while at < end:
-        m = MARKUP.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and (home.dropped or not stack[-1].dropped):
-            run.append(entities.unescape(page[at:stop]))
-        if not m:
+        k = innermost(kinds)
+        if k > innermost(within):
+            pop(k)
+
+    tag_end, end = TagEnds(page), len(page)
+    last = page.rfind(">")
+    text_at = at = 0  # where the running text starts; where to look for a tag
+
+    while True:
+        at = page.find("<", at)
+        stop = at if at >= 0 else end
+        found, after = None, -1  # the tag's name; the place after the tag, if it is one
+        if at >= 0 and page.startswith("<!--", at):
+            after = page.find("-->", at + 4) + 3
+            after = after if after > 2 else end
+        elif 0 <= at < last:
+            if page[at + 1] in "!?":
+                after = page.find(">", at) + 1
+            elif found := NAME.match(page, at + 1):
+                after = tag_end(found.end()) + 1
+        if at >= 0 and after <= 0:  # no tag: its '<' is text, and so is one within its name
+            inner = MARKED.search(page, at + 1, found.end()) if found else None
+            at = inner.start() if inner else found.end() if found else at + 1
+            continue
+        if stop > text_at and (home.dropped or not stack[-1].dropped):
+            run.append(plain(page[text_at:stop]))
+        if at < 0:
             break
-        at = m.end()
-        if m[2] is None:
+        opens, text_at, at = page[at + 1] != "/", after, after
+        if not found:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
+        tag, attributes = found[1].lower(), page[found.end() : after - 1]
+        if not opens:
+            if places[tag]:
                 if tag not in INLINE:
                     flush()
-                k = max(i for i in range(1, len(stack)) if stack[i].tag == tag)
-                if tag not in INLINE or all(e.tag in INLINE for e in stack[k:]):
+                k = places[tag][-1]
+                if tag not in INLINE or stack[-1].box.depth < k:
                     pop(k)
-                home = container()
+                home = stack[-1].box
             continue
         if tag not in INLINE and tag != "br":
             flush()
@@ -154,24 +208,54 @@ def page_events(page: str) -> list[tuple[str, str, Element]]:
                 close(*CLOSES[tag])
         if tag == "br":
             run.append(" ")
-        new = Element(tag, m[3], stack[-1])
+        new = Element(tag, attributes, stack[-1])
         events.append(("<", "", new))
         if tag in RAW:
-            last = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = last.end() if last else end
-        elif tag not in VOID and not m[3].endswith("/"):
+            raw_end = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = page.find(">", raw_end.end()) + 1 if raw_end else 0
+            text_at = at = at or end
+        elif tag not in VOID and not attributes.endswith("/"):
+            places[tag].append(new.depth)
             stack.append(new)
-        home = container()
+        home = stack[-1].box
     flush()
     return events
 
 
+def elements(events: list[tuple[str, str, Element]]) -> list[Element]:
+    """All elements of a page, those around others first."""
+    if not events:
+        return []
+    first = events[0][2]
+    return [first.above or first, *(e for sign, _, e in events if sign == "<")]
+
+
+def held_by(page: list[Element], texts: list[tuple[str, Element]]) -> Counter:
+    """Characters of the texts that each element holds, all that stands in it included."""
+    held: Counter = Counter()
+    for text, e in texts:
+        held[e] += len(text)
+    for e in reversed(page):
+        if e.above is not None and held[e]:
+            held[e.above] += held[e]
+    return held
+
+
+def spoken_against(page: list[Element], held: Counter, total: int, inside: set[Element] | None = None) -> set[Element]:
+    """Elements in one (of those ``inside``) whose name speaks against it and which does not hold most of the text."""
+    found: set[Element] = set()
+    for e in page:
+        if e.above in found or (e.named and (inside is None or e in inside) and 2 * held[e] <= total):
+            found.add(e)
+    return found
+
+
 # ---------------------------------------------------------------- templates
 
 
-def page_tokens(events: list[tuple[str, str, Element]]) -> list[tuple[str, str]]:
+def page_tokens(events: list[tuple[str, str, Element]]) -> list[tuple[str, bytes]]:
     """The page's tokens in order: (sign or word, path)."""
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, bytes]] = []
     for sign, text, e in events:
         if sign:
             out.append((sign, e.path))
@@ -183,10 +267,10 @@ def page_tokens(events: list[tuple[str, str, Element]]) -> list[tuple[str, str]]
 class Template:
     """What deduction finds in a block of pages: valid classes as ordered lists of tokens, outer ones first."""
 
-    def __init__(self, pages: list[list[tuple[str, str]]]):
-        self.classes: list[tuple[tuple[str, str], ...]] = []
-        self.words: set[tuple[str, str]] = set()  # (word, path)
-        self.elements: set[str] = set()  # paths of elements that stand once on a page
+    def __init__(self, pages: list[list[tuple[str, bytes]]]):
+        self.classes: list[tuple[tuple[str, bytes], ...]] = []
+        self.words: set[tuple[str, bytes]] = set()  # (word, path)
+        self.elements: set[bytes] = set()  # paths of elements that stand once on a page
         least = max(LEAST, SHARE * len(pages))
         counts = [Counter(p) for p in pages]
         support = Counter(t for c in counts for t in c)
@@ -234,29 +318,20 @@ class Template:
         return len(gaps - {0}) <= 1 and not (0 in gaps and len(gaps) > 1)
 
 
-def main_element(pages: list[list[tuple[str, str, Element]]], template: Template) -> str | None:
+def main_element(pages: list[list[tuple[str, str, Element]]], template: Template) -> bytes | None:
     """Path of the innermost template element that holds nearly all slot text of the pages."""
     mass: Counter = Counter()
+    depth: dict[bytes, int] = {}
     total = 0
     for events in pages:
-        for text, e in remaining(events, template):
-            if not outside(e):
-                total += len(text)
-                while e is not None:
-                    if e.path in template.elements:
-                        mass[e.path] += len(text)
-                    e = e.above
+        open_ = [(text, e) for text, e in remaining(events, template) if not e.unseen]
+        total += sum(len(text) for text, _ in open_)
+        for e, n in held_by(elements(events), open_).items():
+            if n and e.path in template.elements:
+                mass[e.path] += n
+                depth[e.path] = e.depth
     held = [path for path, n in mass.items() if n >= (1 - MASS) * total]
-    return max(held, key=lambda p: (p.count("/"), p)) if held and total else None
-
-
-def outside(e: Element) -> bool:
-    """Whether text of the element is no part of any slot: titles, scripts, form controls."""
-    while e is not None:
-        if e.tag in UNSEEN:
-            return True
-        e = e.above
-    return False
+    return max(held, key=lambda p: (depth[p], p)) if held else None
 
 
 def block_texts(pages: list[str | None]) -> list[str]:
@@ -269,20 +344,15 @@ def block_texts(pages: list[str | None]) -> list[str]:
     return [slot_text(e, template, slot) or own_text(e, template) for e in events]
 
 
-def slot_text(events: list[tuple[str, str, Element]], template: Template, slot: str | None) -> str:
+def slot_text(events: list[tuple[str, str, Element]], template: Template, slot: bytes | None) -> str:
     """Text of a page's main slots; empty if the page has no such slot."""
-    kept = []
-    for text, e in remaining(events, template):
-        inner = e
-        while inner is not None and inner.path != slot:
-            inner = inner.above
-        if inner is not None and (inner.dropped or not e.dropped):
-            kept.append((text, e, [n for n in e.named if len(n.path) > len(slot)]))
-    total = sum(len(text) for text, _, _ in kept)
-    held: Counter = Counter()
-    for text, _, named in kept:
-        held.update(dict.fromkeys(named, len(text)))
-    return " ".join(text for text, _, named in kept if all(2 * held[n] > total for n in named))
+    page, slot_of = elements(events), {}
+    for e in page:
+        slot_of[e] = e if e.path == slot else slot_of.get(e.above)
+    kept = [(text, e) for text, e in remaining(events, template) if slot_of[e] and (slot_of[e].dropped or not e.dropped)]
+    inside = {e for e in page if slot_of[e] and slot_of[e] is not e}
+    gone = spoken_against(page, held_by(page, kept), sum(len(text) for text, _ in kept), inside)
+    return " ".join(text for text, e in kept if e not in gone)
 
 
 def remaining(events: list[tuple[str, str, Element]], template: Template | None) -> list[tuple[str, Element]]:
@@ -291,33 +361,23 @@ def remaining(events: list[tuple[str, str, Element]], template: Template | None)
     return [(text, e) for sign, text, e in events if not sign and not (known and all((w, e.path) in known for w in text.split()))]
 
 
-def around(e: Element) -> list[Element]:
-    """The containers around a block, from itself outwards to the page."""
-    found = []
-    while e is not None:
-        if e.tag in SLOTS or e.above is None:
-            found.append(e)
-        e = e.above
-    return found
-
-
 def own_text(events: list[tuple[str, str, Element]], template: Template | None = None) -> str:
     """Main text of a page by its own blocks."""
     kept = [(text, e) for text, e in remaining(events, template) if not e.dropped]
-    held: Counter = Counter()
-    for text, e in kept:
-        held.update(dict.fromkeys(e.named, len(text)))
-    total = sum(len(text) for text, _ in kept)
-    kept = [b for b in kept if all(2 * held[n] > total for n in b[1].named)]  # a container of most open text is no notice
+    page = elements(events)
+    gone = spoken_against(page, held_by(page, kept), sum(len(text) for text, _ in kept))
+    kept = [b for b in kept if b[1] not in gone]  # a container of most open text is no notice
     total = sum(len(text) for text, _ in kept)
     if 2 * sum(len(text) for text, e in kept if e.main) > total:
         kept = [b for b in kept if b[1].main]
     elif kept:  # no article of most text: the innermost container of nearly all open text, with all it holds
-        mass: Counter = Counter()
-        for text, e in kept:
-            mass.update(dict.fromkeys(around(e), len(text)))
-        slot = max((e for e in mass if mass[e] >= (1 - MASS) * total), key=lambda e: len(around(e)))
-        kept = [b for b in kept if slot in around(b[1])]
+        held = held_by(page, kept)
+        slot = max((e for e in page if (e.tag in SLOTS or e.above is None) and held[e] >= (1 - MASS) * total), key=lambda e: e.slots)
+        within: set[Element] = set()
+        for e in page:
+            if e is slot or e.above in within:
+                within.add(e)
+        kept = [b for b in kept if b[1] in within]
     return " ".join(text for text, _ in kept)
 
 
