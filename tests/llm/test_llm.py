@@ -727,6 +727,14 @@ def test_vector_near_duplicates(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-200, 1.0, 1e200])
+def test_vector_links_at_any_magnitude(size):
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.1], [-1.0, 0.0]]) * size
+    x[2] *= 1e3  # the cosine does not depend on length
+    pairs = [(int(a), int(b)) for i, j in vectors.linked_pairs(x, np.zeros(4, int), 0, 0, 0.95) for a, b in zip(i, j, strict=True)]
+    assert pairs == [(0, 2)]
+
+
 def test_vector_links_at_the_production_target(spark):
     """64 dimensions, pairs just above the threshold: what the tables miss, and nothing below it."""
     rng = np.random.default_rng(8)

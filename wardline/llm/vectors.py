@@ -83,11 +83,11 @@ def table_keys(x: np.ndarray, w: np.ndarray, bits: int, tables: int) -> np.ndarr
 
 def linked_pairs(x: np.ndarray, sub: np.ndarray, lo: int, hi: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) with enough cosine: within one sub-block (lo == hi) or between two."""
-    norm = np.sqrt((x * x).sum(axis=1))
+    x = unit(x)  # products of the vectors themselves can leave the range of doubles
     left, right = np.flatnonzero(sub == lo), np.flatnonzero(sub == hi)
     for at in range(0, len(left), 512):
         i = left[at : at + 512]
-        a, b = np.nonzero(x[i] @ x[right].T >= cosine * norm[i][:, None] * norm[right][None])
+        a, b = np.nonzero(x[i] @ x[right].T >= cosine)
         i, j = i[a], right[b]
         keep = i < j if lo == hi else slice(None)
         yield i[keep], j[keep]
