@@ -96,8 +96,12 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, package_by
     pages = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1"))
     firsts = pages.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     firsts = firsts.where("n > 1 AND first_id IS NOT NULL").drop("n")
+    firsts = save(firsts)  # joined as written, so that a payload of many copies can be split
     again = (F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = pages.join(firsts, "sha1", "left").select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("refers_to"))
+    ids = pages.join(firsts, "sha1").where(again).groupBy("sha1", "page_id").agg(F.first("first_id").alias("refers_to"))
+    ids = ids.withColumnsRenamed({"sha1": "of", "page_id": "again"})  # pages meet by id, copies of a payload apart
+    rows = pages.join(ids, (F.col("sha1") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("again")), "left")
+    rows = rows.select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, writer, made, k = TaskContext.get(), None, [], 0
