@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import text
-from wardline.operators import metrics, projection, rings, windows
+from wardline.operators import metrics, plots, projection, rings, windows
 from wardline.plans import bindings as B
 from wardline.shared import shared_folder as folder
 from wardline.sources import binary, files, keyed, metadata, sheets, sinks
@@ -439,3 +439,28 @@ def _(spark, sf):
     sinks.write_files(sinks.pages(best, "state", "kmpp"), out)
     page = spark.read.text(out, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_extract_all("value", F.lit(r"<tr><td>([^<]*)</td><td>[^<]*</td></tr>"), F.lit(1)).alias("names"))
     return page.select("file", F.size("names").cast("long").alias("rows"), F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)).alias("characters"))
+
+
+# ---------------------------------------------------------------- plots
+
+#: The log's points of each kind of event, on a picture of 320 by 200.
+PLOTTED = """SELECT name, x, y, floor((x - x0) / (x1 - x0) * 319)::INT AS col, floor((y - y0) / (y1 - y0) * 199)::INT AS row_
+FROM (SELECT event_type AS name, generation::DOUBLE AS x, kmpp AS y FROM statlog WHERE kmpp IS NOT NULL),
+     (SELECT min(generation)::DOUBLE AS x0, max(generation)::DOUBLE AS x1, min(kmpp) AS y0, max(kmpp) AS y1 FROM statlog WHERE kmpp IS NOT NULL)"""
+
+
+def plotted(spark, sf) -> DataFrame:
+    return B.statlog(spark, sf).select(F.col("event_type").alias("name"), F.col("generation").alias("x"), F.col("kmpp").alias("y"))
+
+
+@query("r11_line_plot", B.sql("statlog", f"""SELECT name, col AS "column", min({{'x': x, 'y': y, 'r': row_}}).r AS enters, min(row_) AS low, max(row_) AS high, max({{'x': x, 'y': y, 'r': row_}}).r AS leaves
+FROM ({PLOTTED}) GROUP BY name, col"""))
+def _(spark, sf):
+    """A line for each kind of event, by what it does in each pixel column."""
+    return plots.lines(plotted(spark, sf), 320, 200)
+
+
+@query("r11_bar_plot", B.sql("statlog", f"""SELECT col AS "column", max(row_) AS top FROM ({PLOTTED}) GROUP BY col"""))
+def _(spark, sf):
+    """A bar for each pixel column, up to its highest point."""
+    return plots.bars(plotted(spark, sf), 320, 200)
