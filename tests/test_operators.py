@@ -237,3 +237,10 @@ def test_reports_refuse_to_cut_rows(spark):
     assert "&lt;b&gt;" in html and sinks.seats_votes_svg(spark.createDataFrame([(0.5, 0.25, 3)], "votes double, seats double, n int")).count("<circle") == 1
     svg = sinks.scatter_svg(spark.range(5000).selectExpr("double(id % 50) spread", "double(id % 20) kmpp"))
     assert svg.count("<circle") == 100
+
+
+def test_synthetic_maps_send_no_trials_through_the_driver(spark, tmp_path):
+    spark.range(50).withColumnRenamed("id", "trial").write.parquet(str(tmp_path / "t"))
+    made = solvers.synthetic_maps(spark, [[c // 5 for c in range(25)]], 10, spark.read.parquet(str(tmp_path / "t")))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and sum(r.n for r in made.collect()) == 50
