@@ -250,3 +250,15 @@ def test_histogram_follows_ieee_at_zero_and_counts_nulls(spark):
     rows = spark.createDataFrame([(0.0,), (0.0,), (3.5,), (None,)], "v double")
     assert {tuple(r) for r in metrics.exponential_histogram(rows, "v").collect()} == {(1, 3), (0, 1)}
     assert metrics.exponential_histogram(rows.limit(0), "v").count() == 0
+
+
+ZEROS = [(1, 1, 2.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 0.0), (3, 1, 4.0), (3, 2, -0.0)]
+
+
+def said(df):
+    return [str(r.variability) for r in df.orderBy("run", "generation").collect()]
+
+
+def test_variability_over_zero(spark):
+    log = spark.createDataFrame(ZEROS, "run long, generation int, kmpp double")
+    assert said(windows.variability(log, "kmpp", 20)) == ["0.0", "inf", "nan", "nan", "0.0", "-inf"]

@@ -35,11 +35,18 @@ def last_n(log: DataFrame, column: str, n: int = LAST_N) -> DataFrame:
     return rows.withColumns(both).select(*shown)
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754: over zero it is infinite, or NaN for zero over zero."""
+    nan, sign = F.lit(float("nan")), F.when(b.cast("double").cast("string").startswith("-"), -1.0).otherwise(1.0)
+    over_zero = F.when((a == 0) | F.isnan(a.cast("double")), nan).when(a > 0, sign * float("inf")).when(a < 0, -sign * float("inf"))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
+
+
 def variability(log: DataFrame, column: str = "kmpp", n: int = LAST_N, over: Column | None = None) -> DataFrame:
     """(max - min) of the last n rows over the latest value, or over ``over``."""
     w = last_n(log, column, n)
     base = F.col(column) if over is None else over
-    return w.select("run", "generation", F.try_divide(F.col("high") - F.col("low"), base).alias("variability"), "n")
+    return w.select("run", "generation", quotient(F.col("high") - F.col("low"), base).alias("variability"), "n")
 
 
 def stopped(log: DataFrame, target_pop: float, n: int = LAST_N, least: float = GIVE_UP) -> DataFrame:
