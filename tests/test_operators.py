@@ -262,3 +262,8 @@ def said(df):
 def test_variability_over_zero(spark):
     log = spark.createDataFrame(ZEROS, "run long, generation int, kmpp double")
     assert said(windows.variability(log, "kmpp", 20)) == ["0.0", "inf", "nan", "nan", "0.0", "-inf"]
+
+
+def test_range_variability_over_zero(spark):
+    log = spark.createDataFrame(ZEROS, "run long, generation int, kmpp double")
+    assert said(windows.range_variability(log, "kmpp", 30)) == ["0.0", "inf", "nan", "nan", "0.0", "-inf"]

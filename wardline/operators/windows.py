@@ -59,7 +59,7 @@ def stopped(log: DataFrame, target_pop: float, n: int = LAST_N, least: float = G
 def range_variability(log: DataFrame, column: str, back: int = 1000) -> DataFrame:
     """(max - min) / latest over the previous ``back`` generations, both ends included."""
     w = Window.partitionBy("run").orderBy("generation").rangeBetween(-back, 0)
-    return log.select("run", "generation", F.try_divide(F.max(column).over(w) - F.min(column).over(w), F.col(column)).alias("variability"))
+    return log.select("run", "generation", quotient(F.max(column).over(w) - F.min(column).over(w), F.col(column)).alias("variability"))
 
 
 def carry_generation(lines: DataFrame) -> DataFrame:
