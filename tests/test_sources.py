@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.plans import records
 from wardline.sources import binary, files, folders, sinks
 
 
@@ -150,3 +151,8 @@ def test_folders_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
     plan = files.submissions(spark, str(tmp_path / "in"))._jdf.queryExecution().toString()
     assert "binaryFile" not in plan  # whose list of files is the driver's
     assert {r.n for r in files.submissions(spark, str(tmp_path / "in")).collect()} == {f"c{k}" for k in range(40)}
+
+
+def test_numbers_longer_than_their_padding_stay_whole(spark):
+    got = spark.range(1).select(*(records.zeros(F.lit(n), 5).alias(f"c{n}") for n in (7, 12345, 119999))).first()
+    assert tuple(got) == ("00007", "12345", "119999")

@@ -47,7 +47,9 @@ def text_file(lines: DataFrame, value: Column, gzip: bool = False) -> str:
 
 
 def zeros(c: str | Column, n: int) -> Column:
-    return F.lpad((F.col(c) if isinstance(c, str) else c).cast("string"), n, "0")
+    """With zeros before it to ``n`` digits; a longer number stays whole."""
+    digits = (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.when(F.length(digits) < n, F.lpad(digits, n, "0")).otherwise(digits)
 
 
 # ---------------------------------------------------------------- configurations
