@@ -171,3 +171,11 @@ def test_empty_tables(spark, tmp_path, name):
     documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     turns(spark).limit(0).write.parquet(f"{tmp_path}/conversations.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_untampered_leaves_are_folded_too():
+    leaf, other = merkle.digest_of(["a"]), merkle.digest_of(["b"])
+    root = merkle.digest_of([leaf, other])
+    assert merkle.verdict(leaf, None, [(0, [other])], root) == (root, True)
+    assert merkle.verdict(leaf, None, [(0, [leaf])], root) == (merkle.digest_of([leaf, leaf]), False)  # a wrong sibling shows
+    assert merkle.verdict(leaf, other, [(0, [other])], root) == (merkle.digest_of([other, other]), False)

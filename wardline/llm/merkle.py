@@ -191,6 +191,12 @@ def fold(leaf: str, steps: list[tuple[int, list[str]]]) -> str:
     return leaf
 
 
+def verdict(digest: str, shown: str | None, steps: list[tuple[int, list[str]]], root: str) -> tuple[str, bool]:
+    """(folded_root, verified): what follows from the digest shown, or else the leaf's own, and its siblings."""
+    folded = fold(shown if isinstance(shown, str) else digest, steps)
+    return folded, folded == root
+
+
 def manifest(leaves: DataFrame, order: list[str], schema: str, per_part: int = LEAVES) -> DataFrame:
     """Proofs of ``leaves``, a saved table (grp string, *order, digest, shown) without nulls but in ``shown``, a digest to be verified
     in place of the leaf's.  Gives the order columns, whose ``schema`` is named, and leaf, subroot, root, proof_sha256, folded_root, verified."""
@@ -209,8 +215,7 @@ def manifest(leaves: DataFrame, order: list[str], schema: str, per_part: int = L
         subroot, above = json.loads(note)
         steps = steps + above
         proof = digest_of([d for _, others in steps for d in others])
-        folded = fold(leaf.shown, steps) if isinstance(leaf.shown, str) else root
-        return (*(getattr(leaf, c) for c in order), leaf.digest, subroot, root, proof, folded, folded == root)
+        return (*(getattr(leaf, c) for c in order), leaf.digest, subroot, root, proof, *verdict(leaf.digest, leaf.shown, steps, root))
 
     return _proofs(rows, spans, nodes, save(notes), finish, f"{schema}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
