@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from wardline.operators import graph
+from wardline.operators import graph, rings
+from wardline.plans import measures
 
 
 def plain(nodes, edges):
@@ -76,3 +78,13 @@ def test_contiguity_by_weighted_centres(spark):
                 given[x] = min(offers, key=lambda d: (((rows[x][1] - centres[d][0]) ** 2 + (rows[x][2] - centres[d][1]) ** 2) * centres[d][2], d))
         now |= given
     assert got == now
+
+
+def test_map_tables_are_not_sent_through_the_driver(spark):
+    b = spark.range(8).select(F.col("id").alias("ubid"), (F.col("id") % 2).alias("district"), *(F.col("id").alias(c) for c in ("lon", "lat", "pop", "area")))
+    e = b.select(F.col("ubid").alias("a"), (F.col("ubid") + 1).alias("b"))
+    point = F.struct(F.col("ubid").cast("double").alias("x"), F.col("ubid").alias("y"))
+    segments = b.select(F.col("ubid").alias("id"), "district", point.alias("p"), point.alias("q"))
+    shared = measures.shared_vertices(b.select("ubid", F.col("lon").alias("x"), F.col("lat").alias("y")))
+    for made in (graph.with_districts(e, b), rings.successors(segments), shared, graph.district_groups(e, b)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
