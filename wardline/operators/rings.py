@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.graph import keyed
 from wardline.shared import release
 from wardline.shared import save as saved
 from wardline.sources.binary import encode_shapes
@@ -37,7 +38,7 @@ def directed_segments(polygons: DataFrame) -> DataFrame:
 
 def borders(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
     """(district, p, q): the segments at a district's border; those that two of its blocks run through in opposite directions are gone."""
-    s = directed_segments(polygons).join(assignment.where("district IS NOT NULL").select("ubid", "district"), "ubid")
+    s = directed_segments(polygons).join(keyed(assignment.where("district IS NOT NULL").select("ubid", "district")), "ubid")
     way = F.when(F.col("p") < F.col("q"), 1).otherwise(-1)
     net = s.groupBy("district", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high")).agg(F.sum(way).alias("net")).where("net <> 0")
     return net.select("district", F.when(F.col("net") > 0, F.col("low")).otherwise(F.col("high")).alias("p"), F.when(F.col("net") > 0, F.col("high")).otherwise(F.col("low")).alias("q"))
@@ -46,7 +47,7 @@ def borders(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
 def successors(segments: DataFrame) -> DataFrame:
     """(id, next) of segments (id, district, p, q): the next is the one that turns most to the left."""
     ahead = segments.select("district", F.col("p").alias("q"), F.col("id").alias("next"), F.col("q").alias("r"))
-    both = segments.select("id", "district", "p", "q").join(ahead, ["district", "q"])
+    both = segments.select("id", "district", "p", "q").join(keyed(ahead), ["district", "q"])
     ax, ay, bx, by = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y"), F.col("r.x") - F.col("q.x"), F.col("r.y") - F.col("q.y")
     turn = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
     return both.groupBy("id").agg(F.max_by("next", F.struct(turn, -F.col("next"))).alias("next"))
@@ -63,13 +64,13 @@ def cycles(links: DataFrame) -> DataFrame:
     while True:
         other = state.select(F.col("id").alias("far"), F.col("far").alias("far2"), F.col("least").alias("least2"), F.col("off").alias("off2"))
         less = F.col("least2") < F.col("least")
-        new = saved(state.join(other, "far").select("id", F.col("far2").alias("far"), F.least("least", "least2").alias("least"), F.when(less, F.col("off2") + step).otherwise(F.col("off")).alias("off"), less.alias("learned")))
+        new = saved(state.join(keyed(other), "far").select("id", F.col("far2").alias("far"), F.least("least", "least2").alias("least"), F.when(less, F.col("off2") + step).otherwise(F.col("off")).alias("off"), less.alias("learned")))
         release(state)
         state, step = new.drop("learned"), 2 * step
         state.saved_path = new.saved_path
         if new.where("learned").isEmpty():
             sizes = new.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
-            return new.join(sizes, "least").select("id", F.col("least").alias("ring"), ((F.col("size") - F.col("off")) % F.col("size")).alias("place"))
+            return new.join(keyed(sizes), "least").select("id", F.col("least").alias("ring"), ((F.col("size") - F.col("off")) % F.col("size")).alias("place"))
 
 
 def cut_where_twice(links: DataFrame, placed: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def cut_where_twice(links: DataFrame, placed: DataFrame) -> DataFrame:
     seen = placed.withColumns({"n": F.count(F.lit(1)).over(whole), "k": F.row_number().over(visits), "id_before": F.lag("id").over(visits), "last": F.max_by("id", "place").over(whole)}).where("n > 1")
     # what led to this visit's segment now leads to the one before it; what led to the first, to the last
     swaps = seen.select(F.col("id").alias("next"), F.coalesce("id_before", "last").alias("instead"))
-    return links.join(swaps, "next", "left").select("id", F.coalesce("instead", "next").alias("next"))
+    return links.join(keyed(swaps), "next", "left").select("id", F.coalesce("instead", "next").alias("next"))
 
 
 def rings(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -88,14 +89,14 @@ def rings(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
     its own.  Points on a straight line between others are left out."""
     segments = saved(borders(polygons, assignment).withColumn("id", F.monotonically_increasing_id()))
     links = saved(successors(segments))
-    placed = saved(cycles(links).join(segments, "id"))
+    placed = saved(cycles(links).join(keyed(segments), "id"))
     twice = placed.groupBy("ring", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not twice.isEmpty():
         cut = saved(cut_where_twice(links, placed))
         release(placed)
-        placed = saved(cycles(cut).join(segments, "id"))
+        placed = saved(cycles(cut).join(keyed(segments), "id"))
     area = placed.groupBy("ring").agg((F.sum(F.col("p.x") * F.col("q.y") - F.col("q.x") * F.col("p.y")) / 2).alias("area"))
-    placed = saved(placed.join(area, "ring"))
+    placed = saved(placed.join(keyed(area), "ring"))
     inside = parents(placed)
     around = Window.partitionBy("ring").orderBy("place")
     ring = Window.partitionBy("ring")
@@ -103,7 +104,7 @@ def rings(polygons: DataFrame, assignment: DataFrame) -> DataFrame:
     straight = (F.col("p.x") - F.col("b.x")) * (F.col("q.y") - F.col("p.y")) == (F.col("p.y") - F.col("b.y")) * (F.col("q.x") - F.col("p.x"))
     corners = placed.withColumn("b", before).where(~straight)
     corners = corners.withColumn("place", F.row_number().over(around) - 1)
-    return corners.join(inside, "ring", "left").select("district", "ring", "place", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "area", F.coalesce("shell", "ring").alias("shell"))
+    return corners.join(keyed(inside), "ring", "left").select("district", "ring", "place", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "area", F.coalesce("shell", "ring").alias("shell"))
 
 
 def parents(placed: DataFrame) -> DataFrame:
@@ -118,12 +119,12 @@ def parents(placed: DataFrame) -> DataFrame:
     column = lambda c: F.floor(c / width).cast("long")
     floors = floors.withColumn("column", F.explode(F.sequence(column(F.col("p.x")), column(F.col("q.x")))))
     at = F.col("p.y") + (F.col("q.y") - F.col("p.y")) * ((F.col("x") - F.col("p.x")) / (F.col("q.x") - F.col("p.x")))
-    met = holes.withColumn("column", column(F.col("x"))).join(floors, ["district", "column"]).where((F.col("p.x") <= F.col("x")) & (F.col("x") < F.col("q.x")))
+    met = holes.withColumn("column", column(F.col("x"))).join(keyed(floors), ["district", "column"]).where((F.col("p.x") <= F.col("x")) & (F.col("x") < F.col("q.x")))
     met = met.withColumn("at", at).where(F.col("at") < F.col("y"))
     up = saved(met.groupBy("ring").agg(F.max_by(F.struct("under", "is_shell"), F.struct("at", "under")).alias("u")).select("ring", "u.under", "u.is_shell"))
     while not up.where("NOT is_shell").isEmpty():  # holes below holes
         over = up.select(F.col("ring").alias("under"), F.col("under").alias("u2"), F.col("is_shell").alias("s2"))
-        new = saved(up.join(over, "under", "left").select("ring", F.coalesce("u2", "under").alias("under"), F.coalesce("s2", "is_shell").alias("is_shell")))
+        new = saved(up.join(keyed(over), "under", "left").select("ring", F.coalesce("u2", "under").alias("under"), F.coalesce("s2", "is_shell").alias("is_shell")))
         release(up)
         up = new
     return up.select("ring", F.col("under").alias("shell"))
