@@ -371,7 +371,7 @@ def shared_vertices(vertices: DataFrame, least: int = 2, key: str = "ubid") -> D
     A vertex belongs to a few polygons, so the join's rows follow the vertices.
     """
     one, two = vertices.withColumnRenamed(key, "a"), vertices.withColumnRenamed(key, "b")
-    met = one.join(two, ["x", "y"]).where("a < b")
+    met = one.join(two.hint("merge"), ["x", "y"]).where("a < b")  # not sent around whole: it has a row a vertex
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
