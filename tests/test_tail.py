@@ -48,3 +48,12 @@ def test_last_lines_keep_few(spark, tmp_path):
     (logs / "r.log").write_text("# head\n" + "".join(f"line {k}\n" for k in range(30)) + "# end\n")
     out = streams.run_to_end(tail.last_lines(tail.live_tail(spark, str(logs)), 3), str(tmp_path / "w"), "append").collect()
     assert [(r.marked, r.seen, r.lines) for r in out] == [(2, 30, ["line 27", "line 28", "line 29"])]
+
+
+def test_many_small_files_share_tasks(tmp_path):
+    for k in range(3000):
+        (tmp_path / f"r{k}.log").write_text(f"line {k}\nhalf")
+    reader = tail._Reader({"path": str(tmp_path), "glob": "*.log", "split": "4"})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) <= 600 and sorted({b.num_rows for p in parts[:9] for b in reader.read(p)})[0] > 1
+    assert sorted(x for p in parts for b in reader.read(p) for x in b["line"].to_pylist()) == sorted(f"line {k}" for k in range(3000))

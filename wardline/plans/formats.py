@@ -166,7 +166,7 @@ def _(spark, sf):
     log = B.statlog(spark, sf).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("generation", "event_type"))).alias("g"))  # one run's log is a file
     lines = F.transform("g", lambda x: F.concat(F.lit("generation: "), x["generation"], F.lit(" "), x["event_type"], F.lit("\n")))
     out = folder(spark)
-    sinks.write_files(log.select(F.concat(F.lit("run"), "run", F.lit(".log")).alias("name"), F.array_join(lines, "").cast("binary").alias("content")), out)
+    folders.put_many(log.select(F.concat(F.lit("run"), "run", F.lit(".log")).alias("name"), F.array_join(lines, "").cast("binary").alias("content")), out)
     found = streams.run_to_end(tail.live_tail(spark, out, "*.log", split=4096), folder(spark), "append")
     return found.select(F.substring_index("file", "/", -1).alias("file"), "at", "line")
 
@@ -231,7 +231,7 @@ def _per_file(rows: DataFrame, encode, suffix: str, out: str, by=None) -> str:
         return pd.DataFrame({"name": [f"{part['__file'].iloc[0]}{suffix}"], "content": [encode(part)]})
 
     name = F.concat(F.lit("f"), F.floor(F.col("ubid") / BLOCKS)) if by is None else by
-    sinks.write_files(rows.withColumn("__file", name).groupBy("__file").applyInPandas(build, "name string, content binary"), out)
+    folders.put_many(rows.withColumn("__file", name).groupBy("__file").applyInPandas(build, "name string, content binary"), out)
     return out
 
 
@@ -389,7 +389,7 @@ def _(spark, sf):
 @query("p13_large_enough", B.sql("submissions", "SELECT path || '.txt' AS file, count(*)::BIGINT AS length FROM submissions GROUP BY 1 HAVING count(*) >= 8"))
 def _(spark, sf):
     out = folder(spark)
-    sinks.write_files(B.submissions(spark, sf).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.concat("path", F.lit(".txt")).alias("name"), F.repeat(F.lit("x"), F.col("n")).cast("binary").alias("content")), out)
+    folders.put_many(B.submissions(spark, sf).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.concat("path", F.lit(".txt")).alias("name"), F.repeat(F.lit("x"), F.col("n")).cast("binary").alias("content")), out)
     return files.large_enough(spark, out, 8)
 
 

@@ -90,14 +90,15 @@ def put(files: DataFrame, folder: str, spread: bool = False) -> DataFrame:
         made = {root}
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
-                at = f"{root}/{zlib.crc32(name.encode()) % SPREAD:04d}" if spread else root
+                above, _, base = name.rpartition("/")
+                at = "/".join(p for p in (root, f"{zlib.crc32(name.encode()) % SPREAD:04d}" if spread else "", above) if p)
                 if at not in made:
                     where.create_dir(at, recursive=True)
                     made.add(at)
-                part = f"{at}/_{name}.{uuid.uuid4().hex}"
+                part = f"{at}/_{base}.{uuid.uuid4().hex}"
                 with where.open_output_stream(part) as f:
                     f.write(content)
-                where.move(part, f"{at}/{name}")
+                where.move(part, f"{at}/{base}")
             yield batch[["name"]]
 
     return files.select("name", "content").mapInPandas(write, "name string")
@@ -106,3 +107,13 @@ def put(files: DataFrame, folder: str, spread: bool = False) -> DataFrame:
 def put_many(files: DataFrame, folder: str) -> int:
     """Writes ``files`` spread over sub-folders; returns their number."""
     return put(files, folder, spread=True).count()
+
+
+def empty(folder: str) -> None:
+    """Deletes what is in ``folder``, if there is one."""
+    where, root = _where(folder)
+    where.delete_dir_contents(root, missing_dir_ok=True)
+
+
+def is_pattern(path: str) -> bool:
+    return any(c in path for c in "*?[{")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import fnmatch
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Bytes looked through at a time.
 CHUNK = 1 << 20
+#: Bytes that opening a file counts as, tasks of a batch at most, and files that the driver looks into at a time.
+OPENING, TASKS, AT_ONCE = 1 << 12, 512, 16
 
 
 @dataclass
@@ -31,6 +34,24 @@ class Range(InputPartition):
     stop: int  # of the batch: a line's end
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+
+def bundled(ranges: list[Range], split: int) -> list[InputPartition]:
+    """``ranges`` of many small files in at most about ``TASKS`` tasks."""
+    size = max(split, sum(r.end - r.start + OPENING for r in ranges) // TASKS)
+    out, left = [], 0
+    for r in ranges:
+        if left <= 0:
+            out.append(Ranges([]))
+            left = size
+        out[-1].ranges.append(r)
+        left -= r.end - r.start + OPENING
+    return out
+
+
 def whole_lines(f, begin: int, size: int) -> int:
     """The last line's end in [begin, size], or ``begin``."""
     end = size
@@ -81,14 +102,16 @@ class _Reader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         where, at = self._where()
-        for f in where.get_file_info(fs.FileSelector(at, recursive=True)):
-            if f.type != fs.FileType.File or not fnmatch.fnmatch(f.base_name, self.glob):
-                continue
+        found = (f for f in where.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.glob))
+
+        def end(f: fs.FileInfo) -> int:
             seen = self.last.get(f.path, 0)
-            if f.size != seen:
-                with where.open_input_file(f.path) as opened:
-                    if end := whole_lines(opened, seen if f.size > seen else 0, f.size):
-                        self.last[f.path] = end
+            with where.open_input_file(f.path) as opened:
+                return whole_lines(opened, seen if f.size > seen else 0, f.size)
+
+        changed = [f for f in found if f.size != self.last.get(f.path, 0)]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            self.last |= {f.path: at for f, at in zip(changed, pool.map(end, changed), strict=True) if at}
         return dict(self.last)
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -98,25 +121,24 @@ class _Reader(DataSourceStreamReader):
             begin = start.get(file, 0)
             begin = begin if begin <= stop else 0
             out += [Range(file, begin, at, min(at + self.split, stop), stop) for at in range(begin, stop, self.split)]
-        return out or [Range("", 0, 0, 0, 0)]
+        return bundled(out, self.split) or [Ranges([])]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.end <= part.start:
-            return
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         where, _ = self._where()
-        with where.open_input_file(part.file) as f:
-            places, lines = [], []
-            for place, line in lines_from(f, part):
-                places.append(place)
-                lines.append(line.decode(errors="replace").removesuffix("\r"))
-                if len(lines) == 10_000:
-                    yield self._batch(part.file, places, lines)
-                    places, lines = [], []
-            yield self._batch(part.file, places, lines)
+        rows = []
+        for r in part.ranges:
+            with where.open_input_file(r.file) as f:
+                for place, line in lines_from(f, r):
+                    rows.append((r.file, place, line.decode(errors="replace").removesuffix("\r")))
+                    if len(rows) == 10_000:
+                        yield self._batch(rows)
+                        rows = []
+        if rows:
+            yield self._batch(rows)
 
     @staticmethod
-    def _batch(file: str, places: list[int], lines: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([file] * len(lines), pa.string()), pa.array(places, pa.int64()), pa.array(lines, pa.string())], ["file", "at", "line"])
+    def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["file", "at", "line"])
 
 
 class TailSource(DataSource):
