@@ -46,6 +46,16 @@ def test_one_and_seven_partitions(spark, tmp_path):
         upix.size(str(tmp_path / "bad"))
 
 
+def test_many_ranges_in_few_tasks(spark, tmp_path):
+    """A task takes many small ranges, also of several files."""
+    content, want = raster("<", 3, 400)
+    for k in range(3):
+        (tmp_path / f"{k}.upix").write_bytes(content)
+    df = upix.read(spark, str(tmp_path), split=20)
+    assert 3 * len(content) // 20 > 5 * upix.TASKS >= 5 * df.rdd.getNumPartitions()
+    assert sorted(map(tuple, df.collect())) == sorted(want * 3)
+
+
 def test_write_and_read(spark, tmp_path):
     rows = [(k, [{"x": k, "y": j} for j in range(k % 4)]) for k in range(50)]
     lists = spark.createDataFrame(rows, "ubid long, pixels array<struct<x: int, y: int>>").repartition(3)

@@ -12,6 +12,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 HEADER, WORD, ONES = 12, 4, 0xFFFFFFFF
 #: Words read at a time.
 CHUNK = 1 << 20
+#: Ranges are dealt over so many tasks, over more only where a task would read more than TASK_BYTES.
+TASKS, TASK_BYTES = 128, 32 << 20
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -110,11 +113,10 @@ def pixels_of(f, order: str, start: int, end: int, size: int) -> Iterator[tuple[
 
 
 @dataclass
-class Range(InputPartition):
-    file: str
-    start: int
-    end: int
-    size: int
+class Ranges(InputPartition):
+    """(file, start, end, size) of each range that a task reads."""
+
+    parts: list[tuple[str, int, int, int]]
 
 
 class _Reader(DataSourceReader):
@@ -125,16 +127,21 @@ class _Reader(DataSourceReader):
         out = []
         for file, size in _files(self.path):
             size -= size % WORD
-            out += [Range(file, start, min(start + self.split, size), size) for start in range(HEADER, size, self.split)]
-        return out or [Range("", 0, 0, 0)]
+            out += [(file, start, min(start + self.split, size), size) for start in range(HEADER, size, self.split)]
+        tasks = max(TASKS, -(-sum(end - start for _, start, end, _ in out) // TASK_BYTES))
+        each = max(1, -(-len(out) // tasks))
+        return [Ranges(out[k : k + each]) for k in range(0, len(out), each)] or [Ranges([])]
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.size <= HEADER:
-            return
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         where, _ = _open(self.path)
-        with where.open_input_file(part.file) as f:
-            order = byte_order(f.read(HEADER))
-            for ids, xy in pixels_of(f, order, part.start, part.end, part.size):
+        for file, ranges in groupby(part.parts, lambda r: r[0]):
+            with where.open_input_file(file) as f:
+                order = byte_order(f.read(HEADER))
+                yield from self.batches(f, order, ranges)
+
+    def batches(self, f, order: str, ranges: Iterator[tuple[str, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        for _, start, end, size in ranges:
+            for ids, xy in pixels_of(f, order, start, end, size):
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(xy[:, 0].astype(np.int32)), pa.array(xy[:, 1].astype(np.int32))], ["ubid", "x", "y"])
 
 
