@@ -445,6 +445,14 @@ def test_large_family_makes_no_pairs(spark, monkeypatch):
     assert max(rows) < 20 * 2000
 
 
+def test_bitmap_keeps_wanted_ids(spark, monkeypatch):
+    """Every wanted row passes the bitmap, negative ids too, and few others do."""
+    docs = spark.range(-5000, 5000).selectExpr("id AS doc_id", "'x' AS text")
+    wanted = docs.where("doc_id % 7 = 3").select("doc_id")
+    got = near_dup.likely(docs, wanted)
+    assert got.join(wanted, "doc_id").count() == wanted.count() and got.count() < 1.1 * wanted.count()
+
+
 def test_min_and_max_estimate_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))

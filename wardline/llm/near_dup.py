@@ -31,8 +31,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wardline.llm.common import save
+from wardline.llm.common import release, save
 from wardline.llm.components import components
 
 BANDS, ROWS = 28, 4
@@ -40,6 +41,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 SHINGLE, PERCENT = 5, 80
 SMALL, TASK_SHINGLES = 256, 1_000_000  # members of a group compared in one task, shingles of its groups together
 CHUNK = 1 << 15  # shingles hashed at once
+SLOTS = 1 << 26  # bits of a bitmap of doc_ids
 
 _rng = np.random.default_rng(20240501)
 _flip = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)[:, None]
@@ -106,21 +108,32 @@ def features(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(rows, kinds).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that may have a doc_id of ``wanted``: a bitmap of hashed ids, of 8 MB whatever the tables'
+    sizes, goes to every task, so that few other texts are shuffled."""
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS))
+    at = F.bitmap_bit_position(slot)
+    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("__part")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = docs.withColumn("__part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "__part")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc_id, s): packed sorted shingles of the documents in ``wanted``."""
+    """(doc_id, ..., s): packed sorted shingles of the documents in ``wanted`` (doc_id, ...)."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "s": [shingles(x, n).tobytes() for x in part["text"]]})
+                yield part.drop(columns="text").assign(s=[shingles(x, n).tobytes() for x in part["text"]])
 
-    one = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    return one.mapInPandas(sets, "doc_id long, s binary")
+    one = likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    return one.mapInPandas(sets, T.StructType(wanted.schema.fields).add("s", "binary"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
-    """(u, v, common) and, on demand, the shingles of u outside v."""
+def overlaps(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """(u, v, common, rest) of the sets s of ``members`` (u, v, s) and t of ``centres`` (v, t); rest: shingles of u outside v."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,11 +143,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame, outside: bool) -> DataFrame:
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 hit = b[at] == a
                 common.append(int(hit.sum()))
-                rest.append(a[~hit].tobytes() if outside else None)
+                rest.append(a[~hit].tobytes())
             yield pd.DataFrame({"u": batch["u"], "v": batch["v"], "common": common, "rest": rest})
 
-    both = pairs.select("u", "v").join(sets.withColumnRenamed("doc_id", "u"), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("t")), "v")
-    return both.select("u", "v", "s", "t").mapInPandas(compare, "u long, v long, common long, rest binary")
+    return members.join(centres, "v").select("u", "v", "s", "t").mapInPandas(compare, "u long, v long, common long, rest binary")
 
 
 def outside_rows(stars: DataFrame) -> DataFrame:
@@ -177,14 +189,16 @@ def spread(stars: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     inside = (100 * F.col("common") >= percent * F.col("un")) & (~F.col("linked") | (F.col("un") < F.col("vn")))
     groups = outside_rows(stars).unionByName(stars.where(inside).select("v", "root", "u", F.lit(None).cast("long").alias("x")))
     groups = groups.withColumn("g", F.xxhash64("root", "v", "x")).join(stars.select("u", "v", "root", "f", "uc", "un", "mass", "spare"), ["u", "v", "root"])
-    open_ = save(mixed(groups).select("g", "many"))
+    few = save(mixed(groups).select("g", "many"))
     each = Window.partitionBy("u", "v", "root")  # at most the shingles of a document
-    groups = groups.join(open_, "g")
+    groups = groups.join(few, "g")
     groups = groups.withColumn("rank", F.row_number().over(each.orderBy(F.desc("many"), "g")))
     # of the outside shingles (un - common) the last `spare` ones are not needed, frequent ones first
     groups = save(groups.where("x IS NULL OR rank > spare").select("g", "root", "u", "f", "uc", "un", "mass"))
     chosen = save(mixed(groups).groupBy("root", "many", "who").agg(F.min("g").alias("g")).select("g", "many"))
-    return groups.join(chosen, "g")
+    out = save(groups.join(chosen, "g"))
+    release(open_, few, stars, groups, chosen)
+    return out
 
 
 def within_small(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,37 +236,59 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
         .groupBy("set_a", "set_b")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     )
+    names = save(found.drop("bands"))
+    release(found)
     members = classes.select(F.explode("bands").alias("g"), F.col("rep").alias("u"), F.col("n").alias("un"))
     # what joins back to a hot key is saved first: Spark then splits the key's rows in the join
     many = save(members.groupBy("g").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
     shared = save(members.join(many, "g"))
-    mass = save(shared.groupBy("u").agg(F.sum("many").alias("mass")))
-    sets = save(shingle_sets(docs, mass.select(F.col("u").alias("doc_id")), n))
+    reps = save(classes.select("set_a", "set_b", "rep"))
+    release(classes, many)
+    mass = shared.groupBy("u").agg(F.sum("many").alias("mass"))
     alike = 100 * F.col("common") >= percent * (F.col("un") + F.col("vn") - F.col("common"))
     central = F.struct(-F.col("mass"), F.col("u"))
 
     def starred(groups: DataFrame, *more: str) -> DataFrame:
         centres = save(groups.groupBy("g").agg(F.min_by(F.struct(F.col("u").alias("v"), F.col("un").alias("vn"), F.col("mass").alias("vm")), central).alias("c")).select("g", "c.*"))
-        return save(groups.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", "mass", *more).distinct())
-
-    stars = starred(save(shared.select("g", "u", "un").join(mass, "u")))
-    first = stars.groupBy("u").agg(F.min(F.struct(-F.col("vm"), F.col("v"))).alias("f")).select("u", "f.v").withColumnRenamed("v", "f")
-    stars = save(stars.join(first, "u").withColumn("root", F.col("v")))
+        stars = save(groups.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", "mass", *more).distinct())
+        release(centres)
+        return stars
+
+    weighed = save(shared.select("g", "u", "un").join(mass, "u"))
+    release(shared)
+    bare = starred(weighed)
+    first = bare.groupBy("u").agg(F.min(F.struct(-F.col("vm"), F.col("v"))).alias("f")).select("u", "f.v").withColumnRenamed("v", "f")
+    stars = save(bare.join(first, "u").withColumn("root", F.col("v")))
+    release(weighed, bare)
+    # a set is made together with the names of its centres: only the centres' sets are read a second time
+    of = stars.groupBy(F.col("u").alias("doc_id")).agg(F.collect_set("v").alias("of"))  # one for a band at most
+    centres = stars.select(F.col("v").alias("doc_id"), F.lit(True).alias("centre")).distinct()
+    wanted = save(of.join(centres, "doc_id", "full"))
+    sets = save(shingle_sets(docs, wanted, n))
+    release(wanted)
+    members, centres = sets.select(F.col("doc_id").alias("u"), F.explode("of").alias("v"), "s"), sets.where("centre")
     links = []
     while True:
-        looked = save(stars.join(overlaps(stars.select("u", "v").distinct(), sets, outside=True), ["u", "v"]).withColumn("linked", alike))
+        common = overlaps(members, centres.select(F.col("doc_id").alias("v"), F.col("s").alias("t")))
+        looked = save(stars.join(common, ["u", "v"]).withColumn("linked", alike))
         links.append(looked.where("linked").select("u", "v"))
         label = save(components(functools.reduce(DataFrame.unionByName, links)))
-        groups = save(spread(looked, label, percent))
+        groups = spread(looked, label, percent)
+        release(stars, looked)
+        # later rounds read the sets of what may still be linked, and no others
+        old, sets = sets, save(sets.select("doc_id", "s").join(groups.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        release(old)
         links = [label.select(F.col("node").alias("u"), F.col("component").alias("v")), save(within_small(groups.where(F.col("many") <= SMALL), sets, percent))]
         large = groups.where(F.col("many") > SMALL)
         if large.isEmpty():
             break
         stars = starred(large, "root", "f")
+        members, centres = stars.select("u", "v").distinct().join(sets.withColumnRenamed("doc_id", "u"), "u"), sets
+    release(groups, sets)
     label = save(components(functools.reduce(DataFrame.unionByName, links)))
 
-    reps = classes.select("set_a", "set_b", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    reps = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("set_a", "set_b", F.coalesce("component", "rep").alias("of_set"))
-    out = found.drop("bands").join(reps, ["set_a", "set_b"], "left")
+    out = names.join(reps, ["set_a", "set_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
