@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import mixing, near_dup, packing, quality, substring
-from wardline.llm.common import save, table
+from wardline.llm.common import save, split_by_id, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id.  Rows that share an id
     are one document; rows without an id or without words stay."""
-    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = save(near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    some, rest = split_by_id(docs, gone)
+    return some.join(gone, "doc_id", "left_anti").select(*docs.columns).union(rest)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

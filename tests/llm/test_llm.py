@@ -871,3 +871,44 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     packed = P.run(spark, str(tmp_path)).toPandas()
     assert Counter(packed[packed["piece"] == 0]["doc_id"].tolist()) == copies
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def shuffled(df):
+    """Rows that the exchanges of the last plan of ``df`` wrote."""
+    df.collect()
+    n, nodes = 0, [df._jdf.queryExecution().executedPlan().executedPlan()]
+    while nodes:
+        x = nodes.pop()
+        if x.nodeName() == "Exchange":
+            n += x.metrics().get("shuffleRecordsWritten").get().value()
+        if "QueryStage" in x.nodeName():
+            nodes.append(x.plan())
+        nodes += [x.children().apply(i) for i in range(x.children().size())]
+    return n
+
+
+def test_stages_shuffle_only_texts_that_may_change(spark, tmp_path):
+    """Of 400 texts, 10 go and 10 lose a passage: the others are read, tested against a bitmap and handed on."""
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    texts = {i: prose(rng, 120, 10_000) for i in range(400)}
+    for i in range(10):
+        texts[390 + i] = texts[i] + " more"
+        texts[380 + i] = " ".join([*texts[380 + i].split(), *texts[i].split()[:60]])
+    make(spark, [*texts.items(), (None, texts[0]), (None, None)]).withColumns({"row": F.lit("own"), "part": F.lit("own"), "bits": F.lit("own")}).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = P.near_dedup(spark, docs, str(tmp_path))
+        assert shuffled(near) < 100
+        rows = near.collect()
+        assert near.columns == docs.columns and sorted(r.doc_id for r in rows if r.doc_id is not None) == list(range(390)) and len(rows) == 392
+        cut = P.substring_dedup(spark, docs.where("doc_id < 390 OR doc_id IS NULL"), str(tmp_path))
+        assert shuffled(cut) < 100
+        rows = cut.collect()
+        assert cut.columns == docs.columns and len(rows) == 392 and all(r.row == r.part == r.bits == "own" for r in rows)
+        assert all(r.text == (" ".join(texts[r.doc_id].split()[:120]) if 380 <= r.doc_id < 390 else texts[r.doc_id]) for r in rows if r.doc_id is not None)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import release, save
+from wardline.llm.common import likely, release, save
 from wardline.llm.components import components
 
 BANDS, ROWS = 28, 4
@@ -41,7 +41,6 @@ PERMUTATIONS = BANDS * ROWS // 2
 SHINGLE, PERCENT = 5, 80
 SMALL, TASK_SHINGLES = 256, 1_000_000  # members of a group compared in one task, shingles of its groups together
 CHUNK = 1 << 15  # shingles hashed at once
-SLOTS = 1 << 26  # bits of a bitmap of doc_ids
 
 _rng = np.random.default_rng(20240501)
 _flip = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)[:, None]
@@ -108,17 +107,6 @@ def features(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(rows, kinds).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that may have a doc_id of ``wanted``: a bitmap of hashed ids, of 8 MB whatever the tables'
-    sizes, goes to every task, so that few other texts are shuffled."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS))
-    at = F.bitmap_bit_position(slot)
-    bits = wanted.groupBy(F.bitmap_bucket_number(slot).alias("__part")).agg(F.bitmap_construct_agg(at).alias("__bits"))
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    found = docs.withColumn("__part", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "__part")
-    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(doc_id, ..., s): packed sorted shingles of the documents in ``wanted`` (doc_id, ...)."""
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import save
+from wardline.llm.common import likely, save, split_by_id
 
 LENGTH, K = 50, 12
 CHUNK_WORDS = 500_000  # words of the documents whose equal runs share a row
@@ -180,8 +180,9 @@ def covered_runs(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     spans = "array<struct<lo:int,hi:int>>"
     each = whole.unionByName(partly).unionByName(names).groupBy("chunk").applyInPandas(unpacked, f"doc_id long, key long, whole {spans}, partly {spans}")
     each = save(each)
-    partly = each.where("partly IS NOT NULL").groupBy("doc_id", "key").agg(F.first("partly").alias("runs"))
-    texts = docs.select("doc_id", F.col("__key").alias("key"), "text").dropDuplicates(["doc_id", "key"]).join(partly, ["doc_id", "key"])
+    partly = each.where("partly IS NOT NULL")
+    texts = likely(docs.select("doc_id", F.col("__key").alias("key"), "text"), partly).dropDuplicates(["doc_id", "key"])
+    texts = texts.join(partly.groupBy("doc_id", "key").agg(F.first("partly").alias("runs")), ["doc_id", "key"])
     windows = save(hash_windows(texts.select("doc_id", "key", "text", "runs"), length))
     earliest = save(windows.groupBy("win_a", "win_b").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"))
     more = save(windows.join(earliest, ["win_a", "win_b"]).where("doc_id > a").select("doc_id", "key", F.col("at").alias("lo"), F.col("at").alias("hi")))
@@ -198,11 +199,11 @@ def cut(words: list[bytes], runs, length: int) -> list[bytes]:
     return list(compress(words, (np.cumsum(change[:-1]) == 0).tolist()))
 
 
-def _with_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(row, runs): each whole row of docs, in a struct so that no column name can clash."""
-    runs = covered_runs(docs, length, k).withColumnsRenamed({"doc_id": "of_id", "key": "of_key"})
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.join(runs, (F.col("row.doc_id") == F.col("of_id")) & (F.xxhash64("row.text") == F.col("of_key")), "left").select("row", "runs")
+def _with_runs(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(row, runs): each whole row of docs, in a struct so that no column name can clash; and (row) of those that surely have no runs."""
+    runs = save(covered_runs(docs, length, k).withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}))
+    some, rest = (x.select(F.struct(*x.columns).alias("row")) for x in split_by_id(docs, runs.select(F.col("of_id").alias("doc_id"))))
+    return some.join(runs, (F.col("row.doc_id") == F.col("of_id")) & (F.xxhash64("row.text") == F.col("of_key")), "left").select("row", "runs"), rest
 
 
 def digest(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -217,7 +218,8 @@ def digest(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    slim = _with_runs(docs.select("doc_id", "text"), length, k).select(F.col("row.doc_id").cast("string").alias("doc_id"), "row.text", "runs")
+    some, rest = _with_runs(docs.select("doc_id", "text"), length, k)
+    slim = some.unionByName(rest, allowMissingColumns=True).select(F.col("row.doc_id").cast("string").alias("doc_id"), "row.text", "runs")
     return slim.mapInPandas(rows, "doc_id string, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -229,4 +231,5 @@ def dedup_text(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     def kept(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if r is None else b" ".join(cut(t.encode("utf-8", "replace").split(), r, length)).decode() for t, r in zip(text, runs, strict=True)], dtype=object)
 
-    return _with_runs(docs, length, k).select(F.col("row").withField("text", kept("row.text", "runs")).alias("row")).select("row.*")
+    some, rest = _with_runs(docs, length, k)
+    return some.select(F.col("row").withField("text", kept("row.text", "runs")).alias("row")).union(rest).select("row.*")
