@@ -124,6 +124,19 @@ def test_encoder_equals_the_tokenizer(monkeypatch, name):
     assert list(coder.encode(texts)) == want and list(coder.encode(texts)) == want
 
 
+def test_encoder_keeps_few_words_between_tasks(spark, monkeypatch):
+    """What idle workers hold is bounded, and ids are the same after a cache was cut."""
+    monkeypatch.setattr(packing, "KEPT", 7)
+    coder = packing.Encoder(packing.default_tokenizer())
+    texts = [prose(random.Random(k), 200, 10_000) + " Plain words, and others." for k in range(3)]
+    before = list(coder.encode(texts))
+    coder.words.old = {b"older": coder.words[b"older"]}
+    for c in (coder.words, coder.runs):
+        c.trim()
+        assert 0 < len(c) <= 7 and not c.old
+    assert next(iter(coder.words)) == b"older" and list(coder.encode(texts)) == before
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(make(spark, {}), packing.default_tokenizer()).count() == 0
 

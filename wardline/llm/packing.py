@@ -22,7 +22,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ from wardline.llm.common import save
 
 CAPACITY = 2048
 CACHED = 350_000  # entries of a generation of a worker's caches
+KEPT = 60_000  # entries that stay in a cache between tasks
 
 
 #: Byte-level vocabularies spell bytes that are no visible Latin-1 character as U+0100 and on, in order.
@@ -80,6 +81,12 @@ class Known(dict):
             self.old = dict(self)
             self.clear()
 
+    def trim(self) -> None:
+        """Keep what was asked for first, which is what texts ask for most: an idle worker holds no more."""
+        first, self.old = dict(islice((self.old | self).items(), KEPT)), {}
+        self.clear()
+        self.update(first)
+
 
 class Encoder:
     """Texts -> their ids as little-endian bytes.
@@ -152,6 +159,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        coder.words.trim()
+        coder.runs.trim()
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(pieces, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
