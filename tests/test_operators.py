@@ -267,3 +267,26 @@ def test_variability_over_zero(spark):
 def test_range_variability_over_zero(spark):
     log = spark.createDataFrame(ZEROS, "run long, generation int, kmpp double")
     assert said(windows.range_variability(log, "kmpp", 30)) == ["0.0", "inf", "nan", "nan", "0.0", "-inf"]
+
+
+def ties(spark, tmp_path, name):
+    """A query's quotients where the double lies beside a half of the sixth digit, and its SQL's."""
+    from datetime import datetime
+
+    import duckdb
+
+    from wardline.plans import catalog
+
+    logs = [(6.68, 0.27, 6.4), (0.14, 6.75, 6.4), (3.52, 6.75, 6.4), (7.24, 3.91, 6.4), (0.0, 0.0, 2.0)]
+    rows = [(3 * u + i, datetime(2024, 1, 1), u, "view", v, "{}") for u, log in enumerate(logs) for i, v in enumerate(log)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    shown = lambda rows: sorted((r[0], r[1], str(abs(r[2]))) for r in rows)  # noqa: E731  the sign of NaN means nothing
+    columns = ["run", "generation", "variability"]
+    return shown(catalog.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), shown(con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall())
+
+
+def test_variability_is_rounded_as_its_sql(spark, tmp_path):
+    got, expected = ties(spark, tmp_path, "w02_variability")
+    assert got == expected

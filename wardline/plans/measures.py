@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import schema
@@ -27,7 +27,17 @@ def query(name: str, oracle: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    """As SQL's round of a double: x * 10 ** digits goes to the nearest whole number, a half away from zero.  ``F.round`` goes by the decimal
+    digits that x is shown with, and differs where the product is a half and x is not, or the other way about."""
+    kinds, scale = dict(df.dtypes), 10.0**digits
+
+    def nearest(c: str) -> Column:
+        if kinds[c] != "double":
+            return F.round(F.col(c), digits)
+        x = F.signum(c) * F.round(F.abs(F.col(c) * scale)) / scale
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.col(c)).otherwise(x)  # not finite, or too large to be scaled
+
+    return df.withColumns({c: nearest(c) for c in columns})
 
 
 # ---------------------------------------------------------------- aggregates
