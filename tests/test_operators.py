@@ -290,3 +290,8 @@ def ties(spark, tmp_path, name):
 def test_variability_is_rounded_as_its_sql(spark, tmp_path):
     got, expected = ties(spark, tmp_path, "w02_variability")
     assert got == expected
+
+
+def test_range_variability_is_rounded_as_its_sql(spark, tmp_path):
+    got, expected = ties(spark, tmp_path, "w03_range_variability")
+    assert got == expected
