@@ -2,12 +2,13 @@ import gzip
 import io
 import struct
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.plans import records
+from wardline.plans import formats, records
 from wardline.sources import binary, files, folders, sinks
 
 
@@ -175,3 +176,18 @@ def test_binary_logs_are_listed_in_tasks(spark, tmp_path):
     rows = binary.statlog_binary(spark, str(tmp_path))
     assert "binaryFile" not in rows._jdf.queryExecution().toString()
     assert {(r.path.rpartition("/")[2], r.kmpp, r.max_pop) for r in rows.collect()} == {(f"run{k}.log", float(k), k) for k in range(5)}
+
+
+def test_submission_files_are_gone_before_more_are_written(spark, monkeypatch, same):
+    put, written = folders.put_many, []
+
+    def watched(some, out):
+        assert not any(Path(before.removeprefix("file:")).exists() for before, _ in written)
+        written.append((out, put(some, out)))
+        return written[-1][1]
+
+    monkeypatch.setattr(folders, "put_many", watched)
+    monkeypatch.setattr(formats, "AT_ONCE", 400, raising=False)
+    same(formats.QUERIES["s31_s33_submission_scan"], formats.ORACLE_SQL["s31_s33_submission_scan"])
+    assert sum(n for _, n in written) == 1000 and max(n for _, n in written) < 500
+    assert not Path(written[-1][0].removeprefix("file:")).exists()
