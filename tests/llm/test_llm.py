@@ -791,6 +791,17 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     assert 200 not in got and vectors.exact_top_k(df.limit(0), df.limit(0), 7).count() == 0
 
 
+def test_top_k_sends_no_blocks_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    x = np.random.default_rng(7).integers(-20, 20, (150, 8))
+    df = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<long>")
+    joined = vectors.exact_top_k(df, df.where("id % 20 = 0"), 7)
+    assert joined.count() == 8 * 7
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # ---------------------------------------------------------------- mixing
 
 

@@ -196,6 +196,11 @@ def whole_numbers(vec: str, scale: int = 64):
 APPROXIMATE, EXACT = ["dim", "d", "d_ids", "low", "width", "cells"], ["dim", "d", "d_ids", "kind", "vecs"]
 
 
+def smallest_kind(x: np.ndarray) -> str:
+    """The smallest signed type that holds the whole numbers x."""
+    return np.min_scalar_type(-1 - int(max(x.max(), -1 - x.min()))).str
+
+
 def vector_file(rows: DataFrame) -> tuple[DataFrame, int]:
     """Blocks of about ``BLOCK`` rows (id, vec), and their number: cells beside exact vectors, read by columns."""
     count = max(1, -(-rows.count() // BLOCK))
@@ -205,7 +210,7 @@ def vector_file(rows: DataFrame) -> tuple[DataFrame, int]:
         x = np.stack(part["vec"].to_list()).astype(np.int64)
         low = x.min(axis=0)
         width = np.maximum(1, -(-(x.max(axis=0) - low + 1) // CELLS))  # whole numbers in a cell
-        kind = np.min_scalar_type(-1 - int(max(x.max(), -1 - x.min()))).str
+        kind = smallest_kind(x)
         return pd.DataFrame({
             "dim": part["dim"].iloc[:1], "d": part["d"].iloc[:1], "d_ids": [part["id"].to_numpy(np.int64).tobytes()], "low": [low.tobytes()],
             "width": [width.tobytes()], "cells": [((x - low) // width).astype(np.uint8).tobytes()], "kind": [kind], "vecs": [x.astype(kind).tobytes()],
@@ -222,10 +227,14 @@ def query_blocks(queries: DataFrame) -> tuple[DataFrame, int]:
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         x = np.stack(part["vec"].to_list()).astype(np.int64)
-        return pd.DataFrame({"dim": part["dim"].iloc[:1], "q": part["q"].iloc[:1], "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_vecs": [x.tobytes()], "limits": [part["limit"].to_numpy(float).tobytes()]})
+        kind = smallest_kind(x)
+        return pd.DataFrame({
+            "dim": part["dim"].iloc[:1], "q": part["q"].iloc[:1], "q_ids": [part["id"].to_numpy(np.int64).tobytes()], "q_kind": [kind], "q_vecs": [x.astype(kind).tobytes()],
+            "limits": [part["limit"].to_numpy(float).tobytes()],
+        })
 
     dealt = queries.withColumns({"dim": F.size("vec"), "q": F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")})
-    return dealt.groupBy("dim", "q").applyInPandas(pack, "dim int, q int, q_ids binary, q_vecs binary, limits binary"), count
+    return dealt.groupBy("dim", "q").applyInPandas(pack, "dim int, q int, q_ids binary, q_kind string, q_vecs binary, limits binary"), count
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +249,7 @@ def bounds(r) -> Iterator[tuple[int, float, np.ndarray, np.ndarray, np.ndarray]]
     ids, q_ids, limits = np.frombuffer(r.d_ids, np.int64), np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.limits, float)
     low, width = np.frombuffer(r.low, np.int64), np.frombuffer(r.width, np.int64)
     corner = (low + np.frombuffer(r.cells, np.uint8).reshape(-1, r.dim).astype(np.int64) * width).astype(float)
-    asked, reach = np.frombuffer(r.q_vecs, np.int64).reshape(-1, r.dim).astype(float), (width - 1).astype(float)
+    asked, reach = np.frombuffer(r.q_vecs, r.q_kind).reshape(-1, r.dim).astype(float), (width - 1).astype(float)
     for at in range(0, len(asked), 256):
         some = asked[at : at + 256]
         base = some @ corner.T
@@ -257,10 +266,13 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = save(queries.groupBy("id").agg(F.min("vec").alias("vec")))
 
     def met(limited: DataFrame) -> DataFrame:
-        """Every block of queries with the cells of every block of rows once, under a key of its own."""
+        """Every block of queries with the cells of every block of rows once, under a key of its own.
+
+        Spark takes either side for as small as it was before its rows were repeated and would broadcast it whole: the join is by key.
+        """
         some, n_some = query_blocks(limited)
         every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-        cells = file.select(*APPROXIMATE, every("q", n_some))
+        cells = file.select(*APPROXIMATE, every("q", n_some)).hint("merge")
         return some.select("*", every("d", n_file)).join(cells, ["dim", "q", "d"])
 
     def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,12 +284,12 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                size, found = 8 * r.dim, []
+                asked, found = np.frombuffer(r.q_vecs, r.q_kind).reshape(-1, r.dim).astype(np.int64), []
                 for n, (q, limit, other, _, high) in enumerate(bounds(r)):
                     near = np.flatnonzero(high >= limit)
                     if len(near):
                         near = near[np.argsort(-high[near], kind="stable")]
-                        found.append((q, r.dim, r.d, r.q_vecs[size * n : size * (n + 1)], other[near].astype(np.int32).tobytes(), high[near].tobytes()))
+                        found.append((q, r.dim, r.d, asked[n].tobytes(), other[near].astype(np.int32).tobytes(), high[near].tobytes()))
                 yield pd.DataFrame(found, columns=["query_id", "dim", "d", "vec", "at", "bound"])
 
     def read(near: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +314,7 @@ def exact_top_k(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     best = best.groupBy("id", F.col("d") % 256).agg(largest).groupBy("id").agg(largest)  # k values for each 256th of the blocks
     limit = F.when(F.size("best") >= k, F.element_at("best", -1)).otherwise(float("-inf"))
     limits = save(best.select("id", limit.alias("limit")))
-    near = met(asked.join(limits, "id")).mapInPandas(within, "query_id long, dim int, d int, vec binary, at binary, bound binary")
+    near = met(asked.join(limits.hint("merge"), "id")).mapInPandas(within, "query_id long, dim int, d int, vec binary, at binary, bound binary")
     hits = near.groupBy("dim", "d").cogroup(file.select(*EXACT).groupBy("dim", "d")).applyInPandas(read, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a block
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
