@@ -458,6 +458,25 @@ def test_large_family_makes_no_pairs(spark, monkeypatch):
     assert max(rows) < 20 * 2000
 
 
+def test_large_groups_are_settled_in_one_step(spark, monkeypatch):
+    """However many copies a text has, sets are compared with centres once; what is left goes by pairs of blocks."""
+    looks, overlaps = [], near_dup.overlaps
+    monkeypatch.setattr(near_dup, "overlaps", lambda *a: looks.append(1) or overlaps(*a))
+    for name, value in {"SMALL": 8, "BLOCK": 32, "COLUMNS": 64}.items():
+        monkeypatch.setattr(near_dup, name, value, raising=False)
+    rng = random.Random(13)
+    base = prose(rng, 120, 10_000).split()
+    texts = {}
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(300)}"
+        texts[i] = " ".join(w)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(make(spark, texts), n=4).collect()}
+    assert got == brute_near(texts, 4) and len({c for _, c in got.values()}) > 20
+    assert len(looks) == 1
+
+
 def test_bitmap_keeps_wanted_ids(spark, monkeypatch):
     """Every wanted row passes the bitmap, negative ids too, and few others do."""
     docs = spark.range(-5000, 5000).selectExpr("id AS doc_id", "'x' AS text")

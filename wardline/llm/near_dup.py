@@ -12,9 +12,10 @@ like the centre c, s has fewer shingles in common with c than similarity to m as
 share a shingle outside c, unless m is smaller than c and both lie in c nearly whole.  So a star
 whose members are not one component yet falls apart into smaller groups, one for each shingle outside
 the centre (the rarest first, and no more of them than prefix filtering needs) and one for the members
-nearly inside it.  Groups of at most ``SMALL`` members are settled in one task; a larger one gets a
-centre of its own, and so on until none is left.  Every round writes members, never pairs, and a
-group always loses its centre, so the rounds end.
+nearly inside it.  Groups of at most ``SMALL`` members are settled in one task.  The members of a larger
+one, mostly copies of one text that were each edited in other places, have too little apart from it for smaller
+groups; they are dealt to blocks, and every two blocks are compared in a task of their own.  A task returns
+what joins components, never all pairs, so the job ends after this one step however large a group is.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone; texts of fewer than
 ``SHINGLE`` words are one shingle; rows with a null id stay alone; repeated rows share a class;
@@ -35,11 +36,14 @@ from pyspark.sql import types as T
 
 from wardline.llm.common import likely, release, save
 from wardline.llm.components import components
+from wardline.llm.vectors import spanning
 
 BANDS, ROWS = 28, 4
 PERMUTATIONS = BANDS * ROWS // 2
 SHINGLE, PERCENT = 5, 80
 SMALL, TASK_SHINGLES = 256, 1_000_000  # members of a group compared in one task, shingles of its groups together
+BLOCK, BLOCK_SHINGLES = 1024, 500_000  # members of a block of a larger group, and their shingles, on average
+COMMON, COLUMNS = 8, 4096  # members from which a shingle gets a column of a matrix, columns multiplied at once
 CHUNK = 1 << 15  # shingles hashed at once
 
 _rng = np.random.default_rng(20240501)
@@ -216,6 +220,57 @@ def within_small(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("task").applyInPandas(pairs, "u long, v long")
 
 
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each set of ``left`` has in common with each of ``right``."""
+    n, sets = len(left), left + right
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, x, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((n, len(right)), np.float32)  # exact, as sets stay far below 2 ** 24
+    often = times >= COMMON
+    column, at = np.cumsum(often) - 1, often[x]
+    cols, rows = column[x[at]], who[at]
+    order = np.argsort(cols, kind="stable")
+    cols, rows = cols[order], rows[order]
+    for first in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(cols, [first, first + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[rows[a:b], cols[a:b] - first] = 1
+        common += m[:n] @ m[n:].T
+    at = ~often[x] & (times[x] > 1)
+    x, who = x[at], who[at]
+    order = np.lexsort((who, x))  # one shingle's sets stand together, those of ``left`` first
+    x, who = x[order], who[order]
+    for step in range(1, COMMON - 1):
+        pair = (x[step:] == x[:-step]) & (who[:-step] < n) & (who[step:] >= n)
+        np.add.at(common, (who[:-step][pair], who[step:][pair] - n), 1)
+    return common
+
+
+def within_large(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links inside groups of any size, between components; every two blocks of a group are compared once."""
+
+    def pairs(unit: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(unit["lo"].iloc[0]), int(unit["hi"].iloc[0])
+        left, right = (unit[unit["sub"] == k].sort_values("u") for k in (lo, hi))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        read = lambda part: [np.frombuffer(x, np.uint64) for x in part["s"]]
+        common = in_common(read(left), read(right))
+        a, b = left["uc"].to_numpy(), right["uc"].to_numpy()
+        size = left["un"].to_numpy()[:, None] + right["un"].to_numpy()[None, :]
+        i, j = np.nonzero((100 * common >= percent * (size - common)) & (a[:, None] != b[None, :]))
+        names, ends = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+        root = spanning(len(names), ends[: len(i)], ends[len(i) :])
+        joined = root != np.arange(len(names))
+        return pd.DataFrame({"u": names[joined], "v": names[root[joined]]})
+
+    parts = F.ceil(F.greatest(F.max("many") / BLOCK, F.sum("un") / BLOCK_SHINGLES)).cast("int")
+    dealt = groups.join(groups.groupBy("g").agg(parts.alias("parts")), "g").withColumn("sub", F.pmod(F.xxhash64("u"), "parts").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = dealt.select("g", "u", "uc", "un", "sub", F.least("sub", "with").alias("lo"), F.greatest("sub", "with").alias("hi"))
+    return units.join(sets.withColumnRenamed("doc_id", "u"), "u").groupBy("g", "lo", "hi").applyInPandas(pairs, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     found = save(features(docs, n))
@@ -236,9 +291,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     alike = 100 * F.col("common") >= percent * (F.col("un") + F.col("vn") - F.col("common"))
     central = F.struct(-F.col("mass"), F.col("u"))
 
-    def starred(groups: DataFrame, *more: str) -> DataFrame:
+    def starred(groups: DataFrame) -> DataFrame:
         centres = save(groups.groupBy("g").agg(F.min_by(F.struct(F.col("u").alias("v"), F.col("un").alias("vn"), F.col("mass").alias("vm")), central).alias("c")).select("g", "c.*"))
-        stars = save(groups.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", "mass", *more).distinct())
+        stars = save(groups.join(centres, "g").where("u <> v").select("u", "v", "un", "vn", "vm", "mass").distinct())
         release(centres)
         return stars
 
@@ -255,23 +310,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     sets = save(shingle_sets(docs, wanted, n))
     release(wanted)
     members, centres = sets.select(F.col("doc_id").alias("u"), F.explode("of").alias("v"), "s"), sets.where("centre")
-    links = []
-    while True:
-        common = overlaps(members, centres.select(F.col("doc_id").alias("v"), F.col("s").alias("t")))
-        looked = save(stars.join(common, ["u", "v"]).withColumn("linked", alike))
-        links.append(looked.where("linked").select("u", "v"))
-        label = save(components(functools.reduce(DataFrame.unionByName, links)))
-        groups = spread(looked, label, percent)
-        release(stars, looked)
-        # later rounds read the sets of what may still be linked, and no others
-        old, sets = sets, save(sets.select("doc_id", "s").join(groups.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        release(old)
-        links = [label.select(F.col("node").alias("u"), F.col("component").alias("v")), save(within_small(groups.where(F.col("many") <= SMALL), sets, percent))]
-        large = groups.where(F.col("many") > SMALL)
-        if large.isEmpty():
-            break
-        stars = starred(large, "root", "f")
-        members, centres = stars.select("u", "v").distinct().join(sets.withColumnRenamed("doc_id", "u"), "u"), sets
+    common = overlaps(members, centres.select(F.col("doc_id").alias("v"), F.col("s").alias("t")))
+    looked = save(stars.join(common, ["u", "v"]).withColumn("linked", alike))
+    label = save(components(looked.where("linked").select("u", "v")))
+    groups = spread(looked, label, percent)
+    release(stars, looked)
+    # what follows reads the sets of what may still be linked, and no others
+    old, sets = sets, save(sets.select("doc_id", "s").join(groups.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    release(old)
+    small, large = groups.where(F.col("many") <= SMALL), groups.where(F.col("many") > SMALL)
+    links = [label.select(F.col("node").alias("u"), F.col("component").alias("v")), save(within_small(small, sets, percent))]
+    if not large.isEmpty():
+        links.append(save(within_large(large, sets, percent)))
     release(groups, sets)
     label = save(components(functools.reduce(DataFrame.unionByName, links)))
 
